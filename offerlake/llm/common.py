@@ -8,6 +8,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,3 +44,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def whole_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of `df` with the columns of a DDL string added, all nullable."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
