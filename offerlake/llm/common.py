@@ -6,7 +6,7 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def whole_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+
+
+def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to n, kept by the Python worker."""
+    if base not in POWERS or len(POWERS[base][0]) <= n:
+        size = max(1 << 16, 1 << n.bit_length())
+        ones = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        for x in ones:
+            x[0] = 1
+        POWERS[base] = np.cumprod(ones[0]), np.cumprod(ones[1])
+    return POWERS[base]
+
+
+def prefix_hashes(values: np.ndarray, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes modulo 2**64: total and back, so that (total[b] - total[a]) * back[a] is the hash of values[a:b]."""
+    up, back = powers(len(values), base)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * MULTIPLIER * up[: len(values)], out=total[1:])
+    return total, back
 
 
 def extended(df: DataFrame, ddl: str) -> T.StructType:

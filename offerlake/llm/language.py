@@ -7,7 +7,6 @@ language with most letters is the text's.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import MULTIPLIER, extended, fold
+from offerlake.llm.common import MULTIPLIER, extended, fold, mixed, prefix_hashes
 
 BUCKETS = 1 << 16  # of hashed character n-grams
 ORDERS = (1, 2, 3, 4)
@@ -37,15 +36,47 @@ SCRIPT_STARTS = np.array([a for a, _ in SCRIPTS], np.int64)
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 SCRIPT_IDS = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS], np.int64)
 
-WORD = re.compile(r"[^\W\d_]+")
+TABLES: dict[str, np.ndarray] = {}
 
 
-def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words, each between two blanks, as code points; where each starts; their lengths with the blanks."""
-    padded = [f" {w.lower()} " for w in words]
-    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64), lengths
+def table(name: str) -> np.ndarray:
+    """By code point: is it a letter, or its lower-case form. Made once in a Python worker."""
+    if not TABLES:
+        TABLES["letter"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        TABLES["lower"] = np.fromiter((ord(chr(i).lower()[0]) for i in range(0x110000)), np.uint32, 0x110000)
+    return TABLES[name]
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words are runs of letters. Lower-case code points of all texts in a row; each word's start and end there, and
+    its text; where each text starts."""
+    held = [t or "" for t in texts]
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    points = np.frombuffer("\n".join([*held, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.concatenate(([False], table("letter")[points], [False]))
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return table("lower")[points], starts, ends, np.searchsorted(begins, starts, side="right") - 1, begins
+
+
+def distinct_words(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each kind, by 64-bit hashes of the letters; each word's kind; how often each kind occurs."""
+    total, back = prefix_hashes(points)
+    h = mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    _, first, kind, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    return first, kind, times
+
+
+def between_blanks(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words in a row, each between two blanks; where each starts; their lengths with the blanks."""
+    lengths = ends - starts + 2
+    begins = np.cumsum(lengths) - lengths
+    out = np.full(int(lengths.sum()), 32, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[begins] = inner[begins + lengths - 1] = False
+    out[inner] = points[np.arange(int((ends - starts).sum())) + np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts)]
+    return out, begins, lengths
 
 
 def ngrams(points: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -66,10 +97,6 @@ def scripts_of(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return SCRIPT_IDS[np.searchsorted(SCRIPT_STARTS, points[starts + 1].astype(np.int64), side="right") - 1]
 
 
-def letter_runs(text: str | None) -> list[str]:
-    return WORD.findall(text) if text else []
-
-
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Counts of hashed n-grams by language over every row with a text and a language, summed by Spark.
 
@@ -83,16 +110,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         seen: dict[str, np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text"):
-                words: dict[str, dict[str, int]] = {}
+                of: dict[str, list[str]] = {}
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = words.setdefault(lang, {})
-                    for w in letter_runs(text):
-                        own[w] = own.get(w, 0) + 1
-                for lang, own in words.items():
-                    points, starts, lengths = code_points(list(own))
+                    of.setdefault(lang, []).append(text)
+                for lang, texts in of.items():
+                    points, starts, ends, _, _ = words_of(texts)
                     if not len(starts):
                         continue
-                    times = np.fromiter(own.values(), np.float64, len(own))
+                    first, _, times = distinct_words(points, starts, ends)
+                    points, starts, lengths = between_blanks(points, starts[first], ends[first])
                     total = grams.setdefault(lang, np.zeros(BUCKETS))
                     each = np.repeat(times, lengths)
                     for bucket, inside in ngrams(points, lengths):
@@ -115,14 +141,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return {"langs": langs, "scores": scores.astype(np.float32), "uses": scripts >= np.maximum(1, 0.001 * words), "prior": np.log((words + 1) / (words.sum() + len(langs))).astype(np.float32) if langs else words}
 
 
-def word_scores(words: list[str], model: dict) -> np.ndarray:
-    """Mean log-probability of a word's n-grams times its characters, by language; languages of other scripts far below.
+def word_scores(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: dict) -> np.ndarray:
+    """Words as between_blanks gives them. Mean log-probability of a word's n-grams times its characters, by language; languages of other scripts far below.
 
     A word whose script no language uses says nothing: zeros.
     """
-    points, starts, lengths = code_points(words)
-    if not len(starts):
-        return np.zeros((0, len(model["langs"])), np.float32)
     total = np.zeros((len(points), len(model["langs"])), np.float32)
     for bucket, inside in ngrams(points, lengths):
         total += np.where(inside[:, None], model["scores"][bucket], 0)
@@ -184,16 +207,15 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         for whole in batches:
             for batch in slices(whole, text_col):
                 texts = batch.column(at).to_pylist()
-                cut = [[m.span() for m in WORD.finditer(t)] if t and langs else [] for t in texts]
-                number: dict[str, int] = {}
-                ids = np.fromiter((number.setdefault(t[a:b], len(number)) for t, c in zip(texts, cut, strict=True) for a, b in c), np.int64)
-                sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-                where = np.array([x for c in cut for x in c], np.int64).reshape(-1, 2)
-                path = viterbi(word_scores(list(number), own)[ids], sizes, own["prior"]) if len(ids) else np.zeros(0, np.int16)
-                letters = where[:, 1] - where[:, 0]
-                text_of = np.repeat(np.arange(len(texts)), sizes)
+                points, starts, ends, text_of, begins = words_of(texts if langs else [])
+                sizes = np.bincount(text_of, minlength=len(texts))
+                path = np.zeros(0, np.int16)
+                if len(starts):
+                    first, kind, _ = distinct_words(points, starts, ends)
+                    path = viterbi(word_scores(*between_blanks(points, starts[first], ends[first]), own)[kind], sizes, own["prior"])
+                letters = ends - starts
                 share = np.zeros((len(texts), max(1, len(langs))))
-                np.add.at(share, (text_of, path), letters)
+                share += np.bincount(text_of * share.shape[1] + path, letters, share.size).reshape(share.shape)
                 total = share.sum(axis=1)
                 top = share.argmax(axis=1)
                 fresh = np.ones(len(path), bool)
@@ -201,10 +223,11 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 first = np.flatnonzero(fresh)
                 last = np.append(first[1:], len(path)) - 1 if len(path) else first
                 spans: list[list[dict]] = [[] for _ in texts]
-                for k, i, j in zip(text_of[first].tolist(), first.tolist(), last.tolist(), strict=True):
-                    spans[k].append({"start": int(where[i, 0]), "end": int(where[j, 1]), "lang": langs[path[i]]})
+                which = text_of[first]
+                for k, i, a, b in zip(which.tolist(), path[first].tolist(), (starts[first] - begins[which]).tolist(), (ends[last] - begins[which]).tolist(), strict=True):
+                    spans[k].append({"start": a, "end": b, "lang": langs[i]})
                 pred = [langs[i] if n else UNDETERMINED for i, n in zip(top.tolist(), total.tolist(), strict=True)]
-                score = np.divide(share.max(axis=1), total, out=np.zeros(len(texts)), where=total > 0)
+                score = np.divide(share.max(axis=1, initial=0), total, out=np.zeros(len(texts)), where=total > 0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=[*kept, "lang_pred", "lang_score", "lang_spans"])
 
     return docs.select(*kept).mapInArrow(run, schema)

@@ -6,6 +6,9 @@ import importlib
 
 # Query -> module that holds it; a module's SQL for DuckDB, where there is any, is named beside it.
 MODULES = {
+    "op1_bpe_encoding": "bpe",
+    "op2_quality_classifier": "quality",
+    "op7_language_id": "language",
     "op8_url_filters": "url_rules",
     "op10_license_scans": "licence_scan",
 }
