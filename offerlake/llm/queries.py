@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_bpe_encoding": "bpe",
     "op2_quality_classifier": "quality",
+    "op3_nearest_neighbours": "permutation_index",
     "op7_language_id": "language",
     "op8_url_filters": "url_rules",
     "op10_license_scans": "licence_scan",
