@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the folder of spark.checkpoint.dir, which every executor can read; lineage ends there.
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which every executor can read: the context's, else the one that spark.checkpoint.dir names.
 
-    Only where neither the session nor the context names a folder (tests on one machine) is one made.
+    Only where neither is set (tests on one machine) is one made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder; lineage ends there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -68,3 +73,21 @@ def prefix_hashes(values: np.ndarray, base: int = BASES[0]) -> tuple[np.ndarray,
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of `df` with the columns of a DDL string added, all nullable."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the folder of spark.checkpoint.dir, read again: smaller than a checkpoint, and as
+    safe when executors are lost. Shuffle files of the write are let go where this Spark can do so. The table stays
+    until that folder is cleared."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
