@@ -9,7 +9,9 @@ MODULES = {
     "op1_bpe_encoding": "bpe",
     "op2_quality_classifier": "quality",
     "op3_nearest_neighbours": "permutation_index",
+    "op4_decontamination": "decontaminate",
     "op7_language_id": "language",
+    "op9_suffix_array_dedup": "repeats",
     "op8_url_filters": "url_rules",
     "op10_license_scans": "licence_scan",
 }
