@@ -10,6 +10,7 @@ MODULES = {
     "op2_quality_classifier": "quality",
     "op3_nearest_neighbours": "permutation_index",
     "op4_decontamination": "decontaminate",
+    "op5_ngram_jaccard_join": "near_copies",
     "op7_language_id": "language",
     "op9_suffix_array_dedup": "repeats",
     "op8_url_filters": "url_rules",
