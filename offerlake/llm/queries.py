@@ -11,6 +11,7 @@ MODULES = {
     "op3_nearest_neighbours": "permutation_index",
     "op4_decontamination": "decontaminate",
     "op5_ngram_jaccard_join": "near_copies",
+    "op6_pii": "pii",
     "op7_language_id": "language",
     "op9_suffix_array_dedup": "repeats",
     "op8_url_filters": "url_rules",
