@@ -24,7 +24,7 @@ from offerlake.llm.common import extended
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
-CACHED = 400_000  # pre-tokens kept by a task; the cache starts anew beyond that
+CACHED = 150_000  # pre-tokens kept by a task; the cache starts anew beyond that
 LONG = 64  # longer pre-tokens aren't kept
 
 
@@ -153,8 +153,8 @@ def codec(path: str) -> Codec:
     return CODECS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in runs of about so many characters, so that memory doesn't hang on rows a batch."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of about so many bytes, so that memory doesn't hang on rows a batch."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for k, n in enumerate(lengths):

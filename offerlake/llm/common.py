@@ -54,7 +54,7 @@ BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n, kept by the Python worker."""
     if base not in POWERS or len(POWERS[base][0]) <= n:
-        size = max(1 << 16, 1 << n.bit_length())
+        size = ((n >> 18) + 1) << 18
         ones = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         for x in ones:
             x[0] = 1

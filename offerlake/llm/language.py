@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, 2_000_000):
                 texts = batch.column(at).to_pylist()
                 points, starts, ends, text_of, begins = words_of(texts if langs else [])
                 sizes = np.bincount(text_of, minlength=len(texts))

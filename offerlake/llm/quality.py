@@ -37,7 +37,7 @@ def hashed(token: str) -> int:
 class Tokens:
     """Token hashes, kept for a task up to a bound."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 300_000):
         self.bound, self.known = bound, {}
 
     def of(self, text: str) -> list[int]:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlake.llm.bpe import slices
 from offerlake.llm.common import BASES, mixed, prefix_hashes, written
 
 LENGTH = 100
@@ -77,7 +78,7 @@ def emitted(batches: Iterator[pa.RecordBatch], length: int, anchor: int, hashes_
 
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         for o, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for start, part in pieces(text, length):
                 if size and size + len(part) > PIECE + length:
@@ -226,15 +227,22 @@ def compared(batches: Iterator[pa.RecordBatch], length: int, bound: int = 1 << 1
 
 def fetched(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """Documents (o, t, text, wanted: h, p, n, large) -> segments with the anchor's place and their bytes."""
-    for batch in batches:
-        out: list[tuple] = []
-        for o, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out.extend((w["h"], o, t, w["p"], w["n"], text[w["p"] : w["p"] + w["n"] - 1 + length], w["large"]) for w in wanted)
-        for k in range(0, len(out), 8192):
-            part = out[k : k + 8192]
-            h, o, t, p, n, data, large = (list(x) for x in zip(*part, strict=True))
-            place = anchors_in(data, np.array(h, np.int64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(o, pa.int64()), pa.array(t, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int16()), pa.array(place, pa.int32()), pa.array(data, pa.binary()), pa.array(large, pa.bool_())], names=["h", "o", "t", "p", "n", "a", "data", "large"])
+    def made(part: list[tuple]) -> pa.RecordBatch:
+        h, o, t, p, n, data, large = (list(x) for x in zip(*part, strict=True))
+        place = anchors_in(data, np.array(h, np.int64), anchor)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(o, pa.int64()), pa.array(t, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int16()), pa.array(place, pa.int32()), pa.array(data, pa.binary()), pa.array(large, pa.bool_())], names=["h", "o", "t", "p", "n", "a", "data", "large"])
+
+    out: list[tuple] = []
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            for o, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for w in wanted:
+                    out.append((w["h"], o, t, w["p"], w["n"], text[w["p"] : w["p"] + w["n"] - 1 + length], w["large"]))
+                    if len(out) == 8192:
+                        yield made(out)
+                        out = []
+    if out:
+        yield made(out)
 
 
 def anchors_in(parts: list[bytes], h: np.ndarray, anchor: int) -> np.ndarray:
@@ -326,7 +334,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = source.join(all_spans, ["o", "t"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids, texts, spans = (c.to_pylist() for c in batch.columns)
             rows = []
             for o, text, own in zip(ids, texts, spans, strict=True):
