@@ -150,9 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "label", "found"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         found = table.column("found").combine_chunks()
         sizes = np.diff(found.offsets.to_numpy())
         flat = found.values.to_numpy()
