@@ -321,7 +321,7 @@ def ld_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 query("jsonld_blocks", FX_SQL + "SELECT seq, 0 AS block FROM f")(lambda s, d: jsonld.ld_blocks(ld_pages(s, d)).select("seq", "block"))
-query("jsonld_walk", FX_SQL + "SELECT seq, CASE seq % 3 WHEN 0 THEN 5 WHEN 1 THEN 12 ELSE 7 END::BIGINT AS objects FROM f")(lambda s, d: jsonld.ld_walk(jsonld.ld_blocks(ld_pages(s, d))).groupBy("seq").agg(F.count("*").alias("objects")))
+query("jsonld_walk", FX_SQL + "SELECT seq, CASE seq % 3 WHEN 0 THEN 6 WHEN 1 THEN 14 ELSE 8 END::BIGINT AS objects FROM f")(lambda s, d: jsonld.ld_walk(jsonld.ld_blocks(ld_pages(s, d))).groupBy("seq").agg(F.count("*").alias("objects")))
 query("jsonld_postings", FX_SQL + "SELECT seq, title FROM f")(lambda s, d: jsonld.postings(jsonld.ld_walk(jsonld.ld_blocks(ld_pages(s, d))), ["seq"]).select("seq", jsonld.text_at("$.title").alias("title")))
 query("jsonld_offers", FX_SQL + """SELECT seq, seq::VARCHAR AS source_id, title, company, concat(CASE WHEN location = '' THEN '' ELSE location || ', ' END, 'FR') AS location, CASE WHEN seq % 2 = 0 THEN 'freelance' ELSE 'cdi' END AS contract,
   CASE WHEN seq % 6000 BETWEEN 100 AND 5000 THEN seq % 6000 END::INTEGER AS daily_rate_min, published_at FROM f""")(
@@ -409,11 +409,11 @@ query("bullet_tools", "SELECT p.page_id AS row, b.* FROM pages p CROSS JOIN (VAL
 pairs = lambda table: ", ".join(f"({q(a)}, {q(b)}, {k})" for a, own in table.items() for k, b in enumerate(own))
 TOPIC_SQL = MATCH_SQL + f""", top AS (SELECT id, pos, competence AS topic, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_ord, rank)::INTEGER AS pos FROM rel WHERE score > 0) WHERE pos <= 6),
   adj(topic, implied, ord) AS (VALUES {pairs(dims.ADJACENT)}),
-  imp AS (SELECT id, implied AS topic, row_number() OVER (PARTITION BY id ORDER BY pos, ord)::INTEGER AS pos FROM (SELECT t.id, a.implied, min(struct_pack(pos := t.pos, ord := a.ord)) AS x, x.pos AS pos, x.ord AS ord FROM top t JOIN adj a ON a.topic = t.topic GROUP BY 1, 2) i WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.id = i.id AND top.topic = i.implied)),
+  imp AS (SELECT id, implied AS topic, row_number() OVER (PARTITION BY id ORDER BY pos, ord)::INTEGER AS pos FROM (SELECT id, implied, x.pos AS pos, x.ord AS ord FROM (SELECT t.id, a.implied, min(struct_pack(pos := t.pos, ord := a.ord)) AS x FROM top t JOIN adj a ON a.topic = t.topic GROUP BY 1, 2)) i WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.id = i.id AND top.topic = i.implied)),
   qu(topic, question, ord) AS (VALUES {pairs(dims.QUESTIONS)}),
   gap AS (SELECT id, unnest(missing) AS topic, generate_subscripts(missing, 1)::INTEGER AS pos FROM st),
-  plan AS (SELECT id, topic, reason, row_number() OVER (PARTITION BY id ORDER BY k, pos)::INTEGER AS pos FROM (SELECT id, topic, min(struct_pack(k := k, pos := pos, reason := reason)) AS x, x.k AS k, x.pos AS pos, x.reason AS reason
-    FROM (SELECT id, topic, 0 AS k, pos, 'gap' AS reason FROM gap UNION ALL SELECT id, topic, 1, pos, 'cited' FROM top UNION ALL SELECT id, topic, 2, pos, 'implied' FROM imp) WHERE list_contains({texts(dims.REVISION_TOPICS)}, topic) GROUP BY 1, 2)),
+  plan AS (SELECT id, topic, reason, row_number() OVER (PARTITION BY id ORDER BY k, pos)::INTEGER AS pos FROM (SELECT id, topic, x.k AS k, x.pos AS pos, x.reason AS reason FROM (SELECT id, topic, min(struct_pack(k := k, pos := pos, reason := reason)) AS x
+    FROM (SELECT id, topic, 0 AS k, pos, 'gap' AS reason FROM gap UNION ALL SELECT id, topic, 1, pos, 'cited' FROM top UNION ALL SELECT id, topic, 2, pos, 'implied' FROM imp) WHERE list_contains({texts(dims.REVISION_TOPICS)}, topic) GROUP BY 1, 2))),
   refs(ref, client, tool, ord) AS (VALUES {', '.join(f'({k}, {q(r[0])}, {q(t)}, {i})' for k, r in enumerate(PROFILE.references) for i, t in enumerate(r[2]))}),
   ev AS (SELECT id, ref, client, string_agg(tool, ', ' ORDER BY ord) AS tools FROM (SELECT DISTINCT t.id, r.* FROM top t JOIN refs r ON contains(lower(t.topic), lower(r.tool)) OR contains(lower(r.tool), lower(t.topic))) GROUP BY ALL) """
 topics = lambda s, d: match.key_topics(relevance(s, d))

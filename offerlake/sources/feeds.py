@@ -121,7 +121,7 @@ def arbeitnow() -> dict[str, Column]:
 def workingnomads() -> dict[str, Column]:
     return {
         "source_id": F.right(or_empty("url"), F.lit(60)), "url": or_empty("url"), "title": F.col("r.title"), "company": or_empty("company_name"), "description": strip_html(F.col("r.description")), "location": or_else("location", "Remote"), "remote": F.lit("full_remote"),
-        "skills": F.slice(F.filter(F.transform(F.split(or_empty("tags"), ","), F.trim), lambda t: t != ""), 1, TAGS_MOST), "published_at": parse_datetime(F.col("r.pub_date")),
+        "skills": F.slice(F.filter(F.transform(F.split(or_empty("tags"), ","), lambda t: F.trim(t)), lambda t: t != ""), 1, TAGS_MOST), "published_at": parse_datetime(F.col("r.pub_date")),
     }
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerlake import dims
 from offerlake.functions.dates import parse_datetime
@@ -21,7 +22,9 @@ MISSION_URL = r"/missions-[^/]+/\d+/[^/?#]+$"
 
 def embedded_state(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
     """One row for each mission of a page's embedded state, as JSON in `payload`; none where the path isn't there."""
-    shape = f"props struct<pageProps:struct<dehydratedState:struct<queries:array<struct<state:struct<data:struct<results:struct<projects:array<struct<{FEEDS['collectivework'].schema.replace(' struct', ':struct').replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean')}>>>>>>>>>"
+    item = T.StructType.fromDDL(FEEDS["collectivework"].schema).simpleString()
+    inner = f"struct<results:struct<projects:array<{item}>>>"
+    shape = f"props struct<pageProps:struct<dehydratedState:struct<queries:array<struct<state:struct<data:{inner}>>>>>>"
     state = F.from_json(F.regexp_extract(html_col, STATE, 1), shape)
     projects = F.get(state["props"]["pageProps"]["dehydratedState"]["queries"], F.lit(0))["state"]["data"]["results"]["projects"]
     return pages.select(*keys, F.posexplode(projects).alias("pos", "item")).withColumn("payload", F.to_json("item")).drop("item")
