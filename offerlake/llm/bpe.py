@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import extended
+from offerlake.llm.common import extended, tidy
 
 # The pre-token pattern of byte-level BPE, and the bytes that stand for themselves as characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
-CACHED = 150_000  # pre-tokens kept by a task; the cache starts anew beyond that
+CACHED = 100_000  # pre-tokens kept by a task; the cache starts anew beyond that
 LONG = 64  # longer pre-tokens aren't kept
 
 
@@ -143,6 +143,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+#: One codec a Python worker.
 CODECS: dict[str, Codec] = {}
 
 
@@ -185,7 +186,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
                 decoded = [own.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import extended, mixed, prefix_hashes
+from offerlake.llm.common import extended, mixed, prefix_hashes, tidy
 from offerlake.llm.language import table
 
 Q = 8
@@ -214,7 +214,7 @@ def passing(shared, text_col: str, region: pa.DataType):
                 rows = [[*a, *({"item": i, "start": s, "end": e} for i, s, e in b)] for a, b in zip(before, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, region)], names=batch.schema.names)
 
-    return run
+    return tidy(run)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import MULTIPLIER, extended, fold, mixed, prefix_hashes
+from offerlake.llm.common import MULTIPLIER, extended, fold, mixed, prefix_hashes, tidy
 
 BUCKETS = 1 << 16  # of hashed character n-grams
 ORDERS = (1, 2, 3, 4)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
             at, scripts = np.flatnonzero(total), np.flatnonzero(seen[lang])
             yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + len(scripts)), "slot": np.concatenate([at, -1 - scripts]), "n": np.concatenate([total[at], seen[lang][scripts]]).astype(np.int64)})
 
-    counts = rows.mapInArrow(counted, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(tidy(counted), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     code = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64) if langs else np.zeros(0, np.int64)
     slot, n = counts["slot"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col, 2_000_000):
+            for batch in slices(whole, text_col):
                 texts = batch.column(at).to_pylist()
                 points, starts, ends, text_of, begins = words_of(texts if langs else [])
                 sizes = np.bincount(text_of, minlength=len(texts))
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 score = np.divide(share.max(axis=1, initial=0), total, out=np.zeros(len(texts)), where=total > 0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=[*kept, "lang_pred", "lang_score", "lang_spans"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 HELD_OUT_OF, HELD_OUT = 4, 2

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import extended, mixed, prefix_hashes, written
+from offerlake.llm.common import extended, mixed, prefix_hashes, tidy, written
 from offerlake.llm.decontaminate import normalised
 
 WORDS = 5
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, text_col: str, words: int, forest: Forest | None) ->
                     columns.append(pa.array([forest.labels(x) if len(x) else None for x in sets], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def set_of(docs: DataFrame, words: int) -> DataFrame:
@@ -106,7 +106,7 @@ def set_of(docs: DataFrame, words: int) -> DataFrame:
                 real = [i for i, x in enumerate(sets) if set_keys(x) == (k1[i], k2[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in real], pa.int64()), pa.array([sets[i].view(np.int64) for i in real], pa.list_(pa.int64()))], names=["c", "items"])
 
-    return docs.select("c", "k1", "k2", "text").mapInArrow(run, "c long, items array<long>")
+    return docs.select("c", "k1", "k2", "text").mapInArrow(tidy(run), "c long, items array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import extended
+from offerlake.llm.common import extended, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and further characters of each kind
@@ -308,7 +308,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> byte
             tagger.fit(x, y)
             yield pa.RecordBatch.from_pydict({"model": [tagger.packed()]})
 
-    found = chosen.mapInArrow(run, "model binary").collect()
+    found = chosen.mapInArrow(tidy(run), "model binary").collect()
     return bytes(found[0]["model"]) if found else None
 
 
@@ -386,31 +386,33 @@ def find_pii(docs: DataFrame, model: bytes | None, text_col: str = "text") -> Da
                     rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in both])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, span)], names=[*kept, "spans"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, model: bytes | None, text_col: str = "text") -> DataFrame:
     """The rows of `docs` with every span replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; spans that overlap become one,
     named after the first. Null texts stay null."""
-    kept = docs.columns
-    own = f"__{text_col}"
-    found = find_pii(docs.withColumn(own, F.col(text_col)), model, own)
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
-    def cut(text: str, spans: list[dict]) -> str:
+    def cut(text: str, spans: list[tuple[int, int, str]]) -> str:
         out, at = [], 0
-        for s in spans:
-            if s["start"] >= at:
-                out += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
-            at = max(at, s["end"])
+        for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))):
+            if start >= at:
+                out += [text[at:start], f"<{kind.upper()}>"]
+            at = max(at, end)
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(own).to_pylist(), batch.column("spans").to_pylist()
-            new = pa.array([cut(t, s) if t and s else t for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in kept], names=kept)
+        tagger = Tagger.unpacked(shared.value) if shared.value else None
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                held = batch.column(text_col).to_pylist()
+                base = [base_spans(t or "") for t in held]
+                more = added_spans([t or "" for t in held], base, tagger)
+                new = pa.array([cut(t, [*a, *b]) if t and (a or b) else t for t, a, b in zip(held, base, more, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in names], names=names)
 
-    return found.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import MULTIPLIER, extended, fold, mixed
+from offerlake.llm.common import MULTIPLIER, extended, fold, mixed, tidy
 
 BUCKETS = 1 << 18
 TRAINING_ROWS = 8000  # labelled rows that the classifier is fitted on, at most
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(own["slope"] * m + own["offset"], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*kept, "quality_score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 HELD_OUT_OF = 5
