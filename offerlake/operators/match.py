@@ -119,6 +119,12 @@ def compose_rubrics(relevance: DataFrame) -> DataFrame:
     return marked.groupBy("id").applyInPandas(fill, "id string, line int, category string, competences array<string>")
 
 
+def tools_named(key: Column, profile: Profile) -> Column:
+    """Competences of the inventory that a normalised text names, in the inventory's order."""
+    named = [F.when(key.rlike("|".join(map(pattern_regex, patterns_of(c)))), F.lit(c)) for own in profile.competences.values() for c in own]
+    return F.array_compact(F.array(*named))
+
+
 def bullet_tools(profile: Profile) -> list[tuple[str, str, int, int, int, str, bool, bool, list[str]]]:
     """The profile's bullets with the competences that their text names: a small table, made once."""
     inventory = [c for own in profile.competences.values() for c in own]

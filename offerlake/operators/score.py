@@ -33,10 +33,9 @@ def skill_weights(profile: Profile) -> dict[str, float]:
     return {folded(s): exact.get(folded(s), UNWEIGHTED) for s, _, _ in profile_skills(profile)}
 
 
-def required_skills() -> Column:
-    """The offer's skills, else those its text names."""
-    text = normalize_key(F.concat_ws(" ", "title", "description"))
-    return F.when(F.size("skills") > 0, F.col("skills")).otherwise(extract_skills(text))
+def required_skills(text_key: Column) -> Column:
+    """The offer's skills, else those its text (normalised) names."""
+    return F.when(F.size("skills") > 0, F.col("skills")).otherwise(extract_skills(text_key))
 
 
 def skills_signal(profile: Profile, required: Column) -> tuple[Column, Column, Column]:
@@ -85,7 +84,8 @@ def score_offers(offers: DataFrame, profile: Profile, cfg: Config, as_of: dateti
     Unknown signals leave both the sum and the weights; without any the score is 0; without the skills signal it is at
     most 50.
     """
-    required = settled(offers.withColumn("__required", required_skills()))
+    keyed = settled(offers.withColumn("__text", F.when(F.size("skills") == 0, normalize_key(F.concat_ws(" ", "title", "description")))))
+    required = settled(keyed.withColumn("__required", required_skills(F.col("__text"))))
     skills, matched, missing = skills_signal(profile, F.col("__required"))
     out = required.withColumns({"__skills_match": skills, "__daily_rate": rate_signal(profile), "__remote": remote_signal(profile), "__freshness": freshness_signal(cfg, as_of), "__duration": duration_signal(profile), "__matched": matched, "__missing": missing})
     weight = {s: float(cfg.weights.get(s, 0)) for s in SIGNALS}

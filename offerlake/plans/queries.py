@@ -14,9 +14,11 @@ from offerlake import dims
 from offerlake.config import AS_OF, CONFIG, PROFILE
 from offerlake.fixture import fx, offers
 from offerlake.functions import dates, extract, text
+from offerlake.functions.text import folded
 from offerlake.operators import filters, match, score, store
 from offerlake.plans.campaign import campaign, facts, metrics
-from offerlake.plans.oracle_parts import AS_OF_SQL, DECIDED, FACTS, PREDICATES, any_of, family_in, first_of, identity, key, q, scored, skills_in, texts
+from offerlake.plans.oracle_parts import AS_OF_SQL, DECIDED, FACTS, PREDICATES, any_of, first_of, identity, key, q, re2, scored, texts
+from offerlake.schema import settled
 from offerlake.sources import feeds, jsonld, pages
 from offerlake.streaming import stream
 
@@ -42,8 +44,16 @@ def on(kind: str, name: str, columns: Callable[[], dict], sql: str, source: Call
 
 
 c = F.col
+
+
+def keyed_fx(s: SparkSession, d: str) -> DataFrame:
+    """The derived offers with their normalised texts, made once for each row."""
+    blob = F.concat_ws("\n", "title", "description", "location")
+    keys = {"title_k": text.normalize_key(c("title")), "desc_k": text.normalize_key(c("description")), "both_k": text.normalize_key(F.concat_ws(" ", "title", "description")), "blob_f": text.deaccent(blob)}
+    return settled(offers(s, d).withColumns(keys).withColumn("blob_k", F.lower("blob_f")))
+
+
 FX_SQL = f"WITH {FACTS} "
-LOW = "array_to_string(regexp_split_to_array({x}, '\\n'), chr(10))"
 
 # ---- text ----
 STRIP = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '(?i)<li[^>]*>', '- ', 'g'), '<[^>]+>', ' ', 'g')"""
@@ -62,11 +72,10 @@ SELECT page_id, CASE WHEN url IS NULL THEN '' ELSE concat(regexp_extract(url, '^
 FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains({texts(dims.TRACKING)}, lower(string_split(p, '=')[1]))), '&') AS kept FROM pages)
 """, keys=("page_id",))
 on("documents", "is_truncated", lambda: {"truncated": text.is_truncated(F.concat(F.coalesce("text", F.lit("")), F.when(c("doc_id") % 3 == 0, "… ").otherwise("")))}, r"SELECT doc_id, doc_id % 3 = 0 OR ends_with(regexp_replace(coalesce(text, ''), '\s+$', ''), '…') AS truncated FROM documents", keys=("doc_id",))
-on("fx", "fix_mojibake", lambda: {"text": text.fix_mojibake(F.decode(F.encode("description", "UTF-8"), "ISO-8859-1"))}, FX_SQL + "SELECT seq, CASE WHEN seq % 6 = 0 AND false THEN '' ELSE description END AS text FROM f")
+on("fx", "fix_mojibake", lambda: {"text": text.fix_mojibake(F.decode(F.encode("description", "UTF-8"), "ISO-8859-1"))}, FX_SQL + "SELECT seq, description AS text FROM f")
 on("pages", "url_title", lambda: {"title": text.url_title(c("url"))}, "SELECT page_id, replace(string_split(rtrim(url, '/'), '/')[-1], '-', ' ') AS title FROM pages", keys=("page_id",))
 
 # ---- dates and numbers ----
-ISO = "'2024-' || lpad((1 + seq % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + seq % 28)::VARCHAR, 2, '0')"
 on("fx", "parse_datetime", lambda: {"at": dates.parse_datetime(F.when(c("seq") % 4 == 0, "not a date").when(c("seq") % 4 == 1, F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(c("seq") % 4 == 2, F.date_format("published_at", "yyyy-MM-dd")).otherwise(F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss '+0000'")))}, FX_SQL + "SELECT seq, CASE WHEN seq % 4 > 0 THEN published_at END AS at FROM f")
 on("fx", "parse_date", lambda: {"day": dates.parse_date(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"))}, FX_SQL + "SELECT seq, published_at::DATE AS day FROM f")
 on("fx", "age_days", lambda: {"age": dates.age_days(c("published_at"), AS_OF)}, FX_SQL + "SELECT seq, age::DOUBLE AS age FROM e2")
@@ -76,17 +85,16 @@ on("facts", "daily_rate", lambda: {"rate": dates.daily_rate(c("daily_rate_min"),
 rate = lambda: extract.parse_daily_rate(c("description"))
 on("fx", "parse_daily_rate", lambda: {"low": rate()["low"], "high": rate()["high"]}, FX_SQL + "SELECT seq, lo AS low, hi AS high FROM a")
 on("fx", "rate_mention", lambda: {"mention": extract.rate_mention(c("description"))}, FX_SQL + "SELECT seq, CASE WHEN seq % 6 IN (0, 1) THEN 'TJM' END AS mention FROM a")
-blob = lambda: F.concat_ws("\n", "title", "description", "location")
-on("fx", "parse_contract", lambda: {"contract": extract.parse_contract(text.normalize_key(blob()))}, FX_SQL + "SELECT seq, contract0 AS contract FROM a")
-on("fx", "parse_remote", lambda: {"remote": extract.parse_remote(text.normalize_key(blob()), text.deaccent(blob()))}, FX_SQL + "SELECT seq, remote FROM a")
+on("fx", "parse_contract", lambda: {"contract": extract.parse_contract(c("blob_k"))}, FX_SQL + "SELECT seq, contract0 AS contract FROM a", source=keyed_fx)
+on("fx", "parse_remote", lambda: {"remote": extract.parse_remote(c("blob_k"), c("blob_f"))}, FX_SQL + "SELECT seq, remote FROM a", source=keyed_fx)
 on("fx", "parse_duration", lambda: {"months": extract.parse_duration(text.deaccent(c("description")))}, FX_SQL + "SELECT seq, months FROM a")
 on("fx", "freelance_marker", lambda: {"marker": extract.freelance_marker(c("description"))}, FX_SQL + "SELECT seq, CASE WHEN seq % 3 = 0 THEN 'freelance' WHEN seq % 6 IN (0, 1) THEN 'TJM' END AS marker FROM a")
 signals = lambda: extract.detect_signals(c("title"), c("description"))
 on("fx", "detect_signals", lambda: {"freelance": signals()["freelance"], "marker": signals()["marker"], "rate_min": signals()["rate_min"], "rate_max": signals()["rate_max"]}, FX_SQL + "SELECT seq, marker IS NOT NULL AS freelance, marker, CASE WHEN seq % 11 <> 9 THEN lo END AS rate_min, CASE WHEN seq % 11 <> 9 THEN hi END AS rate_max FROM a")
 joined = lambda x: F.array_join(x, ",")
-on("fx", "extract_skills", lambda: {"skills": joined(extract.extract_skills(text.normalize_key(F.concat_ws(" ", "title", "description"))))}, FX_SQL + "SELECT seq, array_to_string(skills, ',') AS skills FROM e")
+on("fx", "extract_skills", lambda: {"skills": joined(extract.extract_skills(c("both_k")))}, FX_SQL + "SELECT seq, array_to_string(skills, ',') AS skills FROM e", source=keyed_fx)
 on("facts", "core_skill_count", lambda: {"core": extract.core_skill_count(c("skills"))}, FX_SQL + "SELECT seq, core::INTEGER AS core FROM e2")
-on("fx", "role_family", lambda: {"family": extract.role_family(text.normalize_key(c("title")), text.normalize_key(c("description")))}, FX_SQL + "SELECT seq, family FROM e")
+on("fx", "role_family", lambda: {"family": extract.role_family(c("title_k"), c("desc_k"))}, FX_SQL + "SELECT seq, family FROM e", source=keyed_fx)
 NORMAL = ("seq", "contract", "remote", "daily_rate_min", "daily_rate_max", "duration_months")
 query("normalize_offers", FX_SQL + "SELECT seq, contract0 AS contract, remote, lo AS daily_rate_min, hi AS daily_rate_max, months AS duration_months FROM a")(lambda s, d: extract.normalize_offers(offers(s, d)).select(*NORMAL))
 query("enrich_offers", FX_SQL + "SELECT seq, contract, remote, lo AS daily_rate_min, hi AS daily_rate_max, months AS duration_months, freelance_marker, array_to_string(skills, ',') AS skills FROM e")(lambda s, d: facts(offers(s, d)).select(*NORMAL, "freelance_marker", joined("skills").alias("skills")))
@@ -126,10 +134,7 @@ for name, column, sql in (
 ):
     on("facts", name, lambda column=column: {"signal": F.round(column(), 6)}, SCORED_SQL + f"SELECT seq, round({sql}, 6) AS signal FROM s1")
 query("score_total", SCORED_SQL + "SELECT seq, round(score_raw, 6) AS score FROM s")(lambda s, d: scored_all(s, d).select("seq", F.round("score_raw", 6).alias("score")))
-query("weighted_score", SCORED_SQL + "SELECT seq, round(m, 6) AS mean, round(known / 100.0, 3) AS covered FROM s")(
-    lambda s, d: scored_all(s, d).select("seq", F.round(F.when(F.array_contains("score_detail.ignored_signals", "skills_match"), F.least(c("score_raw"), F.lit(1e9))).otherwise(c("score_raw")), 6).alias("mean"), c("score_detail.covered_weight").alias("covered"))
-)
-SQL["weighted_score"] = SCORED_SQL + "SELECT seq, round(score_raw, 6) AS mean, round(known / 100.0, 3)::DOUBLE AS covered FROM s"
+query("weighted_score", SCORED_SQL + "SELECT seq, round(score_raw, 6) AS mean, round(known / 100.0, 3)::DOUBLE AS covered FROM s")(lambda s, d: scored_all(s, d).select("seq", F.round("score_raw", 6).alias("mean"), c("score_detail.covered_weight").alias("covered")))
 query("score_explain", SCORED_SQL + """SELECT seq, array_to_string(matched, ',') AS matched, array_to_string(missing, ',') AS missing,
   array_to_string(list_filter([CASE WHEN s_skills IS NULL THEN 'skills_match' END, CASE WHEN s_rate IS NULL THEN 'daily_rate' END, CASE WHEN s_remote IS NULL THEN 'remote' END, CASE WHEN s_fresh IS NULL THEN 'freshness' END, CASE WHEN s_months IS NULL THEN 'duration' END], lambda x: x IS NOT NULL), ',') AS ignored FROM s""")(
     lambda s, d: scored_all(s, d).select("seq", joined("score_detail.matched_skills").alias("matched"), joined("score_detail.missing_skills").alias("missing"), joined("score_detail.ignored_signals").alias("ignored"))
@@ -307,7 +312,7 @@ on("fx", "budget_field", lambda: {"low": feeds.budget(F.when(c("seq") % 3 == 0,
 on("fx", "snap_bucket", lambda: {"bucket": pages.snap_bucket((c("seq") % 40).cast("int"))}, FX_SQL + "SELECT seq, CASE WHEN seq % 40 = 0 THEN 31 WHEN seq % 40 <= 1 THEN 1 WHEN seq % 40 <= 3 THEN 3 WHEN seq % 40 <= 7 THEN 7 WHEN seq % 40 <= 14 THEN 14 ELSE 31 END AS bucket FROM f")
 query("union_sources", FX_SQL + "SELECT source, count(*) AS n FROM f WHERE source IN ('adzuna', 'remoteok') GROUP BY 1")(lambda s, d: pages.union_sources({n: offers(s, d).where(c("source") == n) for n in ("adzuna", "freework", "francetravail", "remoteok")}, ["adzuna", "remoteok"]).groupBy("source").agg(F.count("*").alias("n")))
 query("cap_per_source", FX_SQL + "SELECT seq, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS k FROM (SELECT source, title, company, min(seq) AS seq FROM f GROUP BY ALL)) WHERE k <= CASE source WHEN 'adzuna' THEN 20 ELSE 35 END")(
-    lambda s, d: pages.cap_per_source(offers(s, d).withColumn("native", text.fingerprint(c("title"), c("company"), F.lit("")) if False else F.concat_ws("|", "title", "company")), {"adzuna": 20, "freework": 35, "francetravail": 35, "remoteok": 35}, "native", "seq").select("seq", "source")
+    lambda s, d: pages.cap_per_source(offers(s, d).withColumn("native", F.concat_ws("|", "title", "company")), {"adzuna": 20, "freework": 35, "francetravail": 35, "remoteok": 35}, "native", "seq").select("seq", "source")
 )
 
 
@@ -368,16 +373,17 @@ def relevance_sql() -> str:
     return f", m AS (SELECT id, seq, title_key, substr(desc_key, 1, 8000) AS body, {asked} AS asked, family FROM st), rel AS ({' UNION ALL '.join(parts)}) "
 
 
-def one_score(name: str, with_asked: bool) -> str:
-    from offerlake.functions.text import folded
-    from offerlake.plans.oracle_parts import re2
+def rx_of(pattern: str) -> str:
+    return "\\b" + re2(pattern) + "\\b" if len(pattern) <= match.SHORT else re2(pattern)
 
+
+def one_score(name: str, with_asked: bool) -> str:
     total = ["0::DOUBLE"]
     if with_asked:
         families = [f for f, own in dims.EXPECTED.items() if folded(name) in map(folded, own)]
         total.append(f"CASE WHEN family IN ({', '.join(map(q, families)) or 'NULL'}) THEN 1.2 ELSE 0 END")
     for p in match.patterns_of(name):
-        rx = q(("\\b" + re2(p) + "\\b") if len(p) <= 4 else re2(p))
+        rx = q(rx_of(p))
         total.append(f"CASE WHEN regexp_matches(title_key, {rx}) THEN 5.0 ELSE 0 END")
         total.append(f"(SELECT CASE WHEN n > 0 THEN 1.5 + least(n, 4) * 0.5 ELSE 0 END FROM (SELECT len(regexp_extract_all(body, {rx})) AS n))")
         if with_asked:
@@ -405,7 +411,8 @@ query("bullet_order", BULLET_SQL + "SELECT id, block, bullet_ord, optional, pos
 query("block_scores", BULLET_SQL + "SELECT id, block, round(block_score, 4) AS block_score FROM bb")(lambda s, d: match.block_scores(ordered(s, d)).select("id", "block", F.round("block_score", 4).alias("block_score")))
 query("project_order", BULLET_SQL + "SELECT id, block, row_number() OVER (PARTITION BY id, kind ORDER BY CASE WHEN kind = 'project' THEN -block_score ELSE 0 END, block_ord)::INTEGER AS pos FROM bb")(lambda s, d: match.block_order(match.block_scores(ordered(s, d))).select("id", "block", "pos"))
 query("adaptation_summary", BULLET_SQL + "SELECT id, block, array_to_string(tools, ', ') AS tools, optional FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, block ORDER BY pos) AS r FROM bo WHERE score > 0) WHERE r = 1")(lambda s, d: match.adaptation_summary(ordered(s, d)).select("id", "block", "tools", "optional"))
-query("bullet_tools", "SELECT p.page_id AS row, b.* FROM pages p CROSS JOIN (VALUES " + ", ".join(f"({q(b[5])}, {q(', '.join(b[8]))})" for b in BULLETS) + ") b(text, tools)")(lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(c("page_id").alias("row"), F.inline(F.array(*[F.struct(F.lit(b[5]).alias("text"), F.lit(", ".join(b[8])).alias("tools")) for b in BULLETS]))))
+NAMED_SQL = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(desc_key, {q(rx_of(p))})' for p in match.patterns_of(n))} THEN {q(n)} END" for own in PROFILE.competences.values() for n in own) + "], lambda x: x IS NOT NULL)"
+on("fx", "bullet_tools", lambda: {"tools": joined(match.tools_named(c("desc_k"), PROFILE))}, FX_SQL + f"SELECT seq, array_to_string({NAMED_SQL}, ',') AS tools FROM a", source=keyed_fx)
 pairs = lambda table: ", ".join(f"({q(a)}, {q(b)}, {k})" for a, own in table.items() for k, b in enumerate(own))
 TOPIC_SQL = MATCH_SQL + f""", top AS (SELECT id, pos, competence AS topic, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_ord, rank)::INTEGER AS pos FROM rel WHERE score > 0) WHERE pos <= 6),
   adj(topic, implied, ord) AS (VALUES {pairs(dims.ADJACENT)}),
@@ -428,7 +435,7 @@ query("interview_pack", TOPIC_SQL + """SELECT id, 'topic' AS section, pos, topic
   UNION ALL SELECT id, 'question', (t.pos * 10 + ord)::INTEGER, question, t.topic FROM (SELECT id, pos, topic FROM top UNION ALL SELECT id, pos + 100, topic FROM imp) t JOIN qu USING (topic)
   UNION ALL SELECT id, 'gap_question', pos, topic, '' FROM gap WHERE pos <= 5 UNION ALL SELECT id, 'revision', pos, topic, reason FROM plan WHERE pos <= 6 UNION ALL SELECT id, 'evidence', ref, client, tools FROM ev""")(lambda s, d: match.interview_pack(relevance(s, d), for_match(s, d), PROFILE))
 query("expected_competences", f"WITH {FACTS}, x(family, competence, ord) AS (VALUES {pairs(dims.EXPECTED)}) SELECT seq, competence FROM e JOIN x USING (family)")(
-    lambda s, d: offers(s, d).select("seq", extract.role_family(text.normalize_key(c("title")), text.normalize_key(c("description"))).alias("family")).join(F.broadcast(match.pairs_table(offers(s, d), dims.EXPECTED, "family", "competence")), "family").select("seq", "competence")
+    lambda s, d: keyed_fx(s, d).select("seq", extract.role_family(c("title_k"), c("desc_k")).alias("family")).join(F.broadcast(match.pairs_table(offers(s, d), dims.EXPECTED, "family", "competence")), "family").select("seq", "competence")
 )
 query("watch_flags", STORE_SQL + "SELECT seq, true AS watch_rate, rate IS NOT NULL AS rate_shown, len(missing) > 0 AS watch_gaps, coalesce(months > 0, false) AS watch_duration, ends_with(description, '…') AS watch_truncated FROM st")(lambda s, d: for_match(s, d).select("seq", *[v.alias(k) for k, v in match.watch_flags(PROFILE, text.is_truncated(c("description"))).items()]))
 query("proposed_rate", STORE_SQL + "SELECT seq, CASE WHEN rate IS NULL THEN 650 WHEN rate >= 650 THEN rate ELSE greatest(500, least(650, rate)) END AS proposed FROM st")(lambda s, d: for_match(s, d).select("seq", match.proposed_rate(PROFILE).alias("proposed")))
