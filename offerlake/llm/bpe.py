@@ -12,6 +12,7 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -24,7 +25,9 @@ from offerlake.llm.common import extended, tidy
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
-CACHED = 100_000  # pre-tokens kept by a task; the cache starts anew beyond that
+CACHED = 100_000  # pre-tokens that a Python worker keeps: the first, which are the frequent ones
+RUN = 500  # new pre-tokens that share an index
+WIDTH = 21  # bits of an id in a packed pair
 LONG = 64  # longer pre-tokens aren't kept
 
 
@@ -44,18 +47,20 @@ class Codec:
         model = spec["model"]
         vocab, to_char = model["vocab"], byte_characters()
         from_char = {c: b for b, c in to_char.items()}
-        self.byte_id = [vocab[to_char[b]] for b in range(256)]
-        #: pair of ids -> (rank, id of the merged symbol)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_ids = np.array([vocab[to_char[b]] for b in range(256)], np.int64)
+        self.rules: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, int]] = {}  # a rule's number -> its pair
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            number = rank << WIDTH | vocab[a + b]
+            self.rules[vocab[a] << WIDTH | vocab[b]] = number
+            self.parts[number] = (vocab[a], vocab[b])
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = {i: bytes(from_char[c] for c in token) for token, i in vocab.items()}
         self.bytes_of |= {i: token.encode() for token, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {x: (i,) for x, i in self.added.items()}  # the pattern never gives an added token's text
 
     def pre_tokens(self, text: str) -> list[str]:
         """Added tokens as they are, and the pattern's pieces of what lies between them."""
@@ -65,78 +70,74 @@ class Codec:
 
     def merged(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word, by one pair-occurrence index over all of them."""
-        byte_id, merges = self.byte_id, self.merges
-        ids: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            starts.append(len(ids))
-            ids.extend(byte_id[b] for b in w.encode())
-        n = len(ids)
-        after = list(range(1, n + 1))  # -1: last of its word
-        before = list(range(-1, n - 1))
-        for s in starts:
-            before[s] = -1
-            if s:
-                after[s - 1] = -1
-        if n:
-            after[n - 1] = -1
+        coded = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        start = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
+        n = len(start)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends[ends > 0] - 1] = -1  # last of its word
+        before[np.append(0, ends[:-1])[ends > 0] if n else ends[:0]] = -1
+        pairs = (start[:-1] << WIDTH) | start[1:]
+        pairs[after[:-1] < 0] = -1
+        rule = self.rules.get  # pair -> rank and merged symbol in one number, so that numbers order by rank
+        ids, after, before = start.tolist(), after.tolist(), before.tolist()
         index: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int, int]] = {}
-
-        def post(p: int, a: int, b: int) -> bool:
-            hit = merges.get((a, b))
-            if hit is None:
-                return False
-            rank, new = hit
-            held = index.get(rank)
-            if held is None:
-                index[rank] = [p]
-                pair_of[rank] = (a, b, new)
-                return True
-            held.append(p)
-            return False
-
-        for p in range(n - 1):
-            if after[p] == p + 1:
-                post(p, ids[p], ids[p + 1])
+        for p, r in enumerate(map(rule, pairs.tolist())):
+            if r is not None:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
         active = list(index)
         heapq.heapify(active)
+        low = (1 << WIDTH) - 1
         while active:
-            rank = heapq.heappop(active)
-            positions = index.pop(rank)
-            a, b, new = pair_of[rank]
-            positions.sort()
-            for p in positions:
+            r = heapq.heappop(active)
+            new = r & low
+            a, b = self.parts[r]
+            for p in sorted(index.pop(r)):
                 q = after[p]
-                if ids[p] != a or q < 0 or ids[q] != b:
+                if q < 0 or ids[p] != a or ids[q] != b:
                     continue  # taken by another merge since it was posted
                 ids[p], ids[q] = new, -1
-                r = after[p] = after[q]
-                if r >= 0:
-                    before[r] = p
-                    if post(p, new, ids[r]):
-                        heapq.heappush(active, merges[new, ids[r]][0])
-                o = before[p]
-                if o >= 0 and post(o, ids[o], new):
-                    heapq.heappush(active, merges[ids[o], new][0])
-        ends = [*starts[1:], n]
-        return [tuple(i for i in ids[s:e] if i >= 0) for s, e in zip(starts, ends, strict=True)]
-
-    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
+                q = after[p] = after[q]
+                if q >= 0:
+                    before[q] = p
+                    made = rule(new << WIDTH | ids[q])
+                    if made is not None:
+                        if made in index:
+                            index[made].append(p)
+                        else:
+                            index[made] = [p]
+                            heapq.heappush(active, made)
+                q = before[p]
+                if q >= 0:
+                    made = rule(ids[q] << WIDTH | new)
+                    if made is not None:
+                        if made in index:
+                            index[made].append(q)
+                        else:
+                            index[made] = [q]
+                            heapq.heappush(active, made)
+        left = np.array(ids, np.int64)
+        stays = left >= 0
+        cuts = np.append(0, np.cumsum(stays))[np.append(0, ends)].tolist()
+        flat = left[stays].tolist()
+        return [tuple(flat[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
         """Ids of each text, as the tokenizers library gives them with add_special_tokens=False."""
-        texts = list(texts)
         cut = [self.pre_tokens(t) for t in texts]
-        odd = any(x in t for x in self.added for t in texts)
-        if len(self.cache) > CACHED:
-            self.cache.clear()
         known = self.cache
-        new = [w for w in set(chain.from_iterable(cut)).difference(known) if w not in self.added]
-        extra = {w: (i,) for w, i in self.added.items()}
-        for w, ids in zip(new, self.merged(new), strict=True):
-            (known if len(w) <= LONG else extra)[w] = ids
-        look = (lambda w: extra[w] if w in extra else known[w]) if odd or len(extra) > len(self.added) else known.__getitem__
-        for words in cut:
-            yield list(chain.from_iterable(map(look, words)))
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        room = CACHED - len(known)
+        for k in range(0, len(new), RUN):
+            known.update(zip(new[k : k + RUN], self.merged(new[k : k + RUN]), strict=True))
+        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+        for k, w in enumerate(new):
+            if k >= room or len(w) > LONG:
+                del known[w]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """As decode(ids, skip_special_tokens=False): bytes that aren't UTF-8 become U+FFFD."""
@@ -182,7 +183,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
         own = codec(vocabulary)
         for whole in batches:
             for batch in slices(whole, text_col):
-                ids = list(own.encode_batch(t or "" for t in batch.column(at).to_pylist()))
+                ids = own.encode_batch(t or "" for t in batch.column(at).to_pylist())
                 decoded = [own.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
 
