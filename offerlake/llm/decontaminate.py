@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping windows. A document region within e edits of a window of m characters shares
-at least m - q + 1 - q*e of its q-grams with it, on diagonals that differ by e at most; so shared q-grams are counted in
-diagonal bands of width 2e that overlap by e, and bands that reach the bound are verified by banded alignment.
+A window is any stretch of 80 characters of a benchmark item. A document region within e edits of a window of m
+characters shares at least m - q + 1 - q*e of its q-grams with it, on diagonals that differ by e at most; so shared
+q-grams of whole items are counted in diagonal bands of width 2e that overlap by e, and windows that reach the bound in
+a band are verified by banded alignment: first what eight neighbouring windows have in common, then each of them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from offerlake.llm.common import extended, mixed, prefix_hashes, tidy
 from offerlake.llm.language import table
 
 Q = 8
-WINDOW, STRIDE = 80, 40  # normalised characters
+WINDOW = 80  # normalised characters
+GROUP = 8  # neighbouring windows that are verified together
+ALIGNED = 20_000  # alignments held in memory at once
 EDITS = 0.1  # of a window's characters
 EXACT_BELOW = 24  # shorter items have to be there unchanged
 BENCHMARK_CHARS = 8_000_000  # of benchmark text that one pass over the documents holds in memory
@@ -52,40 +55,43 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Windows:
-    """Windows of the benchmark items and the places of each q-gram in them."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, edits: float = EDITS):
-        self.q, self.items, self.texts, self.budget = q, [], [], []
-        for item, text in items:
-            points, _ = normalised(text)
-            n = len(points)
-            if n < q:
-                continue  # too short for a q-gram: never found
-            for start in sorted({*range(0, max(1, n - window + 1), stride), max(0, n - window)}):
-                part = points[start : start + window]
-                e = int(edits * len(part)) if len(part) >= EXACT_BELOW else 0
-                while e and len(part) - q + 1 - q * e < 1:
-                    e -= 1
-                self.items.append(item)
-                self.texts.append(part)
-                self.budget.append(e)
-        self.items, self.budget = np.array(self.items, np.int64), np.array(self.budget, np.int64)
-        self.sizes = np.array([len(x) for x in self.texts], np.int64)
-        self.bound = self.sizes - q + 1 - q * self.budget
-        grams, window_of, place = [], [], []
-        for k, part in enumerate(self.texts):
-            grams.append(gram_hashes(part, q))
-            window_of.append(np.full(len(grams[-1]), k))
-            place.append(np.arange(len(grams[-1])))
-        joined = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(joined, kind="stable")
-        self.grams, first, self.times = np.unique(joined[order], return_index=True, return_counts=True)
-        self.first = first
-        self.window_of = np.concatenate(window_of)[order] if grams else first
-        self.place = np.concatenate(place)[order] if grams else first
+    """The benchmark items, one after another, and the places of each q-gram in them; an item has a window at every start."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, edits: float = EDITS):
+        self.q = q
+        plain = [(item, normalised(text)[0]) for item, text in items]
+        plain = [x for x in plain if len(x[1]) >= q]  # too short for a q-gram: never found
+        self.owner = np.array([item for item, _ in plain], np.int64)
+        self.lengths = np.array([len(points) for _, points in plain], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.points = np.concatenate([points for _, points in plain]) if plain else np.zeros(0, np.uint32)
+        self.sizes = np.minimum(self.lengths, window)
+        allowed = np.array([int(edits * m) if m >= EXACT_BELOW else 0 for m in self.sizes.tolist()], np.int64)
+        self.edits = np.minimum(allowed, self.sizes // q - 1)
+        self.bound = self.sizes - q + 1 - q * self.edits
+        joined = gram_hashes(self.points, q)
+        owner = np.repeat(np.arange(len(plain), dtype=np.int32), self.lengths)[: len(joined)]
+        place = (np.arange(len(joined)) - self.begins[owner]).astype(np.int32)
+        whole = np.flatnonzero(place <= self.lengths[owner] - q)  # the others run into the next item
+        order = whole[np.argsort(joined[whole], kind="stable")]
+        self.grams, self.first, self.times = np.unique(joined[order], return_index=True, return_counts=True)
+        self.item_of, self.place = owner[order], place[order]
         self.maybe = np.zeros(1 << BITS, bool)
         self.maybe[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
+    # Each window on its own: its item, its characters, its edits. Not kept, as there are as many as characters.
+    @property
+    def items(self) -> np.ndarray:
+        return np.repeat(self.owner, self.lengths - self.sizes + 1)
+
+    @property
+    def texts(self) -> list[np.ndarray]:
+        return [self.points[b + s : b + s + m] for b, n, m in zip(self.begins, self.lengths, self.sizes, strict=True) for s in range(n - m + 1)]
+
+    @property
+    def budget(self) -> np.ndarray:
+        return np.repeat(self.edits, self.lengths - self.sizes + 1)
+
 
 def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     if len(points) < q:
@@ -94,8 +100,11 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     return mixed((total[q:] - total[:-q]) * back[: len(points) - q + 1])
 
 
-def candidates(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first diagonal of its band) of every band with enough shared q-grams."""
+def candidates(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first diagonal of a band, first start) of groups of windows, one of which at least has enough shared q-grams.
+
+    A group is the windows at GROUP starts in a row, or all of an item that has fewer.
+    """
     hashes = gram_hashes(points, windows.q)
     at = np.flatnonzero(windows.maybe[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
     slot = np.minimum(np.searchsorted(windows.grams, hashes[at]), len(windows.grams) - 1)
@@ -103,55 +112,102 @@ def candidates(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.nda
     at, slot = at[real], slot[real]
     times = windows.times[slot]
     posted = np.repeat(windows.first[slot] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-    window = windows.window_of[posted]
-    diagonal = np.repeat(at, times) - windows.place[posted] + 4 * WINDOW  # not below 0
-    step = np.maximum(windows.budget[window], 1)
-    band = diagonal // step
-    key = (window << np.int64(32)) | band
-    found, shared = np.unique(key, return_counts=True)
-    # A band of two steps is a step and the one after it.
-    nearby = np.searchsorted(found, found + 1)
-    after = np.where((nearby < len(found)) & (found[np.minimum(nearby, len(found) - 1)] == found + 1), shared[np.minimum(nearby, len(found) - 1)], 0)
-    window = found >> np.int64(32)
-    enough = shared + after >= windows.bound[window]
-    # The step before a counted one starts a band, too: its own count may be 0.
-    alone = shared >= windows.bound[window]
-    keys = np.unique(np.concatenate([found[enough], found[alone] - 1]))
-    window = keys >> np.int64(32)
-    return window, (keys & np.int64(0xFFFFFFFF)) * np.maximum(windows.budget[window], 1) - 4 * WINDOW
-
-
-def aligned(points: np.ndarray, window: np.ndarray, diagonal: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits between each window and a part of the text near its band, and where that part ends.
-
-    Rows are the window's characters, columns the diagonals from the band's first minus e to its last plus e; the part
-    may begin and end anywhere. Windows of one length and budget go together.
+    item, place = windows.item_of[posted].astype(np.int64), windows.place[posted].astype(np.int64)
+    longest = int(windows.lengths.max())
+    diagonal = np.repeat(at, times) - place + longest  # not below 0
+    key = (item << np.int64(32)) | (diagonal // np.maximum(windows.edits[item], 1))
+    found, of, shared = np.unique(key, return_inverse=True, return_counts=True)
+    # A band of two steps is a step and the one after it; the lowest q-gram shared is in the first.
+    nearby = np.minimum(np.searchsorted(found, found + 1), max(0, len(found) - 1))
+    follows = found[nearby] == found + 1
+    enough = shared + np.where(follows, shared[nearby], 0) >= windows.bound[found >> np.int64(32)]
+    after = np.zeros(len(found), bool)
+    after[nearby[follows & enough]] = True
+    own, next_ = np.flatnonzero(enough[of]), np.flatnonzero(after[of])
+    band, place = np.concatenate([key[own], key[next_] - 1]), np.concatenate([place[own], place[next_]])
+    order = np.lexsort((place, band))
+    band, place = band[order], place[order]
+    fresh = np.ones(len(band), bool)
+    fresh[1:] = (band[1:] != band[:-1]) | (place[1:] != place[:-1])
+    band, place = band[fresh], place[fresh]
+    # Places of as many q-grams as the bound asks for, close enough for one window: the starts of the windows that hold them.
+    item = band >> np.int64(32)
+    last = np.arange(len(band)) + windows.bound[item] - 1
+    inside = last < len(band)
+    last = np.minimum(last, max(0, len(band) - 1))
+    reach = windows.sizes[item] - windows.q
+    low = np.maximum(place[last] - reach, 0)
+    high = np.minimum(place, windows.lengths[item] - windows.sizes[item])
+    fits = np.flatnonzero(inside & (band[last] == band) & (low <= high))
+    band, item, low, high = band[fits], item[fits], low[fits], high[fits]
+    # Within a band both ends only rise: a start is counted where it wasn't reached before.
+    again = np.zeros(len(band), bool)
+    again[1:] = band[1:] == band[:-1]
+    low[1:] = np.where(again[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])
+    some = np.flatnonzero(low <= high)
+    band, item, low, high = band[some], item[some], low[some], high[some]
+    joins = np.zeros(len(band), bool)
+    joins[1:] = (band[1:] == band[:-1]) & (low[1:] == high[:-1] + 1)
+    first = np.flatnonzero(~joins)
+    high = high[np.append(first[1:], len(band)) - 1] if len(band) else high
+    band, item, low = band[first], item[first], low[first]
+    groups = (high - low) // GROUP + 1
+    start = np.repeat(low - GROUP * (np.cumsum(groups) - groups), groups) + GROUP * np.arange(int(groups.sum()))
+    band, item = np.repeat(band, groups), np.repeat(item, groups)
+    start = np.minimum(start, np.maximum(windows.lengths[item] - windows.sizes[item] - GROUP + 1, 0))
+    return item, (band & np.int64(0xFFFFFFFF)) * np.maximum(windows.edits[item], 1) - longest, start
+
+
+def aligned(points: np.ndarray, item: np.ndarray, diagonal: np.ndarray, start: np.ndarray, size: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits between each stretch of an item and a part of the text near its band, and where that part ends.
+
+    Rows are the stretch's characters, columns the diagonals from the band's first minus e to its last plus e; the part
+    may begin and end anywhere. Stretches of one length and budget go together.
     """
-    edits, ends = np.full(len(window), 1 << 20), np.zeros(len(window), np.int64)
-    kinds = windows.sizes[window] * 1000 + windows.budget[window]
+    edits, ends = np.full(len(item), 1 << 20), np.zeros(len(item), np.int64)
+    kinds = size * 1000 + windows.edits[item]
     for kind in np.unique(kinds):
-        of = np.flatnonzero(kinds == kind)
         m, e = divmod(int(kind), 1000)
         width = 4 * e + 1 if e else 2
-        start = diagonal[of] - e  # column c of row i stands for text place start + i + c
-        pattern = np.stack([windows.texts[w] for w in window[of]])
         column = np.arange(width)
-        cost = np.zeros((len(of), width), np.int32)
-        for i in range(m):
-            place = start[:, None] + i + column
-            inside = (place >= 0) & (place < len(points))
-            letter = np.where(inside, points[np.clip(place, 0, len(points) - 1)], PAD + 1)
-            step = cost + (letter != pattern[:, i : i + 1])
-            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-            cost = np.minimum.accumulate(step - column, axis=1) + column
-        best = cost.argmin(axis=1)
-        edits[of] = cost[np.arange(len(of)), best]
-        ends[of] = start + m + best
+        every = np.flatnonzero(kinds == kind)
+        for k in range(0, len(every), ALIGNED):
+            of = every[k : k + ALIGNED]
+            begin = diagonal[of] + start[of] - e  # column c of row i stands for text place begin + i + c
+            pattern = windows.points[(windows.begins[item[of]] + start[of])[:, None] + np.arange(m)]
+            cost = np.zeros((len(of), width), np.int32)
+            for i in range(m):
+                place = begin[:, None] + i + column
+                inside = (place >= 0) & (place < len(points))
+                letter = np.where(inside, points[np.clip(place, 0, len(points) - 1)], PAD + 1)
+                step = cost + (letter != pattern[:, i : i + 1])
+                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+                cost = np.minimum.accumulate(step - column, axis=1) + column
+            best = cost.argmin(axis=1)
+            edits[of] = cost[np.arange(len(of)), best]
+            ends[of] = begin + m + best
     return edits, ends
 
 
+def verified(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first end, last end) of the parts of the text that windows of an item are found in."""
+    item, diagonal, start = candidates(points, windows)
+    size, budget = windows.sizes[item], windows.edits[item]
+    more = np.minimum(GROUP, windows.lengths[item] - size + 1) - 1
+    # No window of a group takes fewer edits than the characters that all of them share, and none `more` edits more.
+    edits, ends = aligned(points, item, diagonal, start + more, size - more, windows)
+    sure = np.flatnonzero(edits + more <= budget)
+    open_ = np.flatnonzero((edits <= budget) & (edits + more > budget))
+    each = more[open_] + 1
+    shift = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    open_ = np.repeat(open_, each)
+    edits, own = aligned(points, item[open_], diagonal[open_], start[open_] + shift, size[open_], windows)
+    fine = np.flatnonzero(edits <= budget[open_])
+    return np.concatenate([item[sure], item[open_[fine]]]), np.concatenate([ends[sure], own[fine]]), np.concatenate([ends[sure] + more[sure], own[fine]])
+
+
 def regions(texts: list[str], windows: Windows) -> list[list[tuple[int, int, int]]]:
-    """For each text: (item, start, end) of the regions found, in its own code points; one for each item and end."""
+    """For each text: (item, start, end) of the regions found, in its own code points; those of an item that overlap are one."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     parts, places, begins, at = [], [], [], 0
     gap = np.full(2 * WINDOW, PAD, np.uint32)
@@ -164,26 +220,33 @@ def regions(texts: list[str], windows: Windows) -> list[list[tuple[int, int, int
     if not at or not len(windows.grams):
         return out
     points, begins = np.concatenate(parts), np.array(begins)
-    window, diagonal = candidates(points, windows)
-    if not len(window):
-        return out
-    edits, ends = aligned(points, window, diagonal, windows)
-    for k in np.flatnonzero(edits <= windows.budget[window]):
-        text = int(np.searchsorted(begins, ends[k] - 1, side="right")) - 1
+    item, low, high = verified(points, windows)
+    for k in range(len(item)):
+        text = int(np.searchsorted(begins, low[k] - 1, side="right")) - 1
         place = places[text]
-        last = min(int(ends[k] - begins[text]), len(place))
-        first = max(0, last - int(windows.sizes[window[k]]))
+        last = min(int(high[k] - begins[text]), len(place))
+        first = max(0, int(low[k] - begins[text]) - int(windows.sizes[item[k]]))
         if last > first:
-            out[text].append((int(windows.items[window[k]]), int(place[first]), int(place[last - 1]) + 1))
-    return [sorted(set(x)) for x in out]
+            out[text].append((int(windows.owner[item[k]]), int(place[first]), int(place[last - 1]) + 1))
+    return [merged(x) for x in out]
+
+
+def merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    out: list[tuple[int, int, int]] = []
+    for item, start, end in sorted(found):
+        if out and out[-1][0] == item and start <= out[-1][2]:
+            out[-1] = (item, out[-1][1], max(end, out[-1][2]))
+        else:
+            out.append((item, start, end))
+    return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = BENCHMARK_CHARS) -> DataFrame:
     """Adds contaminated (boolean) and regions (array of item, start, end in code points) to every row of `docs`.
 
-    A region lies within a tenth of edits of a window of 80 normalised characters (the whole item, if shorter; items
-    under 24 characters have to be there unchanged; items under 8 are never found). A region's start is its end minus
-    the window's length. Null texts have no regions, null items are left out, items that repeat count once. Columns of
+    A region lies within a tenth of edits of a window, any stretch of 80 normalised characters of an item (the whole item,
+    if shorter; items under 24 characters have to be there unchanged; items under 8 are never found). A region's start is
+    its end minus the window's length; regions of one item that overlap are one. Null texts have no regions, null items are left out, items that repeat count once. Columns of
     `docs` with these names are replaced.
 
     The benchmark's size is looked at first: up to `chars` characters go to every task at once; a larger one is dealt

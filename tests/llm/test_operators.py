@@ -155,6 +155,28 @@ def test_decontamination_equals_brute_force(spark):
     assert any(want.values()) and decontaminate.find_contamination(docs_of(spark, texts), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_finds_every_stretch():
+    rng = random.Random(17)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(40))
+    windows = decontaminate.Windows([(5, item)])
+    texts = []
+    for start in range(0, len(item) - 80):
+        texts.append(f"QQQ {item[start : start + 80]} QQQ")
+        own = list(item[start : start + 80])
+        for at in rng.sample(range(80), rng.randrange(1, 13)):
+            own[at] = rng.choice(["", "z", own[at] + "y"])
+        texts.append(f"QQQ {''.join(own)} QQQ")
+    stretches = [decontaminate.normalised(item)[0][k : k + 80].tolist() for k in range(len(item) - 79)]
+    found = decontaminate.regions(texts, windows)
+    assert all(found[::2])
+    for k in range(1, len(texts), 14):
+        plain = decontaminate.normalised(texts[k])[0].tolist()
+        assert bool(found[k]) == any(edit_distance_within(s, plain) <= 8 for s in stretches)
+    assert not all(found[1::2])
+    # A whole item is one region.
+    assert decontaminate.regions([f"QQQ {item} QQQ"], windows) == [[(5, 4, 4 + len(item))]]
+
+
 def naive_pii(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
