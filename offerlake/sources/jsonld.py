@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,19 +28,26 @@ def ld_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return blocks.withColumn("node", F.try_parse_json("raw")).where("node is not null").drop("raw")
 
 
-def ld_walk(blocks: DataFrame, depth: int = 6) -> DataFrame:
-    """Every object of the blocks, down to `depth` levels below the top, with its level; each level is one explode."""
+def ld_walk(blocks: DataFrame) -> DataFrame:
+    """Every object of the blocks, at any depth, with its level below the top.
+
+    Each level's objects and arrays are one explode of those of the level before, written to a folder of their own in
+    spark.checkpoint.dir, until a level has none. (The JSON parser itself takes 1000 levels; deeper blocks can't be read.)
+    """
     spark = blocks.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/walk-{uuid.uuid4().hex}"
     keys = [c for c in blocks.columns if c != "node"]
     level = blocks.select(*keys, F.lit("").alias("path"), "node")
     out = None
-    for k in range(depth + 1):
+    for k in itertools.count():
+        level.where("schema_of_variant(node) like 'OBJECT%' or schema_of_variant(node) like 'ARRAY%'").write.parquet(f"{path}/{k}")
+        level = spark.read.schema(level.schema).parquet(f"{path}/{k}")
+        if out is not None and level.isEmpty():
+            return out
         own = level.where("schema_of_variant(node) like 'OBJECT%'").select(*keys, "path", F.lit(k).alias("level"), "node")
         out = own if out is None else out.unionByName(own)
-        if k < depth:
-            inner = spark.sql("SELECT t.* EXCEPT (node, path), concat(t.path, '/', lpad(CAST(v.pos AS STRING), 4, '0')) AS path, v.value AS node FROM {level} t, LATERAL variant_explode(t.node) v", level=level.where("schema_of_variant(node) like 'OBJECT%' or schema_of_variant(node) like 'ARRAY%'"))
-            level = inner.select(*keys, "path", "node")
-    return out
+        inner = spark.sql("SELECT t.* EXCEPT (node, path), concat(t.path, '/', lpad(CAST(v.pos AS STRING), 4, '0')) AS path, v.value AS node FROM {level} t, LATERAL variant_explode(t.node) v", level=level)
+        level = inner.select(*keys, "path", "node")
 
 
 def text_at(path: str) -> Column:

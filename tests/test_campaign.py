@@ -67,6 +67,18 @@ def test_jsonld_tolerates_raw_line_ends_and_finds_nested_postings(spark):
     assert [(r["page"], r["title"], r["url"]) for r in got] == [(1, "A B", "u")]
 
 
+def test_jsonld_walks_to_any_depth(spark):
+    at_level_7 = '[{"@graph":[{"mainEntity":{"itemListElement":[{"item":{"@type":"JobPosting","title":"A","url":"a"}}]}}]}]'
+    at_level_40 = '{"x":[' * 20 + '{"@type":"JobPosting","title":"B","url":"b"}' + "]}" * 20
+    pages = spark.createDataFrame([(k, f'<script type="application/ld+json">{x}</script>') for k, x in enumerate((at_level_7, at_level_40, "[]", "7"))], "page int, html string")
+    nodes = jsonld.ld_walk(jsonld.ld_blocks(pages))
+    assert sorted((r["page"], r["level"]) for r in nodes.where(jsonld.is_posting()).collect()) == [(0, 7), (1, 40)]
+    got = jsonld.offers_from(jsonld.postings(nodes, ["page"]), "s", "page").collect()
+    assert sorted((r["page"], r["title"]) for r in got) == [(0, "A"), (1, "B")]
+    assert nodes.groupBy("page").count().orderBy("page").collect() == [(0, 5), (1, 21)]
+    assert jsonld.ld_walk(jsonld.ld_blocks(pages.where("false"))).count() == 0
+
+
 def test_proposed_rate(spark):
     rows = [offer(), offer(daily_rate_max=700), offer(daily_rate_max=400), offer(daily_rate_min=600)]
     got = [r[0] for r in frame(spark, rows).select(match.proposed_rate(PROFILE)).collect()]
