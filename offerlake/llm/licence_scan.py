@@ -59,7 +59,7 @@ RULES = [
     ("MPL-2.0", ["mpl2"]),
 ]
 
-MARK = "\u0002"
+MARK, LINE = "\u0002", "\u0003"
 END = r"[.!?]+(\s+|$)|\n\s*\n"
 
 
@@ -92,13 +92,26 @@ def sentences_of(text: Column, by_line: bool) -> Column:
     return F.split(F.trim(F.regexp_replace(x, f" *{MARK}[ {MARK}]*", MARK)), MARK)
 
 
+def wrapped_in(text: Column, known: Sequence[str]) -> Column:
+    """Known sentences in order that fill a run of whole lines, each line cut at `.`, `!`, `?` before white space or the
+    end: hard-wrapped notices, with or without comment signs, also right behind a heading. A run may be of any length and
+    goes over lines without a letter or digit; where two sentences begin at one line, the longer one is taken."""
+    x = F.translate(text, UPPER + MARK + LINE, LOWER + "  ")
+    x = F.regexp_replace(x, r"[.!?]+(\s+|$)", MARK)
+    x = F.regexp_replace(F.translate(x, "\n", LINE), f"[^a-z0-9{MARK}{LINE}]+", " ")
+    # Blanks stand alone by now, so at most one is between a mark and the next word.
+    some = "|".join(k.replace(" ", f"[ {LINE}]++") for k in sorted(known, key=len, reverse=True))
+    runs = F.regexp_extract_all(x, F.lit(f"(?:^|[{MARK}{LINE}]) ?({some})(?! ?[a-z0-9])"), F.lit(1)) if known else F.array().cast("array<string>")
+    return F.transform(runs, lambda s: F.regexp_replace(s, f"[ {LINE}]+", " "))
+
+
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, text_col: str = "text") -> DataFrame:
     """Adds licences, rules_hit and sentence_ids (arrays of strings) to every row; no shuffle, no row lost or added.
 
-    A text is read twice: by sentences that may run over line ends, and by lines. Each reading gives a sequence of
-    identifiers. Rules apply in their order; a rule whose identifiers stand in a row takes all such runs out, and the
-    rules after it see the rest. licences: distinct names over both readings in the order of the rules; rules_hit:
-    the rules' numbers from 1; sentence_ids: the reading by sentences, or the one by lines if the first has fewer.
+    A text is read three times: by sentences that may run over line ends, by lines, and by runs of lines that make up a
+    known sentence (a wrapped notice after a line without a full stop). Each reading gives a sequence of identifiers. Rules apply in their order; a rule whose identifiers stand in a row takes all such runs out, and the
+    rules after it see the rest. licences: distinct names over all readings in the order of the rules; rules_hit:
+    the rules' numbers from 1; sentence_ids: the reading with the most, the first of them if some have as many.
     A null or empty text has empty arrays. Columns of `docs` with these names are replaced.
     """
     known = table_of(sentences)
@@ -111,6 +124,9 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     def found(by_line: bool) -> Column:
         return F.transform(F.filter(sentences_of(F.coalesce(F.col(text_col), F.lit("")), by_line), lambda s: s.isin(list(known))), lambda s: to_name[s])
 
+    def wrapped() -> Column:
+        return F.transform(wrapped_in(F.coalesce(F.col(text_col), F.lit("")), list(known)), lambda s: to_name[s])
+
     def matched(seen: Column) -> Column:
         # Between any two identifiers stand two commas, so that one run's end isn't the next one's beginning.
         line = F.concat(F.lit(","), F.array_join(F.transform(seen, lambda s: to_id[s]), ",,"), F.lit(","))
@@ -125,13 +141,15 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
         return F.when(F.size(seen) > 0, runs["hit"]).otherwise(F.array().cast("array<int>"))
 
     kept = [c for c in docs.columns if c not in {"licences", "rules_hit", "sentence_ids"}]
-    out = docs.select(*kept, found(False).alias("__s"), found(True).alias("__l"))
-    out = out.select(*kept, "__s", "__l", F.array_sort(F.array_union(matched(F.col("__s")), matched(F.col("__l")))).alias("rules_hit"))
+    out = docs.select(*kept, found(False).alias("__s"), found(True).alias("__l"), wrapped().alias("__w"))
+    hits = F.array_union(F.array_union(matched(F.col("__s")), matched(F.col("__l"))), matched(F.col("__w")))
+    out = out.select(*kept, "__s", "__l", "__w", F.array_sort(hits).alias("rules_hit"))
+    lines = F.when(F.size("__l") >= F.size("__w"), F.col("__l")).otherwise(F.col("__w"))
     return out.select(
         *kept,
         F.array_distinct(F.transform("rules_hit", lambda k: names_of[k - 1])).alias("licences"),
         "rules_hit",
-        F.when(F.size("__s") >= F.size("__l"), F.col("__s")).otherwise(F.col("__l")).alias("sentence_ids"),
+        F.when((F.size("__s") >= F.size("__l")) & (F.size("__s") >= F.size("__w")), F.col("__s")).otherwise(lines).alias("sentence_ids"),
     )
 
 

@@ -314,6 +314,16 @@ def test_licences(spark):
     assert got == [["Apache-2.0"], ["MIT"], ["BSD-3-Clause"], [], [], [], ["MIT", "CC-BY-4.0"], []] or got[3] in ([], ["BSD-2-Clause"])
 
 
+def test_licences_in_wrapped_lines(spark):
+    apache = ["Copyright 2020 Google LLC", "", "Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0", "", "Unless required by applicable law or agreed to in writing, software"]
+    grant = licence_scan.SENTENCES["mit-grant"].split()
+    wrapped = [" ".join(grant[k : k + 9]) for k in range(0, len(grant), 9)]
+    texts = ["\n".join(f"# {x}".rstrip() for x in apache), "/*\r\n" + "\r\n".join(f" * {x}" for x in apache) + "\r\n */", "\n".join(["MIT License", *wrapped, "", "more"]), "\n".join(["MIT License", *wrapped[:-1], "more"]), "\n".join(["x", *wrapped[:2], "y", *wrapped[2:]]), "not Released under\nthe MIT License.", "heading\nReleased under\nthe MIT License. Released\nunder the\n\n MIT License!\nLicensed under\nCC BY 4.0", "\n" * 3000]
+    got = [(r["licences"], r["sentence_ids"]) for r in licence_scan.scan_licences(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    long = (["Apache-2.0"], ["apache2-long", "apache2-copy"])
+    assert got == [long, long, (["MIT"], ["mit-grant"]), ([], []), ([], []), ([], []), (["MIT", "CC-BY-4.0"], ["mit-released", "mit-released", "ccby4"]), ([], [])]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
