@@ -297,10 +297,13 @@ def training_windows(texts: list[str], limit: int = TRAINING_WINDOWS, seed: int
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> bytes | None:
     """The network, trained in one executor task on at most `sample` different texts that hold a digit or `@`: those
-    with the smallest hashes. None if they have no base span. The rows are counted first, so that each partition sends
-    on only its share of about one and a half times the sample."""
+    with the smallest hashes. None if they have no base span. Different texts are counted first, so that each partition
+    sends on only its share of about one and a half times the sample; the share doubles until the sample is full or all
+    texts are in."""
     own = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    share = min(1.0, 1.5 * sample / max(1, own.count()))
+    share = min(1.0, 1.5 * sample / max(1, own.agg(F.approx_count_distinct("h")).first()[0]))
+    while share < 1 and own.where(F.col("h") < int(share * (1 << 40))).select("h").distinct().limit(sample).count() < sample:
+        share = min(1.0, 2 * share)
     chosen = own.where(F.col("h") < int(share * (1 << 40))).distinct().orderBy("h", "text").limit(sample).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

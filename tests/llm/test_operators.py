@@ -215,6 +215,12 @@ def test_pii_network_and_redaction(spark):
     assert pii.train(docs.where("doc_id = 1")) is None
 
 
+def test_pii_sample_of_a_table_of_copies(spark):
+    texts = [f"call +1 (614) 555-{8000 + k} today" for k in range(30)]
+    copies = spark.range(20_000).select(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 30 + 1).cast("int")).alias("text"))
+    assert pii.train(copies, sample=20) == pii.train(copies.distinct(), sample=20) is not None
+
+
 def test_crf_gradients():
     tagger = pii.Tagger(seed=2, hidden=4)
     for k in tagger.p:
