@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ FLAGS = "(?iuU)"
 RANGES = [f"{FLAGS}{RATE_WORD}[^\\d\\n]{{0,30}}?{AMOUNT}{BETWEEN}{AMOUNT}", f"{FLAGS}{AMOUNT}\\s*{EURO}?\\s*{BETWEEN}{AMOUNT}\\s*{EURO}?\\s*{PER_DAY}"]
 SINGLES = [f"{FLAGS}{RATE_WORD}[^\\d\\n]{{0,30}}?{AMOUNT}", f"{FLAGS}{AMOUNT}\\s*{EURO}\\s*{PER_DAY}"]
 PLAUSIBLE = (200, 2500)
+# One of these stands in every match of the patterns that start with a rate word, or with an amount.
+RATE_HINTS, DAY_HINTS = ("tjm", "t.j.m", "tarif", "taux", "prix", "daily"), ("j", "day")
 
 # Rhythm, durations, markers of an independent's status.
 RHYTHM = r"(?iu)\b[1-4]\s*(?:jours?|j)\s*(?:/|par\s+)?\s*(?:semaine|sem\b)?[^.\n]{0,12}(?:sur\s+site|presentiel|au\s+bureau)"
@@ -30,6 +36,7 @@ INDEPENDENT = [
     r"statut\s+(?:d'?\s*)?ind[ée]pendant", r"\ben\s+ind[ée]pendant", r"portage\s+salarial", r"soci[ée]t[ée]\s+de\s+portage", r"auto-?entrepreneur",
     r"micro-?entreprise", r"contrat\s+de\s+prestation", r"\bsasu\b", r"\beurl\b",
 ]
+INDEPENDENT_HINTS = ("free", "ind", "portage", "entrep", "presta", "sasu", "eurl")  # one of these stands in every match
 PERMANENT_TITLE = FLAGS + r"\bcdi\b|\bcontrat\s+[àa]\s+dur[ée]e\s+ind[ée]termin"
 
 
@@ -41,24 +48,41 @@ def plausible(value: Column) -> Column:
     return value.between(*PLAUSIBLE)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def any_in(text: Column, words: Sequence[str]) -> Column:
+    return reduce(or_, [text.contains(w) for w in words])
+
+
+def holding(text: Column, words: Sequence[str]) -> Column:
+    """The text if it holds one of the words in any case, else null: patterns are only tried where their words are."""
+    return F.when(once(F.lower(text), lambda low: any_in(low, words)), text)
+
+
 def parse_daily_rate(text: Column) -> Column:
     """struct(low, high): the first plausible range, else the first plausible amount; fields null without one.
 
     Patterns go in order; within one the matches go in text order, and implausible ones are passed over.
     """
-    x = F.coalesce(text, F.lit(""))
 
     def pair(low: Column, high: Column) -> Column:
         return F.struct(low.alias("low"), high.alias("high"))
 
-    tries = []
-    for pattern in RANGES:
-        both = F.zip_with(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), F.regexp_extract_all(x, F.lit(pattern), F.lit(2)), lambda a, b: pair(F.least(amount(a), amount(b)), F.greatest(amount(a), amount(b))))
-        tries.append(F.get(F.filter(both, lambda r: plausible(r["low"]) & plausible(r["high"])), F.lit(0)))
-    for pattern in SINGLES:
-        one = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda a: pair(amount(a), amount(a)))
-        tries.append(F.get(F.filter(one, lambda r: plausible(r["low"])), F.lit(0)))
-    return F.coalesce(*tries, pair(F.lit(None).cast("int"), F.lit(None).cast("int")))
+    def read(x: Column) -> Column:
+        announced, counted = F.when(any_in(x, RATE_HINTS), x), F.when(any_in(x, DAY_HINTS) & x.rlike("[0-9]{2}"), x)
+        tries = []
+        for pattern, own in zip(RANGES, (announced, counted), strict=True):
+            both = F.zip_with(F.regexp_extract_all(own, F.lit(pattern), F.lit(1)), F.regexp_extract_all(own, F.lit(pattern), F.lit(2)), lambda a, b: pair(F.least(amount(a), amount(b)), F.greatest(amount(a), amount(b))))
+            tries.append(F.get(F.filter(both, lambda r: plausible(r["low"]) & plausible(r["high"])), F.lit(0)))
+        for pattern, own in zip(SINGLES, (announced, counted), strict=True):
+            one = F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(1)), lambda a: pair(amount(a), amount(a)))
+            tries.append(F.get(F.filter(one, lambda r: plausible(r["low"])), F.lit(0)))
+        return F.coalesce(*tries, pair(F.lit(None).cast("int"), F.lit(None).cast("int")))
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), read)
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -86,24 +110,33 @@ def parse_remote(key: Column, folded_text: Column) -> Column:
 
 def parse_duration(folded_text: Column) -> Column:
     """Months, from a folded text whose mentions of experience are left out; null without a duration."""
-    x = F.regexp_replace(F.coalesce(folded_text, F.lit("")), EXPERIENCE, " ")
-    months = [found(x, p, 1).cast("int") for p in MONTHS]
-    weeks, years = found(x, WEEKS, 1).cast("int"), found(x, YEARS, 1).cast("int")
-    return F.coalesce(*[F.when(m.between(1, 60), m.cast("double")) for m in months], F.round(weeks / F.lit(4.33), 1), F.when(years.between(1, 5), (years * 12).cast("double")))
+
+    def read(x: Column) -> Column:
+        months = [F.when(x.contains(w), found(x, p, 1).cast("int")) for p, w in zip(MONTHS, ("mois", "month"), strict=True)]
+        weeks, years = F.when(x.contains("semaine"), found(x, WEEKS, 1).cast("int")), F.when(x.contains("an"), found(x, YEARS, 1).cast("int"))
+        return F.coalesce(*[F.when(m.between(1, 60), m.cast("double")) for m in months], F.round(weeks / F.lit(4.33), 1), F.when(years.between(1, 5), (years * 12).cast("double")))
+
+    x = F.lower(F.coalesce(folded_text, F.lit("")))
+    return once(once(x, lambda low: F.when(low.contains("exp"), F.regexp_replace(low, EXPERIENCE, " ")).otherwise(low)), read)
 
 
 def freelance_marker(text: Column) -> Column:
     """The words that tell an independent's status, else those that announce a daily rate, else null."""
-    return F.coalesce(found(text, FLAGS + "|".join(INDEPENDENT)), rate_mention(text))
+    return F.coalesce(found(holding(text, INDEPENDENT_HINTS), FLAGS + "|".join(INDEPENDENT)), rate_mention(holding(text, RATE_HINTS)))
 
 
 def detect_signals(title: Column, description: Column) -> Column:
     """struct(freelance, marker, rate_min, rate_max). A permanent contract in the title silences the text."""
     blob = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
-    rate, silent = parse_daily_rate(blob), F.coalesce(title, F.lit("")).rlike(PERMANENT_TITLE)
-    made = F.when(rate["low"] == rate["high"], F.concat(F.lit("TJM "), rate["low"].cast("string"), F.lit(" EUR"))).when(rate["low"].isNotNull(), F.concat(F.lit("TJM "), rate["low"].cast("string"), F.lit("-"), rate["high"].cast("string"), F.lit(" EUR")))
-    marker = F.when(~silent, F.coalesce(freelance_marker(blob), made))
-    return F.struct(marker.isNotNull().alias("freelance"), marker.alias("marker"), F.when(~silent, rate["low"]).alias("rate_min"), F.when(~silent, rate["high"]).alias("rate_max"))
+    heard = F.struct(parse_daily_rate(blob).alias("rate"), freelance_marker(blob).alias("words"), F.coalesce(title, F.lit("")).rlike(PERMANENT_TITLE).alias("silent"))
+
+    def told(x: Column) -> Column:
+        low, high = x["rate"]["low"], x["rate"]["high"]
+        amount = F.concat(F.lit("TJM "), low.cast("string"), F.when(low != high, F.concat(F.lit("-"), high.cast("string"))).otherwise(""), F.lit(" EUR"))
+        marker = F.when(~x["silent"], F.coalesce(x["words"], amount))
+        return F.struct(marker.isNotNull().alias("freelance"), marker.alias("marker"), F.when(~x["silent"], low).alias("rate_min"), F.when(~x["silent"], high).alias("rate_max"))
+
+    return once(heard, told)
 
 
 def any_name(variants: list[str]) -> str:
@@ -114,9 +147,15 @@ def any_name(variants: list[str]) -> str:
     return "(?iuU)" + "|".join(parts)
 
 
+def holds_name(key: Column, variants: list[str]) -> Column:
+    """Does a normalised text hold one of the names between word boundaries? The pattern is only tried on texts that
+    hold the letters of a name at all: a search for fixed bytes costs far less than a pattern at every place."""
+    return any_in(key, sorted({folded(x) for x in variants})) & key.rlike(any_name(variants))
+
+
 def extract_skills(key: Column) -> Column:
     """Canonical skills that a normalised text names, in taxonomy order. A skill's own name counts as one of its words."""
-    return F.array_compact(F.array(*[F.when(key.rlike(any_name([name, *words])), F.lit(name)) for name, words in dims.SKILLS.items()]))
+    return F.array_compact(F.array(*[F.when(holds_name(key, [name, *words]), F.lit(name)) for name, words in dims.SKILLS.items()]))
 
 
 def core_skill_count(skills: Column) -> Column:
@@ -129,7 +168,7 @@ def role_family(title_key: Column, description_key: Column) -> Column:
     for key in (title_key, description_key):
         out = F
         for family, words in dims.ROLES.items():
-            out = out.when(key.rlike(any_name([family, *words])), family)
+            out = out.when(holds_name(key, [family, *words]), family)
         chains.append(out.otherwise(F.lit(None).cast("string")))
     return F.coalesce(*chains, F.lit(dims.GENERIC_ROLE))
 
