@@ -2,9 +2,11 @@
 
 Every string of `length` bytes holds an anchor: the 24 bytes with the smallest hash in it. Equal strings hold equal
 anchors at equal places, so the strings of an anchor whose bytes occur nowhere else can't repeat. What is left is
-compared anchor by anchor: equal segments (all strings that share one anchor in one place) fall together by their
-hashes; the strings of segments that differ are suffixes that a mergesort puts in order. It compares two suffixes by
-binary search over prefix polynomial hashes for their common extension, and checks the bytes of those it finds equal.
+compared anchor by anchor. Segments (all strings that share one anchor in one place) with equal hashes form matches
+between documents, whose bytes are compared before anything is removed. The strings of segments that differ are suffixes
+that a mergesort puts in order: it compares two of them by binary search over prefix polynomial hashes for their common
+extension, and checks the bytes of those it finds equal. An anchor with very many different segments is dealt out first:
+by the place of the strings around it and the bytes that all strings of such places share.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import BASES, mixed, prefix_hashes, written
+from offerlake.llm.common import BASES, mixed, prefix_hashes, tidy, written
 
 LENGTH = 100
 ANCHOR = 24
 PIECE = 1 << 20  # strings that start in one piece of a document are looked at together
 PLACE_BITS = 21  # of a place within a run of pieces
-LARGE = 2048  # an anchor with more different segments has its strings compared by whole-string hashes, in a shuffle
+GROUP = 4096  # different segments of an anchor that are sorted together; more are dealt out before
+PLACES = 10  # places of strings around an anchor that stay together when it is dealt out
 NULL_ID = -(1 << 63)
 
 
@@ -35,7 +39,7 @@ def pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 def runs_of(parts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """For parts of at least `length` bytes: part, start and number of the strings in each run with one anchor in one
-    place; hash of the anchor; hash of the run's bytes."""
+    place; hash of the anchor; hash of the run's bytes; place of the anchor after the start."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(parts), np.uint8)
@@ -63,18 +67,18 @@ def runs_of(parts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, .
     ends = last + length
     whole = mixed((other[ends] - other[first]) * other_back[first] + (ends - first).astype(np.uint64))
     part = np.searchsorted(begins, first, side="right") - 1
-    return part, first - begins[part], last - first + 1, grams[place[first]].view(np.int64), whole.view(np.int64)
+    return part, first - begins[part], last - first + 1, grams[place[first]].view(np.int64), whole.view(np.int64), place[first] - first
 
 
 def emitted(batches: Iterator[pa.RecordBatch], length: int, anchor: int, hashes_only: bool) -> Iterator[pa.RecordBatch]:
     """o, t and text of documents -> their runs; only the anchors' hashes if asked so."""
 
     def flush() -> pa.RecordBatch:
-        part, start, n, h, d = runs_of([x[3] for x in held], length, anchor)
+        part, start, n, h, d, a = runs_of([x[3] for x in held], length, anchor)
         if hashes_only:
             return pa.RecordBatch.from_pydict({"h": h})
         of = lambda k: np.fromiter((x[k] for x in held), np.int64, len(held))[part]
-        return pa.RecordBatch.from_pydict({"h": h, "d": d, "o": of(0), "t": of(1), "p": of(2) + start, "n": n.astype(np.int16)})
+        return pa.RecordBatch.from_pydict({"h": h, "d": d, "o": of(0), "t": of(1), "p": of(2) + start, "n": n.astype(np.int16), "a": a.astype(np.int16)})
 
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
@@ -225,90 +229,85 @@ def compared(batches: Iterator[pa.RecordBatch], length: int, bound: int = 1 << 1
         yield flush()
 
 
-def fetched(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Documents (o, t, text, wanted: h, p, n, large) -> segments with the anchor's place and their bytes."""
-    def made(part: list[tuple]) -> pa.RecordBatch:
-        h, o, t, p, n, data, large = (list(x) for x in zip(*part, strict=True))
-        place = anchors_in(data, np.array(h, np.int64), anchor)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(o, pa.int64()), pa.array(t, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int16()), pa.array(place, pa.int32()), pa.array(data, pa.binary()), pa.array(large, pa.bool_())], names=["h", "o", "t", "p", "n", "a", "data", "large"])
-
-    out: list[tuple] = []
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            for o, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for w in wanted:
-                    out.append((w["h"], o, t, w["p"], w["n"], text[w["p"] : w["p"] + w["n"] - 1 + length], w["large"]))
-                    if len(out) == 8192:
-                        yield made(out)
-                        out = []
-    if out:
-        yield made(out)
-
-
-def anchors_in(parts: list[bytes], h: np.ndarray, anchor: int) -> np.ndarray:
-    """Where the bytes with hash h stand in each part, first place; all strings of a segment hold them."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    begins = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    total, back = prefix_hashes(data)
-    grams = mixed((total[anchor:] - total[:-anchor]) * back[: len(data) - anchor + 1]).view(np.int64)
-    part = np.repeat(np.arange(len(parts)), sizes)[: len(grams)]
-    hit = np.flatnonzero((grams == h[part]) & (np.arange(len(grams)) + anchor <= (begins + sizes)[part]))
-    place = np.full(len(parts), -1, np.int64)
-    place[part[hit][::-1]] = (hit - begins[part[hit]])[::-1]
-    return place
-
-
-def strings_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Segments -> two hashes of every string in them."""
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """o, t and a document's repeated segments (s, e, fo, ft, fs: where the first of its kind stands), in order -> its
+    matches: neighbouring segments that lie equally far from one first document, as one."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            o, t, p, n, data = (c.to_pylist() for c in batch.slice(k, 2048).columns)
-            sizes = np.fromiter(map(len, data), np.int64, len(data))
-            starts, counts = np.cumsum(sizes) - sizes, np.array(n, np.int64)
-            seg = np.repeat(np.arange(len(data)), counts)
-            j = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = starts[seg] + j
-            flat = np.frombuffer(b"".join(data), np.uint8)
-            x, y = ((total[at + length] - total[at]) * back[at] for total, back in (prefix_hashes(flat, b) for b in BASES))
-            yield pa.RecordBatch.from_pydict({"x": mixed(x).view(np.int64), "y": mixed(y).view(np.int64), "o": np.array(o, np.int64)[seg], "t": np.array(t, np.int64)[seg], "p": np.array(p, np.int64)[seg] + j})
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """(documents as o, t, text in bytes; intervals o, t, s, e) where every byte of an interval belongs to a string of
-    `length` bytes that also starts earlier: in a document with a smaller id, or before in the same one.
-
-    A null text is empty; a null id counts as the smallest. Rows with one id and different texts are told apart by t, a
-    hash of the text, and come in its order; rows that repeat id and text are one document.
+        rows = batch.column(2)
+        flat, sizes = rows.flatten(), np.diff(rows.offsets.to_numpy())
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        s, e, fo, ft, fs = (flat.field(k).to_numpy() for k in range(5))
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (fo[1:] != fo[:-1]) | (ft[1:] != ft[:-1]) | (s[1:] - fs[1:] != s[:-1] - fs[:-1]) | (s[1:] > e[:-1])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(row)) - 1 if len(row) else first
+        o, t = (batch.column(k).to_numpy()[row[first]] for k in range(2))
+        yield pa.RecordBatch.from_pydict({"o": o, "t": t, "s": s[first], "e": e[last], "fo": fo[first], "ft": ft[first], "fs": fs[first]})
+
+
+def dealt(segments: DataFrame, length: int, anchor: int, places: int) -> DataFrame:
+    """Segments of one anchor each (h, o, t, p, n, a, data) -> their strings by ranges of `places` places around the
+    anchor, as segments too, with g: a hash of anchor, range and the bytes that all strings of the range have in common.
+    Equal strings stand at equal places, so they have equal g."""
+    reach = length - anchor
+    ranged = segments.withColumn("r", F.explode(F.sequence(F.floor((F.col("a") - F.col("n") + 1) / places).cast("int"), F.floor(F.col("a") / places).cast("int"))))
+    low, high = F.col("r") * places, F.least(F.col("r") * places + (places - 1), F.lit(reach))
+    ranged = ranged.withColumns({"far": F.least(F.col("a").cast("int"), high), "near": F.greatest(F.col("a") - F.col("n") + 1, low), "common": F.substr("data", F.col("a") - low + 1, length - (high - low))})
+    start = F.col("a") - F.col("far")
+    return ranged.select(
+        F.xxhash64("h", "r", "common").alias("g"), "o", "t", (F.col("p") + start).alias("p"), (F.col("far") - F.col("near") + 1).cast("short").alias("n"),
+        F.col("far").cast("short").alias("a"), F.substr("data", start + 1, F.col("far") - F.col("near") + length).alias("data"),
+    )
+
+
+def after_first(rows: DataFrame, keys: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """(the first segment by o, t, p of those that agree in all `keys`, their bytes among them; the intervals o, t, s, e
+    of all others)."""
+    at, rest = F.struct("o", "t", "p"), [c for c in rows.columns if c not in {"o", "t", "p", *keys}]
+    first = written(rows.groupBy(*keys).agg(F.min(at).alias("first"), *[F.min(c).alias(c) for c in rest]), "first")
+    others = rows.join(first.select(*keys, "first"), keys).where(at > F.col("first"))
+    return first.select(*keys, *rest, "first.*"), others.select("o", "t", F.col("p").alias("s"), (F.col("p") + F.col("n") + F.lit(length - 1)).alias("e"))
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, places: int = PLACES) -> DataFrame:
+    """o, t and spans (s, e, data) of documents o, t, text: every byte of a span belongs to a string of `length` bytes that
+    also starts earlier, in a document with a smaller o (then t), or before in the same one. Where data isn't null, that
+    holds if the span's bytes equal it; they were matched by hashes so far. Rows that repeat o and t are one document.
     """
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("o"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
-    keyed = named.withColumn("t", F.xxhash64("text"))
-    double = keyed.groupBy("o").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("o", F.lit(True).alias("double"))
-    if double.limit(1).count():
-        source = keyed.join(written(double, "double"), "o", "left").select("o", F.when(F.col("double"), F.col("t")).otherwise(F.lit(0)).alias("t"), "text")
-    else:
-        source = named.select("o", F.lit(0).cast("long").alias("t"), "text")
-    long_enough = source.where(F.octet_length("text") >= length)
-
+    long_enough = docs.where(F.octet_length("text") >= length)
     hashes = long_enough.mapInArrow(lambda b: emitted(b, length, anchor, True), "h long")
     often = written(hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
-    runs = long_enough.mapInArrow(lambda b: emitted(b, length, anchor, False), "h long, d long, o long, t long, p long, n short")
+    runs = long_enough.mapInArrow(lambda b: emitted(b, length, anchor, False), "h long, d long, o long, t long, p long, n short, a short")
     runs = written(runs.join(often, "h", "left_semi"), "runs")
 
-    segments = written(runs.groupBy("h", "d").agg(F.min(F.struct("o", "t", "p")).alias("first"), F.min("n").alias("n")), "segments")
+    segments = written(runs.groupBy("h", "d").agg(F.min(F.struct("o", "t", "p", "n", "a")).alias("first")), "segments")
     kinds = segments.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    later = runs.join(segments.select("h", "d", "first"), ["h", "d"]).where(F.struct("o", "t", "p") > F.col("first"))
-    later = written(later.groupBy("o", "t").agg(F.array_sort(F.collect_list(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n") + F.lit(length - 1)).alias("e")))).alias("spans")), "later")
-    wanted = segments.join(kinds, "h").select("first.*", "h", "n", (F.col("k") > large).alias("large")).groupBy("o", "t").agg(F.collect_list(F.struct("h", "p", "n", "large")).alias("wanted"))
-    once = long_enough.join(wanted, ["o", "t"]).dropDuplicates(["o", "t"]) if docs_repeat(long_enough) else long_enough.join(wanted, ["o", "t"])
-    parts = written(once.select("o", "t", "text", "wanted").mapInArrow(lambda b: fetched(b, length, anchor), "h long, o long, t long, p long, n short, a int, data binary, large boolean"), "parts")
-
-    small = parts.where("not large").drop("large").repartition("h").sortWithinPartitions("h")
-    within = small.mapInArrow(lambda b: compared(b, length), "o long, t long, s long, e long")
-    strings = parts.where("large").select("o", "t", "p", "n", "data").mapInArrow(lambda b: strings_of(b, length), "x long, y long, o long, t long, p long")
-    first = strings.groupBy("x", "y").agg(F.min(F.struct("o", "t", "p")).alias("first"))
-    between = strings.join(first, ["x", "y"]).where(F.struct("o", "t", "p") > F.col("first")).select("o", "t", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    return source, within.unionByName(between).groupBy("o", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans")).unionByName(later)
+    at, end = F.struct("o", "t", "p"), (F.col("p") + F.col("n") + F.lit(length - 1)).alias("e")
+    others = runs.join(segments, ["h", "d"]).where((at > F.struct("first.o", "first.t", "first.p")) & (F.col("n") == F.col("first.n")))
+    own = others.groupBy("o", "t").agg(F.array_sort(F.collect_list(F.struct(F.col("p").alias("s"), end, F.col("first.o").alias("fo"), F.col("first.t").alias("ft"), F.col("first.p").alias("fs")))).alias("own"))
+    matches = written(own.mapInArrow(chained, "o long, t long, s long, e long, fo long, ft long, fs long"), "matches").withColumn("fe", F.col("fs") + F.col("e") - F.col("s"))
+
+    # Bytes that are needed: of segments that differ from others with their anchor, and of what matches start from.
+    wanted = segments.join(kinds, "h").select("first.*", "h", "k").select("o", "t", F.col("p").alias("s"), end, "h", "k", "n", "a")
+    starts = matches.select(F.col("fo").alias("o"), F.col("ft").alias("t"), F.col("fs").alias("s"), F.col("fe").alias("e")).distinct()
+    texts = long_enough.select("o", "t", "text")
+    texts = texts.dropDuplicates(["o", "t"]) if docs_repeat(texts) else texts
+    parts = wanted.unionByName(starts, allowMissingColumns=True).join(texts, ["o", "t"])
+    parts = written(parts.select("o", "t", "s", "e", "h", "k", "n", "a", F.substr("text", (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int")).alias("data")), "parts")
+    matched = matches.join(parts.where("h is null").select(F.col("o").alias("fo"), F.col("t").alias("ft"), F.col("s").alias("fs"), F.col("e").alias("fe"), "data"), ["fo", "ft", "fs", "fe"]).select("o", "t", "s", "e", "data")
+
+    differ = parts.where("h is not null").withColumnRenamed("s", "p").drop("e")
+    small, large = differ.where(F.col("k") <= group).drop("k"), differ.where(F.col("k") > group).drop("k")
+    columns = ["g", "o", "t", "p", "n", "a", "data"]
+    windows, again = after_first(written(dealt(large, length, anchor, places), "windows"), ["g", "a", "data"], length)
+    crowded = written(windows.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > group).select("g"), "crowded")
+    strings = windows.join(crowded, "g", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    strings = strings.select("g", "o", "t", (F.col("p") + F.col("j")).alias("p"), F.lit(1).cast("short").alias("n"), (F.col("a") - F.col("j")).alias("a"), F.substr("data", F.col("j") + 1, F.lit(length)).alias("data"))
+    _, alike = after_first(strings, ["g", "a", "data"], length)
+    sortable = small.withColumnRenamed("h", "g").select(*columns).unionByName(windows.join(crowded, "g", "left_anti").select(*columns))
+    within = sortable.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: compared(b, length), "o long, t long, s long, e long")
+    found = within.unionByName(again).unionByName(alike).unionByName(matched, allowMissingColumns=True)
+    return found.groupBy("o", "t").agg(F.collect_list(F.struct("s", "e", "data")).alias("spans"))
 
 
 def docs_repeat(rows: DataFrame) -> bool:
@@ -316,10 +315,10 @@ def docs_repeat(rows: DataFrame) -> bool:
     return bool(rows.groupBy("o", "t").count().where("count > 1").limit(1).count())
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Overlapping and touching intervals as one."""
+def merged(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    """Overlapping and touching intervals as one; those whose bytes differ from what they were matched with stay out."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
+    for s, e in sorted((x["s"], x["e"]) for x in spans if x["data"] is None or text[x["s"] : x["e"]] == x["data"]):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
@@ -327,27 +326,43 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per row of `docs`: id, n_bytes, n_removed, n_spans (maximal runs) and kept (binary: the bytes left, in order)."""
-    source, spans = repeated(docs, id_col, text_col, length)
-    all_spans = spans.groupBy("o", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    whole = source.join(all_spans, ["o", "t"], "left")
+RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """Every row of `docs` without its text, and n_bytes, n_removed, n_spans (maximal runs), kept (binary: what is left).
+
+    A string stays where it starts first: in the document with the smallest id, a null id before all others. A null text
+    is empty. Rows with one id and different texts are told apart by a hash of the text and come in its order; rows that
+    repeat id and text are one document and lose the same bytes. Other columns stay; those of `docs` that bear the name
+    of a new one are replaced. An empty table gives no rows. Texts are cut into pieces of 1 MB for the search only.
+    """
+    own = F.struct(*[F.col(c) for c in docs.columns if c != text_col and c not in RESULT]).alias("row")
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("o"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"), own)
+    keyed = named.withColumn("t", F.xxhash64("text"))
+    double = keyed.groupBy("o").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("o", F.lit(True).alias("double"))
+    if double.limit(1).count():
+        source = keyed.join(written(double, "double"), "o", "left").select("o", F.when(F.col("double"), F.col("t")).otherwise(F.lit(0)).alias("t"), "text", "row")
+    else:
+        source = named.select("o", F.lit(0).cast("long").alias("t"), "text", "row")
+    whole = source.join(repeated(source.select("o", "t", "text"), length, group=group), ["o", "t"], "left").select("row", "text", "spans")
+    schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            ids, texts, spans = (c.to_pylist() for c in batch.columns)
             rows = []
-            for o, text, own in zip(ids, texts, spans, strict=True):
-                runs = merged(own or [])
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                runs = merged(text, spans or [])
                 edges = [0, *(x for run in runs for x in run), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((None if o == NULL_ID else o, len(text), len(text) - len(kept), len(runs), kept))
-            o, n, gone, k, kept = (list(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((len(text), len(text) - len(kept), len(runs), kept))
+            n, gone, k, kept = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.binary())], names=schema.names)
 
-    return whole.select("o", "text", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return whole.mapInArrow(cut, schema).select("row.*", *RESULT)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `without_repeats` gives for every document, with the SHA-256 of the bytes left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -94,25 +94,33 @@ def brute_repeats(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("large", [repeats.LARGE, 1])
-def test_repeats_equal_brute_force(spark, large, monkeypatch):
-    monkeypatch.setattr(repeats.repeated, "__defaults__", (*repeats.repeated.__defaults__[:-1], large))
+@pytest.mark.parametrize("group", [repeats.GROUP, 3, 1])
+def test_repeats_equal_brute_force(spark, group):
     rng = random.Random(5)
     passages = [sentence(rng, 30) for _ in range(4)]
     texts = list(ODD) + ["ab" * 400, "ab" * 400]
     for _ in range(40):
         texts.append(" ".join(rng.choice([sentence(rng, 12), rng.choice(passages), rng.choice(passages)[: rng.randrange(80, 140)]]) for _ in range(5)))
+    line = sentence(rng, 20)[:100]  # in many documents between other words each time: one anchor, many segments
+    texts += [f"{sentence(rng, 9)}{line}{sentence(rng, 9)}" for _ in range(30)]
     want = brute_repeats(list(enumerate(texts)))
-    got = repeats.without_repeats(docs_of(spark, texts)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert {r[0]: tuple(r[1:]) for r in got} == want
+    got = repeats.without_repeats(docs_of(spark, texts).withColumn("kept", F.lit(1)), group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256), "k1").collect()
+    assert {r[0]: tuple(r[1:5]) for r in got} == want and {r[5] for r in got} == {"x"}
 
 
 def test_repeats_with_repeated_and_missing_ids(spark):
     t = sentence(random.Random(6), 60)
-    df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t)], "doc_id long, text string")
-    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.without_repeats(df).collect())
+    df = spark.createDataFrame([(1, t, "a"), (1, t, "b"), (2, t, "c"), (None, t, "d"), (3, None, "e"), (4, t, "f"), (4, t[1:], "g")], "doc_id long, text string, row string")
+    got = {r["row"]: r["n_removed"] for r in repeats.without_repeats(df).collect()}
     n = len(t)
-    assert got == [(0, 0), (1, n), (1, n), (2, n)]
+    assert got == {"a": n, "b": n, "c": n, "d": 0, "e": 0, "f": n, "g": n - 1}
+    assert repeats.without_repeats(df.where("false")).count() == 0
+
+
+def test_repeats_that_only_hashes_found_stay():
+    text = b"x" * 50 + b"y" * 50
+    span = lambda s, e, data: {"s": s, "e": e, "data": data}
+    assert repeats.merged(text, [span(0, 50, b"x" * 50), span(60, 70, b"z" * 10), span(40, 55, None)]) == [(0, 55)]
 
 
 def test_suffix_mergesort_orders_strings():
