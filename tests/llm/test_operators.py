@@ -73,13 +73,40 @@ def test_large_trie_nodes_are_verified_in_blocks(spark):
     rng = random.Random(3)
     base = sentence(rng, 120).split()
     texts = [" ".join([*base[:-1], f"tail{k}"]) for k in range(40)]
-    rows, classes = near_copies.classes_of(docs_of(spark, texts), block=8)
+    _, classes, _ = near_copies.classes_of(docs_of(spark, texts), block=8)
     assert {r["links"] for r in classes.collect()} == {39} and classes.where("stays").count() == 1
 
 
-def test_forest_depth_reaches_the_recall():
-    d = near_copies.depth_for(0.8)
-    assert 1 - (1 - 0.8**d) ** near_copies.TRIES >= near_copies.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_copies.TRIES
+def test_forest_ends_where_the_data_allow(spark):
+    d = near_copies.shallowest(0.8)
+    assert near_copies.chance(0.8, d) >= near_copies.RECALL > near_copies.chance(0.8, d + 1)
+    # Many close pairs let the join end deep; a few at the threshold don't.
+    close, apart = [0] * (near_copies.BINS - 1) + [5000], [40] + [0] * (near_copies.BINS - 1)
+    ends = lambda found: next(k for k in range(near_copies.DEEPEST, d - 1, -1) if k == d or near_copies.missed(found, 0.8, k) <= (1 - near_copies.RECALL) * sum(found))
+    assert ends(close) > ends(apart) == ends([0] * near_copies.BINS) == d
+    rng = random.Random(21)
+    bases = [sentence(rng, 150).split() for _ in range(4)]
+    texts = [" ".join([*base[:-1], f"tail{k}"]) for base in bases for k in range(60)]  # 7080 links, all close
+    far = [" ".join([*base[:-1], f"tail{k}"]) for base in (sentence(rng, 13).split() for _ in range(6)) for k in range(2)]  # 8 of 10 shingles
+    depths = []
+    for own in (texts, far):
+        links, root = brute_links(own)
+        rows, classes, depth = near_copies.classes_of(docs_of(spark, own))
+        depths.append(depth)
+        assert sorted(r["texts"] for r in classes.collect()) == sorted(map(len, links)) and classes.where("stays").count() == len(set(root))
+    assert depths[0] > depths[1] == d
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    rng = random.Random(22)
+    t, other = sentence(rng, 60), sentence(rng, 60)
+    near = " ".join([*t.split()[:-1], "end"])
+    df = spark.createDataFrame([(1, t, 0), (1, t, 1), (1, other, 2), (None, t, 3), (None, near, 4), (None, None, 5), (None, "", 6), (None, sentence(rng, 30), 7)], "doc_id long, text string, k1 int")
+    got = sorted((r["doc_id"] or 0, r["n_links"], r["class_id"] or 0) for r in near_copies.near_copies(df).collect())
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (1, 0, 1), (0, 3, 1), (0, 3, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)])
+    kept = sorted(r["k1"] for r in near_copies.without_near_copies(df).collect())
+    assert kept in ([0, 2, 5, 6, 7], [1, 2, 5, 6, 7])
+    assert near_copies.near_copies(df.where("false")).count() == near_copies.without_near_copies(df.where("false")).count() == 0
 
 
 def brute_repeats(rows, n=100):
