@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import extended, mixed, prefix_hashes, tidy
+from offerlake.llm.common import extended, mixed, prefix_hashes, tidy, written
 from offerlake.llm.language import table
 
 Q = 8
 WINDOW = 80  # normalised characters
 GROUP = 8  # neighbouring windows that are verified together
 ALIGNED = 20_000  # alignments held in memory at once
+POSTINGS = 2_000_000  # pairs of q-grams held in memory at once
 EDITS = 0.1  # of a window's characters
 EXACT_BELOW = 24  # shorter items have to be there unchanged
 BENCHMARK_CHARS = 8_000_000  # of benchmark text that one pass over the documents holds in memory
@@ -60,7 +61,9 @@ class Windows:
     def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, edits: float = EDITS):
         self.q = q
         plain = [(item, normalised(text)[0]) for item, text in items]
-        plain = [x for x in plain if len(x[1]) >= q]  # too short for a q-gram: never found
+        short = [x for x in plain if 0 < len(x[1]) < q]  # no q-gram: found as whole words
+        self.short = {m: [(item, points) for item, points in short if len(points) == m] for m in sorted({len(x[1]) for x in short})}
+        plain = [x for x in plain if len(x[1]) >= q]
         self.owner = np.array([item for item, _ in plain], np.int64)
         self.lengths = np.array([len(points) for _, points in plain], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
@@ -76,6 +79,8 @@ class Windows:
         order = whole[np.argsort(joined[whole], kind="stable")]
         self.grams, self.first, self.times = np.unique(joined[order], return_index=True, return_counts=True)
         self.item_of, self.place = owner[order], place[order]
+        # Postings in order of q-gram and place in the whole benchmark.
+        self.posting = (np.repeat(np.arange(len(self.grams)), self.times) << np.int64(32)) | order
         self.maybe = np.zeros(1 << BITS, bool)
         self.maybe[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
@@ -100,18 +105,22 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     return mixed((total[q:] - total[:-q]) * back[: len(points) - q + 1])
 
 
-def candidates(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, first diagonal of a band, first start) of groups of windows, one of which at least has enough shared q-grams.
-
-    A group is the windows at GROUP starts in a row, or all of an item that has fewer.
-    """
+def hits(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the text's q-grams that items hold, and which q-gram of theirs it is."""
     hashes = gram_hashes(points, windows.q)
     at = np.flatnonzero(windows.maybe[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
     slot = np.minimum(np.searchsorted(windows.grams, hashes[at]), len(windows.grams) - 1)
     real = windows.grams[slot] == hashes[at]
-    at, slot = at[real], slot[real]
-    times = windows.times[slot]
-    posted = np.repeat(windows.first[slot] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+    return at[real], slot[real]
+
+
+def candidates(at: np.ndarray, first: np.ndarray, times: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first diagonal of a band, first start) of groups of windows, one of which at least has enough shared q-grams.
+
+    A group is the windows at GROUP starts in a row, or all of an item that has fewer. Given are the places of q-grams in
+    the text and, for each, where its postings begin and how many there are.
+    """
+    posted = np.repeat(first - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
     item, place = windows.item_of[posted].astype(np.int64), windows.place[posted].astype(np.int64)
     longest = int(windows.lengths.max())
     diagonal = np.repeat(at, times) - place + longest  # not below 0
@@ -190,8 +199,32 @@ def aligned(points: np.ndarray, item: np.ndarray, diagonal: np.ndarray, start: n
 
 
 def verified(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, first end, last end) of the parts of the text that windows of an item are found in."""
-    item, diagonal, start = candidates(points, windows)
+    """(item, first end, last end) of the parts of the text that windows of an item are found in.
+
+    Frequent q-grams of both sides could meet in very many pairs. So that no more than POSTINGS are held at once, text or
+    benchmark are halved until they fit; halves overlap by more than a window and its edits, so that none is lost.
+    """
+    out = [(np.zeros(0, np.int64),) * 3]
+    at, slot = hits(points, windows)
+    todo = [(0, len(points), 0, len(windows.points))]
+    while todo:
+        a, b, low, high = todo.pop()
+        of = slice(*np.searchsorted(at, [a, b]))
+        first = np.searchsorted(windows.posting, (slot[of] << np.int64(32)) | low)
+        times = np.searchsorted(windows.posting, (slot[of] << np.int64(32)) | high) - first
+        if times.sum() > POSTINGS and max(b - a, high - low) > 8 * WINDOW:
+            if b - a >= high - low:
+                middle = (a + b) // 2
+                todo += [(a, middle + 2 * WINDOW, low, high), (middle, b, low, high)]
+            else:
+                middle = (low + high) // 2
+                todo += [(a, b, low, middle + 2 * WINDOW), (a, b, middle, high)]
+        elif len(first):
+            out.append(verified_there(points, *candidates(at[of], first, times, windows), windows))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def verified_there(points: np.ndarray, item: np.ndarray, diagonal: np.ndarray, start: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size, budget = windows.sizes[item], windows.edits[item]
     more = np.minimum(GROUP, windows.lengths[item] - size + 1) - 1
     # No window of a group takes fewer edits than the characters that all of them share, and none `more` edits more.
@@ -206,6 +239,19 @@ def verified(points: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([item[sure], item[open_[fine]]]), np.concatenate([ends[sure], own[fine]]), np.concatenate([ends[sure] + more[sure], own[fine]])
 
 
+def whole_words(points: np.ndarray, windows: Windows) -> list[tuple[int, int, int]]:
+    """(item, start, end) of items too short for a q-gram, where they stand between blanks or ends of a text."""
+    out = []
+    apart = np.concatenate([[True], (points == 32) | (points == PAD), [True]])
+    for m, items in windows.short.items():
+        grams = gram_hashes(points, m)
+        bounded = apart[: len(grams)] & apart[m + 1 :][: len(grams)]
+        for item, own in items:
+            at = np.flatnonzero(bounded & (grams == gram_hashes(own, m)[0]))
+            out += [(item, int(k), int(k) + m) for k in at if (points[k : k + m] == own).all()]
+    return out
+
+
 def regions(texts: list[str], windows: Windows) -> list[list[tuple[int, int, int]]]:
     """For each text: (item, start, end) of the regions found, in its own code points; those of an item that overlap are one."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -217,10 +263,13 @@ def regions(texts: list[str], windows: Windows) -> list[list[tuple[int, int, int
         parts += [points, gap]
         places.append(place)
         at += len(points) + len(gap)
-    if not at or not len(windows.grams):
+    if not at:
         return out
     points, begins = np.concatenate(parts), np.array(begins)
-    item, low, high = verified(points, windows)
+    for item, start, end in whole_words(points, windows):
+        text = int(np.searchsorted(begins, start, side="right")) - 1
+        out[text].append((item, int(places[text][start - begins[text]]), int(places[text][end - 1 - begins[text]]) + 1))
+    item, low, high = verified(points, windows) if len(windows.grams) else ([], [], [])
     for k in range(len(item)):
         text = int(np.searchsorted(begins, low[k] - 1, side="right")) - 1
         place = places[text]
@@ -245,12 +294,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """Adds contaminated (boolean) and regions (array of item, start, end in code points) to every row of `docs`.
 
     A region lies within a tenth of edits of a window, any stretch of 80 normalised characters of an item (the whole item,
-    if shorter; items under 24 characters have to be there unchanged; items under 8 are never found). A region's start is
-    its end minus the window's length; regions of one item that overlap are one. Null texts have no regions, null items are left out, items that repeat count once. Columns of
-    `docs` with these names are replaced.
+    if shorter; items under 24 characters have to be there unchanged, those under 8 as whole words). A region's start is
+    its end minus the window's length; regions of one item that overlap are one. Null texts have no regions, null items
+    are left out, items that repeat count once. Columns of `docs` with these names are replaced; rows that repeat get
+    equal answers; an empty table gives no rows, an empty benchmark no regions.
 
     The benchmark's size is looked at first: up to `chars` characters go to every task at once; a larger one is dealt
-    by hash into parts of about that size, and the documents pass once for each part.
+    by hash into parts of about that size, and the documents pass once for each part, written in between.
     """
     kept = [c for c in docs.columns if c not in {"contaminated", "regions"}]
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
@@ -259,6 +309,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     region = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
     out = docs.select(*kept).withColumn("regions", F.array().cast("array<struct<item:bigint,start:int,end:int>>"))
     for part in range(parts):
+        out = written(out, "pass") if part else out
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         windows = Windows([tuple(r) for r in own.collect()])
         out = out.mapInArrow(passing(docs.sparkSession.sparkContext.broadcast(windows), text_col, region), extended(out.drop("regions"), "regions array<struct<item:bigint,start:int,end:int>>"))

@@ -31,8 +31,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
+def usual_length(rows: DataFrame) -> int | None:
+    """The length that most vectors have, of equally common ones the smaller; null without any."""
+    found = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    return found["size"] if found else None
+
+
 def pivots_of(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """The distinct vectors with the smallest hashes, `n` at most; they go through the driver."""
+    """Of vectors of one length the distinct ones with the smallest hashes, `n` at most; they go through the driver."""
     found = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n).collect()
     return np.array([r["v"] for r in found], np.float64)
 
@@ -47,13 +53,10 @@ def places(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
-def inverted_files(weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pivot: the vectors posted there and their weights."""
-    files = []
-    for p in range(weights.shape[1]):
-        at = np.flatnonzero(weights[:, p])
-        files.append((at, weights[at, p]))
-    return files
+def inverted_files(weights: np.ndarray) -> np.ndarray:
+    """For each pivot the weights of a block's vectors, 0 where one isn't posted. A fourth of the vectors is posted with
+    a pivot, so a full row costs less to add up than lists of places."""
+    return np.ascontiguousarray(weights.T)
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, prefix: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -61,15 +64,17 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     files = inverted_files(places(x, pivots, prefix))
     wanted = min(len(x), max(4 * k, int(np.ceil(share * len(x)))))
     for own, vector, weights in zip(query_ids, q, places(q, pivots, prefix), strict=True):
-        common = np.zeros(len(x), np.int32)
+        common = np.zeros(len(x), np.int16)  # prefix * (prefix + 1) / 2 at most
         for p in np.flatnonzero(weights):
-            at, theirs = files[p]
-            common[at] += np.minimum(theirs, weights[p])
+            common += np.minimum(files[p], weights[p])
         common[ids == own] = -1
         cut = np.partition(common, len(x) - wanted)[len(x) - wanted]
-        near = np.flatnonzero((common >= cut) & (common >= 0))
+        near = np.flatnonzero(common >= max(cut, 0))
         # One row at a time, so that a score doesn't depend on the block's shape.
         scores = np.einsum("ij,j->i", x[near], vector)
+        if len(near) > k:
+            best = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            near, scores = near[best], scores[best]
         best = np.lexsort((ids[near], -scores))[:k]
         yield int(own), ids[near][best], scores[best]
 
@@ -79,19 +84,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     A candidate with the query's own id is left out; ties go to the smaller id; with fewer than k candidates all come.
     Rows that share an id and vector count once, and rows that share an id only are all candidates. Vectors of another
-    length than the pivots' take no part, nor do those that `usable` leaves out. Other columns are ignored.
+    length than the most usual one take no part, nor do those that `usable` leaves out. Other columns are ignored.
 
     Vectors and queries are dealt into blocks of bounded size, however often one vector occurs, and every query block
     meets every vector block; each meeting returns k rows a query at most, which a window then merges.
     """
     rows = checkpointed(usable(vectors, id_col, vector_col).distinct())
     asked = usable(queries, id_col, vector_col).distinct()
-    fitted = pivots_of(rows, pivots)
     schema = "query_id long, vec_id long, score double"
-    if not len(fitted):
+    size = usual_length(rows)
+    if size is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = fitted.shape[1]
     rows, asked = (x.where(F.size("v") == size) for x in (rows, asked))
+    fitted = pivots_of(rows, pivots)
     n_blocks = max(1, -(-rows.count() // block))
     n_queries = max(1, -(-asked.count() // query_block))
     spread = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
@@ -117,5 +122,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search(vectors, vectors.where("vec_id % 20 = 0"))

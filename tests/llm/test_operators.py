@@ -172,7 +172,7 @@ def edit_distance_within(pattern, text):
 
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(7)
-    items = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(n))) for k, n in enumerate((22, 14, 3, 1))] + [(9, None), (10, "")]
+    items = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(n))) for k, n in enumerate((22, 14, 3, 1))] + [(9, None), (10, ""), (11, "Ok!"), (12, "x"), (13, "MAT")]
     texts = list(ODD)
     for _ in range(50):
         _, item = rng.choice(items[:3])
@@ -183,6 +183,9 @@ def test_decontamination_equals_brute_force(spark):
     windows = decontaminate.Windows([x for x in items if x[1]])
     plain = [decontaminate.normalised(t or "")[0].tolist() for t in texts]
     want = {i: {int(item) for item, w, e in zip(windows.items, windows.texts, windows.budget, strict=True) if edit_distance_within(w.tolist(), p) <= e} for i, p in enumerate(plain)}
+    for k, p in enumerate(plain):
+        want[k] |= {item for item, t in items[4:] if t and f" {t.strip('!').lower()} " in f" {''.join(map(chr, p))} "}
+    assert any(11 in x for x in want.values()) and not any(13 in x for x in want.values())
     bench = spark.createDataFrame(items, "item_id long, text string")
     for chars in (decontaminate.BENCHMARK_CHARS, 60):
         got = decontaminate.find_contamination(docs_of(spark, texts), bench, chars=chars).collect()
@@ -190,6 +193,16 @@ def test_decontamination_equals_brute_force(spark):
     assert any(want.values()) and decontaminate.find_contamination(docs_of(spark, texts), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_frequent_qgrams_are_met_in_parts(monkeypatch):
+    rng = random.Random(18)
+    item = sentence(rng, 60)
+    windows = decontaminate.Windows([(1, "a" * 900), (2, "0" * 300 + item), (3, "ab" * 400)])
+    texts = ["a" * 3000, f"{item[40:150]} " + "0" * 500 + item, "ab" * 900 + "c", "b" * 700, "a" * 79 + "b" + "a" * 79]
+    want = decontaminate.regions(texts, windows)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 2000)
+    assert decontaminate.regions(texts, windows) == want and [sorted({x[0] for x in r}) for r in want] == [[1], [2], [3], [], [1]]
+
+
 def test_decontamination_finds_every_stretch():
     rng = random.Random(17)
     item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(40))
@@ -330,6 +343,10 @@ def test_nearest_neighbours(spark):
         assert all(math.isclose(v, s[i], rel_tol=1e-12) for i, v in got[q])
     assert hits / 200 >= 0.9 and len(got) == 20 and [v for v, _ in got[40][:9]] == list(range(50, 59))
     assert permutation_index.search(df.where("false"), df, k=3).count() == 0
+    # Shorter vectors take no part, also where they are nearly half of all; other columns may bear any name.
+    short = df.unionByName(spark.createDataFrame([(1000 + k, [1.0, float(k)]) for k in range(380)], df.schema)).withColumns({"v": F.lit("x"), "id": F.lit(1), "rank": F.lit(2)})
+    again = permutation_index.search(short, short.where("vec_id % 20 = 0"), k=10, pivots=32, prefix=16)
+    assert again.columns == ["query_id", "rank", "vec_id", "score"] and {r["query_id"] for r in again.collect()} == set(range(0, 400, 20)) and again.where("vec_id >= 400").count() == 0
 
 
 def test_url_rules(spark):
