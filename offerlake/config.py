@@ -35,6 +35,7 @@ class Profile:
     references: list[tuple[str, str, list[str], str]] = field(default_factory=list)  # client, period, stack, achievement
     competences: dict[str, list[str]] = field(default_factory=dict)  # category -> names, both in order
     transversal: list[str] = field(default_factory=list)
+    fixed: list[tuple[str, list[str]]] = field(default_factory=list)  # sections that every offer gets: label, competences
     bullets: list[tuple[str, str, int, int, int, str, bool, bool]] = field(default_factory=list)  # kind, block, block order, bullet order, variant order, text, pinned, optional
 
 
@@ -69,6 +70,7 @@ PROFILE = Profile(
         "Streaming": ["Kafka", "Spark / PySpark", "Databricks", "ETL / ELT"],
     },
     transversal=["Autonomie", "Rigueur", "Esprit d'analyse", "Communication", "Travail en équipe"],
+    fixed=[("Langues", ["Français", "Anglais"])],
     bullets=[
         ("experience", "Bank", 1, 1, 0, "Reporting Power BI et DAX", False, False),
         ("experience", "Bank", 1, 1, 1, "Pipelines Python et SQL", False, False),

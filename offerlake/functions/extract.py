@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake import dims
-from offerlake.functions.text import contains_any, deaccent, folded, java_quoted, normalize_key, strip_html
+from offerlake.functions.text import contains_any, deaccent, folded, java_quoted, normalize_key, once, strip_html, table
 
 # The patterns of a daily rate. An amount has three or four digits, perhaps with a thousands separator,
 # and is never cut out of a longer number.
@@ -48,11 +48,6 @@ def plausible(value: Column) -> Column:
     return value.between(*PLAUSIBLE)
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value made once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def any_in(text: Column, words: Sequence[str]) -> Column:
     return reduce(or_, [text.contains(w) for w in words])
 
@@ -147,15 +142,17 @@ def any_name(variants: list[str]) -> str:
     return "(?iuU)" + "|".join(parts)
 
 
-def holds_name(key: Column, variants: list[str]) -> Column:
-    """Does a normalised text hold one of the names between word boundaries? The pattern is only tried on texts that
-    hold the letters of a name at all: a search for fixed bytes costs far less than a pattern at every place."""
-    return any_in(key, sorted({folded(x) for x in variants})) & key.rlike(any_name(variants))
+def named(key: Column, names: dict[str, list[str]]) -> Column:
+    """The names of which a normalised text holds one of the words, or the name itself, between word boundaries; in the
+    order of the list. A pattern is only tried on texts that hold the letters of a word at all."""
+    rows = [{"name": name, "letters": sorted({folded(x) for x in [name, *words]}), "pattern": any_name([name, *words])} for name, words in names.items()]
+    hit = lambda k: lambda n: F.exists(n["letters"], lambda w: F.contains(k, w)) & F.rlike(k, n["pattern"])
+    return once(key, lambda k: F.transform(F.filter(table(rows), hit(k)), lambda n: n["name"]))
 
 
 def extract_skills(key: Column) -> Column:
     """Canonical skills that a normalised text names, in taxonomy order. A skill's own name counts as one of its words."""
-    return F.array_compact(F.array(*[F.when(holds_name(key, [name, *words]), F.lit(name)) for name, words in dims.SKILLS.items()]))
+    return named(key, dims.SKILLS)
 
 
 def core_skill_count(skills: Column) -> Column:
@@ -164,13 +161,7 @@ def core_skill_count(skills: Column) -> Column:
 
 def role_family(title_key: Column, description_key: Column) -> Column:
     """The first family that the title names, else the description, else the generic one."""
-    chains = []
-    for key in (title_key, description_key):
-        out = F
-        for family, words in dims.ROLES.items():
-            out = out.when(holds_name(key, [family, *words]), family)
-        chains.append(out.otherwise(F.lit(None).cast("string")))
-    return F.coalesce(*chains, F.lit(dims.GENERIC_ROLE))
+    return F.coalesce(*[F.get(named(key, dims.ROLES), F.lit(0)) for key in (title_key, description_key)], F.lit(dims.GENERIC_ROLE))
 
 
 def urgent_flag(title: Column, description: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,16 +37,44 @@ def java_quoted(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", text)
 
 
-def names(key: Column, needle: str, bounded_up_to: int = 3) -> Column:
-    """Does a normalised text hold the needle? Needles up to that length stand between word boundaries."""
-    n = folded(needle)
-    return key.rlike(rf"(?U)\b{java_quoted(n)}\b") if len(n) <= bounded_up_to else key.contains(n)
+def sql_literal(value: object) -> str:
+    if isinstance(value, str):
+        return f'r"{value}"' if '"' not in value else "r'" + value + "'"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(sql_literal, value))})"
+    if isinstance(value, dict):
+        return f"named_struct({', '.join(f'{sql_literal(k)}, {sql_literal(v)}' for k, v in value.items())})"
+    return "CAST(NULL AS STRING)" if value is None else f"{value}D" if isinstance(value, float) else str(value).lower()
+
+
+def table(rows: list) -> Column:
+    """A word list or lookup of this package as one literal array. Functions over it keep a plan small, however long the
+    list: one node instead of some for each word."""
+    return F.expr(sql_literal(rows))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def needle(text: str, bounded_up_to: int = 3) -> dict:
+    """How a text is looked for in normalised texts: by its letters, and between word boundaries if it is short."""
+    n = folded(text)
+    return {"text": text, "letters": n, "pattern": rf"(?U)\b{java_quoted(n)}\b" if len(n) <= bounded_up_to else None}
+
+
+def held(key: Column, n: Column) -> Column:
+    """Does a normalised text hold the needle? Patterns are only tried where the letters are."""
+    return F.contains(key, n["letters"]) & F.coalesce(F.rlike(key, n["pattern"]), F.lit(True))
 
 
 def contains_any(key: Column, needles: Sequence[str]) -> Column:
     """The first needle of the list, as written, that the normalised text holds; null if none."""
-    found = [F.when(names(key, n), F.lit(n)) for n in needles if folded(n)]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+    known = [needle(n) for n in needles if folded(n)]
+    if not known:
+        return F.lit(None).cast("string")
+    return once(key, lambda k: F.get(F.filter(table(known), lambda n: held(k, n)), F.lit(0))["text"])
 
 
 @F.pandas_udf(StringType())

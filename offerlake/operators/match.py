@@ -1,26 +1,33 @@
-"""Offers against a profile's inventory: relevance of competences, sections, bullets, interview topics, rates."""
+"""Offers against a profile's inventory: relevance of competences, sections, bullets, interview topics, rates.
+
+An inventory, a profile's bullets and the lookup tables are bounded lists of literals. So everything is worked out on the
+offer's own row, in array columns and functions over them; nothing is exploded, shuffled and grouped again.
+"""
 
 from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
+from operator import add, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerlake import dims
 from offerlake.config import Profile
 from offerlake.functions.extract import role_family
-from offerlake.functions.text import folded, java_quoted, normalize_key
+from offerlake.functions.text import folded, java_quoted, needle, normalize_key, once, table
 from offerlake.schema import settled
 
 # Weights and sizes of the composition.
 TITLE, BODY, BODY_EACH, BODY_MOST, ASKED, EXPECTED, IMPOSED, RANK = 5.0, 1.5, 0.5, 4, 3.0, 1.2, 20.0, 0.01
 BODY_CHARS, SHORT = 8000, 4
 ALL, PER_CATEGORY, CATEGORIES, LEAST, TRANSVERSAL = 12, 4, 5, 2, 4
-OPTIONAL_FROM, BULLETS, TOPICS = 2.0, 6, 6
+OPTIONAL_FROM, BULLETS, TOPICS, GAPS = 2.0, 6, 6, 5
+TRANSVERSAL_LABEL = "Compétences transverses"
+
+RELEVANCE = "array<struct<category:string,cat_ord:int,competence:string,rank:int,score:double>>"
 
 
 def patterns_of(competence: str) -> list[str]:
@@ -34,95 +41,110 @@ def pattern_regex(pattern: str) -> str:
     return rf"(?U)\b{quoted}\b" if len(pattern) <= SHORT else quoted
 
 
+def needles_of(competence: str) -> list[dict]:
+    return [needle(p, SHORT) | {"pattern": pattern_regex(p)} for p in patterns_of(competence)]
+
+
 def with_match_keys(offers: DataFrame) -> DataFrame:
     """title_key, body_key, asked (normalised skills, the matched ones included) and family."""
     asked = F.array_union(F.coalesce("skills", F.array().cast("array<string>")), F.coalesce("score_detail.matched_skills", F.array().cast("array<string>")))
-    keyed = offers.withColumns({"title_key": normalize_key(F.col("title")), "desc_key": normalize_key(F.col("description"))})
-    keyed = settled(keyed)
+    keyed = settled(offers.withColumns({"title_key": normalize_key(F.col("title")), "desc_key": normalize_key(F.col("description"))}))
     return settled(keyed.withColumns({"body_key": F.substring("desc_key", 1, BODY_CHARS), "asked": F.transform(asked, normalize_key), "family": role_family(F.col("title_key"), F.col("desc_key"))}))
 
 
-def relevance_of(competence: str, with_asked: bool = True) -> Column:
-    """Score of one competence for a row with match keys, as a column."""
-    total = F.lit(0.0)
-    if with_asked:
-        families = [f for f, names in dims.EXPECTED.items() if folded(competence) in map(folded, names)]
-        total = total + F.when(F.col("family").isin(families), EXPECTED).otherwise(0.0)
-    for p in patterns_of(competence):
-        rx = pattern_regex(p)
-        count = F.regexp_count("body_key", F.lit(rx))
-        total = total + F.when(F.col("title_key").rlike(rx), TITLE).otherwise(0.0)
-        total = total + F.when(count > 0, BODY + F.least(count, F.lit(BODY_MOST)) * BODY_EACH).otherwise(0.0)
-        if with_asked:
-            total = total + F.when(F.array_contains("asked", p), ASKED).otherwise(0.0)
-    return total
+def relevance_of(title: Column, body: Column, needles: Column, asked: Column | None = None) -> Column:
+    """Score of one competence, from its needles. A body that doesn't hold a needle's letters isn't searched."""
+    count = lambda n: F.when(F.contains(body, n["letters"]), F.regexp_count(body, n["pattern"])).otherwise(0)
+    by_body = lambda c: F.when(c > 0, BODY + F.least(c, F.lit(BODY_MOST)) * BODY_EACH).otherwise(0.0)
+    by_title = lambda n: F.when(F.contains(title, n["letters"]) & F.rlike(title, n["pattern"]), TITLE).otherwise(0.0)
+    by_asked = lambda n: F.when(F.array_contains(asked, n["letters"]), ASKED).otherwise(0.0) if asked is not None else F.lit(0.0)
+    return F.aggregate(needles, F.lit(0.0), lambda a, n: a + by_title(n) + once(count(n), by_body) + by_asked(n))
+
+
+def with_relevance(offers: DataFrame, profile: Profile, imposed: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `rel`: category, cat_ord, competence, rank and score of every competence of the inventory; and `soft`: the
+    transversal skills, those that the offer asks for most first."""
+    forced = {folded(x) for x in imposed if x.strip()}
+    inventory = [
+        {"category": category, "cat_ord": k, "competence": c, "rank": rank, "add": (IMPOSED if folded(c) in forced else 0.0), "families": [f for f, own in dims.EXPECTED.items() if folded(c) in map(folded, own)] or [""], "needles": needles_of(c)}
+        for k, (category, competences) in enumerate(profile.competences.items())
+        for rank, c in enumerate(competences)
+    ]
+    soft = [{"ord": i, "skill": t, "needles": needles_of(t)} for i, t in enumerate(profile.transversal)]
+    title, body = F.col("title_key"), F.col("body_key")
+    expected = lambda x: F.when(F.array_contains(x["families"], F.col("family")), EXPECTED).otherwise(0.0)
+    score = lambda x: expected(x) + relevance_of(title, body, x["needles"], F.col("asked")) + x["add"] - x["rank"] * RANK
+    rel = F.transform(table(inventory), lambda x: F.struct(x["category"].alias("category"), x["cat_ord"].alias("cat_ord"), x["competence"].alias("competence"), x["rank"].alias("rank"), score(x).alias("score"))) if inventory else F.array()
+    wanted = F.transform(table(soft), lambda x: F.struct((x["ord"] * RANK - relevance_of(title, body, x["needles"])).alias("neg"), x["ord"].alias("ord"), x["skill"].alias("skill"))) if soft else F.array()
+    out = with_match_keys(offers).withColumns({"rel": rel.cast(RELEVANCE), "soft": F.array_sort(wanted.cast("array<struct<neg:double,ord:int,skill:string>>"))})
+    return settled(out.drop("title_key", "desc_key", "body_key", "asked", "family"))
 
 
 def competence_relevance(offers: DataFrame, profile: Profile, imposed: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each offer and competence of the inventory: id, category, cat_ord, competence, rank, score.
+    """One row for each offer and competence of the inventory: id, category, cat_ord, competence, rank, score."""
+    return with_relevance(offers, profile, imposed).select("id", F.inline("rel"))
 
-    The inventory is a bounded list of literals, so its scores are columns of the offer's row and become rows after the
-    text has been left behind.
-    """
-    forced = {folded(x) for x in imposed if x.strip()}
-    rows = []
-    for cat_ord, (category, competences) in enumerate(profile.competences.items()):
-        for rank, c in enumerate(competences):
-            score = relevance_of(c) + F.lit((IMPOSED if folded(c) in forced else 0.0)) - F.lit(rank * RANK)
-            rows.append(F.struct(F.lit(category).alias("category"), F.lit(cat_ord).alias("cat_ord"), F.lit(c).alias("competence"), F.lit(rank).alias("rank"), score.alias("score")))
-    return with_match_keys(offers).select("id", F.inline(F.array(*rows)))
-
-
-def transversal_top(offers: DataFrame, profile: Profile, n: int = TRANSVERSAL) -> DataFrame:
-    """id, skill, pos: the transversal skills that an offer asks for most."""
-    rows = [F.struct(F.lit(t).alias("skill"), F.lit(i).alias("ord"), (relevance_of(t, with_asked=False) - F.lit(i * RANK)).alias("score")) for i, t in enumerate(profile.transversal)]
-    flat = with_match_keys(offers).select("id", F.inline(F.array(*rows)))
-    pos = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "ord"))
-    return flat.withColumn("pos", pos).where(F.col("pos") <= n).select("id", "skill", "pos", "score")
-
-
-def select_rubrics(relevance: DataFrame) -> DataFrame:
-    """The competences kept for an offer: positive ones, then their categories' others, then the rest; four of a
-    category and twelve in all, with their place in `pos`."""
-    order = [F.desc("score"), F.asc("cat_ord"), F.asc("rank")]
-    opened = F.max("score").over(W.partitionBy("id", "category")) > 0
-    passed = relevance.withColumn("pass", F.when(F.col("score") > 0, 1).when(opened, 2).otherwise(3))
-    in_category = passed.withColumn("k", F.row_number().over(W.partitionBy("id", "category").orderBy("pass", *order))).where(F.col("k") <= PER_CATEGORY)
-    return in_category.withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("pass", *order))).where(F.col("pos") <= ALL).drop("k")
-
-
-def compose_rubrics(relevance: DataFrame) -> DataFrame:
-    """id, line, category, competences: the five best categories, each with two competences at least, filled up to
-    twelve. The fill goes line by line, so an offer's inventory (a bounded group) is handled in one call."""
-
-    def fill(own: pd.DataFrame) -> pd.DataFrame:
-        ranked = own.sort_values(["score", "cat_ord", "rank"], ascending=[False, True, True])
-        chosen = own[own["pos"] > 0].sort_values(["score", "cat_ord", "rank"], ascending=[False, True, True])
-        lines = [[c, list(g["competence"])] for c, g in chosen.groupby("category", sort=False)][:CATEGORIES]
-
-        def extend(line: list, size: int) -> None:
-            more = [c for c in ranked.loc[ranked["category"] == line[0], "competence"] if c not in line[1]]
-            line[1] += more[: max(0, size - len(line[1]))]
-
-        for line in lines:
-            extend(line, LEAST)
-        lines = [x for x in lines if len(x[1]) >= LEAST]
-        for line in lines:
-            left = ALL - sum(len(x[1]) for x in lines)
-            if left <= 0:
-                break
-            extend(line, min(PER_CATEGORY, len(line[1]) + left))
-        return pd.DataFrame([(own["id"].iloc[0], k, c, names) for k, (c, names) in enumerate(lines, 1)], columns=["id", "line", "category", "competences"])
-
-    chosen = select_rubrics(relevance).select("id", "competence", "pos")
-    marked = relevance.join(chosen, ["id", "competence"], "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
-    return marked.groupBy("id").applyInPandas(fill, "id string, line int, category string, competences array<string>")
+
+def transversal_top(n: int = TRANSVERSAL) -> Column:
+    """array<string> from `soft`."""
+    return F.transform(F.slice("soft", 1, n), lambda x: x["skill"])
+
+
+def ranked(rel: Column) -> Column:
+    """The competences by falling score; the inventory's order settles ties."""
+    return F.array_sort(F.transform(rel, lambda x: F.struct((0.0 - x["score"]).alias("neg"), x["cat_ord"].alias("cat_ord"), x["rank"].alias("rank"), x["category"].alias("category"), x["competence"].alias("competence"), x["score"].alias("score"))))
+
+
+def select_rubrics(rel: Column) -> Column:
+    """The competences kept for an offer, in order: positive ones, then their categories' others, then the rest; four of
+    a category and twelve in all."""
+
+    def passed(own: Column) -> Column:
+        step = lambda x: F.when(x["score"] > 0, 1).when(F.exists(own, lambda y: (y["category"] == x["category"]) & (y["score"] > 0)), 2).otherwise(3)
+        return F.array_sort(F.transform(own, lambda x: F.struct(step(x).alias("pass"), x.alias("x"))))
+
+    def cut(own: Column) -> Column:
+        before = lambda x, i: F.size(F.filter(F.slice(own, F.lit(1), i), lambda y: y["x"]["category"] == x["x"]["category"]))
+        return F.transform(F.slice(F.filter(own, lambda x, i: before(x, i) < PER_CATEGORY), 1, ALL), lambda x: x["x"])
+
+    return once(once(ranked(rel), passed), cut)
+
+
+def compose_rubrics(rel: Column, profile: Profile) -> Column:
+    """array<struct(label, competences)>: the transversal skills, the fixed sections, then the five best categories, each
+    with two competences at least, filled up to twelve from the best category on. Without an inventory only the fixed
+    sections."""
+    section = lambda label, own: F.struct(label.alias("label"), own.alias("competences"))
+    shape = "array<struct<label:string,competences:array<string>>>"
+    fixed = F.array(*[section(F.lit(label), F.array(*map(F.lit, own))) for label, own in profile.fixed]).cast(shape)
+    if not any(profile.competences.values()):
+        return fixed
+    soft = F.array(*([section(F.lit(TRANSVERSAL_LABEL), transversal_top())] if profile.transversal else [])).cast(shape)
+    named = lambda own, category: F.transform(F.filter(own, lambda x: x["category"] == category), lambda x: x["competence"])
+
+    def lines(both: Column) -> Column:
+        categories = F.slice(F.array_distinct(F.transform(both["chosen"], lambda x: x["category"])), 1, CATEGORIES)
+        own = F.transform(categories, lambda k: F.struct(k.alias("label"), named(both["chosen"], k).alias("own"), F.array_except(named(both["all"], k), named(both["chosen"], k)).alias("more")))
+        own = F.filter(own, lambda x: F.size(x["own"]) + F.size(x["more"]) >= LEAST)
+        return F.transform(own, lambda x: F.struct(x["label"], F.concat(x["own"], x["more"]).alias("competences"), F.greatest(F.size(x["own"]), F.least(F.size(x["own"]) + F.size(x["more"]), F.lit(LEAST))).alias("size")))
+
+    def filled(own: Column) -> Column:
+        room = lambda x: F.greatest(F.least(F.size(x["competences"]), F.lit(PER_CATEGORY)) - x["size"], F.lit(0))
+        left = F.lit(ALL) - F.aggregate(own, F.lit(0), lambda a, x: a + x["size"])
+        before = lambda i: F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + room(x))  # noqa: E731  what the lines before take, if there is as much
+        more = lambda x, i: F.greatest(F.least(room(x), left - before(i)), F.lit(0))
+        return F.transform(own, lambda x, i: section(x["label"], F.slice(x["competences"], F.lit(1), x["size"] + more(x, i))))
+
+    by_score = lambda own: F.array_sort(own)  # noqa: E731  neg, cat_ord and rank come first
+    both = F.struct(by_score(select_rubrics(rel)).alias("chosen"), ranked(rel).alias("all"))
+    return F.concat(soft, fixed, once(once(both, lines), filled).cast(shape))
 
 
 def tools_named(key: Column, profile: Profile) -> Column:
     """Competences of the inventory that a normalised text names, in the inventory's order."""
-    named = [F.when(key.rlike("|".join(map(pattern_regex, patterns_of(c)))), F.lit(c)) for own in profile.competences.values() for c in own]
-    return F.array_compact(F.array(*named))
+    rows = [{"name": c, "needles": needles_of(c)} for own in profile.competences.values() for c in own]
+    hit = lambda k: lambda x: F.exists(x["needles"], lambda n: F.contains(k, n["letters"]) & F.rlike(k, n["pattern"]))
+    return once(key, lambda k: F.transform(F.filter(table(rows), hit(k)), lambda x: x["name"]))
 
 
 def bullet_tools(profile: Profile) -> list[tuple[str, str, int, int, int, str, bool, bool, list[str]]]:
@@ -136,97 +158,116 @@ def bullet_tools(profile: Profile) -> list[tuple[str, str, int, int, int, str, b
     return out
 
 
-BULLET = "kind string, block string, block_ord int, bullet_ord int, variant_ord int, text string, pinned boolean, optional boolean, tools array<string>"
+BULLET = ("kind", "block", "block_ord", "bullet_ord", "variant_ord", "text", "pinned", "optional")
+
 
+def bullet_variants(rel: Column, profile: Profile) -> Column:
+    """Of each bullet the variant that fits best (the original wins ties), with its tools and score."""
+    groups: dict[tuple, list[tuple]] = {}
+    for b in bullet_tools(profile):
+        groups.setdefault((b[0], b[1], b[7], b[3]), []).append(b)
 
-def bullet_variants(relevance: DataFrame, profile: Profile) -> DataFrame:
-    """For each offer and bullet the variant that fits best; the original wins ties."""
-    bullets = relevance.sparkSession.createDataFrame(bullet_tools(profile), BULLET)
-    demand = relevance.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("competence", F.greatest("score", F.lit(0.0)).alias("score")))).alias("demand"))
-    scored = demand.join(F.broadcast(bullets), F.lit(True)).withColumn("score", F.aggregate("tools", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("demand", t), F.lit(0.0))))  # the bullets of one profile
-    best = F.row_number().over(W.partitionBy("id", "kind", "block", "optional", "bullet_ord").orderBy(F.desc("score"), "variant_ord"))
-    return scored.withColumn("k", best).where("k = 1").drop("k", "demand")
+    def best(demand: Column, variants: list[tuple]) -> Column:
+        made = []
+        for b in variants:
+            score = reduce(add, [F.coalesce(F.try_element_at(demand, F.lit(t)), F.lit(0.0)) for t in b[8]], F.lit(0.0))
+            made.append(F.struct((0.0 - F.round(score, 6)).alias("neg"), F.lit(b[4]).alias("at"), *[F.lit(x).alias(k) for k, x in zip(BULLET, b, strict=False)], F.array(*map(F.lit, b[8])).cast("array<string>").alias("tools"), score.alias("score")))
+        return F.get(F.array_sort(F.array(*made)), F.lit(0))
 
+    demand = F.map_from_entries(F.transform(rel, lambda x: F.struct(x["competence"], F.greatest(x["score"], F.lit(0.0)).alias("score"))))
+    return once(demand, lambda d: F.array(*[best(d, own) for own in groups.values()]))
 
-def bullet_order(variants: DataFrame) -> DataFrame:
-    """The bullets shown in each block, in order: pinned ones first, then by score; optional ones only if asked for."""
-    shown = variants.where(~F.col("optional") | (F.col("score") >= OPTIONAL_FROM))
-    pos = F.row_number().over(W.partitionBy("id", "kind", "block").orderBy(F.desc("pinned"), F.desc("score"), "optional", "bullet_ord"))
-    return shown.withColumn("pos", pos).where(F.col("pos") <= BULLETS)
 
+def bullet_order(variants: Column, profile: Profile) -> Column:
+    """Blocks with the bullets shown, in order: pinned ones first, then by score; optional ones only if asked for; with
+    the sum of their scores. Blocks without any stay out."""
 
-def block_scores(ordered: DataFrame) -> DataFrame:
-    return ordered.groupBy("id", "kind", "block", "block_ord").agg(F.sum("score").alias("block_score"))
+    def block(own: Column, kind: str, name: str, ord_: int) -> Column:
+        here = F.filter(own, lambda x: (x["kind"] == kind) & (x["block"] == name) & (~x["optional"] | (x["score"] >= OPTIONAL_FROM)))
+        shown = F.transform(here, lambda x: F.struct((~x["pinned"]).alias("late"), x["neg"].alias("neg"), x["optional"].alias("extra"), x["bullet_ord"].alias("ord"), x.alias("b")))
+        bullets = F.transform(F.slice(F.array_sort(shown), 1, BULLETS), lambda x: x["b"])
+        return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("block"), F.lit(ord_).alias("block_ord"), bullets.alias("bullets"))
 
+    names = dict.fromkeys((b[0], b[1], b[2]) for b in profile.bullets)
+    blocks = once(variants, lambda own: F.array(*[block(own, *k) for k in names]))
+    total = lambda x: F.aggregate(x["bullets"], F.lit(0.0), lambda a, b: a + b["score"])
+    return F.transform(F.filter(blocks, lambda x: F.size(x["bullets"]) > 0), lambda x: F.struct(x["kind"], x["block"], x["block_ord"], x["bullets"], total(x).alias("block_score")))
 
-def block_order(scores: DataFrame) -> DataFrame:
-    """Experiences keep their order; projects go by score."""
-    by = F.when(F.col("kind") == "project", -F.col("block_score")).otherwise(0.0)
-    return scores.withColumn("pos", F.row_number().over(W.partitionBy("id", "kind").orderBy(by, "block_ord")))
 
+def block_order(blocks: Column, profile: Profile) -> Column:
+    """Blocks with their place among those of their kind: experiences keep their order, projects go by score."""
+    by = lambda x: F.when(x["kind"] == "project", 0.0 - F.round(x["block_score"], 6)).otherwise(0.0)
+    own = lambda kind: F.array_sort(F.transform(F.filter(blocks, lambda x: x["kind"] == kind), lambda x: F.struct(by(x).alias("by"), x["block_ord"].alias("ord"), x["block"].alias("block"))))
+    kinds = dict.fromkeys(b[0] for b in profile.bullets)
+    return F.concat(*[F.transform(own(k), lambda x, i: F.struct(x["block"], (i + 1).alias("pos"))) for k in kinds])
 
-def adaptation_summary(ordered: DataFrame) -> DataFrame:
+
+def adaptation_summary(blocks: Column) -> Column:
     """Of each block the first bullet with a positive score."""
-    first = F.row_number().over(W.partitionBy("id", "kind", "block").orderBy("pos"))
-    return ordered.where("score > 0").withColumn("k", first).where("k = 1").select("id", "kind", "block", F.array_join("tools", ", ").alias("tools"), "optional")
+    first = lambda x: F.get(F.filter(x["bullets"], lambda b: b["score"] > 0), F.lit(0))
+    return F.filter(F.transform(blocks, lambda x: first(x)), lambda b: b.isNotNull())
 
 
-def key_topics(relevance: DataFrame, n: int = TOPICS) -> DataFrame:
-    pos = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "cat_ord", "rank"))
-    return relevance.where("score > 0").withColumn("pos", pos).where(F.col("pos") <= n).select("id", "pos", F.col("competence").alias("topic"), "score")
+def key_topics(rel: Column, n: int = TOPICS) -> Column:
+    """The best competences with a positive score."""
+    return F.transform(F.slice(F.filter(ranked(rel), lambda x: x["score"] > 0), 1, n), lambda x: x["competence"])
 
 
-def pairs_table(like: DataFrame, table: dict[str, list[str]], left: str, right: str) -> DataFrame:
-    """A lookup of this package (a few dozen rows) as a table."""
-    rows = [(a, b, k) for a, own in table.items() for k, b in enumerate(own)]
-    return like.sparkSession.createDataFrame(rows, f"{left} string, {right} string, ord int")
+def looked_up(entries: dict[str, list[str]], key: Column) -> Column:
+    """A lookup of this package (a few dozen entries), empty for unknown keys."""
+    rows = table([{"key": k, "own": own} for k, own in entries.items()])
+    return F.coalesce(F.try_element_at(F.map_from_entries(rows), key), F.array().cast("array<string>"))
 
 
-def adjacent_topics(topics: DataFrame) -> DataFrame:
+def adjacent_topics(topics: Column) -> Column:
     """What the topics of an offer imply and it doesn't cite, in order of first mention."""
-    edges = F.broadcast(pairs_table(topics, dims.ADJACENT, "topic", "implied"))
-    found = topics.join(edges, "topic").groupBy("id", "implied").agg(F.min(F.struct("pos", "ord")).alias("at"))
-    new = found.join(topics.select("id", F.col("topic").alias("implied")), ["id", "implied"], "left_anti")
-    return new.select("id", F.row_number().over(W.partitionBy("id").orderBy("at")).alias("pos"), F.col("implied").alias("topic"))
+    return F.array_except(F.flatten(F.transform(topics, lambda t: looked_up(dims.ADJACENT, t))), topics)
+
+
+def numbered(topics: Column, first: int = 1) -> Column:
+    return F.transform(topics, lambda t, i: F.struct((i + first).alias("pos"), t.alias("topic")))
+
 
+def topic_questions(topics: Column) -> Column:
+    """Of numbered topics: pos, topic, ord, question."""
+    return F.flatten(F.transform(topics, lambda t: F.transform(looked_up(dims.QUESTIONS, t["topic"]), lambda q, k: F.struct(t["pos"].alias("pos"), t["topic"].alias("topic"), k.alias("ord"), q.alias("question")))))
 
-def topic_questions(topics: DataFrame) -> DataFrame:
-    return topics.join(F.broadcast(pairs_table(topics, dims.QUESTIONS, "topic", "question")), "topic").select("id", "pos", "topic", "ord", "question")
 
+def skill_gaps() -> Column:
+    """Required skills that the profile lacks."""
+    return F.coalesce("score_detail.missing_skills", F.array().cast("array<string>"))
 
-def revision_plan(gaps: DataFrame, topics: DataFrame, implied: DataFrame) -> DataFrame:
-    """Gaps, then cited, then implied topics that have revision points; each once, six at most."""
+
+def revision_plan(gaps: Column, topics: Column, implied: Column) -> Column:
+    """Gaps, then cited, then implied topics that have revision points; each once, six at most: topic, reason."""
     known = F.array(*map(F.lit, dims.REVISION_TOPICS))
-    rows = None
-    for k, (part, reason) in enumerate(((gaps, "gap"), (topics, "cited"), (implied, "implied"))):
-        own = part.where(F.array_contains(known, F.col("topic"))).select("id", "topic", F.struct(F.lit(k).alias("k"), "pos", F.lit(reason).alias("reason")).alias("at"))
-        rows = own if rows is None else rows.unionByName(own)
-    first = rows.groupBy("id", "topic").agg(F.min("at").alias("at"))
-    return first.withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("at.k", "at.pos"))).where(F.col("pos") <= TOPICS).select("id", "pos", "topic", F.col("at.reason").alias("reason"))
+    first = F.array_intersect(gaps, known)
+    second = F.array_except(F.array_intersect(topics, known), first)
+    third = F.array_except(F.array_except(F.array_intersect(implied, known), first), second)
+    part = lambda own, why: F.transform(own, lambda t: F.struct(t.alias("topic"), F.lit(why).alias("reason")))
+    return F.slice(F.concat(part(first, "gap"), part(second, "cited"), part(third, "implied")), 1, TOPICS)
 
 
-def skill_gaps(offers: DataFrame) -> DataFrame:
-    """id, pos, topic: required skills that the profile lacks."""
-    return offers.select("id", F.posexplode("score_detail.missing_skills").alias("pos", "topic")).withColumn("pos", F.col("pos") + 1)
+def agree(topic: Column, tool: Column) -> Column:
+    """Does one of two names hold the other?"""
+    return F.contains(F.lower(topic), F.lower(tool)) | F.contains(F.lower(tool), F.lower(topic))
 
 
-def evidence(topics: DataFrame, profile: Profile) -> DataFrame:
-    """References whose stack holds a topic or is held by one, with the tools in common."""
-    refs = [(k, client, t, i) for k, (client, _, stack, _) in enumerate(profile.references) for i, t in enumerate(stack)]
-    stack = F.broadcast(topics.sparkSession.createDataFrame(refs, "ref int, client string, tool string, ord int"))
-    met = topics.join(stack, F.lower("topic").contains(F.lower("tool")) | F.lower("tool").contains(F.lower("topic")))
-    once = met.select("id", "ref", "client", "tool", "ord").distinct()
-    return once.groupBy("id", "ref", "client").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tool"))), lambda x: x["tool"]), ", ").alias("tools"))
+def evidence(topics: Column, profile: Profile) -> Column:
+    """References whose stack holds a topic or is held by one, with the tools in common: ref, client, tools."""
+    if not profile.references:
+        return F.array().cast("array<struct<ref:int,client:string,tools:string,n:int>>")
+    rows = table([{"ref": k, "client": client, "stack": list(stack) or [None]} for k, (client, _, stack, _) in enumerate(profile.references)])
+    common = lambda x: F.filter(x["stack"], lambda tool: F.exists(topics, lambda t: agree(t, tool)))
+    found = F.transform(rows, lambda x: F.struct(x["ref"].alias("ref"), x["client"].alias("client"), common(x).alias("own")))
+    return F.transform(F.filter(found, lambda x: F.size(x["own"]) > 0), lambda x: F.struct(x["ref"], x["client"], F.array_join(x["own"], ", ").alias("tools"), F.size(x["own"]).alias("n")))
 
 
 def experience_proof(profile: Profile, competence: Column) -> Column:
     """The client of the first reference that proves a competence, else a default."""
-    own, out = F.lower(competence), F.lit("default")
+    out = F.lit("default")
     for client, _, stack, _ in reversed(profile.references):
-        hit = F.lit(False)
-        for tool in stack:
-            hit = hit | own.contains(tool.lower()) | F.lit(tool.lower()).contains(own)
-        out = F.when(hit, client).otherwise(out)
+        out = F.when(reduce(or_, [agree(competence, F.lit(tool)) for tool in stack], F.lit(False)), client).otherwise(out)
     return out
 
 
@@ -238,10 +279,9 @@ def proposed_rate(profile: Profile) -> Column:
     return F.when(offered.isNull(), target).otherwise(F.coalesce(aligned, F.greatest(F.lit(floor), F.least(F.lit(target), offered))))
 
 
-def availability(profile: Profile, as_of: datetime) -> Column:
-    if profile.available_from is None:
-        return F.lit("two_weeks")
-    return F.lit("now") if profile.available_from <= as_of.date() else F.lit(profile.available_from.isoformat())
+def availability(available_from: Column, as_of: datetime) -> Column:
+    """now for a past day, the day itself for a coming one, two_weeks without one."""
+    return F.when(available_from.isNull(), "two_weeks").when(available_from <= F.lit(as_of.date()), "now").otherwise(F.date_format(available_from, "yyyy-MM-dd"))
 
 
 def highlights(profile: Profile, n: int = 5) -> Column:
@@ -258,23 +298,19 @@ def watch_flags(profile: Profile, truncated: Column) -> dict[str, Column]:
     return {"watch_rate": F.lit(bool(profile.rate_target)), "rate_shown": rate.isNotNull(), "watch_gaps": F.size("score_detail.missing_skills") > 0, "watch_duration": F.coalesce(F.col("duration_months") > 0, F.lit(False)), "watch_truncated": truncated}
 
 
-def interview_pack(relevance: DataFrame, offers: DataFrame, profile: Profile) -> DataFrame:
-    """id, section, pos, item, reason over topics, implied topics, questions, gap questions, revision and evidence."""
-    topics = key_topics(relevance)
-    implied, gaps = adjacent_topics(topics), skill_gaps(offers)
-    asked = topics.select("id", "pos", "topic").unionByName(implied.select("id", (F.col("pos") + 100).alias("pos"), "topic"))
-    line = lambda df, section, pos, item, reason: df.select("id", F.lit(section).alias("section"), pos.cast("int").alias("pos"), item.alias("item"), reason.alias("reason"))
-    empty = F.lit("")
+def interview_pack(offers: DataFrame, profile: Profile) -> DataFrame:
+    """id, section, pos, item, reason over topics, implied topics, questions, gap questions, revision and evidence, for
+    offers with `rel`. One pass over the offers."""
+    rows = settled(offers.select("id", skill_gaps().alias("gaps"), key_topics(F.col("rel")).alias("topics")))
+    rows = settled(rows.withColumn("implied", adjacent_topics(F.col("topics"))))
+    line = lambda section, pos, item, reason=None: F.struct(F.lit(section).alias("section"), pos.cast("int").alias("pos"), item.alias("item"), (F.lit("") if reason is None else reason).alias("reason"))
+    asked = F.concat(numbered(F.col("topics")), numbered(F.col("implied"), 101))
     parts = [
-        line(topics, "topic", F.col("pos"), F.col("topic"), empty),
-        line(implied, "implied", F.col("pos"), F.col("topic"), empty),
-        line(topic_questions(asked), "question", F.col("pos") * 10 + F.col("ord"), F.col("question"), F.col("topic")),
-        line(gaps.where(F.col("pos") <= 5), "gap_question", F.col("pos"), F.col("topic"), empty),
-        line(revision_plan(gaps, topics, implied), "revision", F.col("pos"), F.col("topic"), F.col("reason")),
-        line(evidence(topics, profile), "evidence", F.col("ref"), F.col("client"), F.col("tools")),
+        F.transform("topics", lambda t, i: line("topic", i + 1, t)),
+        F.transform("implied", lambda t, i: line("implied", i + 1, t)),
+        F.transform(topic_questions(asked), lambda x: line("question", x["pos"] * 10 + x["ord"], x["question"], x["topic"])),
+        F.transform(F.slice("gaps", 1, GAPS), lambda t, i: line("gap_question", i + 1, t)),
+        F.transform(revision_plan(F.col("gaps"), F.col("topics"), F.col("implied")), lambda x, i: line("revision", i + 1, x["topic"], x["reason"])),
+        F.transform(evidence(F.col("topics"), profile), lambda x: line("evidence", x["ref"], x["client"], x["tools"])),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+    return rows.select("id", F.inline(F.concat(*parts)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerlake.config import LEVEL_WEIGHTS, NO_SKILLS_CAP, UNWEIGHTED, Config, Profile
@@ -12,6 +13,7 @@ from offerlake.functions.dates import age_days, daily_rate
 from offerlake.functions.extract import extract_skills
 from offerlake.functions.text import folded, normalize_key
 from offerlake.schema import settled
+from offerlake.storage import written
 
 SIGNALS = ("skills_match", "daily_rate", "remote", "freshness", "duration")
 
@@ -107,3 +109,15 @@ def score_offers(offers: DataFrame, profile: Profile, cfg: Config, as_of: dateti
 
 def score_band(score: Column, threshold: float) -> Column:
     return F.when(score >= threshold, "high").when(score >= threshold - 15, "middle").otherwise("low")
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds pos, the place in the whole table, without sorting it in one task: a global range sort, written with each
+    row's partition and place in it, so that a task that runs again can't change them; then the rows before each
+    partition are added."""
+    at = rows.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    at = written(at, "ranked")
+    sizes = at.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = sizes.select("__part", "__first", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a partition
+    out = at.join(F.broadcast(before), "__part")  # as many rows as the sort had partitions
+    return out.withColumn("pos", F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__before")

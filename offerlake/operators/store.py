@@ -58,11 +58,11 @@ def save_applications(applications: DataFrame, offers: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when((F.col("status") == "new") & F.col("__status").isNotNull(), F.col("__status")).otherwise(F.col("status"))).drop("__status", "offer_id")
 
 
-def get_application(applications: DataFrame, offer_id: str) -> DataFrame:
-    """The application of an offer, texts empty and lists empty where null."""
+def get_application(applications: DataFrame, wanted: Column) -> DataFrame:
+    """The applications of the wanted offers, texts empty and lists empty where null."""
     texts = {c: F.coalesce(c, F.lit("")) for c in ("subject", "notes") if c in applications.columns}
     lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("highlights", "gaps") if c in applications.columns}
-    return applications.where(F.col("offer_id") == offer_id).withColumns(texts | lists)
+    return applications.where(wanted).withColumns(texts | lists)
 
 
 def list_offers(offers: DataFrame, min_score: float = 0, status: str | None = None, source: str | None = None, new_only: bool = False, starred_only: bool = False, include_discarded: bool = False, limit: int | None = 50) -> DataFrame:
@@ -96,12 +96,11 @@ def counts_by(offers: DataFrame, column: str) -> DataFrame:
     return offers.where(~F.coalesce("discarded", F.lit(False))).groupBy(column).agg(F.count("*").alias("n"))
 
 
-def report_stats(offers: DataFrame, listed: DataFrame) -> DataFrame:
+def report_stats(offers: DataFrame, listed: Column) -> DataFrame:
     """Total, new, drafted and sent offers that aren't discarded, and the mean score of the listed ones (0 if none)."""
     shown = offers.where(~F.coalesce("discarded", F.lit(False)))
-    counts = shown.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("new", "drafted", "sent")])
-    mean = listed.agg(F.coalesce(F.round(F.avg("score")).cast("long"), F.lit(0)).alias("avg_score"))
-    return counts.join(mean, F.lit(True))  # one row each
+    mean = F.coalesce(F.round(F.avg(F.when(listed, F.col("score")))).cast("long"), F.lit(0)).alias("avg_score")
+    return shown.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("new", "drafted", "sent")], mean)
 
 
 def last_run_at(runs: DataFrame) -> DataFrame:

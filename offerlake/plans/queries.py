@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from offerlake import dims
+from offerlake import dims, storage
 from offerlake.config import AS_OF, CONFIG, PROFILE
 from offerlake.fixture import fx, offers
 from offerlake.functions import dates, extract, text
@@ -46,6 +46,11 @@ def on(kind: str, name: str, columns: Callable[[], dict], sql: str, source: Call
 c = F.col
 
 
+def at_places(rows: DataFrame, values: Column, name: str) -> DataFrame:
+    """id, pos (from 1) and the values of an array."""
+    return rows.select("id", F.posexplode(values).alias("pos", name)).select("id", (c("pos") + 1).alias("pos"), name)
+
+
 def keyed_fx(s: SparkSession, d: str) -> DataFrame:
     """The derived offers with their normalised texts, made once for each row."""
     blob = F.concat_ws("\n", "title", "description", "location")
@@ -111,7 +116,7 @@ for name, column, sql in (
     ("filter_rate", lambda: filters.rejects_rate(CONFIG), PREDICATES["rate"]),
     ("filter_location_block", lambda: filters.blocked_location(CONFIG), PREDICATES["blocked"]),
     ("filter_location_allow", lambda: filters.rejects_location(CONFIG), PREDICATES["location"]),
-    ("filter_remote_only", lambda: ~c("remote").isin("full_remote", "hybrid"), "remote NOT IN ('full_remote', 'hybrid')"),
+    ("filter_remote_only", lambda: filters.rejects_onsite(replace(CONFIG, remote_only=True)), "remote NOT IN ('full_remote', 'hybrid')"),
 ):
     on("keyed", name, lambda column=column: {"result": column()}, FX_SQL + f"SELECT seq, {sql} AS result FROM e2", source=keyed)
 judged = lambda s, d: filters.judged(facts(offers(s, d)), CONFIG, AS_OF)
@@ -140,7 +145,7 @@ query("score_explain", SCORED_SQL + """SELECT seq, array_to_string(matched, ',')
     lambda s, d: scored_all(s, d).select("seq", joined("score_detail.matched_skills").alias("matched"), joined("score_detail.missing_skills").alias("missing"), joined("score_detail.ignored_signals").alias("ignored"))
 )
 query("score_band", SCORED_SQL + "SELECT seq, CASE WHEN score_raw >= 65 THEN 'high' WHEN score_raw >= 50 THEN 'middle' ELSE 'low' END AS band FROM s")(lambda s, d: scored_all(s, d).select("seq", score.score_band(c("score_raw"), CONFIG.apply_threshold).alias("band")))
-query("rank_offers", SCORED_SQL + "SELECT seq, row_number() OVER (ORDER BY round(score_raw, 6) DESC, seq) AS pos FROM s")(lambda s, d: ranked(scored_all(s, d)))
+query("rank_offers", SCORED_SQL + "SELECT seq, row_number() OVER (ORDER BY round(score_raw, 6) DESC, seq) AS pos FROM s")(lambda s, d: score.ranked(scored_all(s, d).select("seq", F.round("score_raw", 6).alias("score")), F.desc("score"), F.asc("seq")).select("seq", "pos"))
 CAMPAIGN_SQL = DECIDED_SQL + ", k AS (SELECT * FROM d WHERE decision = 'kept') " + scored("k")
 kept = lambda s, d: campaign(offers(s, d), CONFIG, PROFILE, AS_OF)
 query("campaign", CAMPAIGN_SQL + "SELECT seq, id, source, title, company, contract, remote, lo AS daily_rate_min, hi AS daily_rate_max, months AS duration_months, array_to_string(skills, ',') AS skills, round(score_raw, 6) AS score FROM s")(
@@ -149,15 +154,6 @@ query("campaign", CAMPAIGN_SQL + "SELECT seq, id, source, title, company, contra
 query("top_offers", CAMPAIGN_SQL + "SELECT seq, round(score_raw, 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT 20")(lambda s, d: kept(s, d).select("seq", F.round("score_raw", 6).alias("score")).orderBy(F.desc("score"), "seq").limit(20))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Places over all rows without sorting them in one task: a global range sort, the rows before each partition
-    counted, and the place within the partition added."""
-    ordered = rows.select("seq", F.round("score_raw", 6).alias("score")).orderBy(F.desc("score"), "seq").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = sizes.withColumn("before", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # one row a partition
-    return ordered.join(F.broadcast(before.select("part", "first", "before")), "part").select("seq", (F.coalesce("before", F.lit(0)) + c("at") - c("first") + 1).alias("pos"))
-
-
 # ---- store ----
 status_of = lambda: F.element_at(F.array(*map(F.lit, dims.STATUSES)), (c("seq") % 8 + 1).cast("int"))
 STATUS_SQL = f"({texts(dims.STATUSES)})[seq % 8 + 1]"
@@ -165,8 +161,11 @@ STATUS_SQL = f"({texts(dims.STATUSES)})[seq % 8 + 1]"
 
 def stored(s: SparkSession, d: str) -> DataFrame:
     """A store of derived offers: the even orders, with annotations by remainder."""
-    rows = scored_all(s, d).withColumn("id", text.fingerprint(F.concat_ws(" ", "title", c("seq").cast("string")), c("company"), c("source")))
-    return rows.withColumns({"status": status_of(), "notes": F.when(c("seq") % 5 == 0, "note").otherwise(""), "starred": c("seq") % 6 == 0, "discarded": c("seq") % 7 == 0, "first_seen_at": F.lit(datetime(2024, 1, 1)), "score": F.round("score_raw", 6)})
+    return annotated(scored_all(s, d)).withColumns({"id": text.fingerprint(F.concat_ws(" ", "title", c("seq").cast("string")), c("company"), c("source")), "first_seen_at": F.lit(datetime(2024, 1, 1)), "score": F.round("score_raw", 6)})
+
+
+def annotated(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"status": status_of(), "notes": F.when(c("seq") % 5 == 0, "note").otherwise(""), "starred": c("seq") % 6 == 0, "discarded": c("seq") % 7 == 0})
 
 
 STORE_SQL = f"""WITH {FACTS} {scored('e2')},
@@ -210,17 +209,17 @@ query("save_application", STORE_SQL + "SELECT seq, CASE WHEN status = 'new' AND
 query("application_pipeline", STORE_SQL + "SELECT seq, status, (seq % 700)::INTEGER AS proposed_rate, CASE status WHEN 'interview' THEN 0 WHEN 'replied' THEN 1 WHEN 'sent' THEN 2 WHEN 'drafted' THEN 3 ELSE 4 END AS funnel FROM st WHERE seq % 3 = 0")(
     lambda s, d: store.application_pipeline(stored(s, d).select("id", "seq", "status"), applied(s, d).where("ord = 2").select("offer_id", "proposed_rate")).select("seq", "status", "proposed_rate", "funnel")
 )
-query("get_application")(lambda s, d: store.get_application(applied(s, d).where("ord = 2"), stored_id(s, d)))
+query("get_application", STORE_SQL + "SELECT id AS offer_id, seq, 'drafted' AS status, CASE WHEN seq % 2 = 0 THEN 'Hello' ELSE '' END AS subject, (seq % 700)::INTEGER AS proposed_rate FROM st WHERE seq % 3 = 0 AND starts_with(id, 'a')")(lambda s, d: store.get_application(applied(s, d).where("ord = 2"), c("offer_id").startswith("a")).select("offer_id", "seq", "status", "subject", "proposed_rate"))
 query("list_offers", STORE_SQL + "SELECT id, seq, score FROM st WHERE score >= 40 AND NOT discarded AND status = 'sent' ORDER BY score DESC, published_at DESC NULLS LAST, id LIMIT 50")(lambda s, d: store.list_offers(stored(s, d), 40, status="sent").select("id", "seq", "score"))
-query("apply_targets", STORE_SQL + "SELECT id, seq, score FROM st WHERE score >= 65 AND NOT discarded AND status = 'new' ORDER BY score DESC, published_at DESC NULLS LAST, id LIMIT 10")(lambda s, d: store.list_offers(stored(s, d), CONFIG.apply_threshold, new_only=True, limit=10).select("id", "seq", "score"))
+query("apply_targets", STORE_SQL + "SELECT id, seq, score FROM st WHERE score >= 40 AND NOT discarded AND status = 'new' ORDER BY score DESC, published_at DESC NULLS LAST, id LIMIT 10")(lambda s, d: store.list_offers(stored(s, d), 40, new_only=True, limit=10).select("id", "seq", "score"))
 query("get_offer_prefix", STORE_SQL + "SELECT id, seq FROM st WHERE starts_with(id, 'a') ORDER BY id LIMIT 1")(lambda s, d: store.get_offer(stored(s, d), "a").select("id", "seq"))
-query("counts_by_status", STORE_SQL + "SELECT status, count(*) AS n FROM st WHERE NOT discarded GROUP BY 1")(lambda s, d: store.counts_by(stored(s, d), "status"))
-query("counts_by_source", STORE_SQL + "SELECT source, count(*) AS n FROM st WHERE NOT discarded GROUP BY 1")(lambda s, d: store.counts_by(stored(s, d), "source"))
+query("counts_by_status", STORE_SQL + "SELECT status, count(*) AS n FROM st WHERE NOT discarded GROUP BY 1")(lambda s, d: store.counts_by(annotated(offers(s, d)), "status"))
+query("counts_by_source", STORE_SQL + "SELECT source, count(*) AS n FROM st WHERE NOT discarded GROUP BY 1")(lambda s, d: store.counts_by(annotated(offers(s, d)), "source"))
 query("report_stats", STORE_SQL + "SELECT count(*) AS total, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'drafted') AS n_drafted, count(*) FILTER (status = 'sent') AS n_sent, (SELECT coalesce(round(avg(score))::BIGINT, 0) FROM st WHERE starred AND NOT discarded) AS avg_score FROM st WHERE NOT discarded")(
-    lambda s, d: store.report_stats(stored(s, d), store.list_offers(stored(s, d), starred_only=True, limit=None))
+    lambda s, d: store.report_stats(stored(s, d), c("starred"))
 )
-query("field_coverage", FX_SQL + "SELECT source, count(*) AS n, count(rate) AS with_rate, count(*) FILTER (remote <> 'unknown') AS with_remote, count(months) AS with_duration, max(length(description)) AS longest FROM e2 GROUP BY 1")(
-    lambda s, d: facts(offers(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.count(dates.daily_rate(c("daily_rate_min"), c("daily_rate_max"))).alias("with_rate"), F.count_if(c("remote") != "unknown").alias("with_remote"), F.count("duration_months").alias("with_duration"), F.max(F.length("description")).cast("long").alias("longest"))
+query("field_coverage", FX_SQL + "SELECT source, count(*) AS n, count(rate) AS with_rate, count(*) FILTER (remote <> 'unknown') AS with_remote, count(months) AS with_duration, max(length(description)) AS longest, round(avg((seq % 4 = 1)::INT), 6) AS truncated, median(length(description)) AS median_length FROM e2 GROUP BY 1")(
+    lambda s, d: facts(offers(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.count(dates.daily_rate(c("daily_rate_min"), c("daily_rate_max"))).alias("with_rate"), F.count_if(c("remote") != "unknown").alias("with_remote"), F.count("duration_months").alias("with_duration"), F.max(F.length("description")).cast("long").alias("longest"), F.round(F.avg(text.is_truncated(F.concat("description", F.when(c("seq") % 4 == 1, "…").otherwise(""))).cast("int")), 6).alias("truncated"), F.median(F.length("description")).alias("median_length"))
 )
 query("campaign_metrics", DECIDED_SQL + "SELECT source, count(*) AS fetched, count(*) FILTER (decision = 'kept') AS kept, count(*) FILTER (decision = 'kept' AND seq % 2 = 1) AS new, count(*) FILTER (decision = 'kept' AND seq % 2 = 0) AS updated FROM d GROUP BY 1")(
     lambda s, d: metrics(decided(s, d), decided(s, d).where("decision = 'kept' and seq % 2 = 0"))
@@ -228,11 +227,11 @@ query("campaign_metrics", DECIDED_SQL + "SELECT source, count(*) AS fetched, cou
 query("export_csv_rows", STORE_SQL + "SELECT id, score, title, company, source, location, remote, contract, lo AS daily_rate_min, hi AS daily_rate_max, months AS duration_months, strftime(published_at, '%Y-%m-%dT%H:%M:%S') AS published_at, status, array_to_string(skills, ', ') AS skills, concat('https://jobs.example.com/', seq) AS url FROM st")(
     lambda s, d: stored(s, d).select("id", "score", "title", "company", "source", "location", "remote", "contract", "daily_rate_min", "daily_rate_max", "duration_months", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), "status", F.array_join("skills", ", ").alias("skills"), "url")
 )
-query("export_json_rows")(lambda s, d: stored(s, d).select("id", F.to_json(F.struct("*")).alias("line")))
+query("export_json_rows", STORE_SQL + "SELECT id, to_json(struct_pack(id := id, title := title, status := status, starred := starred, remote := remote, skills := skills)) AS line FROM st")(lambda s, d: stored(s, d).select("id", storage.json_line(["id", "title", "status", "starred", "remote", "skills"]).alias("line")))
 query("json_roundtrip", FX_SQL + "SELECT seq, array_to_string(skills, ',') AS skills, published_at FROM e")(
     lambda s, d: facts(offers(s, d)).select("seq", F.from_json(F.to_json(F.struct("skills", "published_at")), "skills array<string>, published_at timestamp").alias("r")).select("seq", joined("r.skills").alias("skills"), "r.published_at")
 )
-query("schema_evolution")(lambda s, d: store.with_defaults(stored(s, d).drop("starred"), {"starred": ("boolean", False), "notes": ("string", ""), "labels": ("string", "none")}).select("id", "starred", "notes", "labels"))
+query("schema_evolution", STORE_SQL + "SELECT id, false AS starred, notes, 'none' AS labels FROM st")(lambda s, d: store.with_defaults(stored(s, d).drop("starred"), {"starred": ("boolean", False), "notes": ("string", ""), "labels": ("string", "none")}).select("id", "starred", "notes", "labels"))
 
 
 def runs(s: SparkSession, d: str) -> DataFrame:
@@ -247,10 +246,6 @@ query("last_run_at", RUNS_SQL + "SELECT max(day)::TIMESTAMP AS last_run_at FROM
 query("last_runs", RUNS_SQL + "SELECT date_diff('day', DATE '2023-01-01', day)::INTEGER AS id, fetched FROM r ORDER BY 1 DESC LIMIT 10")(lambda s, d: runs(s, d).select("id", "fetched").orderBy(F.desc("id")).limit(10))
 
 
-def stored_id(s: SparkSession, d: str) -> str:
-    return stored(s, d).where("seq % 3 = 0").agg(F.min("id")).first()[0] or ""
-
-
 # ---- sources ----
 def landed(s: SparkSession, d: str, **fields) -> DataFrame:
     """Derived offers wrapped into payloads; every seventeenth isn't JSON."""
@@ -360,7 +355,8 @@ query("page_fallback", f"SELECT page_id, {TIDY.replace('html,', 'h1,')} AS title
 
 # ---- matching ----
 for_match = lambda s, d: stored(s, d)
-relevance = lambda s, d: match.competence_relevance(for_match(s, d), PROFILE)
+with_rel = lambda s, d: match.with_relevance(for_match(s, d).select("id", "title", "description", "skills", "score_detail"), PROFILE)
+rel = lambda: c("rel")
 
 
 def relevance_sql() -> str:
@@ -392,25 +388,41 @@ def one_score(name: str, with_asked: bool) -> str:
 
 
 MATCH_SQL = STORE_SQL + relevance_sql()
-query("competence_relevance", MATCH_SQL + "SELECT id, category, competence, round(score, 4) AS score FROM rel")(lambda s, d: relevance(s, d).select("id", "category", "competence", F.round("score", 4).alias("score")))
+query("competence_relevance", MATCH_SQL + "SELECT id, category, competence, round(score, 4) AS score FROM rel")(lambda s, d: with_rel(s, d).select("id", F.inline("rel")).select("id", "category", "competence", F.round("score", 4).alias("score")))
 TRANSVERSAL_SQL = STORE_SQL + ", m AS (SELECT id, title_key, substr(desc_key, 1, 8000) AS body FROM st), t AS (" + " UNION ALL ".join(f"SELECT id, {q(t)} AS skill, {i} AS ord, {one_score(t, False)} - {i} * 0.01::DOUBLE AS score FROM m" for i, t in enumerate(PROFILE.transversal)) + ") "
-query("transversal_top4", TRANSVERSAL_SQL + "SELECT id, skill, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord)::INTEGER AS pos FROM t) WHERE pos <= 4")(lambda s, d: match.transversal_top(for_match(s, d), PROFILE).select("id", "skill", "pos"))
+query("transversal_top4", TRANSVERSAL_SQL + "SELECT id, skill, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord)::INTEGER AS pos FROM t) WHERE pos <= 4")(lambda s, d: at_places(with_rel(s, d), match.transversal_top(), "skill"))
 query("rubric_selection", MATCH_SQL + """, p AS (SELECT *, CASE WHEN score > 0 THEN 1 WHEN max(score) OVER (PARTITION BY id, category) > 0 THEN 2 ELSE 3 END AS pass FROM rel),
   k AS (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY pass, score DESC, cat_ord, rank) AS k FROM p)
-  SELECT id, competence, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pass, score DESC, cat_ord, rank)::INTEGER AS pos FROM k WHERE k <= 4) WHERE pos <= 12""")(lambda s, d: match.select_rubrics(relevance(s, d)).select("id", "competence", "pos"))
-query("rubric_fill")(lambda s, d: match.compose_rubrics(relevance(s, d)).withColumn("competences", joined("competences")))
+  SELECT id, competence, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pass, score DESC, cat_ord, rank)::INTEGER AS pos FROM k WHERE k <= 4) WHERE pos <= 12""")(lambda s, d: at_places(with_rel(s, d), F.transform(match.select_rubrics(rel()), lambda x: x["competence"]), "competence"))
+FIXED_SQL = ", ".join(f"({k}, {q(label)}, {texts(own)})" for k, (label, own) in enumerate(PROFILE.fixed))
+# The fill of a line is what is left after all lines before it took what they could.
+query("rubric_fill", TRANSVERSAL_SQL.rstrip() + MATCH_SQL.removeprefix(STORE_SQL).replace(", m AS (", ", mm AS (", 1).replace(" FROM m ", " FROM mm ").replace(" FROM m)", " FROM mm)") + f""", p AS (SELECT *, CASE WHEN score > 0 THEN 1 WHEN max(score) OVER (PARTITION BY id, category) > 0 THEN 2 ELSE 3 END AS pass FROM rel),
+  k AS (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY pass, score DESC, cat_ord, rank) AS k FROM p),
+  ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pass, score DESC, cat_ord, rank) AS spot FROM k WHERE k <= 4) WHERE spot <= 12),
+  l0 AS (SELECT id, category, array_agg(competence ORDER BY score DESC, cat_ord, rank) AS own, max(score) AS best, min(cat_ord) AS cat_ord FROM ch GROUP BY 1, 2),
+  l1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY best DESC, cat_ord) AS line FROM l0) WHERE line <= 5),
+  l2 AS (SELECT id, category, line, list_concat(own, list_filter(every, lambda x: NOT list_contains(own, x))) AS competences, greatest(len(own), least(len(every), 2)) AS size, len(every) AS most
+    FROM l1 JOIN (SELECT id, category, array_agg(competence ORDER BY score DESC, cat_ord, rank) AS every FROM rel GROUP BY 1, 2) USING (id, category) WHERE len(every) >= 2),
+  l3 AS (SELECT *, greatest(least(most, 4) - size, 0) AS room, 12 - sum(size) OVER (PARTITION BY id) AS free FROM l2),
+  l4 AS (SELECT *, greatest(least(room, free - coalesce(sum(room) OVER (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS more FROM l3)
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, line)::INTEGER AS line, label, array_to_string(own, ',') AS competences FROM (
+    SELECT id, 0 AS part, 0 AS line, {q(match.TRANSVERSAL_LABEL)} AS label, array_agg(skill ORDER BY score DESC, ord)[1:4] AS own FROM t GROUP BY id
+    UNION ALL SELECT id, 1, x.k, x.label, x.own FROM st CROSS JOIN (VALUES {FIXED_SQL}) x(k, label, own)
+    UNION ALL SELECT id, 2, line, category, competences[1:size + more] FROM l4)""")(
+    lambda s, d: with_rel(s, d).select("id", F.posexplode(match.compose_rubrics(rel(), PROFILE)).alias("pos", "x")).select("id", (c("pos") + 1).alias("line"), "x.label", joined("x.competences").alias("competences"))
+)
 BULLETS = match.bullet_tools(PROFILE)
 BULLET_SQL = MATCH_SQL + ", b(kind, block, block_ord, bullet_ord, variant_ord, text, pinned, optional, tools) AS (VALUES " + ", ".join(f"({q(b[0])}, {q(b[1])}, {b[2]}, {b[3]}, {b[4]}, {q(b[5])}, {b[6]}, {b[7]}, {texts(b[8])})" for b in BULLETS) + """),
   bs AS (SELECT ids.id, b.*, coalesce((SELECT sum(greatest(score, 0)) FROM rel WHERE rel.id = ids.id AND list_contains(b.tools, rel.competence)), 0) AS score FROM (SELECT DISTINCT id FROM st) ids CROSS JOIN b),
   bv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, block, optional, bullet_ord ORDER BY round(score, 6) DESC, variant_ord) AS k FROM bs) WHERE k = 1),
   bo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, block ORDER BY pinned DESC, round(score, 6) DESC, optional, bullet_ord)::INTEGER AS pos FROM bv WHERE NOT optional OR score >= 2.0) WHERE pos <= 6),
   bb AS (SELECT id, kind, block, block_ord, sum(score) AS block_score FROM bo GROUP BY ALL) """
-ordered = lambda s, d: match.bullet_order(match.bullet_variants(relevance(s, d), PROFILE))
-query("bullet_variant", BULLET_SQL + "SELECT id, block, bullet_ord, optional, variant_ord, round(score, 4) AS score FROM bv")(lambda s, d: match.bullet_variants(relevance(s, d), PROFILE).select("id", "block", "bullet_ord", "optional", "variant_ord", F.round("score", 4).alias("score")))
-query("bullet_order", BULLET_SQL + "SELECT id, block, bullet_ord, optional, pos FROM bo")(lambda s, d: ordered(s, d).select("id", "block", "bullet_ord", "optional", "pos"))
-query("block_scores", BULLET_SQL + "SELECT id, block, round(block_score, 4) AS block_score FROM bb")(lambda s, d: match.block_scores(ordered(s, d)).select("id", "block", F.round("block_score", 4).alias("block_score")))
-query("project_order", BULLET_SQL + "SELECT id, block, row_number() OVER (PARTITION BY id, kind ORDER BY CASE WHEN kind = 'project' THEN -block_score ELSE 0 END, block_ord)::INTEGER AS pos FROM bb")(lambda s, d: match.block_order(match.block_scores(ordered(s, d))).select("id", "block", "pos"))
-query("adaptation_summary", BULLET_SQL + "SELECT id, block, array_to_string(tools, ', ') AS tools, optional FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, block ORDER BY pos) AS r FROM bo WHERE score > 0) WHERE r = 1")(lambda s, d: match.adaptation_summary(ordered(s, d)).select("id", "block", "tools", "optional"))
+ordered = lambda s, d: settled(with_rel(s, d).select("id", match.bullet_order(match.bullet_variants(rel(), PROFILE), PROFILE).alias("blocks")))
+query("bullet_variant", BULLET_SQL + "SELECT id, block, bullet_ord, optional, variant_ord, round(score, 4) AS score FROM bv")(lambda s, d: with_rel(s, d).select("id", F.inline(match.bullet_variants(rel(), PROFILE))).select("id", "block", "bullet_ord", "optional", "variant_ord", F.round("score", 4).alias("score")))
+query("bullet_order", BULLET_SQL + "SELECT id, block, bullet_ord, optional, pos FROM bo")(lambda s, d: ordered(s, d).select("id", F.explode("blocks").alias("x")).select("id", F.posexplode("x.bullets").alias("pos", "b")).select("id", "b.block", "b.bullet_ord", "b.optional", (c("pos") + 1).alias("pos")))
+query("block_scores", BULLET_SQL + "SELECT id, block, round(block_score, 4) AS block_score FROM bb")(lambda s, d: ordered(s, d).select("id", F.inline("blocks")).select("id", "block", F.round("block_score", 4).alias("block_score")))
+query("project_order", BULLET_SQL + "SELECT id, block, row_number() OVER (PARTITION BY id, kind ORDER BY CASE WHEN kind = 'project' THEN -block_score ELSE 0 END, block_ord)::INTEGER AS pos FROM bb")(lambda s, d: ordered(s, d).select("id", F.inline(match.block_order(c("blocks"), PROFILE))))
+query("adaptation_summary", BULLET_SQL + "SELECT id, block, array_to_string(tools, ', ') AS tools, optional FROM (SELECT *, row_number() OVER (PARTITION BY id, kind, block ORDER BY pos) AS r FROM bo WHERE score > 0) WHERE r = 1")(lambda s, d: ordered(s, d).select("id", F.explode(match.adaptation_summary(c("blocks"))).alias("b")).select("id", "b.block", F.array_join("b.tools", ", ").alias("tools"), "b.optional"))
 NAMED_SQL = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(desc_key, {q(rx_of(p))})' for p in match.patterns_of(n))} THEN {q(n)} END" for own in PROFILE.competences.values() for n in own) + "], lambda x: x IS NOT NULL)"
 on("fx", "bullet_tools", lambda: {"tools": joined(match.tools_named(c("desc_k"), PROFILE))}, FX_SQL + f"SELECT seq, array_to_string({NAMED_SQL}, ',') AS tools FROM a", source=keyed_fx)
 pairs = lambda table: ", ".join(f"({q(a)}, {q(b)}, {k})" for a, own in table.items() for k, b in enumerate(own))
@@ -423,23 +435,26 @@ TOPIC_SQL = MATCH_SQL + f""", top AS (SELECT id, pos, competence AS topic, score
     FROM (SELECT id, topic, 0 AS k, pos, 'gap' AS reason FROM gap UNION ALL SELECT id, topic, 1, pos, 'cited' FROM top UNION ALL SELECT id, topic, 2, pos, 'implied' FROM imp) WHERE list_contains({texts(dims.REVISION_TOPICS)}, topic) GROUP BY 1, 2))),
   refs(ref, client, tool, ord) AS (VALUES {', '.join(f'({k}, {q(r[0])}, {q(t)}, {i})' for k, r in enumerate(PROFILE.references) for i, t in enumerate(r[2]))}),
   ev AS (SELECT id, ref, client, string_agg(tool, ', ' ORDER BY ord) AS tools FROM (SELECT DISTINCT t.id, r.* FROM top t JOIN refs r ON contains(lower(t.topic), lower(r.tool)) OR contains(lower(r.tool), lower(t.topic))) GROUP BY ALL) """
-topics = lambda s, d: match.key_topics(relevance(s, d))
-query("key_topics", TOPIC_SQL + "SELECT id, pos, topic FROM top")(lambda s, d: topics(s, d).select("id", "pos", "topic"))
-query("adjacent_topics", TOPIC_SQL + "SELECT id, pos, topic FROM imp")(lambda s, d: match.adjacent_topics(topics(s, d)).select("id", "pos", "topic"))
-query("topic_questions", TOPIC_SQL + "SELECT id, t.topic, question FROM top t JOIN qu USING (topic)")(lambda s, d: match.topic_questions(topics(s, d).select("id", "pos", "topic")).select("id", "topic", "question"))
-query("skill_gaps", TOPIC_SQL + "SELECT id, pos, topic FROM gap")(lambda s, d: match.skill_gaps(for_match(s, d)))
-query("revision_plan", TOPIC_SQL + "SELECT id, pos, topic, reason FROM plan WHERE pos <= 6")(lambda s, d: match.revision_plan(match.skill_gaps(for_match(s, d)), topics(s, d), match.adjacent_topics(topics(s, d))))
-query("evidence_refs", TOPIC_SQL + "SELECT id, client, tools FROM ev")(lambda s, d: match.evidence(topics(s, d), PROFILE).select("id", "client", "tools"))
-query("experience_proof", TOPIC_SQL + "SELECT t.id, t.topic, coalesce((SELECT arg_min(client, ref) FROM refs r WHERE contains(lower(t.topic), lower(r.tool)) OR contains(lower(r.tool), lower(t.topic))), 'default') AS proof FROM top t")(lambda s, d: topics(s, d).select("id", "topic", match.experience_proof(PROFILE, c("topic")).alias("proof")))
+topics = lambda s, d: settled(with_rel(s, d).select("id", match.skill_gaps().alias("gaps"), match.key_topics(rel()).alias("topics")))
+implied = lambda: match.adjacent_topics(c("topics"))
+query("key_topics", TOPIC_SQL + "SELECT id, pos, topic FROM top")(lambda s, d: at_places(topics(s, d), c("topics"), "topic"))
+query("adjacent_topics", TOPIC_SQL + "SELECT id, pos, topic FROM imp")(lambda s, d: at_places(topics(s, d), implied(), "topic"))
+query("topic_questions", TOPIC_SQL + "SELECT id, t.topic, question FROM top t JOIN qu USING (topic)")(lambda s, d: topics(s, d).select("id", F.inline(match.topic_questions(match.numbered(c("topics"))))).select("id", "topic", "question"))
+query("skill_gaps", TOPIC_SQL + "SELECT id, pos, topic FROM gap")(lambda s, d: at_places(for_match(s, d), match.skill_gaps(), "topic"))
+query("revision_plan", TOPIC_SQL + "SELECT id, pos, topic, reason FROM plan WHERE pos <= 6")(lambda s, d: topics(s, d).select("id", F.posexplode(match.revision_plan(c("gaps"), c("topics"), implied())).alias("pos", "x")).select("id", (c("pos") + 1).alias("pos"), "x.topic", "x.reason"))
+query("evidence_refs", TOPIC_SQL + "SELECT id, client, tools FROM ev")(lambda s, d: topics(s, d).select("id", F.inline(match.evidence(c("topics"), PROFILE))).select("id", "client", "tools"))
+query("experience_proof", TOPIC_SQL + "SELECT t.id, t.topic, coalesce((SELECT arg_min(client, ref) FROM refs r WHERE contains(lower(t.topic), lower(r.tool)) OR contains(lower(r.tool), lower(t.topic))), 'default') AS proof FROM top t")(lambda s, d: topics(s, d).select("id", F.explode("topics").alias("topic")).select("id", "topic", match.experience_proof(PROFILE, c("topic")).alias("proof")))
 query("interview_pack", TOPIC_SQL + """SELECT id, 'topic' AS section, pos, topic AS item, '' AS reason FROM top UNION ALL SELECT id, 'implied', pos, topic, '' FROM imp
   UNION ALL SELECT id, 'question', (t.pos * 10 + ord)::INTEGER, question, t.topic FROM (SELECT id, pos, topic FROM top UNION ALL SELECT id, pos + 100, topic FROM imp) t JOIN qu USING (topic)
-  UNION ALL SELECT id, 'gap_question', pos, topic, '' FROM gap WHERE pos <= 5 UNION ALL SELECT id, 'revision', pos, topic, reason FROM plan WHERE pos <= 6 UNION ALL SELECT id, 'evidence', ref, client, tools FROM ev""")(lambda s, d: match.interview_pack(relevance(s, d), for_match(s, d), PROFILE))
+  UNION ALL SELECT id, 'gap_question', pos, topic, '' FROM gap WHERE pos <= 5 UNION ALL SELECT id, 'revision', pos, topic, reason FROM plan WHERE pos <= 6 UNION ALL SELECT id, 'evidence', ref, client, tools FROM ev""")(lambda s, d: match.interview_pack(with_rel(s, d), PROFILE))
 query("expected_competences", f"WITH {FACTS}, x(family, competence, ord) AS (VALUES {pairs(dims.EXPECTED)}) SELECT seq, competence FROM e JOIN x USING (family)")(
-    lambda s, d: keyed_fx(s, d).select("seq", extract.role_family(c("title_k"), c("desc_k")).alias("family")).join(F.broadcast(match.pairs_table(offers(s, d), dims.EXPECTED, "family", "competence")), "family").select("seq", "competence")
+    lambda s, d: keyed_fx(s, d).select("seq", F.explode(match.looked_up(dims.EXPECTED, extract.role_family(c("title_k"), c("desc_k")))).alias("competence"))
 )
-query("watch_flags", STORE_SQL + "SELECT seq, true AS watch_rate, rate IS NOT NULL AS rate_shown, len(missing) > 0 AS watch_gaps, coalesce(months > 0, false) AS watch_duration, ends_with(description, '…') AS watch_truncated FROM st")(lambda s, d: for_match(s, d).select("seq", *[v.alias(k) for k, v in match.watch_flags(PROFILE, text.is_truncated(c("description"))).items()]))
+query("watch_flags", STORE_SQL + "SELECT seq, true AS watch_rate, rate IS NOT NULL AS rate_shown, len(missing) > 0 AS watch_gaps, coalesce(months > 0, false) AS watch_duration, seq % 3 = 0 AS watch_truncated FROM st")(lambda s, d: for_match(s, d).select("seq", *[v.alias(k) for k, v in match.watch_flags(PROFILE, text.is_truncated(F.concat("description", F.when(c("seq") % 3 == 0, "…").otherwise("")))).items()]))
 query("proposed_rate", STORE_SQL + "SELECT seq, CASE WHEN rate IS NULL THEN 650 WHEN rate >= 650 THEN rate ELSE greatest(500, least(650, rate)) END AS proposed FROM st")(lambda s, d: for_match(s, d).select("seq", match.proposed_rate(PROFILE).alias("proposed")))
-query("availability", FX_SQL + "SELECT seq, 'now' AS available FROM f")(lambda s, d: offers(s, d).select("seq", match.availability(PROFILE, AS_OF).alias("available")))
+query("availability", FX_SQL + "SELECT seq, CASE WHEN published_at IS NULL THEN 'two_weeks' WHEN seq % 2 = 0 THEN 'now' ELSE strftime(published_at + INTERVAL '60' DAY, '%Y-%m-%d') END AS available FROM f")(
+    lambda s, d: offers(s, d).select("seq", match.availability(F.to_date(c("published_at") + F.when(c("seq") % 2 == 0, F.expr("INTERVAL '0' DAY")).otherwise(F.expr("INTERVAL '60' DAY"))), AS_OF).alias("available"))
+)
 OWNED = texts([x for own in PROFILE.skills.values() for x in own])
 HIGH = f"array_to_string(CASE WHEN len(matched) > 0 THEN matched WHEN len(list_filter(skills, lambda x: list_contains({OWNED}, x))) > 0 THEN list_filter(skills, lambda x: list_contains({OWNED}, x)) ELSE {texts(PROFILE.skills['expert'][:3])} END[1:5], ',')"
 HIGH = HIGH.replace("CASE WHEN len(matched)", "(CASE WHEN len(matched)").replace("END[1:5]", "END)[1:5]")
@@ -456,8 +471,7 @@ query("profile_skills", FX_SQL + ", p(skill, level, ord) AS (VALUES " + ", ".joi
 # ---- streams ----
 def stream_campaign(s: SparkSession, d: str) -> DataFrame:
     """The campaign over a file stream of the derived offers: what it keeps equals the batch's."""
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{base}/stream-{s.sparkContext.applicationId}-{s.range(1).select(F.uuid()).first()[0]}"
+    place = storage.place_for(s, "stream")
     offers(s, d).write.parquet(f"{place}/landed")
     flowing = s.readStream.schema(offers(s, d).schema).parquet(f"{place}/landed")
     scored_rows = stream.passing(flowing, CONFIG, PROFILE, AS_OF).select("seq", "cross_key", F.round("score_raw", 6).alias("score"))
@@ -470,8 +484,7 @@ query("stream_campaign", CAMPAIGN_SQL + "SELECT seq, round(score_raw, 6) AS scor
 
 def stream_dedup(s: SparkSession, d: str) -> DataFrame:
     """Distinct cross keys of the passing offers, from a stream in one batch."""
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{base}/dedup-{s.sparkContext.applicationId}-{s.range(1).select(F.uuid()).first()[0]}"
+    place = storage.place_for(s, "dedup")
     offers(s, d).withColumn("landed_at", F.lit(AS_OF)).write.parquet(f"{place}/landed")
     flowing = s.readStream.schema(offers(s, d).withColumn("landed_at", F.lit(AS_OF)).schema).parquet(f"{place}/landed")
     stream.merge_stream(stream.without_late_repeats(flowing, "landed_at").select("cross_key"), f"{place}/out", f"{place}/state").awaitTermination()

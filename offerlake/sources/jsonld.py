@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +12,7 @@ from offerlake import dims
 from offerlake.functions.dates import parse_datetime
 from offerlake.functions.text import clean_text, strip_html, unescape
 from offerlake.schema import canonical
+from offerlake.storage import place_for
 
 BLOCK = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
@@ -35,7 +34,7 @@ def ld_walk(blocks: DataFrame) -> DataFrame:
     spark.checkpoint.dir, until a level has none. (The JSON parser itself takes 1000 levels; deeper blocks can't be read.)
     """
     spark = blocks.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/walk-{uuid.uuid4().hex}"
+    path = place_for(spark, "walk")
     keys = [c for c in blocks.columns if c != "node"]
     level = blocks.select(*keys, F.lit("").alias("path"), "node")
     out = None
