@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from offerlake import storage
 from offerlake.config import Config, Profile
 from offerlake.functions.text import cross_key
 from offerlake.operators.filters import judged
 from offerlake.operators.score import score_offers
+from offerlake.operators.store import upsert_offers
 from offerlake.plans.campaign import facts
 
 
@@ -31,6 +33,22 @@ def merge_stream(scored: DataFrame, target: str, checkpoint: str) -> StreamingQu
     return scored.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+EMPTY = {"status": "string", "first_seen_at": "timestamp", "notes": "string", "starred": "boolean", "discarded": "boolean"}
+
+
+def merge_into_store(scored: DataFrame, root: str, checkpoint: str, seen_at: Column) -> StreamingQuery:
+    """Merges each micro-batch into the offers store in `root` and switches to the new version. Annotations stay, and a
+    batch that is run again changes nothing, as its offers are known by then."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        known = storage.current(batch.sparkSession, root)
+        if known is None:
+            known = batch.where("false").withColumns({c: F.lit(None).cast(kind) for c, kind in EMPTY.items()})
+        storage.put_version(upsert_offers(known, batch.dropDuplicates(["id"]), seen_at).drop("change"), root)
+
+    return scored.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_kept(merged: DataFrame, order: str = "seq") -> DataFrame:
     """Of each cross key the first offer by `order`: what the batch campaign keeps."""
     columns = [c for c in merged.columns if c != "cross_key"]
