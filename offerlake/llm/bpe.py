@@ -207,5 +207,6 @@ def byte_bpe_path() -> str:
 
 
 def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its number of tokens and the digests of ids and decoded text; a null text is empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(encode_decode(docs, byte_bpe_path()))

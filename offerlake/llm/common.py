@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,14 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 def folder(spark: SparkSession) -> str:
     """The checkpoint folder, which every executor can read: the context's, else the one that spark.checkpoint.dir names.
 
-    Only where neither is set (tests on one machine) is one made.
+    Only where neither is set is one made, and only on one machine (tests): on a cluster no other machine could read it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 

@@ -89,6 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page, rows that repeat included; a null URL has empty host and path."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages, rule_table(spark, SITE_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
