@@ -3,7 +3,7 @@
 A text is its set of five-word shingles; texts with one set are copies and form a class. A class has a signature: in each
 of several tries a row of MinHash values, sorted into the trie by its prefixes. Classes that share a node are candidates;
 they are verified by the exact Jaccard similarity of their sets, block against block where a node is large. The join
-starts with the deepest nodes and shortens the matched prefix by one value at a time. After each depth the similarities of
+starts with the deepest nodes and shortens the matched prefix by two values at a time. After each depth the similarities of
 the pairs found so far tell how many links the tries have missed at that depth; once these are few enough for the target
 recall, it ends. No prefix gets shorter than what finds a pair just at the threshold with that recall.
 """
@@ -24,12 +24,12 @@ from offerlake.llm.decontaminate import normalised
 
 WORDS = 5
 THRESHOLD = 0.8
-TRIES, DEEPEST = 20, 8
+TRIES, DEEPEST, STEP = 20, 8, 2  # values of the deepest prefix, and by how many it is shortened
 RECALL = 0.9999  # of all links, as the pairs found let one expect
 UNSEEN = 3  # links just at the threshold that may be there though none was found (at 95 %: the rule of three)
 BINS = 20  # of the similarities found
-BLOCK = 512  # classes of a trie node that are held together, about
-COLUMNS = 4096  # shingles that a block's matrix has at once
+BLOCK = 1024  # classes of a trie node that are held together, about
+COLUMNS = 2048  # shingles that a block's matrix has at once
 
 
 def chance(similarity: float, depth: int, tries: int = TRIES) -> float:
@@ -127,13 +127,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     keep = np.repeat(times > 1, times)
     column = np.cumsum(fresh[keep]) - 1
     row = row[keep]
-    out = np.zeros((len(sets), len(sets)), np.int64)
+    out = np.zeros((len(sets), len(sets)), np.int32)
     bounds = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS, COLUMNS))
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if b > a:
             part = np.zeros((len(sets), COLUMNS), np.float32)
             part[row[a:b], column[a:b] - k * COLUMNS] = 1
-            out += np.rint(part @ part.T).astype(np.int64)
+            out += np.rint(part @ part.T).astype(np.int32)
     return out
 
 
@@ -156,9 +156,10 @@ def prefixes(signatures: np.ndarray, depth: int) -> np.ndarray:
     return h
 
 
-def open_pairs(table: pa.Table, tries: int, depth: int, deepest: int) -> np.ndarray:
+def open_pairs(table: pa.Table, tries: int, depth: int, before: int | None, deepest: int) -> np.ndarray:
     """Pairs of a node (part) that are to be verified there, as a symmetric matrix: those that share the node's prefix,
-    none of an earlier trie, and no longer one of any trie, so that each pair is verified once in the whole join."""
+    none of an earlier trie, and none of the length `before`
+    in any trie, so that each pair is verified once in the whole join."""
     own = table.column("own").to_numpy()
     i, j, trie = (table.column(x)[0].as_py() for x in ("i", "j", "trie"))
     signatures = table.column("signature").combine_chunks().flatten().to_numpy().reshape(len(own), tries, deepest)
@@ -167,8 +168,8 @@ def open_pairs(table: pa.Table, tries: int, depth: int, deepest: int) -> np.ndar
     out = same(now[:, trie])
     for t in range(trie):
         out &= ~same(now[:, t])
-    if depth < deepest:
-        longer = prefixes(signatures, depth + 1)
+    if before:
+        longer = prefixes(signatures, before)
         for t in range(tries):
             out &= ~same(longer[:, t])
     np.fill_diagonal(out, False)
@@ -177,17 +178,17 @@ def open_pairs(table: pa.Table, tries: int, depth: int, deepest: int) -> np.ndar
     return out
 
 
-def waiting(tries: int, depth: int, deepest: int):
+def waiting(tries: int, depth: int, before: int | None, deepest: int):
     """A node (part) with signatures -> its classes in pairs that are to be verified there."""
 
     def run(table: pa.Table) -> pa.Table:
-        at = open_pairs(table, tries, depth, deepest).any(axis=1)
+        at = open_pairs(table, tries, depth, before, deepest).any(axis=1)
         return table.select(["trie", "label", "i", "j", "c", "own"]).filter(pa.array(at))
 
     return run
 
 
-def verified(threshold: float, tries: int, depth: int, deepest: int):
+def verified(threshold: float, tries: int, depth: int, before: int | None, deepest: int):
     """Those classes with their sets -> (c, links, texts, to, near): for each class in a link the documents and classes
     it is linked with here, and one it hangs together with; near: the similarities by bins, once for each call."""
 
@@ -196,10 +197,10 @@ def verified(threshold: float, tries: int, depth: int, deepest: int):
         items = table.column("items").combine_chunks()
         flat, offsets = items.values.to_numpy(), items.offsets.to_numpy()
         sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        size = np.array([len(x) for x in sets])
+        size = np.array([len(x) for x in sets], np.int32)
         both = shared_counts(sets)
         either = size[:, None] + size[None, :] - both
-        linked = open_pairs(table, tries, depth, deepest) & (both >= threshold * either - 1e-9)
+        linked = open_pairs(table, tries, depth, before, deepest) & (both >= threshold * either - 1e-9)
         at = np.flatnonzero(linked.any(axis=1))
         x, y = np.nonzero(np.triu(linked))
         bins = np.clip(((both[x, y] / either[x, y] - threshold) / (1 - threshold) * BINS).astype(int), 0, BINS - 1) if threshold < 1 else np.full(len(x), BINS - 1)
@@ -209,27 +210,28 @@ def verified(threshold: float, tries: int, depth: int, deepest: int):
     return run
 
 
-def posts(classes: DataFrame, tries: int, deepest: int, depth: int) -> DataFrame:
-    """Each class in each trie: label of its node at this depth, and of the one below."""
+def posts(classes: DataFrame, tries: int, deepest: int, depth: int, before: int | None = None) -> DataFrame:
+    """Each class in each trie: label of its node at this depth, and at the one before."""
     values = lambda n: F.xxhash64("trie", F.slice("signature", F.col("trie") * deepest + 1, n))
-    return classes.withColumn("trie", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).select("c", "trie", values(depth).alias("label"), values(min(depth + 1, deepest)).alias("below"))
+    return classes.withColumn("trie", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).select("c", "trie", values(depth).alias("label"), values(before or depth).alias("below"))
 
 
-def links_of(company: DataFrame, sets: DataFrame, threshold: float, tries: int, deepest: int, recall: float, block: int) -> tuple[DataFrame, int]:
+def links_of(known: DataFrame, threshold: float, tries: int, deepest: int, recall: float, block: int) -> tuple[DataFrame, int]:
     """(c, links, texts, to) over all depths until the recall is reached, and the last depth."""
     least, found, out = shallowest(threshold, tries, deepest, recall), [0] * BINS, None
-    for depth in range(deepest, least - 1, -1):
-        here = posts(company, tries, deepest, depth)
-        alike = F.lit(True) if depth == deepest else F.min("below") < F.max("below")  # else all its pairs shared a longer prefix
+    depths = [*range(deepest, least, -STEP), least]
+    for before, depth in zip([None, *depths], depths, strict=False):
+        here = posts(known, tries, deepest, depth, before)
+        alike = F.lit(True) if before is None else F.min("below") < F.max("below")  # else all its pairs shared a longer prefix
         nodes = here.groupBy("trie", "label").agg(F.count("*").alias("g"), F.sum(F.xxhash64("c").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64("c", F.lit(3))).alias("x"), alike.alias("new")).where("g > 1 and new")
         nodes = nodes.groupBy("g", "s", "x").agg(F.min(F.struct("trie", "label")).alias("at")).select("at.*", "g")  # one of those with the same members: the first trie's
         blocks = F.ceil(F.col("g") / block).cast("int")
         members = here.join(nodes, ["trie", "label"]).select("c", "trie", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("c", F.lit(5)), blocks).cast("int").alias("own"))
-        met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("c", "trie", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        members = members.join(known.select("c", "signature"), "c")
+        met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("c", "signature", "trie", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         keys = ["trie", "label", "i", "j"]
-        due = met.join(company.select("c", "signature"), "c").groupBy(*keys).applyInArrow(waiting(tries, depth, deepest), "trie int, label long, i int, j int, c long, own int")
-        known = written(due, "due").join(company.select("c", "copies", "signature"), "c").join(sets, "c")
-        own = written(known.groupBy(*keys).applyInArrow(verified(threshold, tries, depth, deepest), "c long, links long, texts long, to long, near array<long>"), "links")
+        due = met.groupBy(*keys).applyInArrow(waiting(tries, depth, before, deepest), "trie int, label long, i int, j int, c long, own int")
+        own = written(written(due, "due").join(known, "c").groupBy(*keys).applyInArrow(verified(threshold, tries, depth, before, deepest), "c long, links long, texts long, to long, near array<long>"), "links")
         for r in own.where("near is not null").select(F.posexplode("near").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
             found[r["bin"]] += r["n"]
         out = own.drop("near") if out is None else out.unionByName(own.drop("near"))
@@ -278,8 +280,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     company = written(classes.join(shared, "c", "left_semi"), "company")
     once = source.dropDuplicates(["id", "at"]) if rows.groupBy("id", "at").count().where("count > 1").limit(1).count() else source
     texts = once.join(company.select("c", "k1", "k2", "first_id", "first_at"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at")))
-    sets = written(set_of(texts, words), "sets")
-    found, depth = links_of(company, sets, threshold, tries, deepest, recall, block)
+    known = written(set_of(texts, words).join(company.select("c", "copies", "signature"), "c"), "sets")
+    found, depth = links_of(known, threshold, tries, deepest, recall, block)
 
     links = found.groupBy("c").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     roots = components(found.select(F.col("c").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("c"), "root")
