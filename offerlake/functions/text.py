@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,13 +15,68 @@ from pyspark.sql.types import StringType
 
 from offerlake.dims import TRACKING
 
-# Latin letters whose decomposition is one base letter and marks; made from the Unicode tables, not by hand.
-FOLDED = {chr(i): unicodedata.normalize("NFKD", chr(i))[0] for i in range(0xC0, 0x250) if len(unicodedata.normalize("NFKD", chr(i))) > 1 and all(unicodedata.combining(c) for c in unicodedata.normalize("NFKD", chr(i))[1:])}
+
+def unmarked(text: str) -> str:
+    """The compatibility decomposition without combining marks. That of a text is that of its characters in a row."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@cache
+def fold_table(first: int, last: int) -> dict[str, str]:
+    """Characters of a range that folding changes, from the Unicode tables. Hangul syllables follow from their numbers."""
+    chars = (chr(i) for i in range(first, last) if not 0xAC00 <= i <= 0xD7A3 and not 0xD800 <= i <= 0xDFFF)
+    return {c: unmarked(c) for c in chars if unmarked(c) != c}
+
+
+def translated(text: Column, folds: dict[str, str]) -> Column:
+    """Characters that fold to one or to none."""
+    to_one, to_none = ({c: f for c, f in folds.items() if len(f) == n} for n in (1, 0))
+    return F.translate(text, "".join([*to_one, *to_none]), "".join(to_one.values()))
+
+
+def char_class(chars: Iterable[str]) -> str:
+    """The inside of a pattern's brackets, by ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+LATIN, UNICODE = (0x80, 0x180), (0x80, 0x30000)  # no character beyond folds
+PUNCTUATION = "–—‘’“”•…€"
+SYLLABLES = r"\x{ac00}-\x{d7a3}"
+
+
+def jamo(syllable: Column) -> Column:
+    """The two or three letters of a Hangul syllable, by its number."""
+    k = F.ascii(syllable) - 0xAC00
+    letter = lambda first, size, place: F.substring(F.lit("".join(map(chr, range(first, first + size)))), place.cast("int") + 1, F.lit(1))
+    tail = F.when(k % 28 > 0, letter(0x11A8, 27, k % 28 - 1)).otherwise("")
+    return F.concat(letter(0x1100, 19, F.floor(k / 588)), letter(0x1161, 21, F.floor(k % 588 / 28)), tail)
+
+
+def deaccent_any(text: Column) -> Column:
+    """deaccent for all of Unicode: those of its characters that fold to several are replaced one after another."""
+    folds = fold_table(*UNICODE)
+    several = {c: f for c, f in folds.items() if len(f) > 1}
+    by_char = F.map_from_arrays(*[F.split(F.lit("\x1f".join(x)), "\x1f") for x in (several, several.values())])
+    pattern = F.lit(f"[{char_class(several)}{SYLLABLES}]")
+
+    def replaced(t: Column) -> Column:
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(t, pattern, F.lit(0))), t, lambda so_far, c: F.replace(so_far, c, F.coalesce(F.try_element_at(by_char, c), jamo(c))))
+
+    return once(translated(text, folds), replaced)
 
 
 def deaccent(text: Column) -> Column:
-    """Latin letters without their marks; null stays null."""
-    return F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))
+    """The text's compatibility decomposition without combining marks; null stays null. Texts of Latin letters and usual
+    punctuation take a short way."""
+    usual = [c for c in map(chr, range(LATIN[1])) if len(unmarked(c)) == 1]
+    latin = translated(F.replace(text, F.lit("…"), F.lit("...")), fold_table(*LATIN))
+    return F.when(F.rlike(text, F.lit(f"[^{char_class([*usual, *PUNCTUATION])}]")), deaccent_any(text)).otherwise(latin)
 
 
 def normalize_key(text: Column) -> Column:
@@ -30,7 +86,7 @@ def normalize_key(text: Column) -> Column:
 
 def folded(text: str) -> str:
     """normalize_key for a literal."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().strip()
+    return unmarked(text).lower().strip()
 
 
 def java_quoted(text: str) -> str:

@@ -45,7 +45,7 @@ def ld_walk(blocks: DataFrame) -> DataFrame:
             return out
         own = level.where("schema_of_variant(node) like 'OBJECT%'").select(*keys, "path", F.lit(k).alias("level"), "node")
         out = own if out is None else out.unionByName(own)
-        inner = spark.sql("SELECT t.* EXCEPT (node, path), concat(t.path, '/', lpad(CAST(v.pos AS STRING), 4, '0')) AS path, v.value AS node FROM {level} t, LATERAL variant_explode(t.node) v", level=level)
+        inner = spark.sql("SELECT t.* EXCEPT (node, path), concat(t.path, '/', lpad(CAST(v.pos AS STRING), 10, '0')) AS path, v.value AS node FROM {level} t, LATERAL variant_explode(t.node) v", level=level)
         level = inner.select(*keys, "path", "node")
 
 

@@ -18,6 +18,7 @@ from offerlake.sources.jsonld import ld_blocks, ld_walk, offers_from, postings
 
 STATE = r'(?is)id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 MISSION_URL = r"/missions-[^/]+/\d+/[^/?#]+$"
+PARTS = 64  # of a source's keys, ranked apart
 
 
 def embedded_state(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
@@ -57,8 +58,8 @@ def page_fallback(pages: DataFrame, source: str, *keys: str, html_col: str = "ht
     """Offers of detail pages: the first job posting of the page, else its heading and main text. The rate is read from
     the whole page where the posting has none, and an unknown contract is freelance."""
     whole = pages.select(*keys, F.col(url_col).alias("page_url"), F.col(html_col).alias("html"))
-    found = offers_from(postings(ld_walk(ld_blocks(whole)), list(keys)), source, *keys, "page_url", url_col="page_url")
-    first = found.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), "url").alias("p"))
+    found = offers_from(postings(ld_walk(ld_blocks(whole)), list(keys)), source, *keys, "page_url", "block", "path", url_col="page_url")
+    first = found.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("block", "path")).alias("p"))
     both = whole.join(first, list(keys), "left")
     main = F.regexp_extract("html", r"(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>", 1)
     body = strip_html(F.when(main == "", F.col("html")).otherwise(main))
@@ -89,12 +90,19 @@ def freelanceinfo(offers: DataFrame) -> DataFrame:
 
 
 def cap_per_source(offers: DataFrame, caps: dict[str, int], key: str, order: str) -> DataFrame:
-    """Of each source the first row of every native key, and of those the first by `order` up to the source's cap."""
+    """Of each source the first row of every native key, and of those the first by `order` up to the source's cap.
+
+    Sources without a cap aren't ranked. Those with one are ranked in parts by key first, where the largest cap is the
+    bound, so that at most PARTS times as many rows of a source meet in one task.
+    """
     firsts = offers.groupBy("source", key).agg(F.min(order).alias(order))
-    table = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
-    pos = F.row_number().over(W.partitionBy("source").orderBy(order))
-    kept = firsts.withColumn("pos", pos).where(F.col("pos") <= F.coalesce(table[F.col("source")], F.lit(2**31 - 1)))
-    return offers.join(kept.select("source", key, order), ["source", key, order], "left_semi")
+    capped = F.coalesce(F.col("source").isin(list(caps)), F.lit(False))
+    most = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col("source")] if caps else F.lit(0)
+    place = lambda *by: F.row_number().over(W.partitionBy("source", *by).orderBy(order, key))
+    parts = firsts.where(capped).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS))).withColumn("pos", place("part")).where(F.col("pos") <= max(caps.values(), default=0))
+    kept = parts.withColumn("pos", place()).where(F.col("pos") <= most).select("source", key, order).unionByName(firsts.where(~capped))
+    same = [F.col(f"o.{x}").eqNullSafe(F.col(f"k.{x}")) for x in ("source", key, order)]
+    return offers.alias("o").join(kept.alias("k"), same, "left_semi")
 
 
 def union_sources(parts: dict[str, DataFrame], wanted: Sequence[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerlake.config import AS_OF, CONFIG, PROFILE
 from offerlake.operators import filters, match, score, store
 from offerlake.schema import OFFER, canonical
-from offerlake.sources import feeds, jsonld
+from offerlake.sources import feeds, jsonld, pages
 
 
 def test_only_a_kept_offer_claims_its_key(spark):
@@ -79,6 +79,28 @@ def test_jsonld_walks_to_any_depth(spark):
     assert jsonld.ld_walk(jsonld.ld_blocks(pages.where("false"))).count() == 0
 
 
+def test_the_first_posting_of_a_page_counts(spark):
+    block = '<script type="application/ld+json">{}</script>'
+    lists = [f'[{",".join(f"{{%s}}" % f""""@type":"JobPosting","title":"{t}","url":"{u}" """ for t, u in part)}]' for part in ([("B", "z"), ("A", "a")], [("C", "0")])]
+    rows = [(1, "p1", "".join(block.format(x) for x in lists)), (2, "p2", "<h1>T</h1><main>body</main>"), (3, None, None)]
+    got = pages.page_fallback(spark.createDataFrame(rows, "page int, url string, html string"), "s", "page").orderBy("page").collect()
+    assert [(r["page"], r["title"], r["url"]) for r in got[:2]] == [(1, "B", "z"), (2, "T", "p2")] and len(got) == 3
+
+
+def test_caps_of_sources(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["a", "a", "b", None]), rng.choice([None, *(f"n{i}" for i in range(300))])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "seq int, source string, native string")
+    for caps in ({"a": 30, "gone": 500}, {}):
+        seen, want = {}, set()
+        for k, source, native in rows:
+            mine = seen.setdefault(source, set())
+            if native not in mine and len(mine) < caps.get(source, 1 << 30):
+                mine.add(native)
+                want.add(k)
+        assert {r["seq"] for r in pages.cap_per_source(df, caps, "native", "seq").collect()} == want
+
+
 def test_proposed_rate(spark):
     rows = [offer(), offer(daily_rate_max=700), offer(daily_rate_max=400), offer(daily_rate_min=600)]
     got = [r[0] for r in frame(spark, rows).select(match.proposed_rate(PROFILE)).collect()]

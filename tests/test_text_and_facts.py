@@ -20,6 +20,15 @@ def test_mojibake_stays_where_it_is_none(spark):
     assert values(spark, text.fix_mojibake, ["données", "Ã©tÃ© €", None]) == ["données", "Ã©tÃ© €", None]
 
 
+def test_folding_follows_the_unicode_tables(spark):
+    words = ["Élève", "élève", "Tiếng Việt", "ﬁnance œuvre", "½ m²", "Ｄａｔａ", "Ĳssel", "à suivre…", "no break", "데이터 각", "𝐃ata ㎏", "straße", "", None]
+    every = "".join(chr(i) for i in range(1, 0x31000) if not 0xD800 <= i <= 0xDFFF)
+    want = [None if w is None else text.unmarked(w) for w in [*words, every]]
+    assert want[:4] == ["Eleve", "eleve", "Tieng Viet", "finance œuvre"]
+    assert values(spark, text.deaccent, [*words, every]) == want
+    assert values(spark, text.normalize_key, ["  ÉTÉ ", None]) == ["ete", ""]
+
+
 def test_short_needles_have_boundaries(spark):
     got = values(spark, lambda c: text.contains_any(text.normalize_key(c), ["bi", "data"]), ["Consultant BI", "ambition", "La DATA", "", None])
     assert got == ["bi", None, "data", None, None]
