@@ -23,9 +23,10 @@ def test_mojibake_stays_where_it_is_none(spark):
 def test_folding_follows_the_unicode_tables(spark):
     words = ["Élève", "élève", "Tiếng Việt", "ﬁnance œuvre", "½ m²", "Ｄａｔａ", "Ĳssel", "à suivre…", "no break", "데이터 각", "𝐃ata ㎏", "straße", "", None]
     every = "".join(chr(i) for i in range(1, 0x31000) if not 0xD800 <= i <= 0xDFFF)
-    want = [None if w is None else text.unmarked(w) for w in [*words, every]]
+    parts = [every[k : k + 400] for k in range(0, len(every), 400)]
+    want = [None if w is None else text.unmarked(w) for w in [*words, *parts]]
     assert want[:4] == ["Eleve", "eleve", "Tieng Viet", "finance œuvre"]
-    assert values(spark, text.deaccent, [*words, every]) == want
+    assert values(spark, text.deaccent, [*words, *parts]) == want
     assert values(spark, text.normalize_key, ["  ÉTÉ ", None]) == ["ete", ""]
 
 
