@@ -1,14 +1,15 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The network is trained in numpy on windows labelled by the base spans of a bounded sample. Overlapping windows are
-decoded by Viterbi; spans of all windows of a text are reconciled together, and those that meet a base span are dropped.
+decoded by Viterbi; spans of all windows of a text are reconciled together, pieces of longer ones put together, and those
+that meet a base span are dropped.
 """
 
 from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -232,8 +233,8 @@ class Tagger:
             loss = float(np.mean(losses))
         return loss
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window (x and result: window by time), and how far each beats `outside` by its emission."""
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """Best tags of each window (x and result: window by time)."""
         e, _ = self.emissions(np.ascontiguousarray(x.T))
         best = self.p["begin"] + e[0]
         came = np.zeros((*x.T.shape, TAGS), np.int8)
@@ -245,7 +246,7 @@ class Tagger:
         tags[-1] = best.argmax(axis=1)
         for t in range(len(e) - 1, 0, -1):
             tags[t - 1] = np.take_along_axis(came[t], tags[t][:, None], 1)[:, 0]
-        return tags.T, (np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]).T
+        return tags.T
 
 
 def tags_of(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -317,12 +318,47 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> byte
     return bytes(found[0]["model"]) if found else None
 
 
+def runs(tags: np.ndarray, n: int) -> list[tuple[int, int, str]]:
+    """Tagged runs (start, end, kind) of a window of n characters; one at its start may begin with a further character."""
+    out, t = [], 0
+    while t < n:
+        if tags[t] % 2 == 1 or (t == 0 and tags[t]):
+            further = tags[t] + tags[t] % 2
+            end = t + 1
+            while end < n and tags[end] == further:
+                end += 1
+            out.append((t, end, KINDS[further // 2 - 1]))
+            t = end
+        else:
+            t += 1
+    return out
+
+
+def put_together(cut: Sequence[tuple[int, int, str, bool, bool]]) -> list[tuple[int, int, str]]:
+    """Spans of one text from pieces (start, end, kind, begins inside its window, ends inside it) that windows' edges cut:
+    a piece with a beginning, any number without either end, and one with an end, each of which meets the one before."""
+    out: list[tuple[int, int, str]] = []
+    last: dict[str, tuple[int, int]] = {}
+    for s, e, kind, opens, closes in sorted(cut):
+        if opens:
+            last[kind] = s, e
+        elif kind in last and s <= last[kind][1]:
+            first, before = last[kind]
+            if closes:
+                out.append((first, e, kind))
+                del last[kind]
+            else:
+                last[kind] = first, max(e, before)
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], tagger: Tagger | None) -> list[list[tuple[int, int, str]]]:
     """Spans that the network adds to each text, by start.
 
     Windows overlap by half. A window gives the spans that lie inside it, not at its edge unless the text ends there;
-    of spans of one text that overlap, the one with the best mean margin stays, then the longer, then the first.
-    Windows without digit or `@` are left out, as no plausible span can lie in them.
+    spans that an edge cuts are put together from the windows they run through (`put_together`). Of spans of one text
+    that overlap, the first stays, then the longer. Windows without digit or `@` are left out, as no plausible span can
+    lie in them; where one is left out amid a span, the span ends open and doesn't count.
     """
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     jobs, parts = [], []
@@ -335,33 +371,28 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], tagger
             if evidence[min(len(text), a + WINDOW)] > evidence[a]:
                 jobs.append((k, a))
                 parts.append(x[a : a + WINDOW])
-    found: dict[int, list[tuple[float, int, int, str]]] = {}
+    found: dict[int, list[tuple[int, int, str]]] = {}
+    cut: dict[int, list[tuple[int, int, str, bool, bool]]] = {}
     for low in range(0, len(jobs), 1024):
         x = np.full((len(jobs[low : low + 1024]), WINDOW), SYMBOLS - 1)
         for r, part in enumerate(parts[low : low + 1024]):
             x[r, : len(part)] = part
-        tags, margin = tagger.decode(x)
+        tags = tagger.decode(x)
         for r in np.flatnonzero(tags.any(axis=1)):
             k, a = jobs[low + r]
             n = min(WINDOW, len(texts[k]) - a)
-            own, t = tags[r], 0
-            while t < n:
-                if own[t] % 2 == 1:
-                    end = t + 1
-                    while end < n and own[end] == own[t] + 1:
-                        end += 1
-                    kind = KINDS[(own[t] - 1) // 2]
-                    whole = (t > 0 or a == 0) and (end < n or a + n == len(texts[k]))
-                    cut_off = texts[k][max(0, a + t - 1) : a + t].isdigit() or texts[k][a + end : a + end + 1].isdigit()  # part of a longer number
-                    if whole and not cut_off and plausible(texts[k][a + t : a + end], kind):
-                        found.setdefault(k, []).append((-float(margin[r, t:end].mean()), a + t, a + end, kind))
-                    t = end
+            for t, end, kind in runs(tags[r], n):
+                opens, closes = t > 0 or a == 0, end < n or a + n == len(texts[k])
+                if opens and closes:
+                    found.setdefault(k, []).append((a + t, a + end, kind))
                 else:
-                    t += 1
-    for k, spans in found.items():
-        taken = [(s, e) for s, e, _ in base[k]]
-        for _, s, e, kind in sorted(set(spans), key=lambda x: (x[0], x[1] - x[2], x[1], x[3])):
-            if all(e <= a or b <= s for a, b in taken):
+                    cut.setdefault(k, []).append((a + t, a + end, kind, opens, closes))
+    for k in found.keys() | cut.keys():
+        text, taken = texts[k], [(s, e) for s, e, _ in base[k]]
+        spans = {*found.get(k, ()), *put_together(cut.get(k, ()))}
+        for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1], x[2])):
+            cut_off = text[max(0, s - 1) : s].isdigit() or text[e : e + 1].isdigit()  # part of a longer number
+            if not cut_off and plausible(text[s:e], kind) and all(e <= a or b <= s for a, b in taken):
                 taken.append((s, e))
                 out[k].append((s, e, kind))
         out[k].sort()
@@ -421,7 +452,11 @@ def redact(docs: DataFrame, model: bytes | None, text_col: str = "text") -> Data
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts are of base spans; n_added counts those of the network."""
+    """Per document the counts of base spans by kind, their digest, all spans, and n_added, those of the network.
+
+    Every row gives one, repeated ids too; null and empty texts have no spans, and the digest of an empty list. Equal
+    starts go by kind as listed. An empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = find_pii(docs, train(docs)).select("doc_id", "spans")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
