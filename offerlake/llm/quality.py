@@ -21,7 +21,7 @@ from offerlake.llm.common import MULTIPLIER, extended, fold, mixed, tidy
 BUCKETS = 1 << 18
 TRAINING_ROWS = 8000  # labelled rows that the classifier is fitted on, at most
 CALIBRATION = 5  # one in so many of them calibrates
-COST, PASSES = 0.1, 12
+COST, PASSES = 1.0, 12  # cost of a row's loss where both classes are equally frequent
 THRESHOLD = 0.3
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -74,21 +74,27 @@ def features(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return (key % BUCKETS).astype(np.int32), np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
 
 
-def fit(found: np.ndarray, begins: np.ndarray, labels: np.ndarray, buckets: int = BUCKETS, cost: float = COST, passes: int = PASSES, seed: int = 1) -> tuple[np.ndarray, float]:
+def log_ratios(found: np.ndarray, begins: np.ndarray, labels: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """By bucket: logarithm of the share of rows with label 1 that hold it over the share of the others, counts plus one."""
+    good = labels > 0
+    of_good = np.repeat(good, np.diff(begins))
+    up, down = (np.bincount(found[x], minlength=buckets) + 1.0 for x in (of_good, ~of_good))
+    return np.log((up / max(1, good.sum())) / (down / max(1, (~good).sum())))
+
+
+def fit(found: np.ndarray, begins: np.ndarray, labels: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 1, close: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias: hinge loss, L2 penalty, dual coordinate descent over shuffled rows.
 
-    The rarer class has the same total cost as the other. With one class alone the weights are zero and the bias its sign.
+    ratio scales the indicators; rows are scaled to length 1 and the bias is one more feature. The rarer class has the
+    same total cost as the other. Ends after `passes`, or once no dual variable moves by `close`. With one class alone
+    the weights are zero and the bias its sign.
     """
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
-        return np.zeros(buckets), float(y[0]) if len(y) else 0.0
-    row = np.repeat(np.arange(len(y)), np.diff(begins))
-    up = np.bincount(found[y[row] > 0], minlength=buckets) + 1.0
-    down = np.bincount(found[y[row] < 0], minlength=buckets) + 1.0
-    ratio = np.log((up / (y > 0).sum()) / (down / (y < 0).sum()))
+        return np.zeros(len(ratio)), float(y[0]) if len(y) else 0.0
     norm = np.sqrt(np.maximum(np.add.reduceat(np.append(ratio[found] ** 2, 0), begins[:-1]) * (np.diff(begins) > 0), 1e-12))
-    limit = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum())) * 10
-    w, bias, alpha = np.zeros(buckets), 0.0, np.zeros(len(y))
+    limit = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
+    w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
     parts = [(found[a:b], ratio[found[a:b]] / n) for a, b, n in zip(begins[:-1], begins[1:], norm, strict=True)]
     for _ in range(passes):
@@ -103,7 +109,7 @@ def fit(found: np.ndarray, begins: np.ndarray, labels: np.ndarray, buckets: int
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < close:
             break
     return w * ratio, bias
 
@@ -163,11 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
         part = lambda keep: (flat[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))))
         f, b = part(~test)
         yt = y[~test]
-        w, bias = fit(f, b, yt)
-        row = np.repeat(np.arange(len(yt)), np.diff(b))
-        up = np.bincount(f[yt[row] > 0], minlength=BUCKETS) + 1.0
-        down = np.bincount(f[yt[row] <= 0], minlength=BUCKETS) + 1.0
-        square = np.log((up / max(1, (yt > 0).sum())) / (down / max(1, (yt <= 0).sum()))) ** 2
+        ratio = log_ratios(f, b, yt)
+        w, bias = fit(f, b, yt, ratio)
+        square = ratio**2
         slope, offset = calibrated(margins(*part(test), w, square, bias), y[test]) if test.any() else (1.0, 0.0)
         if not w.any():
             slope, offset, bias = 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0
@@ -212,7 +216,12 @@ HELD_OUT_OF = 5
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document without id is neither learned from nor held out."""
+    """Per document whether it is held out, its score and the prediction.
+
+    Every row gives one, repeated ids too. A null text counts as empty and has a score; a document without id is neither
+    learned from nor held out. Without any label all scores are a half. An empty table gives no rows. Only the named
+    columns are read, so others can't clash.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))
     model = train(docs, labels.where(fold("doc_id", HELD_OUT_OF) != 0))
