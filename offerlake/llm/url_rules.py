@@ -63,17 +63,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
         .withColumn("key", F.substring("digest", 1, SHORT))
     )
     shapes = rules.select(F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("n")).distinct().collect()
+    shape = F.array(*[F.struct(F.lit(s["labels"]).alias("take"), F.lit(s["n"]).alias("n")) for s in shapes]).cast("array<struct<take:int,n:int>>")
     urls = pages.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()
-    urls = urls.select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.", -1)
-    expressions = [
-        F.when(
-            (F.size("labels") >= s["labels"]) & (F.length("path") >= s["n"]),
-            F.sha2(F.concat(F.array_join(F.slice("labels", -s["labels"], s["labels"]), "."), F.lit("\n"), F.substring("path", 1, s["n"])), 256),
-        )
-        for s in shapes
-    ] or [F.lit(None).cast("string")]
-    posted = urls.select("url", "path", labels.alias("labels")).select("url", F.explode(F.array_compact(F.array(*expressions))).alias("seen"))
+    urls = urls.select("url", F.split(url_host(F.col("url")), r"\.", -1).alias("labels"), url_path(F.col("url")).alias("path"))
+    expanded = urls.select("url", "labels", "path", F.inline(shape)).where("size(labels) >= take and length(path) >= n")
+    suffix, prefix = F.array_join(F.expr("slice(labels, -take, take)"), "."), F.expr("substring(path, 1, n)")
+    posted = expanded.select("url", F.sha2(F.concat(suffix, F.lit("\n"), prefix), 256).alias("seen"))
     best = (
         posted.withColumn("key", F.substring("seen", 1, SHORT))
         .join(known, "key")
@@ -89,7 +84,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path, rule and verdict of every page, rows that repeat included; a null URL has empty host and path."""
+    """Host, path, rule and verdict of every page by SITE_RULES.
+
+    Rows that repeat stay; a null URL, or one without `://`, has an empty host and path, no rule and the verdict allow. No
+    two of these rules tie. An empty table gives no rows. Only page_id and url are read, so other columns can't clash.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages, rule_table(spark, SITE_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
