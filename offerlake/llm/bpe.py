@@ -207,6 +207,10 @@ def byte_bpe_path() -> str:
 
 
 def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its number of tokens and the digests of ids and decoded text; a null text is empty."""
+    """Per document its number of tokens and the digests of ids and decoded text.
+
+    Every row gives one, repeated ids too; a null text is empty: no tokens, digests of an empty string. Texts of any length
+    are encoded whole; pairs of one rank merge from the left. An empty table gives no rows. Only doc_id and text are read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(encode_decode(docs, byte_bpe_path()))

@@ -332,7 +332,12 @@ def passing(shared, text_col: str, region: pa.DataType):
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, contaminated, n_items (distinct), items (their ids) and regions (item:start:end), by commas."""
+    """Per document: doc_id, contaminated, n_items (distinct), items (their ids) and regions (item:start:end), by commas.
+
+    Every row gives one, repeated ids too; null and empty texts are clean, and null and empty items are found nowhere. All
+    items found in one place are listed. An empty table of documents gives no rows, one of items finds nothing. Of the
+    documents only doc_id and text are read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item"])))

@@ -241,7 +241,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document without id is neither learned from nor held out."""
+    """Per document whether it is held out, the language, its share of letters, and the spans of each language.
+
+    Every row gives one, repeated ids too; null texts and texts without a letter are `und` with score 0. A document without
+    id is neither learned from nor held out. Without a training row all are `und`; an empty table gives no rows. Only the
+    named columns are read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(training_rows(docs))
     out = identify(docs.select("doc_id", "text"), model)

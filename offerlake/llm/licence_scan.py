@@ -154,7 +154,11 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, licences, rules_hit and sentence_ids, each joined by commas (empty: none)."""
+    """Per document: doc_id, licences, rules_hit and sentence_ids, each joined by commas (empty: none).
+
+    Every row gives one, repeated ids too; null and empty texts have none. An empty table gives no rows. Only doc_id and
+    text are read.
+    """
     out = scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join(F.col("rules_hit").cast("array<string>"), ",").alias("rules_hit"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
 

@@ -331,5 +331,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What `near_copies` gives for every document."""
+    """What `near_copies` gives for every document: doc_id, class_id, copy_id, n_copies, n_links, n_text_links.
+
+    Every row gives one, repeated and null ids too; null texts and texts without words have no links. An empty table gives
+    no rows. Only doc_id and text are read.
+    """
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -122,6 +122,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest of every twentieth vector among all others."""
+    """The 20 nearest of every twentieth vector among all others.
+
+    Equal scores go to the smaller vec_id; rows that repeat count once; fewer than 20 candidates all come. Null, zero and
+    non-finite vectors, null ids and unusual lengths take no part. An empty table gives no rows. Only vec_id and embedding
+    are read.
+    """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search(vectors, vectors.where("vec_id % 20 = 0"))

@@ -363,6 +363,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What `without_repeats` gives for every document, with the SHA-256 of the bytes left."""
+    """What `without_repeats` gives for every document, with the SHA-256 of the bytes left.
+
+    Every row gives one; rows of one id count in the order of their texts. A null text is empty: no bytes, digest of none.
+    An empty table gives no rows. Only doc_id and text are read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -269,6 +269,33 @@ def test_pii_sample_of_a_table_of_copies(spark):
     assert pii.train(copies, sample=20) == pii.train(copies.distinct(), sample=20) is not None
 
 
+class PhoneTagger:
+    """Tags each run of digits, blanks and signs that a window holds between letters as a phone number."""
+
+    def decode(self, x):
+        phone = (x < 32) & (x != 1)
+        first = phone & ~np.pad(phone[:, :-1], ((0, 0), (1, 0)), constant_values=True)
+        return np.where(first, 7, np.where(phone, 8, 0))
+
+
+@pytest.mark.parametrize("gap", [1, 20, 60, 90, 300])
+@pytest.mark.parametrize("before", [0, 30, 47, 48, 95, 200])
+def test_pii_spans_run_through_windows(before, gap):
+    number = f"(614) 55{'-' * gap}5 8001"
+    text = f"{'x' * before}{number}{'y' * 150}{'z' * before}12"
+    # Where a window between two others holds no digit, nothing is known of it, and the span doesn't count.
+    seen = gap < 96
+    assert pii.added_spans([text], [[]], PhoneTagger()) == [[(before, before + len(number), "phone")] if seen else []]
+    assert pii.added_spans([text], [[(before + 2, before + 4, "ip")]], PhoneTagger()) == [[]]
+
+
+def test_pii_pieces_are_put_together():
+    ends = [(10, 96, "phone", True, False), (48, 144, "phone", False, False), (96, 150, "phone", False, True)]
+    assert pii.put_together(ends) == [(10, 150, "phone")]
+    assert pii.put_together(ends[:2]) == pii.put_together(ends[1:]) == pii.put_together([]) == []
+    assert pii.put_together([ends[0], (97, 120, "phone", False, True)]) == pii.put_together([ends[0], (48, 120, "card", False, True)]) == []
+
+
 def test_crf_gradients():
     tagger = pii.Tagger(seed=2, hidden=4)
     for k in tagger.p:
@@ -326,6 +353,70 @@ def test_quality(spark):
     assert quality.score(docs, quality.train(docs, labels.where("false"))).count() == len(texts)
 
 
+def test_dual_coordinate_descent_equals_an_exact_solver():
+    rng = np.random.default_rng(14)
+    n, buckets = 40, 30
+    held = rng.random((n, buckets)) < 0.3
+    held[:, 0] = True
+    labels = (held[:, 1:8].sum(axis=1) + rng.random(n) > 2.6).astype(int)
+    found, begins = np.nonzero(held)[1], np.concatenate(([0], np.cumsum(held.sum(axis=1))))
+    good = labels == 1
+    ratio = quality.log_ratios(found, begins, labels, buckets)
+    assert np.allclose(ratio, np.log((held[good].sum(axis=0) + 1) / good.sum()) - np.log((held[~good].sum(axis=0) + 1) / (~good).sum()))
+    w, bias = quality.fit(found, begins, labels, ratio, passes=3000, close=1e-9)
+    # The same problem by projected gradient steps over all dual variables.
+    x = held * ratio
+    x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((n, 1))])
+    y = np.where(good, 1.0, -1.0)
+    limit = np.where(good, n / (2 * good.sum()), n / (2 * (~good).sum())) * quality.COST
+    gram = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, limit)
+    exact = x.T @ (alpha * y)
+    assert np.allclose(np.append(w, bias), np.append(exact[:-1] * ratio, exact[-1]), atol=1e-4)
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    """Columns of `docs` that bear names of new or inner ones, rows that repeat, and a text over the 1 MB of a run."""
+    rng = random.Random(31)
+    mail = f"{sentence(rng, 30)} a.b@c.org {sentence(rng, 30)}"
+    item = sentence(rng, 40)
+    texts = [*ODD, mail, mail, f"{sentence(rng, 9)} {item}", licence_scan.SENTENCES["mit-released"], " ".join(sentence(rng, 100) for _ in range(1750)) + f" {item} x.y@z.net"]
+    assert len(texts[-1]) > 1_000_000
+    plain = docs_of(spark, texts, extra=False)
+    plain = plain.unionByName(plain.where("doc_id < 10"))
+    names = "ids decoded spans regions contaminated quality_score lang_pred lang_score lang_spans licences rules_hit sentence_ids n_bytes n_removed n_spans kept row o t h s e c n at key item start end"
+    clashing = plain.withColumns({x: F.lit("x") for x in names.split()})
+    benchmark = spark.createDataFrame([(1, item), (1, item), (None, "x"), (2, None), (3, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, label int")
+    tagger, scorer = pii.train(plain), quality.train(plain, labels)
+    languages = language.train(plain.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")))
+    runs = {
+        "ids decoded": lambda d: bpe.encode_decode(d, bpe.byte_bpe_path()),
+        "quality_score": lambda d: quality.score(d, scorer),
+        "contaminated regions": lambda d: decontaminate.find_contamination(d, benchmark),
+        "spans": lambda d: pii.find_pii(d, tagger),
+        "lang_pred lang_score lang_spans": lambda d: language.identify(d, languages),
+        "n_bytes n_removed n_spans kept": repeats.without_repeats,
+        "licences rules_hit sentence_ids": licence_scan.scan_licences,
+        "text": near_copies.without_near_copies,
+    }
+    got = {}
+    for new, run in runs.items():
+        out = run(clashing)
+        assert set(clashing.columns) - {"text"} <= set(out.columns) and len(set(out.columns)) == len(out.columns), new
+        rows = out.select("doc_id", *new.split()).collect()
+        got[new] = {r["doc_id"]: r for r in rows}
+        # Rows that repeat get one answer each, all alike.
+        assert (new == "text" or len(rows) == len(texts) + 10) and all(r == got[new][r["doc_id"]] for r in rows), new
+    last = len(texts) - 1
+    assert {k for k, r in got["contaminated regions"].items() if r["contaminated"]} == {last - 2, last}
+    assert [(s["start"], s["end"]) for s in got["spans"][last]["spans"] if s["base"]] == [(len(texts[-1]) - 9, len(texts[-1]))]
+    assert got["ids decoded"][last]["decoded"] == texts[-1] and got["licences rules_hit sentence_ids"][last - 1]["licences"] == ["MIT"]
+    assert len(got["text"]) == len(texts) - 1
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(12)
     x = rng.standard_normal((400, 16)).astype(np.float32)
@@ -365,6 +456,23 @@ def test_url_rules(spark):
         assert (r["rule"], r["verdict"]) == judge(urls[r["page_id"]])
 
 
+def test_url_rules_of_many_shapes(spark):
+    rng = random.Random(15)
+    host = lambda n: ".".join(rng.choice("abc") for _ in range(n))
+    rules = [(host(rng.randrange(1, 5)), "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(12))), rng.choice(["allow", "block"])) for _ in range(400)]
+    rules += [("a.b", "/", "allow"), ("a.b", "/", "block"), (None, "/", "block"), ("a", None, "block"), ("b", "/", None)]
+    urls = [f"s://{host(rng.randrange(1, 6))}/{''.join(rng.choice('xy/') for _ in range(rng.randrange(14)))}?q" for _ in range(300)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, action string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, table, default="none").collect()}
+    for k, u in enumerate(urls):
+        own, path = u[4:-2].split("/", 1)
+        fits = [(len(h + p), len(h), h + p, a == "block", a) for h, p, a in rules if None not in (h, p, a) and (own == h or own.endswith("." + h)) and ("/" + path).startswith(p)]
+        best = max(fits, default=(0, 0, None, False, "none"))
+        assert got[k] == (best[2], best[4])
+    assert url_rules.judge_urls(pages, table.where("false")).where("rule is null and verdict = 'allow'").count() == 300
+
+
 LAST_LINE_GONE = ["BSD-2-Clause"]
 
 
