@@ -1,4 +1,9 @@
-"""A training corpus from `documents`: language, near copies, benchmark passages, personal data, tokens."""
+"""A training corpus from `documents`: language, near copies, benchmark passages, personal data, tokens.
+
+Every stage takes null ids, empty and very long texts, and rows that repeat, each row on its own but where the stage is
+about copies. All but the last return the columns of `docs` as they are named there, further ones too; an empty table gives an
+empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,30 +15,39 @@ from offerlake.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a determinable language (null, or without a letter) go; a missing lang becomes the predicted one."""
+    """Texts without a determinable language (null, empty, or without a letter) go; a missing lang becomes the predicted one.
+
+    Of languages with equal shares the first in the alphabet counts. If no row has a lang, there is none to learn, and all go.
+    """
     model = language.train(language.training_rows(docs))
     named = language.identify(docs, model).where(F.col("lang_pred") != language.UNDETERMINED)
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the first by id, a null id last; of rows that repeat, any one.
+
+    Texts without words (null, empty) are no copies of each other and stay.
+    """
     return near_copies.without_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; null and empty texts hold none and stay, and so do all without items."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes placeholders; n_chars follows the text."""
+    """Personal data becomes placeholders; n_chars follows the text. Null texts stay null, with a null n_chars.
+
+    Spans that overlap become one placeholder, named after the first by start, then by kind.
+    """
     return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with their digests and those of the decoded text."""
+    """Token ids of each text, with their digests and those of the decoded text; a null text is empty and has no ids."""
     out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), bpe.byte_bpe_path())
     return out.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
