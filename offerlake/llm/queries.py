@@ -16,6 +16,9 @@ MODULES = {
     "op9_suffix_array_dedup": "repeats",
     "op8_url_filters": "url_rules",
     "op10_license_scans": "licence_scan",
+    "op11_merkle_manifest": "merkle",
+    "op12_warc": "web_archive",
+    "op13_lexical_search": "lexical",
 }
 
 
@@ -24,6 +27,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from offerlake.llm import licence_scan, url_rules
-
-    return {"op8_url_filters": url_rules.SQL, "op10_license_scans": licence_scan.oracle()}
+    from offerlake.llm import lexical, licence_scan, merkle, url_rules, web_archive
+
+    return {
+        "op8_url_filters": url_rules.SQL,
+        "op10_license_scans": licence_scan.oracle(),
+        "op11_merkle_manifest": merkle.SQL,
+        "op12_warc": web_archive.SQL,
+        "op13_lexical_search": lexical.SQL,
+    }
