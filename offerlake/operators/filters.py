@@ -113,6 +113,6 @@ def decided(judged_offers: DataFrame, order: str) -> DataFrame:
 
 
 def rejection_report(decided_offers: DataFrame) -> DataFrame:
-    """Offers by reason, duplicates as one reason."""
+    """Offers by reason, duplicates as one reason, the most frequent first."""
     reason = F.when(F.col("decision") == "duplicate", "duplicate").otherwise(F.col("reject_reason"))
-    return decided_offers.where("decision <> 'kept'").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return decided_offers.where("decision <> 'kept'").groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")

@@ -86,14 +86,16 @@ def get_offer(offers: DataFrame, wanted: str) -> DataFrame:
 
 
 def application_pipeline(offers: DataFrame, applications: DataFrame) -> DataFrame:
-    """Offers with an application and its fields, with their rank in the funnel; one join."""
+    """Offers with an application and its fields, with their rank in the funnel, in its order, then by falling score; one join."""
     stage = F.coalesce(F.array_position(F.array(*map(F.lit, FUNNEL)), F.col("status")), F.lit(0))
     rank = F.when(stage > 0, stage - 1).otherwise(F.lit(len(FUNNEL)))
-    return offers.join(applications.withColumnRenamed("offer_id", "id"), "id").withColumn("funnel", rank.cast("int"))
+    order = [F.asc("funnel"), *([F.desc("score")] if "score" in offers.columns else []), F.asc("id")]
+    return offers.join(applications.withColumnRenamed("offer_id", "id"), "id").withColumn("funnel", rank.cast("int")).orderBy(*order)
 
 
 def counts_by(offers: DataFrame, column: str) -> DataFrame:
-    return offers.where(~F.coalesce("discarded", F.lit(False))).groupBy(column).agg(F.count("*").alias("n"))
+    """Offers that aren't discarded by a column's values, the most frequent first."""
+    return offers.where(~F.coalesce("discarded", F.lit(False))).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
 def report_stats(offers: DataFrame, listed: Column) -> DataFrame:

@@ -224,9 +224,16 @@ query("field_coverage", FX_SQL + "SELECT source, count(*) AS n, count(rate) AS w
 query("campaign_metrics", DECIDED_SQL + "SELECT source, count(*) AS fetched, count(*) FILTER (decision = 'kept') AS kept, count(*) FILTER (decision = 'kept' AND seq % 2 = 1) AS new, count(*) FILTER (decision = 'kept' AND seq % 2 = 0) AS updated FROM d GROUP BY 1")(
     lambda s, d: metrics(decided(s, d), decided(s, d).where("decision = 'kept' and seq % 2 = 0"))
 )
-query("export_csv_rows", STORE_SQL + "SELECT id, score, title, company, source, location, remote, contract, lo AS daily_rate_min, hi AS daily_rate_max, months AS duration_months, strftime(published_at, '%Y-%m-%dT%H:%M:%S') AS published_at, status, array_to_string(skills, ', ') AS skills, concat('https://jobs.example.com/', seq) AS url FROM st")(
-    lambda s, d: stored(s, d).select("id", "score", "title", "company", "source", "location", "remote", "contract", "daily_rate_min", "daily_rate_max", "duration_months", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), "status", F.array_join("skills", ", ").alias("skills"), "url")
-)
+def csv_back(rows: DataFrame) -> DataFrame:
+    """The rows written as CSV and read again; lists come back as text. The writer quotes empty texts, so they stay apart
+    from nulls if the reader is told to take another word for null."""
+    path = storage.place_for(rows.sparkSession, "csv")
+    storage.export_csv(rows, path)
+    shape = ", ".join(f"{name} {'string' if kind.startswith('array') else kind}" for name, kind in rows.dtypes)
+    return rows.sparkSession.read.options(**storage.CSV).option("emptyValue", "").option("nullValue", "\u0001").schema(shape).csv(path)
+
+
+query("export_csv_rows", STORE_SQL + "SELECT id, score, title, company, source, location, remote, contract, lo AS daily_rate_min, hi AS daily_rate_max, months AS duration_months, published_at, status, array_to_string(skills, ', ') AS skills, concat('https://jobs.example.com/', seq) AS url FROM st")(lambda s, d: csv_back(stored(s, d).select("id", "score", "title", "company", "source", "location", "remote", "contract", "daily_rate_min", "daily_rate_max", "duration_months", "published_at", "status", "skills", "url")))
 query("export_json_rows", STORE_SQL + "SELECT id, to_json(struct_pack(id := id, title := title, status := status, starred := starred, remote := remote, skills := skills)) AS line FROM st")(lambda s, d: stored(s, d).select("id", storage.json_line(["id", "title", "status", "starred", "remote", "skills"]).alias("line")))
 query("json_roundtrip", FX_SQL + "SELECT seq, array_to_string(skills, ',') AS skills, published_at FROM e")(
     lambda s, d: facts(offers(s, d)).select("seq", F.from_json(F.to_json(F.struct("skills", "published_at")), "skills array<string>, published_at timestamp").alias("r")).select("seq", joined("r.skills").alias("skills"), "r.published_at")
@@ -328,9 +335,44 @@ query("jsonld_offers", FX_SQL + """SELECT seq, seq::VARCHAR AS source_id, title,
     lambda s, d: jsonld.offers_from(jsonld.postings(jsonld.ld_walk(jsonld.ld_blocks(ld_pages(s, d))), ["seq"]), "page", "seq").select("seq", "source_id", "title", "company", "location", "contract", "daily_rate_min", "published_at")
 )
 ld_offers = lambda s, d: jsonld.offers_from(jsonld.postings(jsonld.ld_walk(jsonld.ld_blocks(ld_pages(s, d))), ["seq"]), "page", "seq")
-query("src_mindquest", FX_SQL + "SELECT seq, '' AS company, 'freelance' AS contract, TIMESTAMP '2024-01-05 00:00:00' AS published_at FROM f")(lambda s, d: pages.forced_freelance(ld_offers(s, d).withColumn("lastmod", F.lit("2024-01-05")), "lastmod").select("seq", "company", "contract", "published_at"))
-query("src_freelanceinfo", FX_SQL + "SELECT seq, '' AS company, CASE WHEN seq % 2 = 0 THEN 'freelance' ELSE 'cdi' END AS contract FROM f")(lambda s, d: pages.freelanceinfo(ld_offers(s, d)).select("seq", "company", "contract"))
-query("src_lesjeudis", FX_SQL + "SELECT seq, title, company FROM f")(lambda s, d: ld_offers(s, d).select("seq", "title", "company"))
+
+
+def market_pages(s: SparkSession, d: str) -> DataFrame:
+    """Detail pages. Two in three hold two postings, the first without a title now and then; publishers stand beside
+    client names, rates in the salary, in the posting's text or only in the page's; some pages have no heading."""
+    publisher = F.when(c("seq") % 8 == 0, "Mindquest SAS").when(c("seq") % 8 == 4, "Freelance - Informatique").otherwise(F.concat(F.lit("Client "), (c("seq") % 50).cast("string")))
+    title = F.when(c("seq") % 10 == 3, "").otherwise(F.concat(F.lit("Offre "), sid()))
+    words = F.concat(F.lit("Mission data."), F.when(c("seq") % 4 == 1, F.concat(F.lit(" TJM entre 400 et "), (450 + c("seq") % 200).cast("string"), F.lit(" euros"))).otherwise(""))
+    salary = F.when(c("seq") % 4 == 2, F.to_json(F.struct(F.struct((300 + c("seq") % 400).alias("minValue"), F.lit("DAY").alias("unitText")).alias("value")))).otherwise("null")
+    posting = lambda name, own: F.concat(F.lit('{"@type":"JobPosting","title":"'), name, F.lit('","url":"'), own, F.lit('","description":"'), words, F.lit('","hiringOrganization":{"name":"'), publisher, F.lit('"},"employmentType":"'), F.when(c("seq") % 5 == 0, "FULL_TIME").otherwise("?"), F.lit('","datePosted":"2024-01-02","baseSalary":'), salary, F.lit("}"))
+    both = F.concat(F.lit('<script type="application/ld+json">[{"@type":"Organization"},'), posting(title, F.concat(F.lit("https://m.example/"), (c("seq") % 1000).cast("string"))), F.lit(","), posting(F.lit("Autre"), F.lit("https://m.example/autre")), F.lit("]</script>"))
+    head = F.when(c("seq") % 7 != 1, F.concat(F.lit("<h1 class='t'>Page <b>"), sid(), F.lit("</b></h1>"))).otherwise("<h2>Rien</h2>")
+    body = F.concat(head, F.lit('<div class="job company-name"><a href="/x">'), publisher, F.lit("</a></div><main><p>Corps "), sid(), F.lit("</p>"), F.when(c("seq") % 4 == 3, F.concat(F.lit("<p>"), (500 + c("seq") % 100).cast("string"), F.lit(" EUR HT par jour</p>"))).otherwise(""), F.lit("</main>"))
+    html = F.concat(F.lit("<html>"), F.when(c("seq") % 3 > 0, both).otherwise(""), F.lit("<body>"), body, F.lit("</body></html>"))
+    return fx(s, d).select("seq", F.concat(F.lit("https://page.example/"), sid()).alias("url"), html.alias("html"))
+
+
+MARKET_SQL = FX_SQL.rstrip() + """, mp AS (SELECT seq, seq % 3 > 0 AS posted, CASE WHEN seq % 10 = 3 THEN '' ELSE concat('Offre ', seq) END AS title, concat('https://m.example/', seq % 1000) AS url,
+  CASE seq % 8 WHEN 0 THEN 'Mindquest SAS' WHEN 4 THEN 'Freelance - Informatique' ELSE concat('Client ', seq % 50) END AS company, CASE WHEN seq % 5 = 0 THEN 'cdi' ELSE 'unknown' END AS contract,
+  CASE seq % 4 WHEN 2 THEN 300 + seq % 400 WHEN 1 THEN 400 END::INTEGER AS text_low, CASE seq % 4 WHEN 2 THEN 300 + seq % 400 WHEN 1 THEN 450 + seq % 200 END::INTEGER AS text_high,
+  CASE WHEN seq % 4 = 2 THEN 300 + seq % 400 END::INTEGER AS salary, CASE WHEN seq % 4 = 3 THEN 500 + seq % 100 END::INTEGER AS page_rate FROM f) """
+market_first = lambda s, d, name: pages.posted_offers(market_pages(s, d), name, "seq")
+market_all = lambda s, d, name: jsonld.offers_from(jsonld.postings(jsonld.ld_walk(jsonld.ld_blocks(market_pages(s, d).drop("url"))), ["seq"]), name, "seq", "block", "path")
+MARKET = ("seq", "title", "company", "contract", "daily_rate_min", "daily_rate_max")
+query("src_mindquest", MARKET_SQL + """SELECT seq, title, CASE WHEN contains(lower(company), 'mindquest') THEN '' ELSE company END AS company, 'freelance' AS contract, text_low AS daily_rate_min, text_high AS daily_rate_max,
+  CASE WHEN seq % 2 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END AS published_at FROM (SELECT * FROM mp WHERE title <> '' UNION ALL SELECT * REPLACE ('Autre' AS title) FROM mp) WHERE posted""")(
+    lambda s, d: pages.mindquest(market_all(s, d, "mindquest").withColumn("lastmod", F.when(c("seq") % 2 == 0, "2024-01-05").otherwise("")), "lastmod").select(*MARKET, "published_at")
+)
+query("src_freelanceinfo", MARKET_SQL + """SELECT seq, title, CASE WHEN contains(replace(lower(company), ' ', ''), 'freelance-informat') THEN '' ELSE company END AS company, CASE WHEN contract = 'unknown' THEN 'freelance' ELSE contract END AS contract,
+  text_low AS daily_rate_min, text_high AS daily_rate_max FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS k FROM (SELECT * FROM mp WHERE title <> '' UNION ALL SELECT * REPLACE ('Autre' AS title, 'https://m.example/autre' AS url) FROM mp) WHERE posted) WHERE k = 1""")(
+    lambda s, d: pages.freelanceinfo(market_all(s, d, "freelanceinfo"), "seq", "block", "path").select(*MARKET)
+)
+query("src_lesjeudis", MARKET_SQL + "SELECT seq, title, company, contract, coalesce(salary, page_rate) AS daily_rate_min, coalesce(salary, page_rate) AS daily_rate_max FROM mp WHERE posted AND title <> ''")(
+    lambda s, d: market_first(s, d, "lesjeudis").select(*MARKET)
+)
+query("market_fallback", MARKET_SQL + """SELECT seq, CASE WHEN posted THEN title ELSE concat('Page ', seq) END AS title, company, CASE WHEN posted AND contract <> 'unknown' THEN contract ELSE 'freelance' END AS contract,
+  coalesce(CASE WHEN posted THEN salary END, page_rate) AS daily_rate_min, coalesce(CASE WHEN posted THEN salary END, page_rate) AS daily_rate_max, CASE WHEN posted THEN url ELSE concat('https://page.example/', seq) END AS url
+  FROM mp WHERE CASE WHEN posted THEN title <> '' ELSE seq % 7 <> 1 END""")(lambda s, d: pages.page_fallback(market_pages(s, d), "freework", "seq").select(*MARKET, "url"))
 
 
 def state_pages(s: SparkSession, d: str) -> DataFrame:
@@ -349,7 +391,7 @@ query("slug_prefilter", f"SELECT page_id, url FROM pages WHERE {any_of(key(chr(1
 query("page_links", r"""SELECT DISTINCT page_id, CASE WHEN starts_with(l, '/') THEN 'https://site.example' || l ELSE l END AS link FROM (SELECT page_id, regexp_extract(unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)), '^[^?#]*') AS l FROM pages) WHERE regexp_matches(l, '^/[a-z]')""")(
     lambda s, d: pages.page_links(s.read.parquet(f"{d}/pages.parquet"), "page_id", pattern="^/[a-z]", base="https://site.example")
 )
-query("page_fallback", f"SELECT page_id, {TIDY.replace('html,', 'h1,')} AS title, 'freelance' AS contract FROM (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages)")(
+query("page_fallback", f"SELECT * FROM (SELECT page_id, {TIDY.replace('html,', 'h1,')} AS title, 'freelance' AS contract FROM (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages)) WHERE title <> ''")(
     lambda s, d: pages.page_fallback(s.read.parquet(f"{d}/pages.parquet"), "freework", "page_id").select("page_id", "title", "contract")
 )
 

@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 from offerlake import dims
 from offerlake.functions.dates import parse_datetime
 from offerlake.functions.extract import parse_daily_rate
-from offerlake.functions.text import contains_any, normalize_key, strip_html, url_title
+from offerlake.functions.text import clean_text, contains_any, normalize_key, strip_html, url_title
+from offerlake.schema import FIELDS, canonical
 from offerlake.sources.feeds import FEEDS
 from offerlake.sources.jsonld import ld_blocks, ld_walk, offers_from, postings
 
 STATE = r'(?is)id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 MISSION_URL = r"/missions-[^/]+/\d+/[^/?#]+$"
+OFFER_FIELDS = [name for name, _ in FIELDS]
 PARTS = 64  # of a source's keys, ranked apart
 
 
@@ -51,42 +53,72 @@ def page_links(pages: DataFrame, *keys: str, html_col: str = "html", pattern: st
 
 
 def heading(html: Column) -> Column:
-    return strip_html(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    """The text of the first h1, null without one."""
+    return F.when(html.rlike(r"(?i)<h1[\s>]"), clean_text(strip_html(F.regexp_extract(html, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1))))
 
 
-def page_fallback(pages: DataFrame, source: str, *keys: str, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Offers of detail pages: the first job posting of the page, else its heading and main text. The rate is read from
-    the whole page where the posting has none, and an unknown contract is freelance."""
+def page_company(html: Column) -> Column:
+    """The text of the first element whose class names a company, empty without one."""
+    return clean_text(strip_html(F.regexp_extract(html, r"""(?s)<([A-Za-z0-9]+)(?=\s)[^>]*\sclass=["'][^"']*company[^"']*["'][^>]*>(.*?)</\1>""", 2)))
+
+
+def with_rate_of(offers: DataFrame, text: Column) -> DataFrame:
+    """Both bounds of the rate from a text, where the offer states no lower one."""
+    out = offers.withColumn("__rate", F.when(F.col("daily_rate_min").isNull(), parse_daily_rate(text)))
+    stated = F.col("daily_rate_min").isNotNull()
+    return out.withColumns({"daily_rate_max": F.when(stated, F.col("daily_rate_max")).otherwise(F.col("__rate.high")), "daily_rate_min": F.coalesce("daily_rate_min", "__rate.low")}).drop("__rate")
+
+
+def without_publisher(name: str, blanks: bool = True) -> Column:
+    """The company, empty where it is the publisher of the page instead of the client."""
+    company = F.lower("company") if blanks else F.replace(F.lower("company"), F.lit(" "), F.lit(""))
+    return F.when(F.contains(company, F.lit(name)), "").otherwise(F.col("company"))
+
+
+def assumed_freelance() -> Column:
+    return F.when(F.col("contract") == "unknown", "freelance").otherwise(F.col("contract"))
+
+
+def first_postings(pages: DataFrame, source: str, *keys: str, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """Each page, with the first job posting on it as an offer in `p`, null without one."""
     whole = pages.select(*keys, F.col(url_col).alias("page_url"), F.col(html_col).alias("html"))
     found = offers_from(postings(ld_walk(ld_blocks(whole)), list(keys)), source, *keys, "page_url", "block", "path", url_col="page_url")
     first = found.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("block", "path")).alias("p"))
-    both = whole.join(first, list(keys), "left")
-    main = F.regexp_extract("html", r"(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>", 1)
-    body = strip_html(F.when(main == "", F.col("html")).otherwise(main))
-    rate = parse_daily_rate(strip_html(F.col("html")))
-    return both.select(
-        *keys, F.lit(source).alias("source"), F.coalesce(F.nullif(F.col("p.url"), F.lit("")), "page_url").alias("url"),
-        F.coalesce(F.nullif(F.col("p.title"), F.lit("")), heading(F.col("html"))).alias("title"), F.coalesce("p.company", F.lit("")).alias("company"),
-        F.coalesce(F.nullif(F.col("p.description"), F.lit("")), body).alias("description"), F.coalesce("p.location", F.lit("")).alias("location"),
-        F.when(F.coalesce("p.contract", F.lit("unknown")) == "unknown", "freelance").otherwise(F.col("p.contract")).alias("contract"),
-        F.coalesce("p.daily_rate_min", rate["low"]).alias("daily_rate_min"), F.coalesce("p.daily_rate_max", rate["high"]).alias("daily_rate_max"),
-    )
-
-
-def forced_freelance(offers: DataFrame, lastmod: str | None = None) -> DataFrame:
-    """Corrections for marketplaces: publisher's name blanked, contract freelance, rate from the text, and the sitemap's
-    date instead of the posting's."""
-    rate = parse_daily_rate(F.concat_ws("\n", "title", "description"))
-    out = offers.withColumns({"company": F.lit(""), "contract": F.lit("freelance"), "daily_rate_min": F.coalesce("daily_rate_min", rate["low"]), "daily_rate_max": F.coalesce("daily_rate_max", rate["high"])})
+    return whole.join(first, list(keys), "left")
+
+
+def posted_offers(pages: DataFrame, source: str, *keys: str, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """Offers of detail pages by the first posting of each; pages without one, or whose first has no title, have none.
+    The rate is read from the whole page where the posting states none."""
+    rows = first_postings(pages, source, *keys, html_col=html_col, url_col=url_col).where("p.title <> ''")
+    rows = rows.select(*keys, "html", *[F.col(f"p.{c}").alias(c) for c in OFFER_FIELDS])
+    return with_rate_of(rows, strip_html(F.col("html"))).drop("html")
+
+
+def page_fallback(pages: DataFrame, source: str, *keys: str, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """Offers of detail pages: the first job posting of the page, else its heading, company and main text. The rate is read
+    from the whole page where none is stated, and an unknown contract is freelance. Pages without a title have no offer."""
+    rows = first_postings(pages, source, *keys, html_col=html_col, url_col=url_col)
+    main = F.regexp_extract("html", r"(?is)<main[^>]*>(.*?)</main>", 1)
+    made = {"title": heading(F.col("html")), "company": page_company(F.col("html")), "description": strip_html(F.when(main == "", F.col("html")).otherwise(main)), "url": F.col("page_url"), "contract": F.lit("freelance"), "source": F.lit(source)}
+    posted = F.col("p").isNotNull()
+    rows = canonical(rows.select(*keys, "html", *[F.when(posted, F.col(f"p.{c}")).otherwise(made.get(c, F.lit(None))).alias(c) for c in OFFER_FIELDS]), *keys, "html")
+    return with_rate_of(rows.where("title <> ''").withColumn("contract", assumed_freelance()), strip_html(F.col("html"))).drop("html")
+
+
+def mindquest(offers: DataFrame, lastmod: str | None = None) -> DataFrame:
+    """Offers of a marketplace of freelances: the contract is known, its own name is no client, rates stand in the text,
+    and the sitemap's date, if given, says how old an offer is. Untitled ones go."""
+    out = with_rate_of(offers.where("title <> ''"), F.col("description")).withColumns({"company": without_publisher("mindquest"), "contract": F.lit("freelance")})
     return out.withColumn("published_at", F.coalesce(parse_datetime(F.col(lastmod)), "published_at")) if lastmod else out
 
 
-def freelanceinfo(offers: DataFrame) -> DataFrame:
-    """A list page's offers, each URL once; publisher blanked, rate from the text, unknown contracts freelance."""
-    once = F.row_number().over(W.partitionBy("url").orderBy("source_id", "title"))
-    first = offers.withColumn("k", once).where("k = 1").drop("k")
-    rate = parse_daily_rate(F.concat_ws("\n", "title", "description"))
-    return first.withColumns({"company": F.lit(""), "daily_rate_min": F.coalesce("daily_rate_min", rate["low"]), "daily_rate_max": F.coalesce("daily_rate_max", rate["high"]), "contract": F.when(F.col("contract") == "unknown", "freelance").otherwise(F.col("contract"))})
+def freelanceinfo(offers: DataFrame, *arrival: str) -> DataFrame:
+    """Offers of list pages: of each URL the first titled one by `arrival`; the publisher is no client, rates stand in the
+    text, unknown contracts are freelance. The first ones come from a partial aggregation, however often a URL repeats."""
+    titled = offers.where("title <> ''")
+    first = titled.groupBy("url").agg(F.min_by(F.struct(*titled.columns), F.struct(*arrival)).alias("o")).select("o.*")
+    return with_rate_of(first, F.col("description")).withColumns({"company": without_publisher("freelance-informat", blanks=False), "contract": assumed_freelance()})
 
 
 def cap_per_source(offers: DataFrame, caps: dict[str, int], key: str, order: str) -> DataFrame:

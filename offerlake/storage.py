@@ -70,10 +70,13 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/v={known[-1]:012d}") if known else None
 
 
+CSV = {"header": True, "sep": ";", "escape": '"'}
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header, quotes where needed; lists are joined by commas, times in ISO form."""
+    """CSV with a header and semicolons, quotes where needed; lists are joined by commas, times in ISO form."""
     out = [F.array_join(c, ", ").alias(c) if kind.startswith("array") else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if kind == "timestamp" else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*out).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    rows.select(*out).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def json_line(columns: list[str]) -> Column:
