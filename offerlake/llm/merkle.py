@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from offerlake.llm.common import written
 
 ARITY = 8
-LEVELS = 4  # levels of hashing in a block
-SPAN = ARITY**LEVELS
+LEVELS = 4  # levels of hashing in a block: 4096 leaves
 BYTES = 32
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,10 +55,10 @@ def layout(levels: int) -> tuple[np.ndarray, ...]:
     return tuple(address(levels, d, np.arange(ARITY**d)) for d in range(levels))
 
 
-def height(width: int) -> int:
+def height(width: int, most: int) -> int:
     """Levels of hashing within a block of a level that has `width` nodes: all, or as many as leave one node."""
     up = 0
-    while up < LEVELS and ARITY**up < width:
+    while up < most and ARITY**up < width:
         up += 1
     return up
 
@@ -70,9 +71,9 @@ def digest(parts: list[bytes]) -> bytes:
 class Subtree:
     """A block's nodes at their addresses; nodes that don't exist are empty places."""
 
-    def __init__(self, width: int, block: int, nodes: bytes | None = None):
-        self.up = height(width)
-        self.leaves = min(SPAN, width - block * SPAN)
+    def __init__(self, width: int, block: int, most: int, nodes: bytes | None = None):
+        self.up = height(width, most)
+        self.leaves = min(ARITY**most, width - block * ARITY**most)
         self.at = layout(self.up + 1)
         self.nodes = np.frombuffer(nodes, f"V{BYTES}") if nodes else np.zeros(tree_size(self.up + 1), f"V{BYTES}")
 
@@ -160,77 +161,76 @@ def numbered(leaves: DataFrame, *order: str) -> DataFrame:
     return rows.join(runs, ["tree", "__part"]).withColumn("at", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
-def block_of(at: str) -> Column:
-    return F.expr(f"{at} div {SPAN}")
-
-
-def built(nodes: DataFrame, level: int) -> DataFrame:
+def built(nodes: DataFrame, level: int, deep: int) -> DataFrame:
     """The blocks of a level, from its nodes (tree, at, width, leaf)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
         tree, block, width = (table.column(c)[0].as_py() for c in ("tree", "block", "width"))
-        subtree = Subtree(width, block)
+        subtree = Subtree(width, block, deep)
         own = subtree.built(table.column("leaf").to_pylist())
         return pa.table({"tree": [tree], "level": pa.array([level], pa.int32()), "block": [block], "width": [width], "root": pa.array([own[:BYTES]], pa.binary()), "nodes": pa.array([own], pa.binary())})
 
-    keyed = nodes.select("tree", block_of("at").alias("block"), "at", "width", "leaf")
+    keyed = nodes.select("tree", F.expr(f"at div {ARITY**deep}").alias("block"), "at", "width", "leaf")
     return keyed.groupBy("tree", "block").applyInArrow(run, BLOCK)
 
 
 @dataclass
 class Forest:
-    """Trees over numbered leaves: the blocks of each level, lowest first."""
+    """Trees over numbered leaves: the blocks of each level, lowest first, and how many levels of hashing a block has."""
 
     leaves: DataFrame
     levels: list[DataFrame]
+    deep: int
+
+    @property
+    def span(self) -> int:
+        return ARITY**self.deep
 
     @property
     def tops(self) -> DataFrame:
         """tree and root. A tree's top is the one block of a level that fits in a block."""
-        out = [blocks.where(F.col("width") <= SPAN).select("tree", "root") for blocks in self.levels]
+        out = [blocks.where(F.col("width") <= self.span).select("tree", "root") for blocks in self.levels]
         whole = out[0]
         for more in out[1:]:
             whole = whole.unionAll(more)
         return whole
 
 
-def planted(leaves: DataFrame) -> Forest:
+def planted(leaves: DataFrame, deep: int) -> Forest:
     """The trees of numbered leaves; each level's blocks are written. The longest tree's width goes through the driver."""
     width = leaves.agg(F.max("width")).first()[0] or 0
-    levels, nodes = [], leaves
+    levels, nodes, span = [], leaves, ARITY**deep
     while not levels or width > 1:
-        blocks = written(built(nodes, len(levels)), "blocks")
+        blocks = written(built(nodes, len(levels), deep), "blocks")
         levels.append(blocks)
-        width = -(-width // SPAN)
-        above = F.expr(f"(width + {SPAN - 1}) div {SPAN}")
-        nodes = blocks.where(F.col("width") > SPAN).select("tree", F.col("block").alias("at"), above.alias("width"), F.col("root").alias("leaf"))
-    return Forest(leaves, levels)
+        width = -(-width // span)
+        above = F.expr(f"(width + {span - 1}) div {span}")
+        nodes = blocks.where(F.col("width") > span).select("tree", F.col("block").alias("at"), above.alias("width"), F.col("root").alias("leaf"))
+    return Forest(leaves, levels, deep)
 
 
-def met(blocks: DataFrame, members: DataFrame, use: Callable[[Subtree, list, pa.Table, dict], dict], schema: str) -> DataFrame:
+def met(blocks: DataFrame, members: DataFrame, deep: int, use: Callable[[Subtree, list, list[int], pa.Table, dict], dict], schema: str) -> DataFrame:
     """Members (tree, at and more) beside the block that holds them as leaves; `use` makes columns of them from the
-    block's subtree and its path."""
+    block's subtree, its path and their places in the block."""
+    names = StructType.fromDDL(schema).fields
+    kinds = {f.name: to_arrow_type(f.dataType) for f in names}
+    span = ARITY**deep
 
     def run(own: pa.Table, block: pa.Table) -> pa.Table:
         made = {f.name: [] for f in names}
         if own.num_rows and block.num_rows:
             row = block.to_pylist()[0]
-            made = use(Subtree(row["width"], row["block"], row["nodes"]), unpacked(row["path"]), own, row)
+            places = [at % span for at in own.column("at").to_pylist()]
+            made = use(Subtree(row["width"], row["block"], deep, row["nodes"]), unpacked(row["path"]), places, own, row)
         return pa.table([pa.array(made[f.name], kinds[f.name]) for f in names], names=list(kinds))
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(schema).fields
-    kinds = {f.name: to_arrow_type(f.dataType) for f in names}
-    keyed = members.withColumn("block", block_of("at"))
+    keyed = members.withColumn("block", F.expr(f"at div {span}"))
     return keyed.groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInArrow(run, schema)
 
 
-def path_of(subtree: Subtree, path: list, own: pa.Table, _: dict) -> dict:
-    out = {c: own.column(c).to_pylist() for c in own.column_names}
-    return out | {"path": [packed(subtree.steps(at % SPAN) + path) for at in out["at"]]}
+def path_of(subtree: Subtree, path: list, places: list[int], own: pa.Table, _: dict) -> dict:
+    return {c: own.column(c).to_pylist() for c in own.column_names} | {"path": [packed(subtree.steps(at) + path) for at in places]}
 
 
 def with_paths(forest: Forest, above: DataFrame | None = None) -> DataFrame:
@@ -241,20 +241,20 @@ def with_paths(forest: Forest, above: DataFrame | None = None) -> DataFrame:
     down = None
     for k in range(len(forest.levels) - 1, -1, -1):
         blocks = forest.levels[k]
-        top = blocks.where(F.col("width") <= SPAN)
+        top = blocks.where(F.col("width") <= forest.span)
         here = top.withColumn("path", F.lit(b"").cast("binary")) if above is None else top.join(above, "tree")
         if down is not None:
-            below = met(down, blocks.where(F.col("width") > SPAN).select("tree", F.col("block").alias("at")), path_of, "tree string, at long, path binary")
+            below = met(down, blocks.where(F.col("width") > forest.span).select("tree", F.col("block").alias("at")), forest.deep, path_of, "tree string, at long, path binary")
             here = here.unionByName(blocks.join(below.withColumnRenamed("at", "block"), ["tree", "block"]))
         down = written(here, "paths") if k else here
     return down
 
 
-def proved(subtree: Subtree, path: list, own: pa.Table, row: dict) -> dict:
+def proved(subtree: Subtree, path: list, places: list[int], own: pa.Table, row: dict) -> dict:
     """A proof and the root that it gives for each leaf of a block."""
     out: dict[str, list] = {c.split()[0]: [] for c in PROVED.split(", ")}
-    for doc, at, leaf, changed in zip(*(own.column(c).to_pylist() for c in ("doc_id", "at", "leaf", "changed")), strict=True):
-        steps = subtree.steps(at % SPAN) + path
+    for at, doc, leaf, changed in zip(places, *(own.column(c).to_pylist() for c in ("doc_id", "leaf", "changed")), strict=True):
+        steps = subtree.steps(at) + path
         found = folded(leaf if changed is None else changed, steps)
         made = (doc, leaf.hex(), row["subroot"].hex(), row["whole"].hex(), digest([x for both in steps for x in both]).hex(), found.hex(), found == row["whole"])
         for column, value in zip(out.values(), made, strict=True):
@@ -262,22 +262,22 @@ def proved(subtree: Subtree, path: list, own: pa.Table, row: dict) -> dict:
     return out
 
 
-def verify(docs: DataFrame, tampered: Column) -> DataFrame:
+def verify(docs: DataFrame, tampered: Column, deep: int = LEVELS) -> DataFrame:
     """Builds the manifest of `docs`, a tree for each lang and one over their roots, and holds every row against it, with
     its text in lower case where `tampered`: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     Every row is a leaf, repeated ones too. Leaves of a lang go by doc_id (null first), then by digest; a null lang has
     its own tree, before all others. Null fields are leaves' `-`. An empty table gives no rows. Only the five columns of
-    documents are read. Paths through a tree's blocks meet its leaves block by block, 4096 at a time.
+    documents are read. Paths through a tree's blocks meet its leaves block by block, 8**deep at a time.
     """
-    forest = planted(numbered(document_leaves(docs, tampered), "doc_id", "leaf"))
+    forest = planted(numbered(document_leaves(docs, tampered), "doc_id", "leaf"), deep)
     tops = written(forest.tops, "tops")
-    crown = planted(numbered(tops.select(F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("root").alias("leaf")), "key"))
-    above = met(with_paths(crown), crown.leaves.select("tree", "at", "key"), path_of, "tree string, at long, key string, path binary")
+    crown = planted(numbered(tops.select(F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("root").alias("leaf")), "key"), deep)
+    above = met(with_paths(crown), crown.leaves.select("tree", "at", "key"), deep, path_of, "tree string, at long, key string, path binary")
     whole = crown.tops.select(F.col("root").alias("whole"))  # one row
     blocks = with_paths(forest, written(above.select(F.col("key").alias("tree"), "path"), "above"))
     blocks = blocks.join(tops.withColumnRenamed("root", "subroot"), "tree").join(F.broadcast(whole))
-    return met(blocks, forest.leaves.drop("width"), proved, PROVED)
+    return met(blocks, forest.leaves.drop("width"), deep, proved, PROVED)
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
