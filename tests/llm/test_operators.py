@@ -382,7 +382,7 @@ def test_clashing_names_repeated_rows_and_long_texts(spark):
     rng = random.Random(31)
     mail = f"{sentence(rng, 30)} a.b@c.org {sentence(rng, 30)}"
     item = sentence(rng, 40)
-    texts = [*ODD, mail, mail, f"{sentence(rng, 9)} {item}", licence_scan.SENTENCES["mit-released"], " ".join(sentence(rng, 100) for _ in range(1750)) + f" {item} x.y@z.net"]
+    texts = [*ODD, mail, mail, f"{sentence(rng, 9)} {item}", "Released under the MIT License.", " ".join(sentence(rng, 100) for _ in range(1750)) + f" {item} x.y@z.net"]
     assert len(texts[-1]) > 1_000_000
     plain = docs_of(spark, texts, extra=False)
     plain = plain.unionByName(plain.where("doc_id < 10"))
@@ -490,7 +490,47 @@ def test_licences_in_wrapped_lines(spark):
     texts = ["\n".join(f"# {x}".rstrip() for x in apache), "/*\r\n" + "\r\n".join(f" * {x}" for x in apache) + "\r\n */", "\n".join(["MIT License", *wrapped, "", "more"]), "\n".join(["MIT License", *wrapped[:-1], "more"]), "\n".join(["x", *wrapped[:2], "y", *wrapped[2:]]), "not Released under\nthe MIT License.", "heading\nReleased under\nthe MIT License. Released\nunder the\n\n MIT License!\nLicensed under\nCC BY 4.0", "\n" * 3000]
     got = [(r["licences"], r["sentence_ids"]) for r in licence_scan.scan_licences(docs_of(spark, texts)).orderBy("doc_id").collect()]
     long = (["Apache-2.0"], ["apache2-long", "apache2-copy"])
-    assert got == [long, long, (["MIT"], ["mit-grant"]), ([], []), ([], []), ([], []), (["MIT", "CC-BY-4.0"], ["mit-released", "mit-released", "ccby4"]), ([], [])]
+    assert got == [long, long, (["MIT"], ["mit-grant"]), ([], []), ([], []), ([], []), (["MIT", "CC-BY-4.0"], ["MIT", "MIT", "CC-BY-4.0"]), ([], [])]
+
+
+def test_licences_are_one_sequence(spark):
+    """A notice whose sentences are wrapped here and not there is one notice: the longer rule takes it."""
+    bsd = [licence_scan.SENTENCES[n] for n in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")]
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    texts = ["\n".join([*bsd[:3], wrap(bsd[3], 7)]), "\n".join(f" * {x}" for x in "\n".join([wrap(x, 5) for x in bsd]).split("\n")), "\n".join(f"{k}. {x}" for k, x in enumerate(bsd)), " ".join(bsd[:3]), "\n".join([bsd[0], bsd[1], "something else", bsd[2], bsd[3]])]
+    texts += ["SPDX-License-Identifier: LGPL-2.1-or-later", "// SPDX-License-Identifier: MIT OR Apache-2.0", "see SPDX-License-Identifier: MIT", "This work is licensed under the GNU General Public License, version 3.", "This file is licensed under the GNU General Public License, version 2\nor later."]
+    texts += ["\n".join(licence_scan.SENTENCES[n] for n in ("gpl2-redistribute", "gpl-hope", "gpl-details")), "\n".join(licence_scan.SENTENCES[n] for n in ("agpl3-redistribute", "gpl-hope", "agpl-details"))]
+    got = [(r["licences"], r["rules_hit"]) for r in licence_scan.scan_licences(docs_of(spark, texts).withColumn("ids", F.lit(1)).withColumn("hit", F.lit(2))).orderBy("doc_id").collect()]
+    names = [g[0] for g in got]
+    assert names[0] == names[1] == names[2] == names[4] == ["BSD-3-Clause"] and names[3] == ["BSD-2-Clause"] and all(len(g[1]) <= 1 for g in got)
+    assert names[5:] == [["LGPL-2.1-or-later"], [], [], ["GPL-3.0-only"], ["GPL-2.0-or-later"], ["GPL-2.0-or-later"], ["AGPL-3.0-or-later"]]
+
+
+def test_licence_catalogue():
+    known = licence_scan.KNOWN
+    assert len(licence_scan.NAMES) >= 40 and all(x in set(known.values()) for _, run in licence_scan.RULES for x in run)
+    words = licence_scan.anchors(list(known))
+    assert all(any(w in s for w in words) for s in known) and len(words) < 12
+
+
+def test_items_of_thirty_characters_take_three_edits():
+    item = "abcde fghij klmno pqrst uvwxyz"
+    windows = decontaminate.Windows([(1, item)])
+    assert len(item) == 30 and windows.budget.tolist() == [3] and windows.bound.min() >= 1
+    for text, found in ((item.replace("e", "E").replace("j", "1").replace("o", "2").replace("t", "3"), True), (item.replace("c", "0").replace("j", "1").replace("o", "2").replace("t", "3"), False)):
+        assert bool(decontaminate.regions([f"before {text} after"], windows)[0]) is found
+
+
+def test_added_ip_spans_have_parts_up_to_255():
+    assert pii.plausible("10 . 0 . 0 . 255", "ip") and not pii.plausible("10.0.0.90012", "ip") and not pii.plausible("10001.2.3.4", "ip") and not pii.plausible("1.2.3.256", "ip")
+
+
+def test_quality_training_takes_the_least_of_repeated_texts(spark):
+    rng = random.Random(21)
+    rows = [(k, sentence(rng, 12)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, label int")
+    more = spark.createDataFrame(rows + [(k, "zzz " + t) for k, t in rows], "doc_id long, text string")
+    assert str(quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)) == str(quality.train(more.repartition(7), labels))
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
