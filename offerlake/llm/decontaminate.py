@@ -19,7 +19,8 @@ from offerlake.llm.bpe import slices
 from offerlake.llm.common import extended, mixed, prefix_hashes, tidy, written
 from offerlake.llm.language import table
 
-Q = 8
+Q = 7  # with it a tenth of edits leaves a shared q-gram at least, from EXACT_BELOW characters on
+WORDS_BELOW = 8  # characters: shorter items are found as whole words
 WINDOW = 80  # normalised characters
 GROUP = 8  # neighbouring windows that are verified together
 ALIGNED = 20_000  # alignments held in memory at once
@@ -61,16 +62,16 @@ class Windows:
     def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, edits: float = EDITS):
         self.q = q
         plain = [(item, normalised(text)[0]) for item, text in items]
-        short = [x for x in plain if 0 < len(x[1]) < q]  # no q-gram: found as whole words
+        short = [x for x in plain if 0 < len(x[1]) < max(q, WORDS_BELOW)]
         self.short = {m: [(item, points) for item, points in short if len(points) == m] for m in sorted({len(x[1]) for x in short})}
-        plain = [x for x in plain if len(x[1]) >= q]
+        plain = [x for x in plain if len(x[1]) >= max(q, WORDS_BELOW)]
         self.owner = np.array([item for item, _ in plain], np.int64)
         self.lengths = np.array([len(points) for _, points in plain], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.points = np.concatenate([points for _, points in plain]) if plain else np.zeros(0, np.uint32)
         self.sizes = np.minimum(self.lengths, window)
         allowed = np.array([int(edits * m) if m >= EXACT_BELOW else 0 for m in self.sizes.tolist()], np.int64)
-        self.edits = np.minimum(allowed, self.sizes // q - 1)
+        self.edits = np.minimum(allowed, self.sizes // q - 1)  # never less than allowed with Q
         self.bound = self.sizes - q + 1 - q * self.edits
         joined = gram_hashes(self.points, q)
         owner = np.repeat(np.arange(len(plain), dtype=np.int32), self.lengths)[: len(joined)]
