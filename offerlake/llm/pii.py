@@ -93,7 +93,7 @@ def plausible(found: str, kind: str) -> bool:
     digits = len(DIGITS.findall(found))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", found)
-        return len(parts) == 4 and all(int(p[-4:]) <= 255 for p in parts) and re.fullmatch(r"[0-9 .\[\]()]+", found) is not None
+        return len(parts) == 4 and all(len(p.lstrip('0')) <= 3 and int(p) <= 255 for p in parts) and re.fullmatch(r"[0-9 .\[\]()]+", found) is not None
     if kind == "card":
         return re.fullmatch(r"[0-9 ./_-]+", found) is not None and card_like(found)
     return 9 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", found) is not None and re.search(r"[ ()./-]", found) is not None
