@@ -142,10 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
 
     The rows are those with the smallest hash of the id, a sample that doesn't depend on order or partitions; their
     ids, at most `rows`, are broadcast to pick the texts. Null labels, ids and texts don't count; of rows with one id,
-    one does. What comes back is a weight and a squared ratio for each used bucket, BUCKETS at most.
+    the one with the least text does. What comes back is a weight and a squared ratio for each used bucket, BUCKETS at most.
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
