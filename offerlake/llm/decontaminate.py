@@ -19,7 +19,7 @@ from offerlake.llm.bpe import slices
 from offerlake.llm.common import extended, mixed, prefix_hashes, tidy, written
 from offerlake.llm.language import table
 
-Q = 7  # with it a tenth of edits leaves a shared q-gram at least, from EXACT_BELOW characters on
+Q = 8
 WORDS_BELOW = 8  # characters: shorter items are found as whole words
 WINDOW = 80  # normalised characters
 GROUP = 8  # neighbouring windows that are verified together
@@ -71,7 +71,7 @@ class Windows:
         self.points = np.concatenate([points for _, points in plain]) if plain else np.zeros(0, np.uint32)
         self.sizes = np.minimum(self.lengths, window)
         allowed = np.array([int(edits * m) if m >= EXACT_BELOW else 0 for m in self.sizes.tolist()], np.int64)
-        self.edits = np.minimum(allowed, self.sizes // q - 1)  # never less than allowed with Q
+        self.edits = np.minimum(allowed, self.sizes // q - 1)  # never less than allowed with the q of `indexes`
         self.bound = self.sizes - q + 1 - q * self.edits
         joined = gram_hashes(self.points, q)
         owner = np.repeat(np.arange(len(plain), dtype=np.int32), self.lengths)[: len(joined)]
@@ -99,6 +99,21 @@ class Windows:
         return np.repeat(self.edits, self.lengths - self.sizes + 1)
 
 
+def gram_size(length: int) -> int:
+    """The largest q, up to Q, of which a shared q-gram is left after all edits of an item: 7 for 30 and 31 characters."""
+    size = min(length, WINDOW)
+    edits = int(EDITS * size) if size >= EXACT_BELOW else 0
+    return min(Q, size // (edits + 1)) if size >= WORDS_BELOW else Q
+
+
+def indexes(items: list[tuple[int, str]]) -> list[Windows]:
+    """The items, in one index for each q that they need."""
+    by_size: dict[int, list[tuple[int, str]]] = {Q: []}
+    for item, text in items:
+        by_size.setdefault(gram_size(len(normalised(text)[0])), []).append((item, text))
+    return [Windows(own, q) for q, own in by_size.items()]
+
+
 def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     if len(points) < q:
         return np.zeros(0, np.uint64)
@@ -312,7 +327,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for part in range(parts):
         out = written(out, "pass") if part else out
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        windows = Windows([tuple(r) for r in own.collect()])
+        windows = indexes([tuple(r) for r in own.collect()])
         out = out.mapInArrow(passing(docs.sparkSession.sparkContext.broadcast(windows), text_col, region), extended(out.drop("regions"), "regions array<struct<item:bigint,start:int,end:int>>"))
     return out.select(*kept, (F.size("regions") > 0).alias("contaminated"), "regions")
 
@@ -321,12 +336,12 @@ def passing(shared, text_col: str, region: pa.DataType):
     """One pass over documents: what it finds is added to the regions of the passes before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
         for whole in batches:
             for batch in slices(whole, text_col, 1_000_000):
-                found = regions([t or "" for t in batch.column(text_col).to_pylist()], windows)
-                before = batch.column("regions").to_pylist()
-                rows = [[*a, *({"item": i, "start": s, "end": e} for i, s, e in b)] for a, b in zip(before, found, strict=True)]
+                texts = [t or "" for t in batch.column(text_col).to_pylist()]
+                rows = batch.column("regions").to_pylist()
+                for windows in shared.value:
+                    rows = [[*a, *({"item": i, "start": s, "end": e} for i, s, e in b)] for a, b in zip(rows, regions(texts, windows), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, region)], names=batch.schema.names)
 
     return tidy(run)

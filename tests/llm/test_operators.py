@@ -515,8 +515,11 @@ def test_licence_catalogue():
 
 def test_items_of_thirty_characters_take_three_edits():
     item = "abcde fghij klmno pqrst uvwxyz"
-    windows = decontaminate.Windows([(1, item)])
+    _, windows = decontaminate.indexes([(1, item)])
     assert len(item) == 30 and windows.budget.tolist() == [3] and windows.bound.min() >= 1
+    for n in range(8, 200):
+        own = decontaminate.indexes([(1, ("abcdefghij" * 20)[:n])])[-1]
+        assert set(own.budget.tolist()) == {int(0.1 * min(n, 80)) if n >= 24 else 0} and own.bound.min() >= 1
     for text, found in ((item.replace("e", "E").replace("j", "1").replace("o", "2").replace("t", "3"), True), (item.replace("c", "0").replace("j", "1").replace("o", "2").replace("t", "3"), False)):
         assert bool(decontaminate.regions([f"before {text} after"], windows)[0]) is found
 
