@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake import dims
-from offerlake.functions.text import contains_any, deaccent, folded, java_quoted, normalize_key, once, strip_html, table
+from offerlake.functions.needles import held_in
+from offerlake.functions.text import bounded, contains_any, deaccent, folded, marked, normalize_key, once, strip_html, table
 
 # The patterns of a daily rate. An amount has three or four digits, perhaps with a thousands separator,
 # and is never cut out of a longer number.
@@ -89,12 +90,11 @@ def rate_mention(text: Column) -> Column:
     return found(text, FLAGS + RATE_WORD)
 
 
-def parse_contract(key: Column) -> Column:
+def parse_contract(key: Column, marks: Column | None = None) -> Column:
     """From a normalised text, by priority of the hint lists; `unknown` without a hint."""
-    out = F
-    for contract, hints in dims.CONTRACT_HINTS.items():
-        out = out.when(contains_any(key, hints).isNotNull(), contract)
-    return out.otherwise("unknown")
+    contract_of = {h: contract for contract, hints in reversed(dims.CONTRACT_HINTS.items()) for h in hints}
+    first = contains_any(key, [h for hints in dims.CONTRACT_HINTS.values() for h in hints], marks)
+    return F.coalesce(F.try_element_at(F.map_from_arrays(table(list(contract_of)), table(list(contract_of.values()))), first), F.lit("unknown"))
 
 
 def parse_remote(key: Column, folded_text: Column) -> Column:
@@ -134,20 +134,11 @@ def detect_signals(title: Column, description: Column) -> Column:
     return once(heard, told)
 
 
-def any_name(variants: list[str]) -> str:
-    """One pattern for all names, with word boundaries at alphanumeric ends."""
-    parts = []
-    for v in sorted({folded(x) for x in variants}, key=lambda x: (-len(x), x)):
-        parts.append((r"\b" if v[0].isalnum() else "") + java_quoted(v) + (r"\b" if v[-1].isalnum() else ""))
-    return "(?iuU)" + "|".join(parts)
-
-
-def named(key: Column, names: dict[str, list[str]]) -> Column:
+def named(key: Column, names: dict[str, list[str]], marks: Column | None = None) -> Column:
     """The names of which a normalised text holds one of the words, or the name itself, between word boundaries; in the
-    order of the list. A pattern is only tried on texts that hold the letters of a word at all."""
-    rows = [{"name": name, "letters": sorted({folded(x) for x in [name, *words]}), "pattern": any_name([name, *words])} for name, words in names.items()]
-    hit = lambda k: lambda n: F.exists(n["letters"], lambda w: F.contains(k, w)) & F.rlike(k, n["pattern"])
-    return once(key, lambda k: F.transform(F.filter(table(rows), hit(k)), lambda n: n["name"]))
+    order of the list. One pass over the text, however many words there are."""
+    forms = [(k, bounded(w)) for k, (name, words) in enumerate(names.items()) for w in dict.fromkeys(map(folded, [name, *words]))]
+    return F.transform(held_in(marked(key) if marks is None else marks, forms), lambda k: F.get(table(list(names)), k))
 
 
 def extract_skills(key: Column) -> Column:

@@ -7,11 +7,10 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from functools import cache
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from offerlake.dims import TRACKING
 
@@ -90,10 +89,6 @@ def folded(text: str) -> str:
     return unmarked(text).lower().strip()
 
 
-def java_quoted(text: str) -> str:
-    return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", text)
-
-
 def sql_literal(value: object) -> str:
     if isinstance(value, str):
         return f'r"{value}"' if '"' not in value else "r'" + value + "'"
@@ -115,33 +110,82 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def needle(text: str, bounded_up_to: int = 3) -> dict:
-    """How a text is looked for in normalised texts: by its letters, and between word boundaries if it is short."""
-    n = folded(text)
-    return {"text": text, "letters": n, "pattern": rf"(?U)\b{java_quoted(n)}\b" if len(n) <= bounded_up_to else None}
+MARK, OTHER = "\u0001", "\u0002"
+SHORT = 3  # needles up to this many characters are looked for between word boundaries
+
+
+def marked(key: Column) -> Column:
+    """The text with a mark at each start and end of a word; texts of ASCII alone take the plain pattern."""
+    plain = F.translate(key, MARK, OTHER)
+    mark = lambda flags: F.regexp_replace(plain, rf"{flags}(\w+)", f"{MARK}$1{MARK}")
+    return F.when(F.octet_length(key) == F.char_length(key), mark("")).otherwise(mark("(?U)"))
 
 
-def held(key: Column, n: Column) -> Column:
-    """Does a normalised text hold the needle? Patterns are only tried where the letters are."""
-    return F.contains(key, n["letters"]) & F.coalesce(F.rlike(key, n["pattern"]), F.lit(True))
+def bounded(letters: str, always: bool = False) -> str:
+    """How a needle between word boundaries stands in a marked text. Ends that are letters or digits have one, with
+    `always` other ends, too: a sign at which a word ends, or that one follows."""
+    form = re.sub(r"(\w+)", rf"{MARK}\1{MARK}", letters)
+    return MARK + form.strip(MARK) + MARK if always else form
 
 
-def contains_any(key: Column, needles: Sequence[str]) -> Column:
-    """The first needle of the list, as written, that the normalised text holds; null if none."""
-    known = [needle(n) for n in needles if folded(n)]
+def needle(letters: str, bounded_up_to: int = SHORT) -> dict:
+    """What is looked for in marked texts, if the needle is short, else in plain ones."""
+    short = len(letters) <= bounded_up_to
+    return {"letters": letters, "form": bounded(letters, always=True) if short else letters, "short": short}
+
+
+def contains_any(key: Column, needles: Sequence[str], marks: Column | None = None) -> Column:
+    """The first needle of the list, as written, that the normalised text holds; null if none. `marks`: the marked text,
+    where it is there already."""
+    known = [(n, needle(folded(n))) for n in needles if folded(n)]
     if not known:
         return F.lit(None).cast("string")
-    return once(key, lambda k: F.get(F.filter(table(known), lambda n: held(k, n)), F.lit(0))["text"])
+    both = F.struct(key.alias("key"), ((marked(key) if marks is None else marks) if any(n["short"] for _, n in known) else F.lit("")).alias("marks"))
+    return once(both, lambda b: F.coalesce(*[F.when(F.contains(b["marks" if n["short"] else "key"], F.lit(n["form"])), F.lit(text)) for text, n in known], F.lit(None).cast("string")))
+
+
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def named_entities(names: Iterable[str]) -> Column:
+    """name -> characters, as one literal map, from the list of all names of HTML 5."""
+    return F.map_from_arrays(*[F.split(F.lit("\x1f".join(x)), "\x1f") for x in (names, [html5[n] for n in names])])
+
+
+def by_number(digits: Column, base: int) -> Column:
+    """The character of a code point: those below 160 as browsers read them, none for what is no character, the
+    replacement character for what can't be one."""
+    plain = F.ltrim(digits, F.lit("0"))
+    code = F.when(F.length(plain) > 8, 0x110000).otherwise(F.conv(F.coalesce(F.nullif(plain, F.lit("")), F.lit("0")), base, 10).cast("bigint"))
+
+    def char(n: Column) -> Column:
+        low = F.split(F.lit("\x1e".join(html.unescape(f"&#{k};") for k in range(0xA0))), "\x1e")
+        none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        other = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(n < 0xA0, F.get(low, n.cast("int"))).when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when(none, "").otherwise(other)
+
+    return once(code, char)
 
 
-@F.pandas_udf(StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def entity(e: Column) -> Column:
+    """The characters of one entity with its ampersand. An unknown name is read by its longest beginning that needs no
+    semicolon; if there is none, it stays as it is."""
+    name = F.substring(e, F.lit(2), F.length(e))
+    whole, open_ = named_entities(html5), named_entities([n for n in html5 if not n.endswith(";")])
+    begun = F.transform(F.sequence(F.greatest(F.length(name) - 1, F.lit(2)), F.lit(2), F.lit(-1)), lambda k: F.struct(F.try_element_at(open_, F.substring(name, F.lit(1), k)).alias("chars"), k.alias("k")))
+    best = once(F.get(F.filter(begun, lambda b: b["chars"].isNotNull()), F.lit(0)), lambda b: F.concat(b["chars"], F.substring(name, b["k"] + 1, F.length(name))))
+    digits = F.rtrim(name, F.lit(";"))
+    hex_, decimal = F.substring(digits, F.lit(3), F.length(digits)), F.substring(digits, F.lit(2), F.length(digits))
+    usual = F.when(e == "&amp;", "&").when(e == "&lt;", "<").when(e == "&gt;", ">").when(e == "&quot;", '"').when(e == "&nbsp;", "\u00a0").when(e == "&#39;", "'")
+    return usual.when(F.lower(F.substring(name, 1, 2)) == "#x", by_number(hex_, 16)).when(F.startswith(name, F.lit("#")), by_number(decimal, 10)).otherwise(F.coalesce(F.try_element_at(whole, name), best, e))
 
 
 def unescape(text: Column) -> Column:
-    """HTML entities decoded. Only texts with an ampersand go to Python, in Arrow batches."""
-    return F.coalesce(unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+    """HTML entities decoded, in one pass: what an entity stands for is not read again."""
+    ampersand = F.contains(text, F.lit("&"))
+    found, between = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.split(text, ENTITY, -1)
+    known = F.transform(found, entity)
+    return F.when(ampersand, F.array_join(F.zip_with(between, known, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
 
 
 MOJIBAKE = "[\u00c2\u00c3\u00e2][\u0080-\u00bf]"

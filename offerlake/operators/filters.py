@@ -13,6 +13,7 @@ from offerlake.functions.dates import age_days, daily_rate
 from offerlake.functions.extract import core_skill_count
 from offerlake.functions.text import contains_any, cross_key, fingerprint, folded, normalize_key
 from offerlake.schema import settled
+from offerlake.storage import written
 
 
 def with_keys(offers: DataFrame) -> DataFrame:
@@ -105,10 +106,12 @@ def decided(judged_offers: DataFrame, order: str) -> DataFrame:
     whether or not it passes; a row before it that fails is rejected.
 
     The first passing row of a key is found by a partial aggregation and joined back, so that a key with very many
-    rows is never sorted in one task. `order` is a unique column.
+    rows is never sorted in one task. `order` is a unique column. The judged rows are written first, as both steps need
+    them and a judgement costs more than reading it; leave out columns that you don't need.
     """
-    firsts = judged_offers.where("reject_reason is null").groupBy("cross_key").agg(F.min(order).alias("first_kept"))
-    out = judged_offers.join(firsts, "cross_key", "left")
+    rows = written(judged_offers, "judged")
+    firsts = rows.where("reject_reason is null").groupBy("cross_key").agg(F.min(order).alias("first_kept"))
+    out = rows.join(firsts, "cross_key", "left")
     return out.withColumn("decision", F.when(F.col(order) == F.col("first_kept"), "kept").when(F.col(order) > F.col("first_kept"), "duplicate").otherwise("rejected")).drop("first_kept")
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from offerlake import dims
 from offerlake.config import Profile
 from offerlake.functions.extract import role_family
-from offerlake.functions.text import folded, java_quoted, needle, normalize_key, once, table
+from offerlake.functions.needles import holds, times
+from offerlake.functions.text import folded, marked, needle, normalize_key, once, table
 from offerlake.schema import settled
 
 # Weights and sizes of the composition.
@@ -27,6 +28,7 @@ ALL, PER_CATEGORY, CATEGORIES, LEAST, TRANSVERSAL = 12, 4, 5, 2, 4
 OPTIONAL_FROM, BULLETS, TOPICS, GAPS = 2.0, 6, 6, 5
 TRANSVERSAL_LABEL = "Compétences transverses"
 
+MATCH_KEYS = ("title_key", "desc_key", "body_key", "title_marks", "body_marks", "asked", "family")
 RELEVANCE = "array<struct<category:string,cat_ord:int,competence:string,rank:int,score:double>>"
 
 
@@ -36,29 +38,24 @@ def patterns_of(competence: str) -> list[str]:
     return [p for p in [base, *dims.ALIASES.get(competence, [])] if p]
 
 
-def pattern_regex(pattern: str) -> str:
-    quoted = java_quoted(pattern)
-    return rf"(?U)\b{quoted}\b" if len(pattern) <= SHORT else quoted
-
-
 def needles_of(competence: str) -> list[dict]:
-    return [needle(p, SHORT) | {"pattern": pattern_regex(p)} for p in patterns_of(competence)]
+    return [needle(p, SHORT) for p in patterns_of(competence)]
 
 
 def with_match_keys(offers: DataFrame) -> DataFrame:
     """title_key, body_key, asked (normalised skills, the matched ones included) and family."""
     asked = F.array_union(F.coalesce("skills", F.array().cast("array<string>")), F.coalesce("score_detail.matched_skills", F.array().cast("array<string>")))
     keyed = settled(offers.withColumns({"title_key": normalize_key(F.col("title")), "desc_key": normalize_key(F.col("description"))}))
-    return settled(keyed.withColumns({"body_key": F.substring("desc_key", 1, BODY_CHARS), "asked": F.transform(asked, normalize_key), "family": role_family(F.col("title_key"), F.col("desc_key"))}))
+    keyed = settled(keyed.withColumns({"body_key": F.substring("desc_key", 1, BODY_CHARS), "asked": F.transform(asked, normalize_key), "family": role_family(F.col("title_key"), F.col("desc_key"))}))
+    return settled(keyed.withColumns({"title_marks": marked(F.col("title_key")), "body_marks": marked(F.col("body_key"))}))
 
 
-def relevance_of(title: Column, body: Column, needles: Column, asked: Column | None = None) -> Column:
-    """Score of one competence, from its needles. A body that doesn't hold a needle's letters isn't searched."""
-    count = lambda n: F.when(F.contains(body, n["letters"]), F.regexp_count(body, n["pattern"])).otherwise(0)
+def relevance_of(needles: Column, with_asked: bool = True) -> Column:
+    """Score of one competence for a row with match keys, from its needles."""
     by_body = lambda c: F.when(c > 0, BODY + F.least(c, F.lit(BODY_MOST)) * BODY_EACH).otherwise(0.0)
-    by_title = lambda n: F.when(F.contains(title, n["letters"]) & F.rlike(title, n["pattern"]), TITLE).otherwise(0.0)
-    by_asked = lambda n: F.when(F.array_contains(asked, n["letters"]), ASKED).otherwise(0.0) if asked is not None else F.lit(0.0)
-    return F.aggregate(needles, F.lit(0.0), lambda a, n: a + by_title(n) + once(count(n), by_body) + by_asked(n))
+    by_title = lambda n: F.when(holds(F.col("title_key"), F.col("title_marks"), n), TITLE).otherwise(0.0)
+    by_asked = lambda n: F.when(F.array_contains("asked", n["letters"]), ASKED).otherwise(0.0) if with_asked else F.lit(0.0)
+    return F.aggregate(needles, F.lit(0.0), lambda a, n: a + by_title(n) + once(times(F.col("body_key"), F.col("body_marks"), n), by_body) + by_asked(n))
 
 
 def with_relevance(offers: DataFrame, profile: Profile, imposed: tuple[str, ...] = ()) -> DataFrame:
@@ -71,13 +68,12 @@ def with_relevance(offers: DataFrame, profile: Profile, imposed: tuple[str, ...]
         for rank, c in enumerate(competences)
     ]
     soft = [{"ord": i, "skill": t, "needles": needles_of(t)} for i, t in enumerate(profile.transversal)]
-    title, body = F.col("title_key"), F.col("body_key")
     expected = lambda x: F.when(F.array_contains(x["families"], F.col("family")), EXPECTED).otherwise(0.0)
-    score = lambda x: expected(x) + relevance_of(title, body, x["needles"], F.col("asked")) + x["add"] - x["rank"] * RANK
+    score = lambda x: expected(x) + relevance_of(x["needles"]) + x["add"] - x["rank"] * RANK
     rel = F.transform(table(inventory), lambda x: F.struct(x["category"].alias("category"), x["cat_ord"].alias("cat_ord"), x["competence"].alias("competence"), x["rank"].alias("rank"), score(x).alias("score"))) if inventory else F.array()
-    wanted = F.transform(table(soft), lambda x: F.struct((x["ord"] * RANK - relevance_of(title, body, x["needles"])).alias("neg"), x["ord"].alias("ord"), x["skill"].alias("skill"))) if soft else F.array()
+    wanted = F.transform(table(soft), lambda x: F.struct((x["ord"] * RANK - relevance_of(x["needles"], with_asked=False)).alias("neg"), x["ord"].alias("ord"), x["skill"].alias("skill"))) if soft else F.array()
     out = with_match_keys(offers).withColumns({"rel": rel.cast(RELEVANCE), "soft": F.array_sort(wanted.cast("array<struct<neg:double,ord:int,skill:string>>"))})
-    return settled(out.drop("title_key", "desc_key", "body_key", "asked", "family"))
+    return settled(out.drop(*MATCH_KEYS))
 
 
 def competence_relevance(offers: DataFrame, profile: Profile, imposed: tuple[str, ...] = ()) -> DataFrame:
@@ -143,8 +139,8 @@ def compose_rubrics(rel: Column, profile: Profile) -> Column:
 def tools_named(key: Column, profile: Profile) -> Column:
     """Competences of the inventory that a normalised text names, in the inventory's order."""
     rows = [{"name": c, "needles": needles_of(c)} for own in profile.competences.values() for c in own]
-    hit = lambda k: lambda x: F.exists(x["needles"], lambda n: F.contains(k, n["letters"]) & F.rlike(k, n["pattern"]))
-    return once(key, lambda k: F.transform(F.filter(table(rows), hit(k)), lambda x: x["name"]))
+    hit = lambda b: lambda x: F.exists(x["needles"], lambda n: holds(b["key"], b["marks"], n))
+    return once(F.struct(key.alias("key"), marked(key).alias("marks")), lambda b: F.transform(F.filter(table(rows), hit(b)), lambda x: x["name"]))
 
 
 def bullet_tools(profile: Profile) -> list[tuple[str, str, int, int, int, str, bool, bool, list[str]]]:

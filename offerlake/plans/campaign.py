@@ -22,7 +22,8 @@ def campaign(offers: DataFrame, cfg: Config, profile: Profile, as_of: datetime,
     """The offers that a campaign keeps, scored. `order` tells which of two equal offers comes first; with a last run,
     only offers published since then, less the margin, are looked at."""
     cutoff = last_run - timedelta(days=cfg.refresh_margin_days) if last_run else None
-    kept = decided(judged(facts(offers), cfg, as_of, cutoff), order).where("decision = 'kept'")
+    passing = judged(facts(offers), cfg, as_of, cutoff).where("reject_reason is null")  # a row that fails claims no key
+    kept = decided(passing, order).where("decision = 'kept'")
     return score_offers(kept, profile, cfg, as_of)
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from offerlake import dims, storage
-from offerlake.config import AS_OF, CONFIG, PROFILE
+from offerlake.config import AS_OF, CONFIG, LEVEL_WEIGHTS, PROFILE
 from offerlake.fixture import fx, offers
 from offerlake.functions import dates, extract, text
 from offerlake.functions.text import folded
-from offerlake.operators import filters, match, score, store
+from offerlake.operators import filters, match, profiles, score, store
 from offerlake.plans.campaign import campaign, facts, metrics
 from offerlake.plans.oracle_parts import AS_OF_SQL, DECIDED, FACTS, PREDICATES, any_of, first_of, identity, key, q, re2, scored, texts
 from offerlake.schema import settled
@@ -120,7 +120,7 @@ for name, column, sql in (
 ):
     on("keyed", name, lambda column=column: {"result": column()}, FX_SQL + f"SELECT seq, {sql} AS result FROM e2", source=keyed)
 judged = lambda s, d: filters.judged(facts(offers(s, d)), CONFIG, AS_OF)
-decided = lambda s, d: filters.decided(judged(s, d), "seq")
+decided = lambda s, d: filters.decided(judged(s, d).select("seq", "id", "source", "cross_key", "reject_reason"), "seq")
 DECIDED_SQL = f"WITH {DECIDED} "
 query("reject_reason", DECIDED_SQL + "SELECT seq, reject_reason FROM j")(lambda s, d: judged(s, d).select("seq", "reject_reason"))
 query("dedup_cross_source", DECIDED_SQL + "SELECT seq, cross_key, decision FROM d")(lambda s, d: decided(s, d).select("seq", "cross_key", "decision"))
@@ -222,7 +222,7 @@ query("field_coverage", FX_SQL + "SELECT source, count(*) AS n, count(rate) AS w
     lambda s, d: facts(offers(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.count(dates.daily_rate(c("daily_rate_min"), c("daily_rate_max"))).alias("with_rate"), F.count_if(c("remote") != "unknown").alias("with_remote"), F.count("duration_months").alias("with_duration"), F.max(F.length("description")).cast("long").alias("longest"), F.round(F.avg(text.is_truncated(F.concat("description", F.when(c("seq") % 4 == 1, "…").otherwise(""))).cast("int")), 6).alias("truncated"), F.median(F.length("description")).alias("median_length"))
 )
 query("campaign_metrics", DECIDED_SQL + "SELECT source, count(*) AS fetched, count(*) FILTER (decision = 'kept') AS kept, count(*) FILTER (decision = 'kept' AND seq % 2 = 1) AS new, count(*) FILTER (decision = 'kept' AND seq % 2 = 0) AS updated FROM d GROUP BY 1")(
-    lambda s, d: metrics(decided(s, d), decided(s, d).where("decision = 'kept' and seq % 2 = 0"))
+    lambda s, d: (lambda all_: metrics(all_, all_.where("decision = 'kept' and seq % 2 = 0")))(decided(s, d))
 )
 def csv_back(rows: DataFrame) -> DataFrame:
     """The rows written as CSV and read again; lists come back as text. The writer quotes empty texts, so they stay apart
@@ -453,6 +453,32 @@ query("rubric_fill", TRANSVERSAL_SQL.rstrip() + MATCH_SQL.removeprefix(STORE_SQL
     UNION ALL SELECT id, 2, line, category, competences[1:size + more] FROM l4)""")(
     lambda s, d: with_rel(s, d).select("id", F.posexplode(match.compose_rubrics(rel(), PROFILE)).alias("pos", "x")).select("id", (c("pos") + 1).alias("line"), "x.label", joined("x.competences").alias("competences"))
 )
+
+
+# ---- many profiles ----
+INVENTORY = [name for own in PROFILE.competences.values() for name in own]
+
+
+def customer_profiles(s: SparkSession, d: str) -> DataFrame:
+    """A profile for each customer: six skills of three levels, two to five competences of the inventory, by its number."""
+    k = c("c_custkey")
+    level = lambda j: F.element_at(F.array(*map(F.lit, LEVEL_WEIGHTS.values())), (j % 3 + 1).cast("int"))
+    at = lambda names, i: F.element_at(text.table(names), (i % len(names) + 1).cast("int"))
+    skills = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.struct(at(list(dims.SKILLS), k * 3 + j * 11).alias("name"), level(j).alias("weight")))
+    competences = F.transform(F.sequence(F.lit(0), (k % 4 + 1).cast("int")), lambda j: at(INVENTORY, k * 5 + j * (1 + 2 * (F.floor(k / len(INVENTORY)) % 5))))
+    return s.read.parquet(f"{d}/customer.parquet").select(k.alias("profile"), skills.alias("skills"), competences.alias("competences"))
+
+
+TOP_SQL = "SELECT profile, pos, id, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, id)::INTEGER AS pos FROM x WHERE score > 0) WHERE pos <= 10"
+query("profiles_by_skills", STORE_SQL.rstrip() + f""", ps AS (SELECT c_custkey AS profile, ({texts(list(dims.SKILLS))})[(c_custkey * 3 + j * 11) % {len(dims.SKILLS)} + 1] AS skill, [{', '.join(str(round(w * 100)) for w in LEVEL_WEIGHTS.values())}][j % 3 + 1] AS weight FROM customer, range(0, 6) r(j)),
+  os AS (SELECT id, unnest(skills) AS skill, len(skills) AS n FROM st), x AS (SELECT profile, id, least(sum(weight)::DOUBLE / (any_value(n) * 100), 1.0::DOUBLE) AS score FROM ps JOIN os USING (skill) GROUP BY 1, 2) """ + TOP_SQL)(
+    lambda s, d: profiles.best_by_skills(stored(s, d).select("id", "skills"), customer_profiles(s, d))
+)
+query("profiles_by_competences", MATCH_SQL.rstrip() + f""", pc AS (SELECT c_custkey AS profile, j AS place, ({texts(INVENTORY)})[(c_custkey * 5 + j * (1 + 2 * ((c_custkey // {len(INVENTORY)}) % 5))) % {len(INVENTORY)} + 1] AS competence FROM customer, LATERAL (SELECT unnest(range(0, 2 + c_custkey % 4)) AS j)),
+  dm AS (SELECT id, competence, round((score + rank * 0.01) * 100)::BIGINT AS points FROM rel WHERE score + rank * 0.01 > 0.001), x AS (SELECT profile, id, sum(greatest(points - place, 0))::BIGINT AS score FROM pc JOIN dm USING (competence) GROUP BY 1, 2) """ + TOP_SQL)(
+    lambda s, d: profiles.best_by_competences(match.with_match_keys(for_match(s, d).select("id", "title", "description", "skills", "score_detail")), customer_profiles(s, d))
+)
+
 BULLETS = match.bullet_tools(PROFILE)
 BULLET_SQL = MATCH_SQL + ", b(kind, block, block_ord, bullet_ord, variant_ord, text, pinned, optional, tools) AS (VALUES " + ", ".join(f"({q(b[0])}, {q(b[1])}, {b[2]}, {b[3]}, {b[4]}, {q(b[5])}, {b[6]}, {b[7]}, {texts(b[8])})" for b in BULLETS) + """),
   bs AS (SELECT ids.id, b.*, coalesce((SELECT sum(greatest(score, 0)) FROM rel WHERE rel.id = ids.id AND list_contains(b.tools, rel.competence)), 0) AS score FROM (SELECT DISTINCT id FROM st) ids CROSS JOIN b),
