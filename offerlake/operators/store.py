@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlake.storage import BUCKET, bucket_of, exists, put_partitions, written
+
 KEPT = {"status": "new", "first_seen_at": None, "notes": "", "starred": False, "discarded": False}
 FUNNEL = ["interview", "replied", "sent", "drafted"]
 
@@ -37,6 +39,27 @@ def upsert_offers(existing: DataFrame, incoming: DataFrame, seen_at: Column) ->
     return both.select(*out, F.when(was & comes, "updated").when(comes, "new").otherwise("unchanged").alias("change"))
 
 
+def merge_offers(incoming: DataFrame, root: str, seen_at: Column, buckets: int = 64) -> DataFrame:
+    """Merges offers into a store that is partitioned by a hash of the id: `upsert_offers` over the buckets that the
+    incoming ids touch, which alone are read and written again. Returns id and change (new, updated) of the incoming ids.
+
+    The store's columns are the first merge's. Merging the same rows again changes nothing but `change`. The merged
+    buckets are written beside the store first, so the only step that touches it is a copy of a finished table.
+    """
+    spark = incoming.sparkSession
+    incoming = written(incoming.withColumn(BUCKET, bucket_of("id", buckets)), "incoming")
+    touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]  # as many as buckets at most
+    if exists(spark, root):
+        existing = spark.read.parquet(root).where(F.col(BUCKET).isin(touched))
+    else:
+        kinds = {"status": "string", "first_seen_at": "timestamp", "notes": "string", "starred": "boolean", "discarded": "boolean"}
+        existing = incoming.where("false").withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items()}).drop("ord")
+    merged = written(upsert_offers(existing, incoming, seen_at), "merged")
+    if touched:
+        put_partitions(merged.drop("change"), root, BUCKET)
+    return merged.where("change <> 'unchanged'").select("id", "change")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Annotations of each offer from its events (offer_id, kind, value, ts, event_id): the last status, note and
     discard, stars by the parity of toggles, and when it was first sent."""

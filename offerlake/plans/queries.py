@@ -12,10 +12,11 @@ from pyspark.sql import Window as W
 
 from offerlake import dims, storage
 from offerlake.config import AS_OF, CONFIG, LEVEL_WEIGHTS, PROFILE
-from offerlake.fixture import fx, offers
+from offerlake.fixture import FX, fx, offers
 from offerlake.functions import dates, extract, text
 from offerlake.functions.text import folded
 from offerlake.operators import filters, match, profiles, score, store
+from offerlake.plans import run
 from offerlake.plans.campaign import campaign, facts, metrics
 from offerlake.plans.oracle_parts import AS_OF_SQL, DECIDED, FACTS, PREDICATES, any_of, first_of, identity, key, q, re2, scored, texts
 from offerlake.schema import settled
@@ -185,6 +186,53 @@ query("upsert_offers", STORE_SQL + f"""SELECT id, seq, CASE WHEN seq % 4 >= 1 TH
   CASE seq % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'updated' ELSE 'new' END AS change FROM st""")(upserted)
 
 
+def merged_in_two(s: SparkSession, d: str) -> DataFrame:
+    """The same two sides as `upsert_offers`, merged one after the other into a store on disk; annotations are made between."""
+    own = stored(s, d).select("id", "seq", "title", "score", "status", "first_seen_at", "notes", "starred", "discarded")
+    root = storage.place_for(s, "store")
+    bare = own.drop(*store.KEPT)
+    store.merge_offers(bare.where("seq % 4 < 2"), root, F.lit(datetime(2024, 1, 1)))
+    marked = storage.written(annotated(s.read.parquet(root)), "marked")  # what users do to offers meanwhile
+    storage.put_partitions(marked, root, storage.BUCKET)
+    store.merge_offers(bare.where("seq % 4 >= 1").withColumn("title", F.upper("title")), root, F.lit(AS_OF))
+    return s.read.parquet(root).drop(storage.BUCKET)
+
+
+query("merge_offers", STORE_SQL + f"""SELECT id, seq, CASE WHEN seq % 4 >= 1 THEN upper(title) ELSE title END AS title, score, CASE WHEN seq % 4 < 2 THEN status ELSE 'new' END AS status,
+  CASE WHEN seq % 4 < 2 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE {AS_OF_SQL} END AS first_seen_at, CASE WHEN seq % 4 < 2 THEN notes ELSE '' END AS notes, seq % 4 < 2 AND starred AS starred, seq % 4 < 2 AND discarded AS discarded FROM st""")(merged_in_two)
+
+
+def landed_days(s: SparkSession, d: str) -> DataFrame:
+    """Derived offers landed by day and read again from a cutoff that a table gives."""
+    root = storage.place_for(s, "landed")
+    storage.land(offers(s, d), root)
+    cutoffs = offers(s, d).agg((F.max("published_at") - F.expr("INTERVAL 12 DAYS 5 HOURS")).alias("cutoff"))
+    return storage.landed_since(s, root, cutoffs).groupBy("day").agg(F.count("*").alias("n"))
+
+
+query("landed_since", FX_SQL + "SELECT coalesce(strftime(published_at, '%Y-%m-%d'), 'undated') AS day, count(*) AS n FROM f WHERE published_at IS NULL OR published_at::DATE >= (SELECT (max(published_at) - INTERVAL '12' DAY - INTERVAL '5' HOUR)::DATE FROM f) GROUP BY 1")(landed_days)
+
+
+def two_runs(s: SparkSession, d: str) -> DataFrame:
+    """Two runs over a growing folder: what was published until 25 January, then all. Their records."""
+    landed, root, log = (storage.place_for(s, name) for name in ("landed", "store", "runs"))
+    storage.land(offers(s, d).where("published_at < '2024-01-26'"), landed)
+    run.run_campaign(s, landed, root, log, "first", CONFIG, PROFILE, datetime(2024, 1, 26))
+    storage.land(offers(s, d), landed)
+    run.run_campaign(s, landed, root, log, "second", CONFIG, PROFILE, AS_OF)
+    return run.run_log(s, log).select("run", "started_at", "sources", "fetched", "kept", "new_offers", "updated_offers")
+
+
+def run_sql(landed: str, as_of: str) -> str:
+    return "(WITH " + f"f AS (SELECT * FROM ({FX}) WHERE {landed})".join(part.replace(AS_OF_SQL, as_of) for part in DECIDED.split(f"f AS ({FX})")) + " SELECT id, source, decision FROM d)"
+
+
+FIRST_RUN = "TIMESTAMP '2024-01-26 00:00:00'"
+query("run_campaign", f"""WITH r1 AS {run_sql("published_at < TIMESTAMP '2024-01-26'", FIRST_RUN)}, r2 AS {run_sql("published_at IS NULL OR published_at >= TIMESTAMP '2024-01-24'", AS_OF_SQL)}, known AS (SELECT id FROM r1 WHERE decision = 'kept')
+SELECT 'first' AS run, {FIRST_RUN} AS started_at, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS fetched, count(*) FILTER (decision = 'kept') AS kept, count(*) FILTER (decision = 'kept') AS new_offers, 0::BIGINT AS updated_offers FROM r1
+UNION ALL SELECT 'second', {AS_OF_SQL}, string_agg(DISTINCT source, ',' ORDER BY source), count(*), count(*) FILTER (decision = 'kept'), count(*) FILTER (decision = 'kept' AND id NOT IN (FROM known)), count(*) FILTER (decision = 'kept' AND id IN (FROM known)) FROM r2""")(two_runs)
+
+
 def offer_events(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet")
     kind = F.element_at(F.array(*map(F.lit, ["status", "note", "star", "discard"])), (c("event_id") % 4 + 1).cast("int"))

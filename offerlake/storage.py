@@ -88,6 +88,43 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.select(json_line(rows.columns).alias("value")).write.mode("overwrite").text(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+BUCKET, UNDATED = "bucket", "undated"
+
+
+def bucket_of(id_: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
+
+
+def put_partitions(rows: DataFrame, root: str, by: str) -> None:
+    """Writes rows by the values of a column: partitions that they touch are replaced, all others stay as they are."""
+    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(root)
+
+
+def land(offers: DataFrame, root: str) -> None:
+    """Lands offers in a folder for each day (UTC) of publication, undated ones in one of their own. Days that they touch
+    are replaced, so an offer that lands again doesn't lie there twice."""
+    day = F.coalesce(F.date_from_unix_date(F.floor(F.unix_seconds("published_at") / 86_400).cast("int")).cast("string"), F.lit(UNDATED))
+    dealt = offers.withColumn("day", day).repartitionByRange("day", F.xxhash64("title", "url"))  # few files a day, a large day in several
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
+
+
+def landed_since(spark: SparkSession, root: str, cutoffs: DataFrame | None = None) -> DataFrame:
+    """Landed offers from the day of a cutoff on, and undated ones. `cutoffs`: one row with a timestamp, as a run log
+    gives it (null: all offers); Spark reads it first and then lists only the folders of those days."""
+    landed = spark.read.parquet(root).withColumn("day", F.col("day").cast("string"))
+    if cutoffs is None:
+        return landed
+    return spark.sql(
+        f"SELECT * FROM {{landed}} WHERE day = '{UNDATED}' OR day >= (SELECT coalesce(max(CAST(date_from_unix_date(CAST(floor(unix_seconds(cutoff) / 86400) AS INT)) AS STRING)), '') FROM {{cutoffs}})",
+        landed=landed, cutoffs=cutoffs.toDF("cutoff"),
+    )
+
+
 def append_run(runs: DataFrame, path: str, run_id: str) -> None:
     """Adds a run's rows to a log; a run that is repeated under its id replaces itself."""
     runs.write.mode("overwrite").parquet(f"{path}/run={run_id}")
