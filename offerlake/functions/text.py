@@ -111,21 +111,23 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 MARK, OTHER = "\u0001", "\u0002"
+BOUNDARY = MARK + MARK  # two, so that needles side by side have one each
 SHORT = 3  # needles up to this many characters are looked for between word boundaries
 
 
 def marked(key: Column) -> Column:
-    """The text with a mark at each start and end of a word; texts of ASCII alone take the plain pattern."""
+    """The text with marks at each start and end of a word; texts of ASCII alone take the plain pattern."""
     plain = F.translate(key, MARK, OTHER)
-    mark = lambda flags: F.regexp_replace(plain, rf"{flags}(\w+)", f"{MARK}$1{MARK}")
+    mark = lambda flags: F.regexp_replace(plain, rf"{flags}(\w+)", f"{BOUNDARY}$1{BOUNDARY}")
     return F.when(F.octet_length(key) == F.char_length(key), mark("")).otherwise(mark("(?U)"))
 
 
 def bounded(letters: str, always: bool = False) -> str:
     """How a needle between word boundaries stands in a marked text. Ends that are letters or digits have one, with
     `always` other ends, too: a sign at which a word ends, or that one follows."""
-    form = re.sub(r"(\w+)", rf"{MARK}\1{MARK}", letters)
-    return MARK + form.strip(MARK) + MARK if always else form
+    form = re.sub(r"(\w+)", rf"{BOUNDARY}\1{BOUNDARY}", letters)
+    first, last = (MARK if always or form[k] == MARK else "" for k in (0, -1))
+    return first + form.strip(MARK) + last
 
 
 def needle(letters: str, bounded_up_to: int = SHORT) -> dict:

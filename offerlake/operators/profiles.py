@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerlake import dims
-from offerlake.functions.text import MARK, folded, normalize_key
+from offerlake.functions.text import BOUNDARY, MARK, folded, normalize_key
 from offerlake.operators.match import ASKED, BODY, BODY_EACH, BODY_MOST, EXPECTED, SHORT, TITLE
 from offerlake.storage import written
 
@@ -89,7 +89,7 @@ def competence_needles(profiles: DataFrame) -> DataFrame:
     also = F.split(aliases[F.col("competence")], "\n")
     letters = F.filter(F.concat(F.array(base), F.coalesce(also, F.array().cast("array<string>"))), lambda x: x != "")
     rows = names.select("competence", F.explode(letters).alias("letters")).withColumn("short", F.length("letters") <= SHORT)
-    split_ = F.regexp_replace("letters", r"(?U)(\w+)", f"{MARK}$1{MARK}")
+    split_ = F.regexp_replace("letters", r"(?U)(\w+)", f"{BOUNDARY}$1{BOUNDARY}")
     form = F.when(F.col("short"), F.concat(F.lit(MARK), F.btrim(split_, F.lit(MARK)), F.lit(MARK))).otherwise(F.col("letters"))
     words = F.filter(F.split(split_, MARK), lambda w: w.rlike(r"(?U)^\w+$"))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
