@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StreamingQuery
 
 from offerlake import dims, storage
 from offerlake.config import AS_OF, CONFIG, LEVEL_WEIGHTS, PROFILE
@@ -585,26 +586,56 @@ query("profile_skills", FX_SQL + ", p(skill, level, ord) AS (VALUES " + ", ".joi
 
 
 # ---- streams ----
-def stream_campaign(s: SparkSession, d: str) -> DataFrame:
-    """The campaign over a file stream of the derived offers: what it keeps equals the batch's."""
+LANDINGS = 5
+
+
+def in_landings(s: SparkSession, rows: DataFrame, landing: Column, flow: Callable[[DataFrame, str], StreamingQuery]) -> None:
+    """Lands rows in LANDINGS steps; after each, the stream reads what is new, from the state it left."""
     place = storage.place_for(s, "stream")
-    offers(s, d).write.parquet(f"{place}/landed")
-    flowing = s.readStream.schema(offers(s, d).schema).parquet(f"{place}/landed")
-    scored_rows = stream.passing(flowing, CONFIG, PROFILE, AS_OF).select("seq", "cross_key", F.round("score_raw", 6).alias("score"))
-    stream.merge_stream(scored_rows, f"{place}/out", f"{place}/state").awaitTermination()
-    return stream.first_kept(s.read.parquet(f"{place}/out").drop("batch")).select("seq", "score")
+    rows = storage.written(rows.withColumn("landing", landing.cast("int")), "landing")
+    for k in range(LANDINGS):
+        rows.where(c("landing") == k).write.mode("append").parquet(f"{place}/landed")
+        flow(s.readStream.schema(rows.schema).parquet(f"{place}/landed"), f"{place}/state").awaitTermination()
 
 
-query("stream_campaign", CAMPAIGN_SQL + "SELECT seq, round(score_raw, 6) AS score FROM s")(stream_campaign)
+def stream_campaign(s: SparkSession, d: str) -> DataFrame:
+    """The campaign over a file stream of the derived offers, landed out of order: what the table holds at its end equals
+    the batch's."""
+    root = storage.place_for(s, "firsts")
+    flow = lambda rows, state: stream.merge_firsts(stream.passing(rows, CONFIG, PROFILE, AS_OF).select("seq", "cross_key", F.round("score_raw", 6).alias("score")), root, state)
+    in_landings(s, offers(s, d), LANDINGS - 1 - F.pmod("seq", F.lit(LANDINGS)), flow)
+    return s.read.parquet(root).select("seq", "score")
 
 
-def stream_dedup(s: SparkSession, d: str) -> DataFrame:
-    """Distinct cross keys of the passing offers, from a stream in one batch."""
-    place = storage.place_for(s, "dedup")
-    offers(s, d).withColumn("landed_at", F.lit(AS_OF)).write.parquet(f"{place}/landed")
-    flowing = s.readStream.schema(offers(s, d).withColumn("landed_at", F.lit(AS_OF)).schema).parquet(f"{place}/landed")
-    stream.merge_stream(stream.without_late_repeats(flowing, "landed_at").select("cross_key"), f"{place}/out", f"{place}/state").awaitTermination()
-    return s.read.parquet(f"{place}/out").select("cross_key").distinct()
+query("stream_campaign", CAMPAIGN_SQL + "SELECT seq, round(score_raw, 6) AS score FROM s")(stream_campaign)
 
 
-query("stream_dedup", FX_SQL + "SELECT DISTINCT cross_key FROM a")(stream_dedup)
+def stream_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Offers with a keyword, a landing for each nine days of publication, some of them one or two landings late: what
+    passes the stream is its whole output."""
+    out = storage.place_for(s, "passed")
+    steps = F.floor(c("seq") % 45 / 9)
+    landing = F.least(LANDINGS - 1 - F.when(c("published_at").isNull(), c("seq") % 5).otherwise(steps) + F.when(c("seq") % 20 == 7, 1).when(c("seq") % 20 == 13, 2).otherwise(0), F.lit(LANDINGS - 1))
+    rows = facts(offers(s, d)).select("seq", "title", "company", "description", "location", "skills", "published_at")
+
+    def flow(landed: DataFrame, state: str) -> StreamingQuery:
+        known = filters.with_keys(landed).where(filters.matches_keywords(CONFIG)).withColumn("landed_at", F.lit(AS_OF) - F.make_dt_interval((LANDINGS - 1 - c("landing")) * 9))
+        return stream.merge_stream(stream.without_late_repeats(known, "landed_at"), out, state)
+
+    in_landings(s, rows, landing, flow)
+    return s.read.schema("seq long, cross_key string").parquet(out).select("seq", "cross_key")
+
+
+def stream_sql() -> str:
+    """The stream's rule landing by landing: late rows go, a key's first row passes unless its state holds."""
+    parts = [f"""src AS (SELECT seq, cross_key, least({LANDINGS - 1} - CASE WHEN published_at IS NULL THEN seq % 5 ELSE (seq % 45) // 9 END + CASE seq % 20 WHEN 7 THEN 1 WHEN 13 THEN 2 ELSE 0 END, {LANDINGS - 1}) AS b, published_at FROM e2 WHERE {PREDICATES['keywords']}),
+  ev AS (SELECT *, coalesce(published_at, {AS_OF_SQL} - to_days((9 * ({LANDINGS - 1} - b))::INTEGER)) AS ev FROM src), s0 AS (SELECT '' AS cross_key, TIMESTAMP '2000-01-01' AS until WHERE false)"""]
+    for b in range(LANDINGS):
+        parts.append(f"w{b} AS (SELECT coalesce((SELECT max(ev) FROM ev WHERE b < {b}) - INTERVAL '2' DAY, TIMESTAMP '1970-01-01') AS mark)")
+        parts.append(f"c{b} AS (SELECT cross_key, min(seq) AS seq, arg_min(ev, seq) AS ev FROM ev, w{b} WHERE b = {b} AND ev > mark GROUP BY cross_key)")
+        parts.append(f"p{b} AS (SELECT c.* FROM c{b} c LEFT JOIN s{b} s USING (cross_key), w{b} WHERE s.until IS NULL OR s.until < mark)")
+        parts.append(f"s{b + 1} AS (SELECT cross_key, ev + INTERVAL '2' DAY AS until FROM p{b} UNION ALL SELECT * FROM s{b} WHERE cross_key NOT IN (SELECT cross_key FROM p{b}))")
+    return FX_SQL.rstrip() + ", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT seq, cross_key FROM p{b}" for b in range(LANDINGS))
+
+
+query("stream_dedup", stream_sql())(stream_dedup)
