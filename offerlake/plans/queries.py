@@ -21,7 +21,7 @@ from offerlake.plans import run
 from offerlake.plans.campaign import campaign, facts, metrics
 from offerlake.plans.oracle_parts import AS_OF_SQL, DECIDED, FACTS, PREDICATES, any_of, first_of, identity, key, q, re2, scored, texts
 from offerlake.schema import settled
-from offerlake.sources import feeds, jsonld, pages
+from offerlake.sources import feeds, jsonld, landing, pages
 from offerlake.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,6 +444,53 @@ query("page_fallback", f"SELECT * FROM (SELECT page_id, {TIDY.replace('html,', '
     lambda s, d: pages.page_fallback(s.read.parquet(f"{d}/pages.parquet"), "freework", "page_id").select("page_id", "title", "contract")
 )
 
+
+
+# ---- landed files ----
+def half_broken(s: SparkSession, d: str) -> DataFrame:
+    """Landed offers among files that aren't Parquet: rows read of each source, and files that gave none."""
+    path = storage.place_for(s, "files")
+    rows = offers(s, d).select("seq", "source", "title")
+    rows.write.parquet(path)
+    s.range(1).select(F.lit("PAR1 cut off").alias("value")).coalesce(1).write.mode("append").text(path)
+    read = landing.read_files(s, path, rows.schema).groupBy(c("source").alias("name")).agg(F.count("*").alias("n"))
+    lost = landing.quarantined(s, path, rows.schema).where("length > 0").agg(F.lit("(quarantined)").alias("name"), F.count("*").alias("n"))
+    return read.unionByName(lost)
+
+
+query("quarantined_files", FX_SQL + "SELECT source AS name, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT '(quarantined)', 1")(half_broken)
+
+
+def page_sitemap(s: SparkSession, d: str) -> DataFrame:
+    """A sitemap of all pages, with missing dates, other elements and broken entries, read again."""
+    path = storage.place_for(s, "sitemap")
+    p = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    loc = F.replace(c("url"), F.lit("&"), F.lit("&amp;"))
+    entry = F.concat(F.lit("  <url>\n    <loc> "), loc, F.lit(" </loc>"), F.when(c("page_id") % 3 == 0, "<lastmod>2024-01-05</lastmod>").otherwise(""), F.when(c("page_id") % 7 == 0, "<priority>0.5</url>").otherwise("<changefreq>daily</changefreq></url>"))
+    p.select(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), entry, F.lit("\n</urlset>")).alias("value")).write.text(path)
+    return landing.sitemap_files(s, path, r"/(en|fr)/[0-9]+")
+
+
+query("sitemap_files", "SELECT trim(url) AS url, CASE WHEN page_id % 3 = 0 THEN '2024-01-05' ELSE '' END AS lastmod FROM pages WHERE page_id % 7 <> 0 AND regexp_matches(url, '/(en|fr)/[0-9]+')")(page_sitemap)
+CHOSEN_SQL = f"SELECT url FROM pages WHERE {any_of(key(chr(114) + 'eplace(string_split(rtrim(url, ' + q('/') + '), ' + q('/') + ')[-1], ' + q('-') + ', ' + q(' ') + ')'), ['html', 'page'])} ORDER BY page_id DESC, url LIMIT 100"
+query("slug_pages", f"SELECT * FROM (SELECT page_id, {TIDY.replace('html,', 'h1,')} AS title, 'freelance' AS contract FROM (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages WHERE url IN ({CHOSEN_SQL}))) WHERE title <> ''")(
+    lambda s, d: pages.page_fallback(landing.chosen_pages(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url"), s.read.parquet(f"{d}/pages.parquet"), ["html", "page"], 100, "page_id"), "freework", "page_id").select("page_id", "title", "contract")
+)
+
+
+def three_versions(s: SparkSession, d: str) -> DataFrame:
+    """Three snapshots: a small score and no stars, then stars and a long score, then a fractional rate and no notes."""
+    path, rows = storage.place_for(s, "versions"), offers(s, d).select("seq", "title")
+    notes, starred = F.concat(F.lit("n"), c("seq").cast("string")), c("seq") % 2 == 0
+    rows.where("seq % 3 = 0").withColumns({"score": (c("seq") % 100).cast("int"), "notes": notes, "rate": (c("seq") % 7).cast("int")}).write.parquet(f"{path}/v1")
+    rows.where("seq % 3 = 1").withColumns({"score": c("seq") * 1000, "notes": notes, "starred": starred}).write.parquet(f"{path}/v2")
+    rows.where("seq % 3 = 2").withColumns({"score": (c("seq") % 50).cast("smallint"), "starred": starred, "rate": c("seq") / 4}).write.parquet(f"{path}/v3")
+    return landing.read_versions(s, [f"{path}/v{k}" for k in (1, 2, 3)], {"notes": ("string", ""), "starred": ("boolean", False)})
+
+
+query("snapshot_versions", FX_SQL + """SELECT seq, title, CASE seq % 3 WHEN 0 THEN seq % 100 WHEN 1 THEN seq * 1000 ELSE seq % 50 END::BIGINT AS score, CASE seq % 3 WHEN 0 THEN (seq % 7)::DOUBLE WHEN 2 THEN seq / 4.0::DOUBLE END::DOUBLE AS rate,
+  CASE WHEN seq % 3 < 2 THEN concat('n', seq) ELSE '' END AS notes, seq % 3 > 0 AND seq % 2 = 0 AS starred FROM f""")(three_versions)
+
 # ---- matching ----
 for_match = lambda s, d: stored(s, d)
 with_rel = lambda s, d: match.with_relevance(for_match(s, d).select("id", "title", "description", "skills", "score_detail"), PROFILE)
