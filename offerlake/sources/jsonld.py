@@ -14,6 +14,9 @@ from offerlake.functions.text import clean_text, strip_html, unescape
 from offerlake.schema import canonical
 from offerlake.storage import place_for
 
+# What a node is, told by its own values alone: nothing below them is looked at.
+IS_OBJECT = "try_variant_get(node, '$', 'map<string, variant>') is not null"
+IS_ARRAY = "try_variant_get(node, '$', 'array<variant>') is not null"
 BLOCK = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
@@ -39,11 +42,11 @@ def ld_walk(blocks: DataFrame) -> DataFrame:
     level = blocks.select(*keys, F.lit("").alias("path"), "node")
     out = None
     for k in itertools.count():
-        level.where("schema_of_variant(node) like 'OBJECT%' or schema_of_variant(node) like 'ARRAY%'").write.parquet(f"{path}/{k}")
+        level.where(f"{IS_OBJECT} or {IS_ARRAY}").write.parquet(f"{path}/{k}")
         level = spark.read.schema(level.schema).parquet(f"{path}/{k}")
         if out is not None and level.isEmpty():
             return out
-        own = level.where("schema_of_variant(node) like 'OBJECT%'").select(*keys, "path", F.lit(k).alias("level"), "node")
+        own = level.where(IS_OBJECT).select(*keys, "path", F.lit(k).alias("level"), "node")
         out = own if out is None else out.unionByName(own)
         inner = spark.sql("SELECT t.* EXCEPT (node, path), concat(t.path, '/', lpad(CAST(v.pos AS STRING), 10, '0')) AS path, v.value AS node FROM {level} t, LATERAL variant_explode(t.node) v", level=level)
         level = inner.select(*keys, "path", "node")
