@@ -263,6 +263,22 @@ def test_pii_network_and_redaction(spark):
     assert pii.train(docs.where("doc_id = 1")) is None
 
 
+def test_pii_network_finds_what_the_patterns_cannot(spark):
+    """Trained on numbers with a country code, it finds held-out ones without: precision 0.95 and recall 0.8 at least."""
+    rng = random.Random(31)
+    number = lambda: rng.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999))
+    around = lambda found: f"{sentence(rng, rng.randrange(2, 14))} {found} {sentence(rng, rng.randrange(2, 14))}"
+    other = lambda: rng.choice([f"in {rng.randrange(1900, 2030)}", f"item {rng.randrange(99999)}", f"{rng.randrange(9)}.{rng.randrange(99)} percent", f"{rng.randrange(100)},{rng.randrange(100, 999)} stones", "12:30"])
+    learned = [around(f"+{rng.choice(['1', '44', '33'])} {number()}") for _ in range(400)] + [around(other()) for _ in range(400)]
+    model = pii.train(docs_of(spark, learned))
+    held_out = [number() if k % 2 else other() for k in range(300)]
+    texts = [around(x) for x in held_out]
+    assert not any(pii.base_spans(t) for t in texts)
+    got = [[(r["spans"][i]["kind"], t[r["spans"][i]["start"] : r["spans"][i]["end"]]) for i in range(len(r["spans"]))] for r, t in zip(pii.find_pii(docs_of(spark, texts), model).orderBy("doc_id").collect(), texts, strict=True)]
+    right = sum(("phone", x) in own for own, x, k in zip(got, held_out, range(300), strict=True) if k % 2)
+    assert right >= 0.95 * sum(map(len, got)) and right >= 0.8 * 150, (right, sum(map(len, got)))
+
+
 def test_pii_sample_of_a_table_of_copies(spark):
     texts = [f"call +1 (614) 555-{8000 + k} today" for k in range(30)]
     copies = spark.range(20_000).select(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 30 + 1).cast("int")).alias("text"))
