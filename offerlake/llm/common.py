@@ -93,6 +93,17 @@ def prefix_hashes(values: np.ndarray, base: int = BASES[0]) -> tuple[np.ndarray,
     return total, back
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns: those given, with as many underscores before them as it takes not to clash with any."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of `df` with the columns of a DDL string added, all nullable."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.bpe import slices
-from offerlake.llm.common import extended, mixed, prefix_hashes, tidy, written
+from offerlake.llm.common import extended, mixed, prefix_hashes, tidy, unused, written
 from offerlake.llm.decontaminate import normalised
 
 WORDS = 5
@@ -320,13 +320,14 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The row that stays is the first of its group by id (a null id comes last); of rows that repeat its id and text, any one.
     """
     rows, classes, _ = classes_of(docs, id_col, text_col)
-    stay = classes.where("stays").select(F.col("first_id").alias("__id"), F.col("first_at").alias("__text"), F.lit(True).alias("__words"))
-    bare = rows.where("n = 0").select(F.col("id").alias("__id"), F.col("at").alias("__text"), F.lit(False).alias("__words")).distinct()
-    keyed = docs.withColumn("__at", F.xxhash64(text_col))
-    kept = keyed.join(stay.unionByName(bare), (F.col("__at") == F.col("__text")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    own_id, own_text, worded, at = unused(docs, "own_id", "own_text", "worded", "at")
+    stay = classes.where("stays").select(F.col("first_id").alias(own_id), F.col("first_at").alias(own_text), F.lit(True).alias(worded))
+    bare = rows.where("n = 0").select(F.col("id").alias(own_id), F.col("at").alias(own_text), F.lit(False).alias(worded)).distinct()
+    keyed = docs.withColumn(at, F.xxhash64(text_col))
+    kept = keyed.join(stay.unionByName(bare), (F.col(at) == F.col(own_text)) & F.col(id_col).cast("long").eqNullSafe(F.col(own_id)))
     if classes.where("copies > 1").limit(1).count():
-        worded = kept.where("__words").dropDuplicates([id_col, "__at"])
-        kept = worded.unionByName(kept.where("not __words"))
+        first = kept.where(F.col(worded)).dropDuplicates([id_col, at])
+        kept = first.unionByName(kept.where(~F.col(worded)))
     return kept.select(*docs.columns)
 
 

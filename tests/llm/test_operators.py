@@ -568,6 +568,54 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert codec.decode(out[2]["ids"]).endswith("mail me <EMAIL>") and codec.decode(out[0]["ids"]) == copy
 
 
+ODD_COLUMNS = ["at", "__at", "own_id", "own_text", "worded", "__id", "__words", "text_", "spans", "ids", "regions", "lang_pred", "found", "n", "id", "k1", "k2", "h", "copies"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows(spark, tmp_path, stage):
+    """Repeated rows, null ids and texts, a very long text, further columns with the names of inner ones; empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    long_, copy = sentence(rng, 40_000), sentence(rng, 50)
+    texts = [(1, copy), (1, copy), (None, copy), (None, None), (None, None), (2, None), (3, ""), (3, ""), (4, long_), (5, sentence(rng, 30) + " a.b@c.de"), (5, "another text of this id with words")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, None if k is None else "en", "s", len(t or "")) for k, t in texts], schema)
+    for c in ODD_COLUMNS:
+        docs = docs.withColumn(c, F.lit(c))
+    bench = spark.createDataFrame([(None, "x"), (1, None), (2, ""), (2, "some item that no document holds " * 3)], "item_id long, text string")
+    for name, items in (("full", bench), ("none", bench.where("false"))):
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    label, function = corpus_pipeline.STAGES[stage]
+    for name in ("full", "none"):
+        rows = function(spark, docs, f"{tmp_path}/{name}").collect()
+        empty = function(spark, docs.where("false"), f"{tmp_path}/{name}")
+        assert empty.count() == 0
+        if stage == 4:
+            assert len(rows) == len(texts) and sum(r["n_tokens"] == 0 for r in rows) == 5
+            continue
+        assert empty.columns == docs.columns and all(r[c] == c for r in rows for c in ODD_COLUMNS)
+        got = collections.Counter((r["doc_id"], r["text"]) for r in rows)
+        want = collections.Counter(texts)
+        if label == "language_id":
+            want = collections.Counter(x for x in texts if x[1])
+        elif label == "ngram_jaccard_join":
+            want[1, copy] = 1
+            del want[None, copy]
+        elif label == "personal_data":
+            want = collections.Counter((k, t and t.replace("a.b@c.de", "<EMAIL>")) for k, t in texts)
+        assert got == want
+
+
+def test_null_urls_are_spread_and_names_cannot_clash(spark):
+    rows = [(k, None if k % 2 else "http://a.net/x") for k in range(3000)] + [(5000, ""), (5001, "no scheme")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("mine") for c in ("url_key", "url_part", "judged", "known", "spread", "__host", "best", "labels", "take", "host")})
+    out = url_rules.judge_urls(pages, url_rules.rule_table(spark, url_rules.SITE_RULES))
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["known"] == r["best"] == r["__host"] == "mine" for r in got)
+    assert {(r["host"], r["rule"], r["verdict"]) for r in got} == {("a.net", "net/", "block"), ("", None, "allow")}
+
+
 CONTRACT = {
     "op1_bpe_encoding": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op2_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
