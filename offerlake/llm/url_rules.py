@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlake.llm.common import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 SHORT = 8  # hex digits of the join key
@@ -75,12 +77,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
         .where("seen = digest")
         .groupBy("url")
         .agg(F.max(F.struct("rank", "rule", "action")).alias("best"))
-        .select(F.col("url").alias("__url"), "best")
     )
-    out = pages.withColumns({"__host": url_host(F.col(url_col)), "__path": url_path(F.col(url_col))})
-    out = out.join(best, F.col(url_col) == F.col("__url"), "left")
+    # Null URLs match nothing; a part of their own each spreads them over the join's tasks.
+    key, part, judged, known, spread = unused(pages, "url_key", "url_part", "judged", "known", "spread")
+    best = best.select(F.col("url").alias(known), F.lit(-1).alias(spread), F.col("best").alias(judged))
+    url = F.col(url_col)
+    out = pages.withColumns({key: F.coalesce(url, F.lit("")), part: F.when(url.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(-1).cast("int")})
+    out = out.join(best, (F.col(key) == F.col(known)) & (F.col(part) == F.col(spread)), "left")
     kept = [F.col(c) for c in pages.columns if c not in {"host", "path", "rule", "verdict"}]
-    return out.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return out.select(*kept, url_host(url).alias("host"), url_path(url).alias("path"), F.col(f"{judged}.rule").alias("rule"), F.coalesce(F.col(f"{judged}.action"), F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
