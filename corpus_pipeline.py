@@ -7,11 +7,22 @@ empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm import bpe, decontaminate, language, near_copies, pii
-from offerlake.llm.common import written
+from offerlake.llm.common import unused, written
+
+
+def apart(docs: DataFrame, names: tuple[str, ...], use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `use` keeps of `docs`, with the columns of `docs`: those that are called like columns that it adds have other
+    names meanwhile."""
+    hidden = [c for c in docs.columns if c in names]
+    other = dict(zip(hidden, unused(docs, *[f"kept_{c}" for c in hidden]), strict=True))
+    out = use(docs.withColumnsRenamed(other)).drop(*names)
+    return out.withColumnsRenamed({v: k for k, v in other.items()}).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of languages with equal shares the first in the alphabet counts. If no row has a lang, there is none to learn, and all go.
     """
     model = language.train(language.training_rows(docs))
-    named = language.identify(docs, model).where(F.col("lang_pred") != language.UNDETERMINED)
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        named = language.identify(rows, model).where(F.col("lang_pred") != language.UNDETERMINED)
+        return named.withColumn("lang", F.coalesce("lang", "lang_pred"))
+
+    return apart(docs, ("lang_pred", "lang_score", "lang_spans"), kept)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +49,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go; null and empty texts hold none and stay, and so do all without items."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return apart(docs, ("contaminated", "regions"), lambda rows: decontaminate.find_contamination(rows, items).where(~F.col("contaminated")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
