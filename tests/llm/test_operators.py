@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -664,3 +665,39 @@ def test_queries_keep_their_contract(spark, tmp_path):
         if name.startswith("op3"):
             assert [r["rank"] for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"]))] == [*range(1, 21)] * 3
         assert query(spark, f"{tmp_path}/empty").count() == 0, name
+
+
+def test_quality_tells_held_out_texts_apart(spark):
+    """AUC of at least 0.97 over texts and labels that weren't learned from."""
+    rng = random.Random(40)
+    good, bad = ["careful", "measured", "evidence", "result", "method"], ["click", "win", "free", "buy", "subscribe"]
+    rows = []
+    for k in range(600):
+        label = rng.randrange(2)
+        own = [rng.choice(good if (rng.random() < 0.85) == bool(label) else bad) for _ in range(12)]
+        rows.append((k, " ".join(rng.sample([*own, *[rng.choice(WORDS) for _ in range(40)]], 52)), label))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 2], "doc_id long, label int")
+    model = quality.train(docs, labels)
+    scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    pairs = [(scores[a[0]], scores[b[0]]) for a in rows if a[0] % 2 == 0 and a[2] for b in rows if b[0] % 2 == 0 and not b[2]]
+    assert sum((x > y) + 0.5 * (x == y) for x, y in pairs) >= 0.97 * len(pairs)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/embeddings.parquet"), reason="the given tables aren't here")
+def test_neighbours_are_found_with_recall(spark):
+    """At least 0.9 of the 20 nearest of every query over the whole given table, scores as brute force has them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").where("vec_id is not null and embedding is not null").collect()
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got = collections.defaultdict(dict)
+    for r in permutation_index.op3_nearest_neighbours(spark, "/root/testdata/sf0.01").collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = total = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[k]
+        order = [o for o in np.lexsort((ids, -scores)) if o != k][:20]
+        own = got[int(ids[k])]
+        hits += sum(int(ids[o]) in own for o in order)
+        total += len(order)
+        assert all(math.isclose(score, float(scores[np.flatnonzero(ids == v)[0]]), rel_tol=1e-9, abs_tol=1e-12) for v, score in own.items())
+    assert total and hits >= 0.9 * total, (hits, total)
