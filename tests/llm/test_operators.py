@@ -701,3 +701,43 @@ def test_neighbours_are_found_with_recall(spark):
         total += len(order)
         assert all(math.isclose(score, float(scores[np.flatnonzero(ids == v)[0]]), rel_tol=1e-9, abs_tol=1e-12) for v, score in own.items())
     assert total and hits >= 0.9 * total, (hits, total)
+
+
+def test_language_scores_equal_plain_loops(spark):
+    """Counts, scores of words and the scripts that narrow languages, n-gram by n-gram."""
+    rng = random.Random(50)
+    vocab = {"en": ["the", "River", "stones"], "de": ["der", "Straße", "über"], "ru": ["река", "Камень"], "el": ["και", "λίθος"]}
+    rows = [(lang, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(1, 9))) + rng.choice(["", " 12", "!\n"])) for lang in vocab for _ in range(12)] + [("en", None), (None, "der"), ("en", ""), ("de", "the the")]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    mask, factor = (1 << 64) - 1, int(language.MULTIPLIER)
+
+    def grams(word):
+        padded = [ord(c) for c in f" {word} "]
+        for n in language.ORDERS:
+            for k in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[k : k + n]:
+                    h = (h + c + 1) * factor & mask
+                yield ((h ^ n) * factor & mask) >> 48
+
+    cut = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts, words = {x: collections.Counter() for x in vocab}, {x: collections.Counter() for x in vocab}
+    for lang, text in rows:
+        if lang and text is not None:
+            for w in cut(text):
+                counts[lang].update(grams(w))
+                words[lang][w] += 1
+    langs = sorted(vocab)
+    log = lambda lang, b: math.log((counts[lang][b % language.BUCKETS] + 0.5) / (sum(counts[lang].values()) + 0.5 * language.BUCKETS))
+    script = lambda w: language.SCRIPT_NAMES[int(language.scripts_of(np.array([32, ord(w[0])], np.uint32), np.array([0]))[0])]
+    used = {x: {script(w) for w in own} for x, own in words.items()}
+    assert model["langs"] == langs
+    for text in ("the Stones über", "река der", "λίθος x", "ру the 中文"):
+        points, starts, ends, _, _ = language.words_of([text])
+        got = language.word_scores(*language.between_blanks(points, starts, ends), model)
+        for w, own in zip(cut(text), got, strict=True):
+            known = any(script(w) in used[x] for x in langs)
+            want = [(sum(log(x, b) for b in grams(w)) / len(language.ORDERS) if script(w) in used[x] else -1e4) if known else 0 for x in langs]
+            assert np.allclose(own, want, rtol=1e-4, atol=1e-3), (w, own, want)
+    total = {x: sum(words[x].values()) for x in langs}
+    assert np.allclose(model["prior"], [math.log((total[x] + 1) / (sum(total.values()) + len(langs))) for x in langs], rtol=1e-5)
