@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlake.storage import BUCKET, bucket_of, exists, put_partitions, written
 
 KEPT = {"status": "new", "first_seen_at": None, "notes": "", "starred": False, "discarded": False}
+FIRST_RUN = "first_run"
 FUNNEL = ["interview", "replied", "sent", "drafted"]
 
 
@@ -15,7 +16,7 @@ def upsert_offers(existing: DataFrame, incoming: DataFrame, seen_at: Column) ->
     """The next snapshot of the store, and what happened to each row in `change` (new, updated, unchanged).
 
     A known offer takes all columns of the incoming row but keeps its status, first_seen_at, notes, starred and
-    discarded. Incoming rows with one id: the last by `ord` counts, if there is such a column. Both sides may hold very
+    discarded, and the run that brought it (first_run), if there is such a column. Incoming rows with one id: the last by `ord` counts, if there is such a column. Both sides may hold very
     many rows; the merge is one join on the id.
     """
     columns = [c for c in existing.columns]
@@ -31,7 +32,9 @@ def upsert_offers(existing: DataFrame, incoming: DataFrame, seen_at: Column) ->
     for c in columns[0:]:
         if c == "id":
             continue
-        if c in KEPT:
+        if c == FIRST_RUN:
+            out.append(F.when(was, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c))
+        elif c in KEPT:
             keep = F.col(f"old_{c}") if c in ("status", "first_seen_at") else F.coalesce(F.col(f"old_{c}"), F.lit(KEPT[c]))
             out.append(F.when(was, keep).otherwise(fresh[c]).alias(c))
         else:
@@ -41,7 +44,8 @@ def upsert_offers(existing: DataFrame, incoming: DataFrame, seen_at: Column) ->
 
 def merge_offers(incoming: DataFrame, root: str, seen_at: Column, buckets: int = 64) -> DataFrame:
     """Merges offers into a store that is partitioned by a hash of the id: `upsert_offers` over the buckets that the
-    incoming ids touch, which alone are read and written again. Returns id and change (new, updated) of the incoming ids.
+    incoming ids touch, which alone are read and written again. Returns id and change (new, updated) of the incoming ids, and
+    their first_run, if they have one.
 
     The store's columns are the first merge's. Merging the same rows again changes nothing but `change`. The merged
     buckets are written beside the store first, so the only step that touches it is a copy of a finished table.
@@ -57,7 +61,7 @@ def merge_offers(incoming: DataFrame, root: str, seen_at: Column, buckets: int =
     merged = written(upsert_offers(existing, incoming, seen_at), "merged")
     if touched:
         put_partitions(merged.drop("change"), root, BUCKET)
-    return merged.where("change <> 'unchanged'").select("id", "change")
+    return merged.where("change <> 'unchanged'").select("id", "change", *[c for c in merged.columns if c == FIRST_RUN])
 
 
 def fold_events(events: DataFrame) -> DataFrame:

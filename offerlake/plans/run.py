@@ -43,15 +43,11 @@ def run_campaign(spark: SparkSession, landed: str, store: str, runs: str, run_id
     kept = fetched.drop("id", "source", "cross_key", "reject_reason").join(decisions.where("decision = 'kept'").select(order, "id", "source", "cross_key"), order)
     scored = score_offers(kept, profile, cfg, started_at).withColumn("first_run", F.lit(run_id)).drop("day")
     scored = scored.groupBy("id").agg(F.min_by(F.struct(*[c for c in scored.columns if c != "id"]), order).alias("o")).select("id", "o.*")
-    known = spark.read.parquet(store).select("id", F.col("first_run").alias("was")) if storage.exists(spark, store) else None
-    if known is not None:
-        scored = scored.join(known, "id", "left").withColumn("first_run", F.coalesce("was", "first_run")).drop("was")
-    scored = storage.written(scored, "scored")
-    merge_offers(scored, store, F.lit(started_at), buckets)
+    merged = merge_offers(scored, store, F.lit(started_at), buckets)
     report = rejection_report(decisions)
     detail = report.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "reason"))), lambda r: F.concat(r["reason"], F.lit("="), (-r["n"]).cast("string"))), ", ").alias("detail"))
     counts = decisions.agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("fetched"))
-    merged = scored.agg(F.count("*").alias("kept"), F.count_if(F.col("first_run") == run_id).alias("new_offers"), F.count_if(F.col("first_run") != run_id).alias("updated_offers"))
+    merged = merged.agg(F.count("*").alias("kept"), F.count_if(F.col("first_run") == run_id).alias("new_offers"), F.count_if(F.col("first_run") != run_id).alias("updated_offers"))
     record = counts.join(merged).join(detail).select(F.lit(started_at).alias("started_at"), "sources", "fetched", "kept", "new_offers", "updated_offers", "detail")
     storage.append_run(storage.written(record, "record"), runs, run_id)
     return run_log(spark, runs).where(F.col("run") == run_id)
