@@ -8,7 +8,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from offerlake import dims, storage
