@@ -205,7 +205,7 @@ query("merge_offers", STORE_SQL + f"""SELECT id, seq, CASE WHEN seq % 4 >= 1 THE
 def landed_days(s: SparkSession, d: str) -> DataFrame:
     """Derived offers landed by day and read again from a cutoff that a table gives."""
     root = storage.place_for(s, "landed")
-    storage.land(offers(s, d), root)
+    storage.land(offers(s, d), root, "all")
     cutoffs = offers(s, d).agg((F.max("published_at") - F.expr("INTERVAL 12 DAYS 5 HOURS")).alias("cutoff"))
     return storage.landed_since(s, root, cutoffs).groupBy("day").agg(F.count("*").alias("n"))
 
@@ -214,11 +214,11 @@ query("landed_since", FX_SQL + "SELECT coalesce(strftime(published_at, '%Y-%m-%d
 
 
 def two_runs(s: SparkSession, d: str) -> DataFrame:
-    """Two runs over a growing folder: what was published until 25 January, then all. Their records."""
+    """Two runs over a growing folder: what was published until 25 January, then the rest. Their records."""
     landed, root, log = (storage.place_for(s, name) for name in ("landed", "store", "runs"))
-    storage.land(offers(s, d).where("published_at < '2024-01-26'"), landed)
+    storage.land(offers(s, d).where("published_at < '2024-01-26'"), landed, "january")
     run.run_campaign(s, landed, root, log, "first", CONFIG, PROFILE, datetime(2024, 1, 26))
-    storage.land(offers(s, d), landed)
+    storage.land(offers(s, d).where("published_at is null or published_at >= '2024-01-26'"), landed, "later")
     run.run_campaign(s, landed, root, log, "second", CONFIG, PROFILE, AS_OF)
     return run.run_log(s, log).select("run", "started_at", "sources", "fetched", "kept", "new_offers", "updated_offers")
 

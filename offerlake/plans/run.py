@@ -41,7 +41,7 @@ def run_campaign(spark: SparkSession, landed: str, store: str, runs: str, run_id
     fetched = storage.written(judged(facts(offers), cfg, started_at, cutoff), "fetched")
     decisions = storage.written(decided(fetched.select(order, "id", "source", "cross_key", "reject_reason"), order), "decisions")
     kept = fetched.drop("id", "source", "cross_key", "reject_reason").join(decisions.where("decision = 'kept'").select(order, "id", "source", "cross_key"), order)
-    scored = score_offers(kept, profile, cfg, started_at).withColumn("first_run", F.lit(run_id)).drop("day")
+    scored = score_offers(kept, profile, cfg, started_at).withColumn("first_run", F.lit(run_id)).drop("day", "landing")
     scored = scored.groupBy("id").agg(F.min_by(F.struct(*[c for c in scored.columns if c != "id"]), order).alias("o")).select("id", "o.*")
     merged = merge_offers(scored, store, F.lit(started_at), buckets)
     report = rejection_report(decisions)

@@ -105,12 +105,12 @@ def put_partitions(rows: DataFrame, root: str, by: str) -> None:
     rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(root)
 
 
-def land(offers: DataFrame, root: str) -> None:
-    """Lands offers in a folder for each day (UTC) of publication, undated ones in one of their own. Days that they touch
-    are replaced, so an offer that lands again doesn't lie there twice."""
+def land(offers: DataFrame, root: str, landing: str) -> None:
+    """Lands offers in a folder for each day (UTC) of publication, undated ones in one of their own, and there in one for
+    this landing. A landing that is run again under its name replaces its own days; all else stays."""
     day = F.coalesce(F.date_from_unix_date(F.floor(F.unix_seconds("published_at") / 86_400).cast("int")).cast("string"), F.lit(UNDATED))
-    dealt = offers.withColumn("day", day).repartitionByRange("day", F.xxhash64("title", "url"))  # few files a day, a large day in several
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
+    dealt = offers.withColumn("day", day).withColumn("landing", F.lit(landing)).repartitionByRange("day", F.xxhash64("title", "url"))  # few files a day, a large day in several
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "landing").parquet(root)
 
 
 def landed_since(spark: SparkSession, root: str, cutoffs: DataFrame | None = None) -> DataFrame:

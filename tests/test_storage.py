@@ -91,8 +91,8 @@ def test_a_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
 def test_only_days_from_the_cutoff_on_are_listed(spark, tmp_path):
     root = f"file://{tmp_path}/landed"
     rows = spark.range(40).select(F.col("id").cast("string").alias("title"), F.lit("u").alias("url"), F.when(F.col("id") % 10 > 0, F.expr("timestamp'2024-01-01 10:00:00' + make_interval(0, 0, 0, CAST(id AS INT))")).alias("published_at"))
-    for _ in range(2):
-        storage.land(rows, root)
+    for landing in ("a", "b", "b"):
+        storage.land(rows.where("id % 2 = 0" if landing == "a" else "id % 2 = 1"), root, landing)
     cutoffs = spark.createDataFrame([(datetime(2024, 2, 3, 12),)], "cutoff timestamp")
     got = storage.landed_since(spark, root, cutoffs)
     assert sorted(int(r["title"]) for r in got.collect()) == [0, 10, 20, 30, *[k for k in range(33, 40)]]
@@ -103,9 +103,9 @@ def test_a_run_that_is_repeated_leaves_one_record_and_the_same_store(spark, tmp_
     landed, root, log = (f"file://{tmp_path}/{x}" for x in ("landed", "store", "runs"))
     offers = lambda ids, title="Data Engineer": canonical(spark.createDataFrame([(k, f"{title} {k}", "freelance Paris", "Paris, France", datetime(2024, 1, 20), f"c{k}") for k in ids], "seq long, title string, description string, location string, published_at timestamp, company string").withColumn("source", F.lit("s")), "seq")
     go = lambda name, at: run.run_campaign(spark, landed, root, log, name, CONFIG, PROFILE, at, buckets=4).first()
-    storage.land(offers(range(5)), landed)
+    storage.land(offers(range(5)), landed, "one")
     assert (go("a", datetime(2024, 1, 21))["new_offers"], go("a", datetime(2024, 1, 21))["new_offers"]) == (5, 5)
-    storage.land(offers(range(8)), landed)
+    storage.land(offers(range(5, 8)), landed, "two")
     put = storage.append_run
     monkeypatch.setattr(storage, "append_run", lambda *_: (_ for _ in ()).throw(RuntimeError("ended")))
     with pytest.raises(RuntimeError, match="ended"):
