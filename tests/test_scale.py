@@ -10,3 +10,20 @@ def test_rows_of_one_split_are_dealt_out(spark):
     sizes = [n for _, n in spread(one_row_group).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*")).collect()]
     assert sum(sizes) == 1000 and max(sizes) < 300
     assert spread(spark.range(0, 600_000, 1, 1)).rdd.getNumPartitions() == 12  # by rows, not by cores
+
+
+def test_relevance_is_compiled_and_rubrics_follow_plain_loops(spark):
+    from offerlake.config import PROFILE
+    from offerlake.operators import match
+
+    shape = "id long, title string, description string, skills array<string>, score_detail struct<matched_skills:array<string>>"
+    texts = ["Data Engineer Python SQL dbt", "Power BI, DAX et Excel : Power BI partout", "", "Gouvernance des données, qualité, AWS Docker"]
+    rows = spark.createDataFrame([(k, t, t * 2, ["Python"] if k == 0 else None, None) for k, t in enumerate(texts)], shape)
+    rel = match.with_relevance(rows, PROFILE)
+    assert ".letters" not in rel._jdf.queryExecution().optimizedPlan().toString()  # no lambda over a literal list of needles
+    for own, got in rel.select("rel", match.select_rubrics(F.col("rel"))).collect():
+        order = sorted(own, key=lambda x: (-x.score, x.cat_ord, x.rank))
+        asked = {x.category for x in own if x.score > 0}
+        order.sort(key=lambda x: 1 if x.score > 0 else 2 if x.category in asked else 3)
+        kept = [x for k, x in enumerate(order) if sum(y.category == x.category for y in order[:k]) < match.PER_CATEGORY]
+        assert [x.competence for x in got] == [x.competence for x in kept[: match.ALL]]
