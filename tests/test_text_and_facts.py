@@ -78,3 +78,12 @@ def test_dates(spark):
 
 def test_urls(spark):
     assert values(spark, text.clean_url, ["https://x.y/a?utm_source=1&b=2#f", "https://x.y/?REF=1", None, "https://x.y/a"]) == ["https://x.y/a?b=2#f", "https://x.y/", "", "https://x.y/a"]
+
+
+def test_strip_html_makes_each_text_once(spark):
+    """Decoding and repair name their text several times; the steps before them must not be copied for each."""
+    from offerlake.functions.text import strip_html
+
+    rows = spark.createDataFrame([("<p>a &amp;amp; b</p><br/>cafÃ©",), (None,)], "h string").select(strip_html(F.col("h")).alias("t"))
+    assert [r["t"] for r in rows.collect()] == ["a &amp; b\n\ncafé", ""]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("<br") <= 2
