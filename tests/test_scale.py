@@ -27,3 +27,19 @@ def test_relevance_is_compiled_and_rubrics_follow_plain_loops(spark):
         order.sort(key=lambda x: 1 if x.score > 0 else 2 if x.category in asked else 3)
         kept = [x for k, x in enumerate(order) if sum(y.category == x.category for y in order[:k]) < match.PER_CATEGORY]
         assert [x.competence for x in got] == [x.competence for x in kept[: match.ALL]]
+
+
+def test_ranked_rows_are_worked_out_once(spark):
+    """A range sort reads its input twice, for the bounds and for the rows."""
+    from offerlake.operators import score
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return -k
+
+    rows = spark.range(0, 100, 1, 3).withColumn("v", F.udf(counted, "long")("id"))
+    got = score.ranked(rows, F.asc("v")).orderBy("pos").collect()
+    assert [r["id"] for r in got] == list(range(99, -1, -1)) and [r["pos"] for r in got] == list(range(1, 101))
+    assert seen.value == 100
