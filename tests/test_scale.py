@@ -43,3 +43,11 @@ def test_ranked_rows_are_worked_out_once(spark):
     got = score.ranked(rows, F.asc("v")).orderBy("pos").collect()
     assert [r["id"] for r in got] == list(range(99, -1, -1)) and [r["pos"] for r in got] == list(range(1, 101))
     assert seen.value == 100
+
+
+def test_both_sides_of_a_store_come_from_one_table(spark):
+    from offerlake.plans import queries
+
+    for query in (queries.upserted, queries.with_applications):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan, query.__name__  # the offers aren't derived again for each side
