@@ -51,3 +51,26 @@ def test_both_sides_of_a_store_come_from_one_table(spark):
     for query in (queries.upserted, queries.with_applications):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "o_orderkey" not in plan, query.__name__  # the offers aren't derived again for each side
+
+
+def test_equal_texts_are_matched_once(spark):
+    """Numbers that no needle tells apart don't make texts different; the rows are those of each offer matched by itself."""
+    from offerlake.config import PROFILE
+    from offerlake.operators import match, score
+
+    texts = ["Mission SQL, TJM : 450 €", "Mission SQL, TJM : 999 €", "Mission SQL, TJM : 1999 €", "AWS S3 et K8s", "AWS S4 et K9s", "aws ś3, k8s 8", "aws ś3, k8s 7", "3S 3", "SAP BI4\n2", "SAP BI4\n5", "", None]
+    offers = spark.createDataFrame([(str(k), "Data Engineer 3", t, [] if k else ["sql 1"]) for k, t in enumerate(texts)] + [("x", None, "Power BI", None)], "id string, title string, description string, skills array<string>")
+    ids, classes = match.text_classes(offers, match.all_needles(PROFILE))
+    assert ids.count() == 13 and classes.count() == ids.select("cls").distinct().count() == 10  # tags of the first text keep it apart from the second
+    own = score.with_asked_skills(offers.na.fill("").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>"))), PROFILE)
+    want = match.with_relevance(own, PROFILE).select("id", "rel", "soft", "skills").collect()
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(rows):
+        count = F.udf(lambda x: seen.add(1) or x, "string")
+        return match.with_relevance(rows.withColumn("title", count("title")), PROFILE).select("cls", "rel", "soft", "skills")
+
+    assert sorted(match.once_a_text(offers, PROFILE, made).collect()) == sorted(want)
+    assert seen.value == 10
+    text = spark.createDataFrame([("web 2.0 450",)], "t string")
+    assert [text.select(match.without_numbers(F.col("t"), n)).first()[0] for n in (["s3"], ["web 2.0"])] == ["web 0.0 000", "web 2.0 450"]
