@@ -15,8 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerlake import dims
+from offerlake.config import Profile
 from offerlake.functions.text import BOUNDARY, MARK, folded, normalize_key
-from offerlake.operators.match import ASKED, BODY, BODY_EACH, BODY_MOST, EXPECTED, SHORT, TITLE
+from offerlake.operators.match import ASKED, BODY, BODY_EACH, BODY_MOST, EXPECTED, LOOSE, SHORT, TITLE, all_needles, text_classes, with_match_keys
+from offerlake.operators.score import with_asked_skills
 from offerlake.storage import written
 
 POINTS = "array<struct<key:string,points:int>>"
@@ -148,8 +150,24 @@ def demand(keyed: DataFrame, needles: DataFrame) -> DataFrame:
 def best_by_competences(keyed: DataFrame, profiles: DataFrame, most: int = BEST) -> DataFrame:
     """The offers with match keys that ask most for what each profile (profile, competences in order) has: the sum of its
     competences' relevance, each less a hundredth for its rank, in hundredths. A competence named twice has its first rank."""
+    return best_of_demand(demand(keyed, written(competence_needles(profiles), "needles")), profiles, most)
+
+
+def best_by_said(offers: DataFrame, profile: Profile, profiles: DataFrame, most: int = BEST) -> DataFrame:
+    """`best_by_competences` for offers with id, title, readable description and tags. What a text asks for is worked out
+    once, however many offers say it, and only the first of them by id, which are among the first of their class, too.
+    `profile` is the one whose skills an offer is read with."""
     needles = written(competence_needles(profiles), "needles")
-    asked = demand(keyed, needles).withColumn("size", F.lit(0))
+    loose = [r[0] for r in needles.where(F.col("letters").rlike(LOOSE)).select("letters").limit(1).collect()]
+    ids, texts = text_classes(offers, [*all_needles(profile), *loose])
+    place = F.row_number().over(W.partitionBy("cls").orderBy(F.asc_nulls_last("id")))
+    firsts = ids.withColumn("place", place).where(F.col("place") <= most).select("id", "cls")
+    asked = demand(with_match_keys(with_asked_skills(texts, profile)).withColumnRenamed("cls", "id"), needles).withColumnRenamed("id", "cls")
+    return best_of_demand(firsts.join(asked, "cls").drop("cls"), profiles, most)
+
+
+def best_of_demand(asked: DataFrame, profiles: DataFrame, most: int) -> DataFrame:
+    asked = asked.withColumn("size", F.lit(0))
     ranks = F.transform(F.array_distinct("competences"), lambda c: F.struct(c.alias("key"), (F.array_position(F.col("competences"), c) - 1).cast("int").alias("points")))
     wanted = profiles.select("profile", F.array_sort(ranks).cast(POINTS).alias("points"))
     return best_of(asked, wanted, lambda points, rank: F.greatest(points - rank, F.lit(0)), lambda total, _: total, most)

@@ -96,3 +96,19 @@ def test_profiles_meet_offers_without_loops(spark):
     offers = spark.createDataFrame([("x", ["a"])], "id string, skills array<string>")
     plan = profiles.best_by_skills(offers, spark.createDataFrame([(1, [("a", 1.0)])], "profile int, skills array<struct<name:string,weight:double>>"))._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_offers_that_say_the_same_are_asked_once(spark):
+    """As with each offer by itself; of a text only the first offers by id are carried on."""
+    from offerlake.config import PROFILE
+    from offerlake.operators import score
+
+    texts = ["Mission SQL Python, TJM : 450 €", "Power BI et DAX, 3 jours", "rien", "AWS S3 2.0"]
+    offers = spark.createDataFrame([(f"o{k:03}", "Data Engineer", texts[k % 4].replace("450", str(500 + k)), []) for k in range(60)] + [(None, "Data Engineer", texts[1], [])], "id string, title string, description string, skills array<string>")
+    owners = spark.createDataFrame([(1, ["Python", "SQL"]), (2, ["Power BI"]), (3, ["S3 2.0", "Python"])], "profile int, competences array<string>")
+    keyed = match.with_match_keys(score.with_asked_skills(offers, PROFILE))
+    want = profiles.best_by_competences(keyed, owners, 4).collect()
+    got = profiles.best_by_said(offers, PROFILE, owners, 4)
+    assert want and sorted(got.collect(), key=str) == sorted(want, key=str)
+    ids, classes = match.text_classes(offers, match.all_needles(PROFILE))
+    assert (ids.count(), classes.count()) == (61, 4)
