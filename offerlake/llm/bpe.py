@@ -81,8 +81,10 @@ class Codec:
         pairs[after[:-1] < 0] = -1
         rule = self.rules.get  # pair -> rank and merged symbol in one number, so that numbers order by rank
         ids, after, before = start.tolist(), after.tolist(), before.tolist()
+        here = list(map(rule, pairs.tolist()))  # of each position the rule of the pair that now starts there
+        here.append(None)
         index: dict[int, list[int]] = {}
-        for p, r in enumerate(map(rule, pairs.tolist())):
+        for p, r in enumerate(here):
             if r is not None:
                 if r in index:
                     index[r].append(p)
@@ -90,35 +92,38 @@ class Codec:
                     index[r] = [p]
         active = list(index)
         heapq.heapify(active)
-        low = (1 << WIDTH) - 1
+        low, pop, push = (1 << WIDTH) - 1, heapq.heappop, heapq.heappush
         while active:
-            r = heapq.heappop(active)
-            new = r & low
-            a, b = self.parts[r]
-            for p in sorted(index.pop(r)):
-                q = after[p]
-                if q < 0 or ids[p] != a or ids[q] != b:
+            r = pop(active)
+            new, places = r & low, index.pop(r)
+            if len(places) > 1:
+                places.sort()
+            for p in places:
+                if here[p] != r:
                     continue  # taken by another merge since it was posted
-                ids[p], ids[q] = new, -1
+                q = after[p]
+                ids[p], ids[q], here[q] = new, -1, None
                 q = after[p] = after[q]
                 if q >= 0:
                     before[q] = p
-                    made = rule(new << WIDTH | ids[q])
+                    here[p] = made = rule(new << WIDTH | ids[q])
                     if made is not None:
                         if made in index:
                             index[made].append(p)
                         else:
                             index[made] = [p]
-                            heapq.heappush(active, made)
+                            push(active, made)
+                else:
+                    here[p] = None
                 q = before[p]
                 if q >= 0:
-                    made = rule(ids[q] << WIDTH | new)
+                    here[q] = made = rule(ids[q] << WIDTH | new)
                     if made is not None:
                         if made in index:
                             index[made].append(q)
                         else:
                             index[made] = [q]
-                            heapq.heappush(active, made)
+                            push(active, made)
         left = np.array(ids, np.int64)
         stays = left >= 0
         cuts = np.append(0, np.cumsum(stays))[np.append(0, ends)].tolist()
@@ -168,6 +173,12 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterat
         yield batch.slice(start)
 
 
+def lists(ids: list[list[int]]) -> pa.ListArray:
+    """The ids of texts as one array of numbers and its ends."""
+    ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """Adds ids (array<int>) and decoded (string) to every row.
 
@@ -185,7 +196,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
             for batch in slices(whole, text_col):
                 ids = own.encode_batch(t or "" for t in batch.column(at).to_pylist())
                 decoded = [own.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists(ids), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
 
     return docs.select(*kept).mapInArrow(tidy(run), schema)
 

@@ -74,3 +74,12 @@ def test_equal_texts_are_matched_once(spark):
     assert seen.value == 10
     text = spark.createDataFrame([("web 2.0 450",)], "t string")
     assert [text.select(match.without_numbers(F.col("t"), n)).first()[0] for n in (["s3"], ["web 2.0"])] == ["web 0.0 000", "web 2.0 450"]
+
+
+def test_ids_of_a_batch_are_one_array():
+    from offerlake.llm.bpe import byte_bpe_path, codec, lists
+
+    own = codec(byte_bpe_path())
+    ids = own.encode_batch(["aaaaaaaa banana", "", "ß 中文 aaaa"])
+    assert lists(ids).to_pylist() == ids and lists([]).to_pylist() == []
+    assert own.merged(["aaaaaaaa", "", "banana"])[0] == own.merged(["aaaaaaaa"])[0]
