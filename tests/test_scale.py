@@ -76,6 +76,19 @@ def test_equal_texts_are_matched_once(spark):
     assert [text.select(match.without_numbers(F.col("t"), n)).first()[0] for n in (["s3"], ["web 2.0"])] == ["web 0.0 000", "web 2.0 450"]
 
 
+def test_offers_are_read_once_for_both_sides_of_the_texts(spark):
+    """The texts and the offers that they are joined to come from one pass over the offers."""
+    from offerlake.config import PROFILE
+    from offerlake.operators import match
+
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "string")
+    rows = spark.createDataFrame([(str(k), "Data Engineer", f"SQL, TJM : {400 + k} €", None) for k in range(40)], "id string, title string, description string, skills array<string>")
+    got = match.once_a_text(rows.withColumn("title", counted("title")), PROFILE, lambda texts: texts.select("cls", "skills"))
+    assert sorted(got.collect()) == [(k, ["SQL"]) for k in sorted(map(str, range(40)))]
+    assert seen.value == 40
+
+
 def test_ids_of_a_batch_are_one_array():
     from offerlake.llm.bpe import byte_bpe_path, codec, lists
 
