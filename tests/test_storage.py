@@ -44,6 +44,17 @@ def test_exports(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/runs").count() == 3
 
 
+def test_json_keeps_every_field(spark, tmp_path):
+    from offerlake.plans import queries
+
+    rows = spark.createDataFrame([("a", None, datetime(2024, 1, 5, 1, 2, 3, 450))], "id string, title string, at timestamp")
+    storage.export_json(rows, f"file://{tmp_path}/json")
+    assert json.loads(spark.read.text(f"file://{tmp_path}/json").first()[0]) == {"id": "a", "title": None, "at": "2024-01-05T01:02:03.000450Z"}
+    got = queries.QUERIES["export_json_rows"](spark, "/root/testdata/sf0.001")
+    want = queries.stored(spark, "/root/testdata/sf0.001").drop("seq", "score_raw").columns
+    assert all(set(json.loads(r["line"])) == set(want) and json.loads(r["line"])["id"] == r["id"] for r in got.collect())
+
+
 def test_stream_merges_into_the_store(spark, tmp_path):
     root, landed = f"file://{tmp_path}/store", f"file://{tmp_path}/landed"
     flow = lambda: stream.merge_into_store(spark.readStream.schema("id string, title string").parquet(landed), root, f"file://{tmp_path}/state", F.lit(AS_OF)).awaitTermination()
