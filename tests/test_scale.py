@@ -96,3 +96,27 @@ def test_ids_of_a_batch_are_one_array():
     ids = own.encode_batch(["aaaaaaaa banana", "", "ß 中文 aaaa"])
     assert lists(ids).to_pylist() == ids and lists([]).to_pylist() == []
     assert own.merged(["aaaaaaaa", "", "banana"])[0] == own.merged(["aaaaaaaa"])[0]
+
+
+def test_scores_read_each_text_once(spark, monkeypatch):
+    """Rows and scores are those of facts and score_offers, and the store that is merged twice derives its offers once."""
+    from offerlake.config import AS_OF, CONFIG, PROFILE
+    from offerlake.operators import score
+    from offerlake.plans import campaign, queries
+    from offerlake.schema import canonical
+
+    texts = ["TJM : 450 €. SQL", "TJM entre 400 et 500 euros", "300 - 400 € par jour, full remote", "tarif journalier 700, tjm 90", "<p>Python &amp; dbt</p> 6 mois", "3 jours sur site, 550 €/j", "Salaire 45000 euros par an", "", None]
+    rows = [(k, t, x, "CDI x" if k % 5 == 0 else " Data ", "s" if k % 2 else None, 500 if k == 3 else None, ["dbt"] if k == 4 else None) for k, (t, x) in enumerate((t, x) for t in texts for x in ("Paris", "Paris", "jours 450 €"))]
+    offers = canonical(spark.createDataFrame(rows, "seq long, description string, location string, title string, company string, daily_rate_max int, skills array<string>"), "seq")
+    want = score.score_offers(campaign.facts(offers), PROFILE, CONFIG, AS_OF).select("seq", "title", "score_raw", "score").collect()
+    read, once = spark.sparkContext.accumulator(0), campaign.normalize_offers
+    monkeypatch.setattr(campaign, "normalize_offers", lambda o, *a: once(o.withColumn("location", F.udf(lambda x: read.add(1) or x, "string")("location")), *a))
+    got = campaign.scores(offers, PROFILE, CONFIG, AS_OF, "seq").select("seq", "title", "score_raw", "score").collect()
+    assert sorted(got) == sorted(want) and len(got) == 27
+    assert read.value == offers.select(*campaign.SAID).distinct().count() < 27
+
+    monkeypatch.setattr(campaign, "normalize_offers", once)
+    seen, derived = spark.sparkContext.accumulator(0), queries.offers
+    monkeypatch.setattr(queries, "offers", lambda s, d: derived(s, d).withColumn("source", F.udf(lambda x: seen.add(1) or x, "string")("source")))
+    n = queries.QUERIES["merge_offers"](spark, "/root/testdata/sf0.001").count()
+    assert seen.value == n == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
