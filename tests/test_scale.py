@@ -120,3 +120,30 @@ def test_scores_read_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "offers", lambda s, d: derived(s, d).withColumn("source", F.udf(lambda x: seen.add(1) or x, "string")("source")))
     n = queries.QUERIES["merge_offers"](spark, "/root/testdata/sf0.001").count()
     assert seen.value == n == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_shallow_pages_are_walked_in_one_pass(spark, tmp_path, monkeypatch):
+    """Objects to any depth are those of a plain walk; only what lies deep is written level by level."""
+    import json
+
+    from offerlake.sources import jsonld
+
+    def walk(node, path=""):
+        inside = [node[k] for k in sorted(node)] if isinstance(node, dict) else node if isinstance(node, list) else []
+        return ([(path, len(path) // 11)] if isinstance(node, dict) else []) + [x for i, v in enumerate(inside) for x in walk(v, f"{path}/{i:010d}")]
+
+    def nested(n):
+        node = {"@type": "JobPosting", "title": "deep"}
+        for k in range(n):
+            node = [node, k] if k % 3 == 2 else {"b": node, "a": None, "c": [{"x": []}, "s", 1.5, True, [[]]]}
+        return node
+
+    for name, docs in {"shallow": [nested(5), {}, [], [{"@type": "jobposting"}], "text"], "deep": [nested(9), nested(30), nested(8)]}.items():
+        pages = spark.createDataFrame([(k, f'<script type="application/ld+json">{json.dumps(x)}</script><script type="application/ld+json">{{oops</script>') for k, x in enumerate(docs)], "page int, html string")
+        place = iter(range(2))
+        monkeypatch.setattr(jsonld, "place_for", lambda *_, name=name, place=place: f"file://{tmp_path}/{name}{next(place)}")
+        got = jsonld.ld_walk(jsonld.ld_blocks(pages)).select("page", "path", "level").collect()
+        assert sorted(map(tuple, got)) == sorted((k, *x) for k, doc in enumerate(docs) for x in walk(doc))
+        wanted = jsonld.ld_walk(jsonld.ld_blocks(pages), jsonld.is_posting())
+        assert wanted.where(~jsonld.is_posting()).count() == 0 and wanted.count() == (2 if name == "shallow" else 3)
+    assert [x.name for x in tmp_path.joinpath("shallow0").iterdir()] == ["8"] and len(list(tmp_path.joinpath("deep0").iterdir())) > 20
